@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash
-from .shared import stored
+from . import mixing, quality_rules, simhash, token_files, warc
+from .shared import new_folder, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"), new_folder(spark, "archives"))
+    return warc.read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), store=lambda df: stored(df, "counts"))
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
@@ -29,6 +34,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op5_quality_rules, op9_mixing)}
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers' file lies; nothing is copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    parts = token_files.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end=2)
+    return token_files.read_tokens(spark, folder, parts, {"ids_crc32": "long"}, token_files.checksum).withColumnRenamed("key", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_warc, op5_quality_rules, op9_mixing, op10_token_files)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
+        FROM w
+    """,
+    "op9_mixing": None,
+}
+ORACLES = {k: v for k, v in ORACLES.items() if v}

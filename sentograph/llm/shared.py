@@ -53,5 +53,9 @@ def publish(uri: str, chunks) -> int:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
-    files.move(draft, path)
+    try:
+        files.move(draft, path)
+    except OSError:  # some stores don't replace a file that an earlier run of the task left
+        files.delete_file(path)
+        files.move(draft, path)
     return size
