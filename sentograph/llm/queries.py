@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash, token_files, warc
+from . import mixing, pieces, quality_rules, simhash, token_files, warc
 from .shared import new_folder, stored
 
 
@@ -20,6 +20,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.sample(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2)
+    return found.select("doc_id", "rank", "n_pieces", "log_probability", "perturbed", "log_inclusion", F.crc32("ids").alias("ids_crc32"), "restores")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(table(spark, sf_dir, "pages"), new_folder(spark, "archives"))
     return warc.read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, parts, {"ids_crc32": "long"}, token_files.checksum).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_warc, op5_quality_rules, op9_mixing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_sentencepiece, op4_warc, op5_quality_rules, op9_mixing, op10_token_files)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": """
