@@ -1,10 +1,11 @@
-"""The corpus pipeline: quality rules, near-duplicates, mixing."""
+"""The corpus pipeline: quality rules, near-duplicates, mixing, sampled segmentations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentograph.llm import mixing, quality_rules, simhash
+from sentograph.llm import mixing, pieces, quality_rules, simhash
+from sentograph.llm.queries import tokenizer_path
 from sentograph.llm.shared import new_folder, stored
 
 
@@ -26,7 +27,12 @@ def keep_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", keep_good), ("simhash", keep_one), ("mixing", keep_mix)]
+def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of each row, their ids and scores."""
+    return pieces.sample(docs, tokenizer_path("piece_bpe_32k.model"), k=2)
+
+
+STAGES = [("quality_rules", keep_good), ("simhash", keep_one), ("mixing", keep_mix), ("sentencepiece", sample_pieces)]
 
 #: The list is learned and the segmentations are sampled, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
