@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality_rules, simhash, token_files, warc
+from . import chat_format, mixing, pieces, quality_rules, simhash, token_files, vector_search, warc
 from .shared import new_folder, stored
 
 
@@ -35,6 +35,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
+#: A conversation whose texts are made of control strings.
+ODD = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    odd = spark.createDataFrame(ODD, "conv_id long, turn int, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(odd)
+    folder = new_folder(spark, "chat")
+    return chat_format.digests(chat_format.format_conversations(rows, folder), folder)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
 
@@ -52,7 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, parts, {"ids_crc32": "long"}, token_files.checksum).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_sentencepiece, op4_warc, op5_quality_rules, op9_mixing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_sentencepiece, op4_warc, op5_quality_rules, op7_vector_search, op8_chat_format, op9_mixing, op10_token_files)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": """
