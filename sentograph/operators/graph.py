@@ -19,27 +19,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    """Distinct (src, dst) in both directions, without loops and nulls."""
-    pair = edges.where("src <> dst")
-    return pair.select("src", "dst").union(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
 def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut, rounds: int = 100) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 
-    Each round takes the smallest label among neighbours, then the label of the label (pointer jumping), so chains
-    shorten by half a round at least. Labels are cut from their lineage after each round.
+    Each round hooks every node onto its smallest smaller neighbour, finds the roots by pointer jumping, and contracts
+    the edges to those between different roots. So dense groups shrink to a node at once, and later rounds and their
+    joins are small. All tables are cut from their lineage.
     """
-    both = store(symmetric(edges))
-    labels = store(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")))
+    pair = edges.where("src <> dst")
+    edge = store(pair.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    found = None
     for _ in range(rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        # A root that found a smaller label takes it along with all that point to it.
-        moved = hooked.groupBy(F.col("was").alias("root")).agg(F.min("component").alias("to"))
-        jumped = store(hooked.join(moved, hooked.was == moved.root).select("node", "was", F.least("component", "to").alias("component")))
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if edge.isEmpty():
+            break
+        up = store(edge.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("root")))
+        while True:
+            above = up.select(F.col("node").alias("n"), F.col("root").alias("r"))
+            jumped = store(up.join(above, up.root == above.n, "left").select("node", F.coalesce("r", "root").alias("root"), F.col("r").isNotNull().alias("moved")))
+            up = jumped.select("node", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        to = up.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        if found is None:
+            found = up
+        else:
+            found = store(found.join(to, found.root == to.n, "left").select("node", F.coalesce("r", "root").alias("root")).union(up))
+        half = edge.join(to, edge.src == to.n, "left").select(F.coalesce("r", "src").alias("src"), "dst")
+        both = half.join(to, half.dst == to.n, "left").select("src", F.coalesce("r", "dst").alias("dst")).where("src <> dst")
+        edge = store(both.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    if found is None:
+        return edge.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    return found.select("node", F.col("root").alias("component")).union(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct())
