@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, pieces, quality_rules, simhash, token_files, vector_search, warc
+from . import chat_format, licenses, mixing, pieces, quality_rules, simhash, token_files, vector_search, warc
 from .shared import new_folder, stored
 
 
@@ -35,6 +35,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
 
@@ -68,7 +72,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, parts, {"ids_crc32": "long"}, token_files.checksum).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_sentencepiece, op4_warc, op5_quality_rules, op7_vector_search, op8_chat_format, op9_mixing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_sentencepiece, op4_warc, op5_quality_rules, op6_licenses, op7_vector_search, op8_chat_format, op9_mixing, op10_token_files)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": """
