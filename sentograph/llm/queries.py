@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, licenses, mixing, pieces, quality_rules, simhash, token_files, vector_search, warc
+from . import chat_format, licenses, mixing, pieces, quality_rules, simhash, token_files, url_filter, vector_search, warc
 from .shared import new_folder, stored
 
 
@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch times follow from the page id, and the lists from the pages' hosts, as no table has them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.pmod(F.col("page_id") * 7919, F.lit(365))
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(url_filter.START + day * 86400))
+    found = url_filter.evaluate(captures, stored(url_filter.derived_lists(pages), "lists"))
+    return found.select("page_id", day.alias("fetched_day"), "host", "n_hits", "lists", "verdict")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -56,7 +65,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,9 +81,38 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, parts, {"ids_crc32": "long"}, token_files.checksum).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_sentencepiece, op4_warc, op5_quality_rules, op6_licenses, op7_vector_search, op8_chat_format, op9_mixing, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_sentencepiece, op4_warc, op5_quality_rules, op6_licenses, op7_vector_search, op8_chat_format, op9_mixing, op10_token_files)}
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": r"""
+        WITH p AS (
+            SELECT page_id, (page_id * 7919) % 365 AS day,
+                nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+                list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS steps
+            FROM pages),
+        n AS (
+            SELECT 'd' AS tag, pattern, ('0x' || substr(md5('d' || pattern), 1, 4))::BIGINT AS n FROM (SELECT DISTINCT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS pattern FROM p WHERE host IS NOT NULL) WHERE pattern <> ''
+            UNION ALL SELECT 'h', host, ('0x' || substr(md5('h' || host), 1, 4))::BIGINT FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)
+            UNION ALL SELECT 'a', host, ('0x' || substr(md5('a' || host), 1, 4))::BIGINT FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)
+            UNION ALL SELECT 'p', pattern, ('0x' || substr(md5('p' || pattern), 1, 4))::BIGINT FROM (SELECT DISTINCT host || '/' || steps[1] AS pattern FROM p WHERE host IS NOT NULL AND len(steps) > 0)),
+        held AS (
+            SELECT 'spam' AS list, 'block' AS policy, 'domain' AS kind, pattern, n % 300 AS since, CASE WHEN n % 6 = 0 THEN n % 300 + 45 ELSE 100000 END AS until FROM n WHERE tag = 'd' AND n % 3 = 0
+            UNION ALL SELECT 'malware', 'block', 'host', pattern, n % 340, n % 340 + 20 FROM n WHERE tag = 'h' AND n % 4 = 0
+            UNION ALL SELECT 'malware', 'block', 'host', pattern, n % 340 + 40, 100000 FROM n WHERE tag = 'h' AND n % 8 = 0
+            UNION ALL SELECT 'trusted', 'allow', 'host', pattern, n % 300, 100000 FROM n WHERE tag = 'a' AND n % 5 = 0
+            UNION ALL SELECT 'adult', 'block', 'prefix', pattern, n % 300, 100000 FROM n WHERE tag = 'p' AND n % 6 = 0),
+        asked AS (
+            SELECT page_id, day, 'host' AS kind, host AS pattern FROM p WHERE host IS NOT NULL
+            UNION ALL SELECT page_id, day, 'domain', unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) FROM p WHERE host IS NOT NULL
+            UNION ALL SELECT page_id, day, 'prefix', unnest(list_transform(range(1, len(steps) + 1), lambda i: host || '/' || array_to_string(steps[1:i], '/'))) FROM p WHERE host IS NOT NULL),
+        hit AS (SELECT a.page_id, h.list, h.policy, length(h.pattern) AS size FROM asked a JOIN held h ON a.kind = h.kind AND a.pattern = h.pattern AND a.day >= h.since AND a.day < h.until),
+        best AS (
+            SELECT page_id, count(*) AS n_hits, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists,
+                arg_max(policy, size * 2 + CASE WHEN policy = 'allow' THEN 1 ELSE 0 END) AS verdict
+            FROM hit GROUP BY page_id)
+        SELECT p.page_id, p.day AS fetched_day, p.host, coalesce(n_hits, 0) AS n_hits, coalesce(lists, '') AS lists, coalesce(verdict, 'none') AS verdict
+        FROM p LEFT JOIN best USING (page_id)
+    """,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
         w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS head FROM p)
@@ -84,6 +122,20 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
         FROM w
     """,
-    "op9_mixing": None,
+    "op9_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s),
+        w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * 2 AS cap FROM r),
+        f AS (
+            SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+            FROM w WINDOW b AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT arg_min(level, (cap / weight, nth)) FILTER (WHERE level <= cap / weight) AS level FROM f),
+        t AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, weight * l.level), cap::DOUBLE) AS target FROM f, l),
+        c AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - d.size AS start,
+                CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN size > 0 AND start + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+    """,
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
