@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .token_files import gather, slices
 
 SPACE = "▁"
+LETTER = "([A-Za-zÀ-ɏ])"
 #: Bytes of text whose paths descend together.
-PART = 6_000_000
+PART = 3_000_000
 
 
 def mix(x):
@@ -58,6 +59,8 @@ class Pieces:
     BASE = 0x100000001B3
 
     def __init__(self, model: str, power: float = 1.0):
+        import re
+
         import numpy as np
         import sentencepiece
 
@@ -75,6 +78,7 @@ class Pieces:
             self.score[k] = -power * np.log(r + 3.0)
         self.byte_score = -power * float(np.log(len(plain) + 3.0))
         inner = [k for k in plain if SPACE not in self.names[k][1:]]
+        self.marks = not any(re.search(LETTER + "[.,]", self.names[k]) for k in inner)
         self.longest = max((len(self.names[k]) for k in inner), default=1)
         self.keys = np.array([self.hash(self.names[k]) for k in inner], np.uint64)
         self.ids = np.array(inner, np.int64)
@@ -85,6 +89,9 @@ class Pieces:
             raise AssertionError("pieces share a hash")
         self._slots()
         self.bytes = [bytes([int(x[1:-1], 16)]) if own.is_byte(k) else b"" if own.is_control(k) else x.replace(SPACE, " ").encode() for k, x in enumerate(self.names)]
+        self.byte_length = np.fromiter(map(len, self.bytes), np.int64, n)
+        self.byte_begin = np.cumsum(self.byte_length) - self.byte_length
+        self.byte_flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def hash(self, text: str) -> int:
         h = 0
@@ -173,10 +180,10 @@ class Lattice:
                 kinds, which = np.unique(code[lo:][bare], return_inverse=True)
                 spelled = [chr(c - 1).encode("utf-8", "surrogatepass") for c in kinds.tolist()]
                 got[bare] = len(pieces.ids) + which
-                hits.append((np.arange(lo, n), got, ahead[lo:]))
+                hits.append((np.arange(lo, n, dtype=np.int32), got.astype(np.int32), ahead[lo:].astype(np.int32)))
             else:
                 own = np.flatnonzero(got >= 0)
-                hits.append((own + lo, got[own], ahead[own + lo]))
+                hits.append(((own + lo).astype(np.int32), got[own].astype(np.int32), ahead[own + lo].astype(np.int32)))
         self.run_ids = np.concatenate([pieces.ids, pieces.byte_id[np.frombuffer(b"".join(spelled), np.uint8)]])
         self.run_length = np.concatenate([np.ones(len(pieces.ids), np.int64), np.fromiter(map(len, spelled), np.int64, len(spelled))])
         self.run_begin = np.cumsum(self.run_length) - self.run_length
@@ -187,12 +194,13 @@ class Lattice:
             edges[where] += 1
         self.first = np.append(0, np.cumsum(edges))
         total, free = int(self.first[-1]), self.first[:-1].copy()
-        self.to, self.run = np.empty(total, np.int64), np.empty(total, np.int64)
+        self.to, self.run = np.empty(total, np.int32), np.empty(total, np.int32)
         for where, got, to in hits:
             slot = free[where]
             self.to[slot], self.run[slot] = to, got
             free[where] += 1
-        self.place = np.repeat(np.arange(n), edges)
+        del hits, hashes, ahead, code, following, free
+        self.place = np.repeat(np.arange(n, dtype=np.int32), edges)
         # Sums over all ways to the end, from the nearest places outwards.
         self.log, self.upto, beta = score[self.run], np.empty(total), np.zeros(n)
         for d in range(1, longest + 1):
@@ -224,14 +232,14 @@ def descend(lattice: Lattice, at, seed, place):
         while len(open_):
             edge[open_] += 1
             open_ = open_[u[open_] > lattice.upto[edge[open_]]]
-        steps.append((who, edge))
+        steps.append((who, edge.astype(np.int32)))
         counts[who] += 1
         step += 1
         at = lattice.to[edge]
         more = np.flatnonzero(at)
         at, who, seed, place = at[more], who[more], seed[more], place[more]
     begin = np.cumsum(counts) - counts
-    out = np.empty(int(counts.sum()), np.int64)
+    out = np.empty(int(counts.sum()), np.int32)
     for k, (who, edge) in enumerate(steps):
         out[begin[who] + k] = edge
     return out, counts
@@ -331,9 +339,10 @@ class Group:
         return step, edge, log, left if left > 1e-6 * upto[-1] else None
 
 
-def units_of(texts: pa.Array):
+def units_of(texts: pa.Array, marks: bool = False):
     """(distinct units, number of each unit of all texts in order, bounds of the texts in that). A unit after a space begins
-    with the space mark; a line break is a unit; one that follows it and begins with a space mark of its own has a break before that."""
+    with the space mark; a line break is a unit; one that follows it and begins with a space mark of its own has a break before that.
+    marks: a full stop or comma after a letter begins a unit as well, which loses nothing where no piece has the two."""
     import re
 
     import numpy as np
@@ -345,6 +354,8 @@ def units_of(texts: pa.Array):
     if pc.any(odd := pc.match_substring(texts, "\n" + SPACE)).as_py():
         again = [re.sub("\n(?=(" + SPACE + ")?)", lambda m: " \n \n" if m[1] else " \n ", x) if o else c for x, o, c in zip(marked.to_pylist(), odd.to_pylist(), cut.to_pylist())]
         cut = pa.array(again, pa.large_string())
+    if marks:
+        cut = pc.replace_substring_regex(cut, LETTER + "([.,])", "\\1 \\2")
     split = pc.split_pattern(cut, " ")
     coded = split.flatten().dictionary_encode()
     bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -357,7 +368,7 @@ def sample_part(pieces: Pieces, texts: pa.Array, seeds, k: int):
 
     import numpy as np
 
-    units, index, bounds = units_of(texts)
+    units, index, bounds = units_of(texts, pieces.marks)
     body = [u[1:] if u[:1] == SPACE or (u[:1] == "\n" and len(u) > 1) else u for u in units]
     lattice = Lattice(pieces, body, [u[:1] == SPACE for u in units])
     starts = lattice.start[index]
@@ -439,14 +450,26 @@ def sample(documents: DataFrame, model: str, k: int = 2, seed: int = 1, power: f
                 texts = batch.column("text")
                 with np.errstate(over="ignore"):
                     lattice, found, least = sample_part(pieces, texts, batch.column("seed").to_numpy().view(np.uint64), k)
+                bodies = [b" " + x.encode("utf-8", "surrogatepass") for x in texts.to_pylist()]
                 row, ids, out = [], [], []
-                for d, (own, low, body) in enumerate(zip(found, least, texts.to_pylist())):
-                    for rank, (path, log, value) in enumerate(own, 1):
-                        got = gather(lattice.run_ids, lattice.run_begin, lattice.run_length, lattice.run[path.edges])
+                for rank in range(1, k + 1):
+                    docs = [d for d, own in enumerate(found) if len(own) >= rank]
+                    if not docs:
+                        break
+                    edges = np.concatenate([found[d][rank - 1][0].edges for d in docs])
+                    ends = np.cumsum([len(found[d][rank - 1][0].edges) for d in docs])
+                    runs = lattice.run[edges]
+                    tokens = gather(lattice.run_ids, lattice.run_begin, lattice.run_length, runs)
+                    upto = np.append(0, np.cumsum(lattice.run_length[runs]))[np.append(0, ends)]
+                    flat = tokens.astype("<i4").tobytes()
+                    text = gather(pieces.byte_flat, pieces.byte_begin, pieces.byte_length, tokens).tobytes()
+                    at = np.append(0, np.cumsum(pieces.byte_length[tokens]))[upto].tolist()
+                    cut = upto.tolist()
+                    for i, d in enumerate(docs):
+                        _, log, value = found[d][rank - 1]
                         row.append(d)
-                        ids.append(got.astype("<i4").tobytes())
-                        out.append((rank, len(got), log, value, inclusion(log, low), pieces.decode(got.tolist()) == body))
-                    found[d] = None
+                        ids.append(flat[4 * cut[i] : 4 * cut[i + 1]])
+                        out.append((rank, cut[i + 1] - cut[i], log, value, inclusion(log, least[d]), text[at[i] : at[i + 1]] == bodies[d]))
                 columns = list(zip(*out)) if out else [[]] * 6
                 kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                 rank, n, log, value, score, same = (pa.array(c, t) for c, t in zip(columns, kinds))
