@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Where a session names no checkpoint folder.
@@ -52,3 +53,139 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFram
     if found is None:
         return edge.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return found.select("node", F.col("root").alias("component")).union(found.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct())
+
+
+def isolates(nodes: DataFrame, edges: DataFrame, key: str = "ngram") -> DataFrame:
+    """Nodes without an edge."""
+    ends = edges.select(F.col("src").alias("end")).union(edges.select("dst"))
+    return nodes.join(ends, F.col(key) == F.col("end"), "left_anti")
+
+
+def degrees(nodes: DataFrame, edges: DataFrame, key: str = "ngram") -> DataFrame:
+    """(node, degree, centrality): centrality is degree by the number of other nodes, null for a single node."""
+    ends = edges.select(F.col("src").alias("end")).union(edges.select("dst")).groupBy("end").agg(F.count(F.lit(1)).alias("d"))
+    n = F.count(F.lit(1)).over(W.partitionBy())
+    return nodes.select(F.col(key).alias("node")).join(ends, F.col("node") == F.col("end"), "left").select("node", F.coalesce("d", F.lit(0)).alias("degree"), (F.coalesce("d", F.lit(0)) / F.nullif(n - 1, F.lit(0))).alias("centrality"))
+
+
+def components(nodes: DataFrame, edges: DataFrame, key: str = "ngram", store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(node, component) of all nodes; an isolate is its own component."""
+    found = connected_components(edges.select("src", "dst"), store)
+    return nodes.select(F.col(key).alias("n")).join(found, F.col("n") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("component", "n").alias("component"))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    pair = edges.select("src", "dst").where("src <> dst")
+    return pair.union(pair.select("dst", "src")).distinct()
+
+
+def distances(sources: DataFrame, edges: DataFrame, farthest: int = 1000, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(src, dst, d): shortest path lengths from each source (node) to all that it reaches, itself at 0.
+
+    All sources step outwards together; each step joins the newest pairs with the edges and leaves out pairs that are known.
+    """
+    step = store(both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")))
+    known = front = store(sources.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("d")).distinct())
+    for d in range(1, farthest + 1):
+        new = front.join(step, front.dst == step.at).select("src", F.col("to").alias("dst")).distinct().join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        front = store(new.withColumn("d", F.lit(d).cast("long")))
+        if front.isEmpty():
+            break
+        known = store(known.union(front))
+    return known
+
+
+def diameters(distance: DataFrame, component: DataFrame) -> DataFrame:
+    """(component, size, diameter) of components of two nodes or more."""
+    sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    far = distance.join(component, distance.src == component.node).groupBy("component").agg(F.max("d").alias("diameter"))
+    return sizes.join(far, "component")
+
+
+def induced(edges: DataFrame, nodes: DataFrame, key: str = "node") -> DataFrame:
+    """Edges both of whose ends are among the nodes."""
+    own = nodes.select(F.col(key).alias("__n"))
+    return edges.join(own, F.col("src") == F.col("__n"), "left_semi").join(own, F.col("dst") == F.col("__n"), "left_semi")
+
+
+def nearest(sources: DataFrame, targets: DataFrame, distance: DataFrame) -> DataFrame:
+    """(set, node, d): for each source (set, node) the least distance to a target (set, node) of the set other than itself; null if none is reached."""
+    reach = distance.where("d > 0").join(targets.select(F.col("set").alias("s"), F.col("node").alias("dst")), "dst")
+    least = reach.groupBy("s", "src").agg(F.min("d").alias("d"))
+    return sources.join(least, (F.col("set") == F.col("s")) & (F.col("node") == F.col("src")), "left").select("set", "node", "d")
+
+
+def mean_nearest(sets: DataFrame, distance: DataFrame, penalty: DataFrame, fixed: float | None = None) -> DataFrame:
+    """(set, mean): mean over a set's nodes of the least distance to another of its nodes.
+
+    penalty: (node, far, isolated) for all nodes; far is the distance of a node that reaches none unless fixed is given.
+    An isolate adds nothing.
+    """
+    found = nearest(sets, sets, distance).join(penalty, "node")
+    value = F.when(F.col("isolated"), 0.0).otherwise(F.coalesce(F.col("d").cast("double"), F.col("far").cast("double") if fixed is None else F.lit(float(fixed))))
+    return found.groupBy("set").agg((F.sum(value) / F.count(F.lit(1))).alias("mean"))
+
+
+def penalties(component: DataFrame, diameter: DataFrame) -> DataFrame:
+    """(node, far, isolated): far is one more than the diameter of the node's component."""
+    return component.join(diameter, "component", "left").select("node", (F.coalesce("diameter", F.lit(0)) + 1).alias("far"), F.col("diameter").isNull().alias("isolated"))
+
+
+def separation(first: DataFrame, second: DataFrame, distance: DataFrame, penalty: DataFrame, fixed: float | None = None, inner: float | None = 0.0) -> DataFrame:
+    """(set, separation) for pairs of node sets, (set, node) each, in one plan for all sets.
+
+    d_GH - (d_GG + d_HH) / 2. Between the two, only nodes of one set count, an isolate of them as 1, and the sum goes by
+    the sizes of both. inner: the distance within a set for a node that reaches none (None: far). Null if a side is empty.
+    """
+    one_g = first.join(second, ["set", "node"], "left_anti")
+    one_h = second.join(first, ["set", "node"], "left_anti")
+    across = nearest(one_g, second, distance).union(nearest(one_h, first, distance)).join(penalty, "node")
+    value = F.when(F.col("isolated"), 1.0).otherwise(F.coalesce(F.col("d").cast("double"), F.col("far").cast("double") if fixed is None else F.lit(float(fixed))))
+    sums = across.groupBy("set").agg(F.sum(value).alias("across"))
+    size = lambda df, name: df.groupBy("set").agg(F.count(F.lit(1)).alias(name))
+    within = lambda df, name: mean_nearest(df, distance, penalty, inner).withColumnRenamed("mean", name)
+    whole = size(first, "ng").join(size(second, "nh"), "set").join(within(first, "gg"), "set").join(within(second, "hh"), "set").join(sums, "set", "left")
+    return whole.select("set", (F.coalesce("across", F.lit(0.0)) / (F.col("ng") + F.col("nh")) - (F.col("gg") + F.col("hh")) / 2).alias("separation"))
+
+
+def modules(component: DataFrame, degree: DataFrame) -> DataFrame:
+    """(component, kind, hub): components that are a flower (one hub that all edges meet), a wheel or a ring, the first that fits.
+
+    The hub is the node of highest degree, in a ring the longest; ties go to the smallest.
+    """
+    own = component.join(degree, "node")
+    stats = own.groupBy("component").agg(
+        F.sum("degree").alias("sum"), F.max("degree").alias("max"), F.min("degree").alias("min"), F.count(F.lit(1)).alias("size"),
+        F.min_by("node", F.struct(-F.col("degree"), F.col("node"))).alias("top"), F.min_by("node", F.struct(-F.length("node"), F.col("node"))).alias("long"))
+    kind = F.when(F.col("sum") / 2 == F.col("max"), "flower").when((F.col("sum") / 4 == F.col("max")) & (F.col("max") != F.col("min")), "wheel").when((F.col("max") == 2) & (F.col("min") == 2), "ring")
+    return stats.select("component", kind.alias("kind"), F.when(kind == "ring", F.col("long")).otherwise(F.col("top")).alias("hub")).where("kind is not null")
+
+
+def contract(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Edges with each node replaced by its hub (mapping: node, hub), without loops, once each."""
+    to = mapping.select(F.col("node").alias("__n"), F.col("hub").alias("__h"))
+    one = edges.join(to, F.col("src") == F.col("__n"), "left").select(F.coalesce("__h", "src").alias("src"), "dst")
+    two = one.join(to, F.col("dst") == F.col("__n"), "left").select("src", F.coalesce("__h", "dst").alias("dst"))
+    return two.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def simplify(nodes: DataFrame, edges: DataFrame, key: str = "ngram") -> tuple[DataFrame, DataFrame]:
+    """(node, edges) without isolates and with simple modules contracted to their hubs."""
+    linked = nodes.select(F.col(key).alias("node")).join(isolates(nodes, edges, key).select(F.col(key).alias("node")), "node", "left_anti")
+    component = components(linked, edges, "node")
+    hubs = component.join(modules(component, degrees(linked, edges, "node")), "component").select("node", "hub")
+    small = contract(edges, hubs)
+    ends = small.select(F.col("src").alias("node")).union(small.select("dst")).distinct()
+    return ends, small
+
+
+def community_strength(edges: DataFrame, community: DataFrame) -> DataFrame:
+    """(community, strength): strong if each node has more edges within than without, weak if all together have, isolate if
+    none has any, else mixed. community: (node, community)."""
+    two = both_ways(edges)
+    here = community.select(F.col("node").alias("src"), F.col("community").alias("a"))
+    there = community.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+    inout = two.join(here, "src").join(there, "dst").groupBy("src").agg(F.count_if(F.col("a") == F.col("b")).alias("inside"), F.count_if(F.col("a") != F.col("b")).alias("outside"))
+    own = community.join(inout, F.col("node") == F.col("src"), "left").select("community", F.coalesce("inside", F.lit(0)).alias("i"), F.coalesce("outside", F.lit(0)).alias("o"))
+    stats = own.groupBy("community").agg(F.min((F.col("i") > F.col("o")).cast("int")).alias("each"), F.sum("i").alias("i"), F.sum("o").alias("o"))
+    return stats.select("community", F.when(F.col("i") + F.col("o") == 0, "isolate").when(F.col("each") == 1, "strong").when(F.col("i") > F.col("o"), "weak").otherwise("mixed").alias("strength"))

@@ -1,10 +1,551 @@
-"""Queries over the driver's tables, and SQL that gives the same rows."""
+"""Queries over the driver's tables, and SQL that gives the same rows.
+
+Three corpora stand for the entities: OB, orders with the brands of their lines; EV, users with their events; DOC,
+documents with their words.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sentograph.operators import corpus, diff, entropy, fusion, graph, kernels, ngrams, stats, survival
+
+from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def ob(spark: SparkSession, sf: str) -> DataFrame:
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    lines = table(spark, sf, "lineitem").select("l_orderkey", *order).join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return corpus.ordered_tokens(lines.withColumn("token", F.replace("p_brand", F.lit("Brand#"), F.lit("B"))), "l_orderkey", "token", order)
+
+
+def ev(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.ordered_tokens(table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", "event_type", ["ts", "event_id"])
+
+
+def doc(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\u000B]+"), "")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", words.alias("tokens"))
+
+
+def ev_graph(spark: SparkSession, sf: str, longest: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, nodes, edges) of EV, cut from their lineage as iterations come back to them."""
+    posted = ngrams.postings(ev(spark, sf), longest)
+    nodes = graph.cut(ngrams.closed(ngrams.support(posted)))
+    return posted, nodes, graph.cut(ngrams.containment_edges(nodes))
+
+
+def w(*parts: str, recursive: bool = False) -> str:
+    return "WITH " + ("RECURSIVE " if recursive else "") + ", ".join(parts) + " "
+
+
+EVG = (sql.EV, sql.windows("ev", 3), sql.CLOSED, sql.EDGES)
+EVD = (*EVG, sql.UNDIRECTED, sql.distances())
+
+
+# Corpora and derived columns
+
+
+@query(w(sql.OB) + "SELECT id, array_to_string(tokens, '|') AS architecture, CAST(len(tokens) AS BIGINT) AS length FROM ob")
+def arch_tokens(spark, sf):
+    return ob(spark, sf).select("id", corpus.architecture(F.col("tokens")).alias("architecture"), corpus.true_length(F.col("tokens")).alias("length"))
+
+
+@query(w(sql.OB) + "SELECT CASE WHEN len(tokens) > 10 THEN 11 ELSE CAST(len(tokens) AS BIGINT) END AS length, count(*) AS entities FROM ob GROUP BY 1")
+def arch_length_hist(spark, sf):
+    length = F.least(corpus.true_length(F.col("tokens")), F.lit(11).cast("long"))
+    return ob(spark, sf).groupBy(length.alias("length")).agg(F.count(F.lit(1)).alias("entities"))
+
+
+@query("SELECT o_orderkey, coalesce(n, 0) AS length FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON o_orderkey = l_orderkey")
+def true_length(spark, sf):
+    own = ob(spark, sf).select("id", "tokens")
+    return table(spark, sf, "orders").select("o_orderkey").join(own, F.col("o_orderkey") == F.col("id"), "left").select("o_orderkey", corpus.true_length(F.col("tokens")).alias("length"))
+
+
+@query("SELECT p_brand AS id, arg_min(p_name, (p_partkey, p_name)) AS name FROM part GROUP BY 1")
+def name_map_first(spark, sf):
+    return corpus.first_names(table(spark, sf, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("name"), "p_partkey"), "id", "name", [F.col("p_partkey"), F.col("name")])
+
+
+@query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED, "nm AS (SELECT replace(p_brand, 'Brand#', 'B') AS token, min(p_type) AS name FROM part GROUP BY 1)") + "SELECT ngram, string_agg(name, '|' ORDER BY i) AS legible FROM (SELECT ngram, unnest(string_split(ngram, '|')) AS token, unnest(range(n)) AS i FROM c) JOIN nm USING (token) GROUP BY ngram")
+def legible_ngrams(spark, sf):
+    names = table(spark, sf, "part").groupBy(F.replace("p_brand", F.lit("Brand#"), F.lit("B")).alias("token")).agg(F.min("p_type").alias("name"))
+    return corpus.legible(ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 10))), names).select("ngram", "legible")
+
+
+@query(w(sql.OB) + "SELECT id, tokens[1] || ' x ' || CAST(len(tokens) AS VARCHAR) AS label FROM ob WHERE len(tokens) > 1 AND len(list_distinct(tokens)) = 1")
+def homopolymers(spark, sf):
+    return ob(spark, sf).select("id", corpus.homopolymer(F.col("tokens"), 2).alias("label")).where("label is not null")
+
+
+@query(w(sql.OB) + "SELECT id, '<' || array_to_string(list_concat(['Nterm'], tokens, ['Cterm']), '|') || '>' AS marked FROM ob")
+def marked_ends(spark, sf):
+    return ob(spark, sf).select("id", F.concat(F.lit("<"), F.array_join(corpus.with_ends(F.col("tokens")), "|"), F.lit(">")).alias("marked"))
+
+
+# N-grams
+
+
+@query(w(sql.OB, sql.windows("ob", 5)) + "SELECT id, ngram, n FROM p")
+def ngram_windows(spark, sf):
+    return ngrams.postings(ob(spark, sf), 5).select("id", "ngram", "n")
+
+
+@query(w(sql.OB, sql.windows("ob", 10)) + "SELECT ngram, n, support FROM s")
+def ngram_support(spark, sf):
+    return ngrams.support(ngrams.postings(ob(spark, sf), 10)).select("ngram", "n", "support")
+
+
+@query(w(sql.OB, sql.windows("ob", 10)) + "SELECT ngram, n, support FROM s WHERE support >= 5")
+def ngram_support_filter(spark, sf):
+    return ngrams.support(ngrams.postings(ob(spark, sf), 10), 5).select("ngram", "n", "support")
+
+
+@query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED) + "SELECT ngram, n, support FROM c")
+def closed_ngrams(spark, sf):
+    return ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 10))).select("ngram", "n", "support")
+
+
+@query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED) + "SELECT ngram, n, support FROM s WHERE ngram NOT IN (SELECT ngram FROM c)")
+def collapsed_ngrams(spark, sf):
+    return ngrams.collapsed(ngrams.support(ngrams.postings(ob(spark, sf), 10))).select("ngram", "n", "support")
+
+
+SEEDED = "sd AS (SELECT id, ngram, n FROM p WHERE list_has_any(string_split(ngram, '|'), ['B11', 'B25', 'B43']))"
+
+
+@query(w(sql.OB, sql.windows("ob", 4), SEEDED) + "SELECT ngram, n, count(*) AS support FROM sd GROUP BY ngram, n")
+def seeded_ngrams(spark, sf):
+    return ngrams.support(ngrams.postings(ob(spark, sf), 4, ["B11", "B25", "B43"])).select("ngram", "n", "support")
+
+
+@query(w(sql.OB, "t AS (SELECT id, tokens, len(tokens) AS l, i - 1 AS t FROM ob, unnest(range(1, len(tokens) + 1)) a(i) WHERE tokens[i] IN ('B11', 'B25', 'B43'))", "h AS (SELECT id, tokens, a, t + 1 AS b FROM t, unnest(range(greatest(0, t - 3), t + 1)) x(a) UNION SELECT id, tokens, t, b FROM t, unnest(range(t + 2, least(l, 4) + 1)) x(b) UNION SELECT id, tokens, t - 1, b FROM t, unnest(range(t + 2, least(l, 4) + 1)) x(b) WHERE t >= 1)") + "SELECT ngram, n, count(*) AS support FROM (SELECT DISTINCT id, array_to_string(tokens[a + 1:b], '|') AS ngram, CAST(b - a AS BIGINT) AS n FROM h) GROUP BY ngram, n")
+def seeded_compat(spark, sf):
+    return ngrams.support(ngrams.postings(ob(spark, sf), 4, ["B11", "B25", "B43"], "compat")).select("ngram", "n", "support")
+
+
+@query(w(sql.OB, sql.windows("ob", 4), SEEDED, "ss AS (SELECT ngram, n, count(*) AS support FROM sd GROUP BY ngram, n)", "k AS (SELECT DISTINCT a.ngram AS sub, b.ngram AS sup FROM sd a JOIN sd b ON a.id = b.id AND a.n < b.n AND contains('|' || b.ngram || '|', '|' || a.ngram || '|'))", "sh AS (SELECT sub, sup, count(*) AS both FROM k JOIN sd x ON x.ngram = sub JOIN sd y ON y.ngram = sup AND y.id = x.id GROUP BY sub, sup)") + "SELECT ngram, n, support FROM ss WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.sub = ss.ngram AND sh.both = ss.support)")
+def seeded_collapse(spark, sf):
+    return ngrams.collapse(ngrams.postings(ob(spark, sf), 4, ["B11", "B25", "B43"]))[0].select("ngram", "n", "support")
+
+
+@query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED, sql.EDGES) + "SELECT src, dst, weight FROM e")
+def containment_edges(spark, sf):
+    return ngrams.containment_edges(ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 10))))
+
+
+@query(w(*EVG) + 'SELECT ngram AS "row", ngram AS col, support AS value FROM c UNION ALL SELECT src, dst, weight FROM e')
+def adjacency_sparse(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return ngrams.adjacency(nodes, edges)
+
+
+@query(w(*EVG) + "SELECT src, coalesce(sum(weight) FILTER (WHERE k = 2), 0)::BIGINT AS to_2, coalesce(sum(weight) FILTER (WHERE k = 3), 0)::BIGINT AS to_3 FROM (SELECT src, weight, len(string_split(dst, '|')) AS k FROM e) GROUP BY src")
+def adjacency_pivot(spark, sf):
+    edges = ev_graph(spark, sf)[2].withColumn("k", F.concat(F.lit("to_"), F.size(F.split("dst", r"\|")).cast("string")))
+    return edges.groupBy("src").pivot("k", ["to_2", "to_3"]).agg(F.sum("weight")).na.fill(0)
+
+
+@query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED, "l AS (SELECT n, count(*) AS cnt FROM c GROUP BY n)") + "SELECT min(n) AS n FROM (SELECT n, sum(cnt) OVER (ORDER BY n) / sum(cnt) OVER () AS upto FROM l) WHERE upto > 0.8")
+def ngram_cutoff(spark, sf):
+    kept = ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 10)))
+    return ngrams.length_cutoff(kept.groupBy("n").agg(F.count(F.lit(1)).alias("count")))
+
+
+@query(w(sql.OB, sql.windows("ob", 6), sql.CLOSED, "h AS (SELECT ngram AS of, support, n, array_to_string(t[i:i + k - 1], '|') AS sub FROM (SELECT *, string_split(ngram, '|') AS t FROM c), unnest(range(1, n + 1)) x(i), unnest(range(1, n - i + 2)) y(k))") + "SELECT s.ngram, arg_min(h.of, (h.n, h.of)) AS standing_for, s.support FROM s JOIN h ON h.sub = s.ngram AND h.support = s.support GROUP BY s.ngram, s.support")
+def ngram_entity_count(spark, sf):
+    known = ngrams.support(ngrams.postings(ob(spark, sf), 6))
+    return ngrams.entity_count(ngrams.closed(known), known, known.select("ngram"))
+
+
+# The graph
+
+
+@query(w(*EVD, sql.COMPONENTS, recursive=True) + "SELECT 'entities' AS metric, count(*) AS value FROM ev UNION ALL SELECT 'ngrams', count(*) FROM c UNION ALL SELECT 'isolates', count(*) FROM c WHERE ngram NOT IN (SELECT a FROM u) UNION ALL SELECT 'components', count(DISTINCT component) FROM comp UNION ALL SELECT 'collapsed', (SELECT count(*) FROM s) - (SELECT count(*) FROM c) UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'longest', max(len(tokens)) FROM ev")
+def network_summary(spark, sf):
+    from sentograph.network import NgramNetwork, Options
+
+    return NgramNetwork(ev(spark, sf), Options(longest=3)).summary(detailed=True)
+
+
+@query(w(sql.OB, sql.windows("ob", 3), "c AS (SELECT * FROM s WHERE n = 3 OR (n = 2 AND support < 3))", sql.EDGES) + "SELECT ngram, n, support FROM c WHERE ngram NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
+def isolates(spark, sf):
+    nodes = ngrams.support(ngrams.postings(ob(spark, sf), 3)).where("n = 3 or (n = 2 and support < 3)")
+    return graph.isolates(nodes, ngrams.containment_edges(nodes)).select("ngram", "n", "support")
+
+
+@query(w(*EVG) + "SELECT ngram AS node, coalesce(d, 0) AS degree, round(coalesce(d, 0) / (count(*) OVER () - 1), 9) AS centrality FROM c LEFT JOIN (SELECT n, count(*) AS d FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e) GROUP BY n) ON n = ngram".replace("SELECT n, count(*) AS d FROM (SELECT src AS n", "SELECT nd, count(*) AS d FROM (SELECT src AS nd").replace("GROUP BY n) ON n = ngram", "GROUP BY nd) ON nd = ngram"))
+def degree_centrality(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return graph.degrees(nodes, edges).withColumn("centrality", F.round("centrality", 9))
+
+
+@query("SELECT 'c' || o_custkey AS node, min('c' || o_custkey) AS component FROM orders GROUP BY 1 UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders")
+def connected_components(spark, sf):
+    edges = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("dst"))
+    return graph.connected_components(edges)
+
+
+@query(w("k AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation)", "m AS (SELECT r, count(*) + 1 AS size FROM k GROUP BY r)") + "SELECT size, count(*) AS components FROM m GROUP BY size")
+def component_sizes(spark, sf):
+    edges = table(spark, sf, "nation").select((F.col("n_nationkey") + 1000).alias("src"), F.col("n_regionkey").alias("dst"))
+    return graph.connected_components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+
+
+@query(w(*EVD, recursive=True) + "SELECT src, dst, d FROM d")
+def shortest_paths(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
+
+
+@query(w(*EVD, sql.COMPONENTS, recursive=True) + "SELECT component, size, diameter FROM diam")
+def component_diameter(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return graph.diameters(graph.distances(nodes.select(F.col("ngram").alias("node")), edges), graph.components(nodes, edges))
+
+
+def ev_sides(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings, nodes, (side, id) of users above and below the mean value, (side, node) of their n-grams)."""
+    posted, nodes, edges = ev_graph(spark, sf)
+    events = table(spark, sf, "events")
+    mean = events.agg(F.avg("value").alias("m"))
+    members = events.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("v")).crossJoin(F.broadcast(mean)).select(F.when(F.col("v") > F.col("m"), "up").otherwise("down").alias("set"), "id")
+    return posted, nodes, edges, diff.trial_ngrams(posted, nodes, members)
+
+
+@query(w(*EVD, sql.COMPONENTS, sql.SETS, sql.SIDE_NODES, sql.SEPARATION, recursive=True) + "SELECT side AS set, round(m, 9) AS mean FROM inn")
+def mean_min_dist(spark, sf):
+    _, nodes, edges, sides = ev_sides(spark, sf)
+    far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
+    penalty = graph.penalties(*(lambda c: (c, graph.diameters(far, c)))(graph.components(nodes, edges)))
+    return graph.mean_nearest(sides, far, penalty, 0.0).select("set", F.round("mean", 9).alias("mean"))
+
+
+@query(w(*EVD, sql.COMPONENTS, sql.SETS, sql.SIDE_NODES, sql.SEPARATION, recursive=True) + "SELECT round((SELECT t FROM acs) / (SELECT count(*) FROM sn) - (SELECT sum(m) FROM inn) / 2, 9) AS separation")
+def network_separation(spark, sf):
+    _, nodes, edges, sides = ev_sides(spark, sf)
+    far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
+    component = graph.components(nodes, edges)
+    side = lambda s: sides.where(F.col("set") == s).select(F.lit("all").alias("set"), "node")
+    return graph.separation(side("up"), side("down"), far, graph.penalties(component, graph.diameters(far, component))).select(F.round("separation", 9).alias("separation"))
+
+
+# Information
+
+
+@query(w(sql.OB) + "SELECT round(log2(count(DISTINCT t)), 3) AS f0 FROM (SELECT unnest(tokens) AS t FROM ob)")
+def token_entropy_f0(spark, sf):
+    return entropy.f0(ob(spark, sf))
+
+
+@query(w(sql.OB, "k AS (SELECT t, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM ob) GROUP BY t)") + "SELECT round(-sum(p * log2(p)), 3) AS f1 FROM (SELECT n / sum(n) OVER () AS p FROM k)")
+def token_entropy_f1(spark, sf):
+    return entropy.f1(ob(spark, sf))
+
+
+FREQ = r"cn AS (SELECT ngram, n, count(*) AS cnt FROM w GROUP BY ngram, n), tt AS (SELECT *, sum(cnt) OVER () AS total, sum(cnt) OVER (PARTITION BY n) AS length_total, CASE WHEN n > 1 THEN regexp_replace(ngram, '\|[^|]*$', '') END AS prefix FROM cn), fr AS (SELECT tt.ngram, tt.n, tt.cnt, tt.cnt / tt.total AS frequency, tt.cnt / coalesce(q.cnt, tt.total) AS conditional, tt.length_total, tt.total FROM tt LEFT JOIN cn q ON q.ngram = tt.prefix)"
+
+
+@query(w(sql.OB, sql.windows("ob", 3), FREQ) + "SELECT ngram, n, cnt AS count, round(frequency, 9) AS frequency, round(conditional, 9) AS conditional, length_total::BIGINT AS length_total, total::BIGINT AS total FROM fr")
+def freq_dict(spark, sf):
+    f = entropy.frequencies(entropy.instance_counts(ob(spark, sf), 3))
+    return f.withColumns({"frequency": F.round("frequency", 9), "conditional": F.round("conditional", 9)})
+
+
+@query(w(sql.OB, sql.windows("ob", 3), FREQ) + "SELECT round(-sum(p * log2(conditional)), 6) AS fn FROM (SELECT cnt / sum(cnt) OVER () AS p, conditional FROM fr)")
+def entropy_fn_cumulative(spark, sf):
+    return entropy.fn(entropy.frequencies(entropy.instance_counts(ob(spark, sf), 3)), 3).select(F.round("fn", 6).alias("fn"))
+
+
+@query(w(sql.OB, sql.windows("ob", 3), FREQ) + "SELECT round(-sum(p * log2(conditional)), 6) AS fn FROM (SELECT cnt / sum(cnt) OVER () AS p, conditional FROM fr WHERE n = 2)")
+def entropy_fn_single(spark, sf):
+    return entropy.fn(entropy.frequencies(entropy.instance_counts(ob(spark, sf), 3)), 2, False).select(F.round("fn", 6).alias("fn"))
+
+
+@query(w(sql.OB, sql.windows("ob", 3)) + r"SELECT ngram, n, round(cnt / sum(cnt) OVER (PARTITION BY n, regexp_extract(ngram, '[^|]*$')), 9) AS share FROM (SELECT ngram, n, count(*) AS cnt FROM w WHERE n > 1 GROUP BY ngram, n)")
+def freq_diversity(spark, sf):
+    return entropy.last_token_share(entropy.instance_counts(ob(spark, sf), 3)).withColumn("share", F.round("share", 9))
+
+
+def _ob_by(spark, sf, status: str) -> DataFrame:
+    own = table(spark, sf, "orders").where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("id"))
+    return entropy.frequencies(entropy.instance_counts(ob(spark, sf).join(own, "id", "left_semi"), 2))
+
+
+def _pair(value: str) -> str:
+    part = lambda tag, status: sql.windows(f"ob{tag}", 2).replace("w AS", f"w{tag} AS").split(", p AS")[0]
+    freq = lambda tag: FREQ.replace("FROM w ", f"FROM w{tag} ").replace("cn AS", f"cn{tag} AS").replace("FROM cn)", f"FROM cn{tag})").replace("JOIN cn q", f"JOIN cn{tag} q").replace("tt AS", f"tt{tag} AS").replace("FROM tt ", f"FROM tt{tag} tt ").replace("fr AS", f"fr{tag} AS")
+    corpora = ", ".join(f"ob{t} AS (SELECT ob.* FROM ob JOIN orders ON o_orderkey = id AND o_orderstatus = '{s}')" for t, s in (("a", "F"), ("b", "O")))
+    return w(sql.OB, corpora, part("a", "F"), part("b", "O"), freq("a"), freq("b")) + f"SELECT CASE WHEN count(*) FILTER (WHERE b.ngram IS NULL) = 0 THEN round({value}, 6) END AS value FROM fra a LEFT JOIN frb b ON a.ngram = b.ngram"
+
+
+@query(_pair("-sum(a.frequency * log2(b.conditional))"))
+def cross_entropy(spark, sf):
+    return entropy.cross_entropy(_ob_by(spark, sf, "F"), _ob_by(spark, sf, "O")).select(F.round("cross_entropy", 6).alias("value"))
+
+
+@query(_pair("sum(a.frequency * log2(a.conditional / b.conditional))"))
+def relative_entropy(spark, sf):
+    return entropy.relative_entropy(_ob_by(spark, sf, "F"), _ob_by(spark, sf, "O")).select(F.round("relative_entropy", 6).alias("value"))
+
+
+def _simpson(base: str) -> str:
+    return w(sql.OB, sql.windows("ob", 3), "cn AS (SELECT ngram, n, count(*) AS cnt FROM w GROUP BY ngram, n)") + f"SELECT cn.ngram, CASE WHEN t > 1 THEN round(1 - q / (t * (t - 1)), 9) END AS diversity FROM cn LEFT JOIN (SELECT {base} AS base, sum(cnt) AS t, sum(cnt * (cnt - 1)) AS q FROM cn WHERE n > 1 GROUP BY 1) ON base = cn.ngram"
+
+
+@query(_simpson(r"regexp_replace(ngram, '\|[^|]*$', '')"))
+def simpson_pro(spark, sf):
+    return entropy.simpson(entropy.instance_counts(ob(spark, sf), 3), "pro").select("ngram", F.round("diversity", 9).alias("diversity"))
+
+
+@query(_simpson(r"regexp_replace(ngram, '^[^|]*\|', '')"))
+def simpson_retro(spark, sf):
+    return entropy.simpson(entropy.instance_counts(ob(spark, sf), 3), "retro").select("ngram", F.round("diversity", 9).alias("diversity"))
+
+
+@query(w(sql.DOC, "m AS (SELECT DISTINCT lang, unnest(tokens) AS t FROM doc)", "z AS (SELECT lang, count(*) AS n FROM m GROUP BY lang)") + "SELECT x.lang AS a, y.lang AS b, round(coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)), 9) AS jaccard FROM z x JOIN z y ON x.lang < y.lang LEFT JOIN (SELECT p.lang AS a, q.lang AS b, count(*) AS k FROM m p JOIN m q USING (t) WHERE p.lang < q.lang GROUP BY 1, 2) ON a = x.lang AND b = y.lang")
+def jaccard_corpora(spark, sf):
+    members = doc(spark, sf).select("lang", F.explode(F.array_distinct("tokens")).alias("t"))
+    return entropy.jaccard(members, "lang", "t").withColumn("jaccard", F.round("jaccard", 9))
+
+
+# Differential analysis
+
+
+def deg(spark, sf) -> DataFrame:
+    every = W.partitionBy()
+    orders = table(spark, sf, "orders").where("o_totalprice > 0").withColumn("mean", F.avg("o_totalprice").over(every))
+    place = F.rank().over(W.orderBy(F.abs(F.col("o_totalprice") - F.col("mean")).desc()))
+    return orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("contrast"), F.log2(F.col("o_totalprice") / F.col("mean")).alias("log2fc"), (place.cast("double") / F.count(F.lit(1)).over(every)).alias("padj"))
+
+
+@query(w(sql.DEG) + "SELECT CASE WHEN log2fc > 0.5 THEN 'up' ELSE 'down' END AS set, id FROM deg WHERE padj <= 0.2 AND abs(log2fc) > 0.5")
+def deg_select(spark, sf):
+    return diff.select_sets(deg(spark, sf), 0.2, 0.5)
+
+
+@query(w(sql.DEG) + "SELECT contrast, alpha, count(*) FILTER (WHERE padj <= alpha AND log2fc > 0.5) AS up, count(*) FILTER (WHERE padj <= alpha AND log2fc < -0.5) AS down FROM deg, unnest([0.05::DOUBLE, 0.1, 0.2, 0.4]) t(alpha) GROUP BY contrast, alpha")
+def deg_threshold_sweep(spark, sf):
+    return diff.threshold_sweep(deg(spark, sf), [0.05, 0.1, 0.2, 0.4], 0.5)
+
+
+@query(w(*EVG, sql.SETS, sql.SIDE_NODES) + "SELECT side AS set, node FROM sn")
+def deg_ngrams(spark, sf):
+    return ev_sides(spark, sf)[3].select("set", "node")
+
+
+HYPER = "lf AS (SELECT x, sum(CASE WHEN x > 1 THEN ln(x) ELSE 0 END) OVER (ORDER BY x) AS lf FROM range(0, (SELECT count(*) + 1 FROM ob)) t(x)), fg AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'), cc AS (SELECT ngram, count(fg.id) AS k, count(*) AS n FROM p LEFT JOIN fg USING (id) GROUP BY ngram), tot AS (SELECT count(*) AS total, count(fg.id) AS m FROM ob LEFT JOIN fg USING (id)), tail AS (SELECT k, n, m, total, sum(exp(a.lf - b.lf - c1.lf + d1.lf - e1.lf - f1.lf - g.lf + h.lf + q.lf)) AS p FROM (SELECT DISTINCT k, n, m, total FROM cc, tot), unnest(range(k, least(n, m) + 1)) i(i), lf a, lf b, lf c1, lf d1, lf e1, lf f1, lf g, lf h, lf q WHERE a.x = n AND b.x = i AND c1.x = n - i AND d1.x = total - n AND e1.x = m - i AND f1.x = total - n - m + i AND g.x = total AND h.x = m AND q.x = total - m GROUP BY k, n, m, total)"
+
+
+@query(w(sql.OB, sql.windows("ob", 2), HYPER) + "SELECT ngram, k, n, m, total, CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE round(least(1, p), 6) END AS p FROM cc, tot JOIN tail USING (k, n, m, total)".replace("FROM cc, tot JOIN", "FROM (SELECT * FROM cc, tot) JOIN"))
+def hypergeom_enrichment(spark, sf):
+    own = ob(spark, sf)
+    posted = ngrams.postings(own, 2)
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    return stats.enrichment(posted, posted.select("ngram").distinct(), urgent, own.select("id")).withColumn("p", F.round("p", 6))
+
+
+def _priority_counts(spark, sf) -> DataFrame:
+    """(token, condition, p): for each brand and priority a stand-in p-value, from MD5."""
+    rows = ob(spark, sf).select("id", F.explode(F.array_distinct("tokens")).alias("ngram")).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("condition")), "id")
+    return rows.groupBy("ngram", "condition").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("f"))
+
+
+@query(w(sql.OB, "pc AS (SELECT ngram, o_orderpriority AS condition, count(*) AS k FROM (SELECT DISTINCT id, unnest(tokens) AS ngram FROM ob) JOIN orders ON o_orderkey = id GROUP BY 1, 2)", "ac AS (SELECT ngram, condition, 1.0 / k AS p FROM pc)", "nl AS (SELECT ngram, condition, (('0x' || substr(md5(ngram || '|' || condition || '|' || t), 1, 4))::BIGINT) / 65536.0 * 0.2 AS p FROM pc, range(50) r(t))") + "SELECT a.ngram, a.condition, round(a.p, 9) AS p, round(avg(CASE WHEN nl.p < a.p THEN 1.0 ELSE 0.0 END), 9) AS fpr FROM ac a JOIN nl USING (ngram, condition) GROUP BY a.ngram, a.condition, a.p")
+def ngram_fpr(spark, sf):
+    own = _priority_counts(spark, sf)
+    actual = own.select("ngram", "condition", (1.0 / F.col("k")).alias("p"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", "ngram", "condition", F.col("t").cast("string"))), 1, 4), 16, 10).cast("double") / 65536.0 * 0.2
+    null = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(49)))).select("ngram", "condition", draw.alias("p"))
+    return stats.false_positive_rate(actual, null, ["ngram", "condition"], strict=True).withColumns({"p": F.round("p", 9), "fpr": F.round("fpr", 9)})
+
+
+@query(w(sql.OB, "pc AS (SELECT ngram, o_orderpriority AS condition, count(*) AS k FROM (SELECT DISTINCT id, unnest(tokens) AS ngram FROM ob) JOIN orders ON o_orderkey = id GROUP BY 1, 2)", "r AS (SELECT ngram, condition, 1.0::DOUBLE / k AS p, (k % 20) / 100.0::DOUBLE AS fpr FROM pc)", "q AS (SELECT quantile_cont(p, 0.25) AS lim FROM r)") + "SELECT ngram, condition, round(p, 9) AS p, round(-log10(p), 6) AS log_p, round(fpr, 9) AS fpr, fpr <= 0.05 AS passes FROM r WHERE ngram IN (SELECT ngram FROM r, q WHERE p <= lim)")
+def enrichment_results(spark, sf):
+    own = _priority_counts(spark, sf)
+    results = diff.gather_results(own.select("ngram", "condition", (1.0 / F.col("k")).alias("p")), own.select("ngram", "condition", (F.col("k") % 20 / 100.0).alias("fpr")))
+    return diff.top_quantile(results, 0.25).withColumns({"p": F.round("p", 9), "log_p": F.round("log_p", 6), "fpr": F.round("fpr", 9)})
+
+
+@query(w(*EVG, "r AS (SELECT ngram, 'x' AS condition, support % 3 = 0 AS passes FROM c)") + "SELECT ngram, condition, passes FROM r WHERE ngram NOT IN (SELECT e.dst FROM e JOIN r a ON a.ngram = e.src JOIN r b ON b.ngram = e.dst WHERE a.passes = b.passes)")
+def max_info_collapse(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return diff.most_informative(nodes.select("ngram", F.lit("x").alias("condition"), (F.col("support") % 3 == 0).alias("passes")), edges)
+
+
+@query("SELECT o_orderpriority, round((avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O')) / sqrt(((count(*) FILTER (WHERE o_orderstatus = 'F') - 1) * var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'F') + (count(*) FILTER (WHERE o_orderstatus = 'O') - 1) * var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'O')) / (count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) - 2)), 6) AS d FROM orders GROUP BY 1")
+def cohen_d(spark, sf):
+    return stats.cohen_d(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "F", "O", ["o_orderpriority"]).withColumn("d", F.round("d", 6))
+
+
+@query("WITH r AS (SELECT o_orderpriority, o_orderstatus, (rank() OVER w) + (count(*) OVER (PARTITION BY o_orderpriority, round(o_totalprice, -3)) - 1) / 2.0 AS rk FROM (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O')) WINDOW w AS (PARTITION BY o_orderpriority ORDER BY round(o_totalprice, -3))) SELECT o_orderpriority, sum(rk) FILTER (WHERE o_orderstatus = 'F') - count(*) FILTER (WHERE o_orderstatus = 'F') * (count(*) FILTER (WHERE o_orderstatus = 'F') + 1) / 2.0 AS u FROM r GROUP BY 1")
+def mann_whitney_u(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("v", F.round("o_totalprice", -3))
+    return stats.mann_whitney(rows, "v", "o_orderstatus", "F", "O", ["o_orderpriority"]).select("o_orderpriority", "u")
+
+
+@query("WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS m FROM orders GROUP BY 1) SELECT o.o_orderpriority, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 6) AS iqr, round(median(abs(o_totalprice - m.m)), 6) AS mad, round(stddev_pop(o_totalprice), 4) AS std, round(stddev_pop(o_totalprice) / avg(o_totalprice), 6) AS cv FROM orders o JOIN m USING (o_orderpriority) GROUP BY 1")
+def iqr_mad_cv(spark, sf):
+    return stats.dispersion(table(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"]).withColumns({"iqr": F.round("iqr", 6), "mad": F.round("mad", 6), "std": F.round("std", 4), "cv": F.round("cv", 6)})
+
+
+@query(w(sql.OB, "l AS (SELECT id, least(len(tokens), 11)::BIGINT AS length FROM ob)", "wt AS (SELECT length, count(*) * 0.1 AS weight FROM l GROUP BY length)", "r AS (SELECT t AS trial, id, row_number() OVER (PARTITION BY t, length ORDER BY md5('7|' || t || '|' || length || '|' || id), id) AS place, CAST(floor(0.85 * weight) + floor((('0x' || substr(md5('7|' || t || '|' || length), 1, 8))::BIGINT / 4294967296.0) * greatest(ceil(1.15 * weight) - floor(0.85 * weight), 1)) AS BIGINT) AS take FROM l JOIN wt USING (length), range(5) x(t))") + "SELECT trial, id FROM r WHERE place <= take")
+def stratified_null_sample(spark, sf):
+    own = ob(spark, sf)
+    weights = own.groupBy(F.least(F.size("tokens"), F.lit(11)).cast("long").alias("length")).agg((F.count(F.lit(1)) * 0.1).alias("weight"))
+    return diff.length_stratified(own, weights, 5, 7)
+
+
+@query()
+def separation_stability(spark, sf):
+    posted, nodes, edges = ev_graph(spark, sf)
+    far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
+    component = graph.components(nodes, edges)
+    drawn = diff.length_stratified(ev(spark, sf), ev(spark, sf).groupBy(F.least(F.size("tokens"), F.lit(11)).cast("long").alias("length")).agg((F.count(F.lit(1)) * 0.7).alias("weight")), 10, 3)
+    return diff.stability(posted, nodes, far, graph.penalties(component, graph.diameters(far, component)), diff.split_sets(drawn, 0.5, 3))
+
+
+@query("SELECT mask, count(*) AS count FROM (SELECT user_id, CAST(max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'error' THEN 2 ELSE 0 END) + max(CASE WHEN event_type = 'view' THEN 4 ELSE 0 END) AS BIGINT) AS mask FROM events WHERE value > 50 AND event_type IN ('click', 'error', 'view') GROUP BY user_id) GROUP BY mask")
+def set_combinations(spark, sf):
+    rows = table(spark, sf, "events").where("value > 50").select(F.col("event_type").alias("set"), F.col("user_id").alias("member"))
+    return diff.bitmask(rows, ["click", "error", "view"])
+
+
+# Recombined sequences, ranks, survival
+
+
+@query(w(sql.OB, "f AS (SELECT a.id, list_concat(a.tokens[1:2], b.tokens[2:]) AS tokens FROM ob a JOIN ob b ON b.id = a.id + 1)") + "SELECT min(id) AS id, array_to_string(tokens, '|') AS architecture, count(*) AS copies FROM f GROUP BY tokens")
+def fusion_architectures(spark, sf):
+    own = ob(spark, sf)
+    after = own.select((F.col("id") - 1).alias("id"), F.col("tokens").alias("tail"))
+    fused = own.join(after, "id").select("id", F.concat(F.slice("tokens", 1, 2), F.slice("tail", 2, 2**30)).alias("tokens"))
+    return fusion.representatives(fused).select("id", F.array_join("tokens", "|").alias("architecture"), "copies")
+
+
+FUSED = (sql.OB, sql.windows("ob", 3), "f AS (SELECT a.id, list_concat(a.tokens[1:2], b.tokens[2:]) AS tokens FROM ob a JOIN ob b ON b.id = a.id + 1)", "fo AS (SELECT * FROM f WHERE array_to_string(tokens, '|') NOT IN (SELECT ngram FROM s))", "fp AS (SELECT DISTINCT id, array_to_string(tokens[i:i + k - 1], '|') AS ngram, k AS n FROM fo, unnest(range(1, len(tokens) + 1)) a(i), unnest(range(1, least(3, len(tokens) - i + 1) + 1)) b(k))", "mi AS (SELECT * FROM fp WHERE ngram NOT IN (SELECT ngram FROM s))")
+
+
+@query(w(*FUSED) + r"SELECT id, ngram, 'new' AS kind FROM mi m WHERE NOT EXISTS (SELECT 1 FROM mi l WHERE l.id = m.id AND l.n = m.n + 1 AND (regexp_replace(l.ngram, '\|[^|]*$', '') = m.ngram OR regexp_replace(l.ngram, '^[^|]*\|', '') = m.ngram))")
+def fusion_new_ngrams(spark, sf):
+    own = ob(spark, sf)
+    known = ngrams.support(ngrams.postings(own, 3))
+    after = own.select((F.col("id") - 1).alias("id"), F.col("tokens").alias("tail"))
+    fused = own.join(after, "id").select("id", F.concat(F.slice("tokens", 1, 2), F.slice("tail", 2, 2**30)).alias("tokens"))
+    return fusion.new_ngrams(fused, known, known, 3).select("id", "ngram", "kind")
+
+
+@query(w("k AS (SELECT p_brand AS ngram, count(*) FILTER (WHERE l_linenumber = 1) AS f, count(*) FILTER (WHERE l_linenumber = 3) AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)", "n AS (SELECT ngram, nullif(f, 0) AS five, nullif(t, 0) AS three FROM k)", "r AS (SELECT *, CASE WHEN five IS NULL THEN count(*) OVER () ELSE rank() OVER (PARTITION BY five IS NULL ORDER BY five DESC) END AS rank_five, CASE WHEN three IS NULL THEN count(*) OVER () ELSE rank() OVER (PARTITION BY three IS NULL ORDER BY three DESC) END AS rank_three FROM n)", "m AS (SELECT *, (rank_five + rank_three) / 2 AS mean_rank, coalesce(five, 0) * coalesce(three, 0) AS score FROM r)") + "SELECT ngram, five, three, rank_five, rank_three, mean_rank, rank() OVER (ORDER BY mean_rank) AS rank_mean, score, rank() OVER (ORDER BY score DESC) AS rank_score FROM m")
+def contribution_ranks(spark, sf):
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    counts = lines.groupBy(F.col("p_brand").alias("ngram")).agg(F.nullif(F.count_if(F.col("l_linenumber") == 1), F.lit(0)).alias("five"), F.nullif(F.count_if(F.col("l_linenumber") == 3), F.lit(0)).alias("three"))
+    ranked = fusion.contribution_ranks(counts)
+    return ranked.withColumns({c: F.col(c).cast("long") for c in ("rank_five", "rank_three", "rank_mean", "rank_score")})
+
+
+@query("SELECT l_suppkey, n, rk FROM (SELECT l_suppkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS rk FROM lineitem GROUP BY 1) WHERE rk <= 10")
+def top_k_with_ties(spark, sf):
+    counts = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rk", F.rank().over(W.orderBy(F.col("n").desc())).cast("long")).where("rk <= 10")
+
+
+@query("SELECT o_orderpriority, coalesce(f, 0) AS f, coalesce(o, 0) AS o, round(coalesce(f, 0) / (coalesce(f, 0) + coalesce(o, 0)), 9) AS share FROM (SELECT o_orderpriority, count(*) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) FULL JOIN (SELECT o_orderpriority, count(*) AS o FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) USING (o_orderpriority)")
+def outer_join_fill(spark, sf):
+    orders = table(spark, sf, "orders")
+    of = lambda s, n: orders.where(F.col("o_orderstatus") == s).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias(n))
+    both = of("F", "f").join(of("O", "o"), "o_orderpriority", "full_outer").na.fill(0)
+    return both.withColumn("share", F.round(F.col("f") / (F.col("f") + F.col("o")), 9))
+
+
+@query("SELECT o_orderpriority, variable, value FROM (SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1) UNPIVOT (value FOR variable IN (f, o, p))")
+def category_counts_long(spark, sf):
+    wide = table(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0).toDF("o_orderpriority", "f", "o", "p")
+    return wide.unpivot("o_orderpriority", ["f", "o", "p"], "variable", "value")
+
+
+SURV = "sv AS (SELECT o_orderpriority AS stratum, CAST(date_diff('day', o_orderdate, max(l_shipdate)) AS BIGINT) AS duration, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS event FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, o_orderdate, o_orderstatus)"
+
+
+def subjects(spark, sf) -> DataFrame:
+    last = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    rows = table(spark, sf, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select(F.col("o_orderpriority").alias("stratum"), F.datediff("last", "o_orderdate").cast("long").alias("duration"), (F.col("o_orderstatus") == "F").cast("int").alias("event"))
+
+
+@query(w(SURV, "g AS (SELECT stratum, duration, sum(event) AS deaths, count(*) AS gone FROM sv GROUP BY 1, 2)", "k AS (SELECT stratum, duration, deaths, sum(gone) OVER (PARTITION BY stratum ORDER BY duration DESC) AS risk FROM g)") + "SELECT stratum, duration, deaths::BIGINT AS deaths, risk::BIGINT AS risk, round(CASE WHEN max((deaths = risk)::INT) OVER u = 1 THEN 0 ELSE exp(sum(CASE WHEN deaths < risk THEN ln(1 - deaths / risk) ELSE 0 END) OVER u) END, 6)::DOUBLE AS survival FROM k WINDOW u AS (PARTITION BY stratum ORDER BY duration)")
+def kaplan_meier(spark, sf):
+    return survival.kaplan_meier(subjects(spark, sf)).withColumn("survival", F.round("survival", 6))
+
+
+@query(w(SURV, "g AS (SELECT duration, sum(event) AS d, count(*) AS gone FROM sv GROUP BY 1)", "k AS (SELECT duration, d, sum(gone) OVER (ORDER BY duration DESC) AS n FROM g)", "h AS (SELECT duration, sum(d / n) OVER (ORDER BY duration) AS h FROM k)") + "SELECT stratum, sum(event)::BIGINT AS observed, round(sum(h), 6) AS expected FROM sv JOIN h USING (duration) GROUP BY stratum")
+def logrank_stat(spark, sf):
+    return survival.log_rank(subjects(spark, sf)).withColumn("expected", F.round("expected", 6))
+
+
+# Kernels
+
+
+@query()
+def betweenness(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return kernels.betweenness(nodes, edges)
+
+
+@query()
+def bridging_centrality(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return kernels.bridging(kernels.betweenness(nodes, edges), graph.degrees(nodes, edges), edges)
+
+
+@query()
+def articulation_points(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return kernels.articulation(edges, graph.components(nodes, edges))
+
+
+@query()
+def louvain_communities(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return kernels.louvain(edges, graph.components(nodes, edges), 1)
+
+
+@query()
+def community_strength(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return graph.community_strength(edges, kernels.louvain(edges, graph.components(nodes, edges), 1))
+
+
+@query()
+def soft_communities(spark, sf):
+    _, nodes, edges = ev_graph(spark, sf)
+    return kernels.soft_communities(edges, graph.components(nodes, edges), [1, 2, 3])
+
+
+@query("SELECT n_regionkey AS component, 'flower' AS kind, CASE WHEN count(*) = 1 THEN min(n_nationkey) + 1000 END AS hub FROM nation WHERE false GROUP BY 1 UNION ALL SELECT 'r' || n_regionkey, 'flower', 'r' || n_regionkey FROM nation GROUP BY n_regionkey HAVING count(*) > 1".split("UNION ALL ")[1].replace("SELECT 'r' || n_regionkey, 'flower', 'r' || n_regionkey", "SELECT min('n' || n_nationkey) AS component, 'flower' AS kind, 'r' || n_regionkey AS hub"))
+def simple_modules(spark, sf):
+    edges = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return graph.modules(graph.components(nodes, edges, "node"), graph.degrees(nodes, edges, "node"))

@@ -1 +1,119 @@
+"""Readers and writers, each with a fixed schema where the format has one."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sentograph.operators import corpus
+
+REFERENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("UniProt ID", "Gene", "Species", "Uniprot Domains", "Ref Sequence", "PDB IDs", "Uniprot Domain Architecture", "Interpro Domains", "Interpro Domain Architecture")])
+MAPPING = T.StructType([T.StructField(n, T.StringType()) for n in ("Gene stable ID", "Gene name", "Gene Synonym", "UniProtKB/Swiss-Prot ID", "Version (gene)")])
+
+
+def reference_files(spark: SparkSession, paths: list[str], key: str = "UniProt ID") -> DataFrame:
+    """One row an entity; of several files that listed last wins. Nulls become empty strings; ids of the architecture are added if absent."""
+    parts = None
+    for k, path in enumerate(paths):
+        one = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        if key not in one.columns:
+            raise ValueError(f"{path} has no column {key!r}")
+        one = one.withColumn("__file", F.lit(k))
+        parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
+    rows = parts if len(paths) == 1 else corpus.latest_file_wins(parts, key, "__file")
+    rows = rows.drop("__file").na.fill("")
+    return corpus.with_architecture(rows, "Interpro Domains", "Interpro Domain Architecture IDs")
+
+
+def reference_folder(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """All files of a folder whose names end so, with their file name."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("pathGlobFilter", f"*{suffix}").csv(folder)
+    return rows.withColumn("file", F.col("_metadata.file_name")).na.fill("")
+
+
+def corpus_of(reference: DataFrame, key: str = "UniProt ID", ids: str = "Interpro Domain Architecture IDs", keep_empty: bool = False) -> DataFrame:
+    """(id, tokens)."""
+    return reference.select(F.col(key).alias("id"), corpus.tokens(F.col(ids), keep_empty).alias("tokens"))
+
+
+def differential(spark: SparkSession, path: str, key: str = "gene_id") -> DataFrame:
+    """(gene_id, contrast, log2fc, stat, padj) from a wide file with log2FoldChange_, stat_ and padj_ columns for each contrast."""
+    return long_contrasts(spark.read.option("header", True).option("inferSchema", True).option("nullValue", "NA").csv(path), key)
+
+
+def long_contrasts(wide: DataFrame, key: str = "gene_id") -> DataFrame:
+    """The same from a frame."""
+    names = [c.removeprefix("log2FoldChange_") for c in wide.columns if c.startswith("log2FoldChange_")]
+    col = lambda p, n: (F.col(f"`{p}_{n}`").cast("double") if f"{p}_{n}" in wide.columns else F.lit(None).cast("double"))
+    each = F.array(*[F.struct(F.lit(n).alias("contrast"), col("log2FoldChange", n).alias("log2fc"), col("stat", n).alias("stat"), col("padj", n).alias("padj")) for n in names])
+    return wide.select(F.col(key).alias("gene_id"), F.explode(each).alias("c")).select("gene_id", "c.*")
+
+
+def delimited(spark: SparkSession, path: str, separator: str = "\t", header: bool = True) -> DataFrame:
+    """TSV and the like, gzip included; without a header the columns are _c0, _c1, ..."""
+    return spark.read.option("sep", separator).option("header", header).csv(path)
+
+
+def merge_counts(frames: list[DataFrame], key: str) -> DataFrame:
+    """Count matrices joined on their key."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.join(f, key)
+    return out
+
+
+def low_counts_removed(counts: DataFrame, key: str, more_than: int = 10) -> DataFrame:
+    """Rows whose counts sum to more than that."""
+    total = sum([F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in counts.columns if c != key], F.lit(0))
+    return counts.where(total > more_than)
+
+
+def gene_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(set, gene) from JSON {set: {geneSymbols: [...]}}."""
+    kind = "map<string, struct<geneSymbols: array<string>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("set", "v"))
+    return rows.select("set", F.explode("v.geneSymbols").alias("gene"))
+
+
+def write_adjacency_json(adjacency: DataFrame, path: str) -> None:
+    """{row: {col: value}} a line for each row; zeros are left out."""
+    rows = adjacency.where("value <> 0").groupBy("row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", F.col("value").cast("long"))))).alias("m"))
+    rows.select(F.to_json(F.create_map("row", "m")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_adjacency_json(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, value) from one object in a file or one a line."""
+    kind = "map<string, map<string, bigint>>"
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", kind)).alias("row", "m"))
+    return rows.select("row", F.explode("m").alias("col", "value"))
+
+
+def write_edges_csv(adjacency: DataFrame, path: str) -> None:
+    """Edges without the diagonal."""
+    adjacency.where("row <> col").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_tidy(rows: DataFrame, path: str) -> None:
+    """(Comparison, variable, value)."""
+    rows.select("Comparison", "variable", "value").write.mode("overwrite").option("header", True).csv(path)
+
+
+def remaining(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What a run that is taken up again has still to do."""
+    return wanted.join(done, key, "left_anti")
+
+
+def contained_files(rows: DataFrame, file: str = "file", key: str = "id") -> DataFrame:
+    """(file, within): files all of whose ids another one has; of equal ones the smaller name stays."""
+    own = rows.select(F.col(file).alias("file"), F.col(key).alias("k")).distinct()
+    sizes = own.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    both = own.join(own.select(F.col("file").alias("within"), "k"), "k").where("file <> within").groupBy("file", "within").agg(F.count(F.lit(1)).alias("b"))
+    sized = both.join(sizes, "file").join(sizes.select(F.col("file").alias("within"), F.col("n").alias("m")), "within")
+    return sized.where("b = n and (m > n or within < file)").select("file", "within")
+
+
+def batches(rows: DataFrame, key: str, size: int = 300) -> DataFrame:
+    """Adds batch numbers of about that many rows by hash, so no sort or single task is needed."""
+    n = rows.count()
+    return rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size))).cast("long")))
