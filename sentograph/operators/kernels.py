@@ -53,7 +53,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "ngram", batch: i
                     load[v] += paths[v] / paths[w] * (1 + load[w])
                 if w != s:
                     total[w] = total.get(w, 0.0) + load[w]
-        return pd.DataFrame({"node": list(total), "load": list(total.values())}, columns=["node", "load"])
+        return pd.DataFrame(list(total.items()), columns=["node", "load"])
 
     kind = nodes.schema[key].dataType.simpleString()
     sources = nodes.select(F.col(key).alias("node")).withColumn("batch", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // batch)))))
@@ -108,7 +108,7 @@ def articulation(edges: DataFrame, component: DataFrame) -> DataFrame:
                         low[up] = min(low[up], low[v])
             if children > 1:
                 found.add(root)
-        return pd.DataFrame({"node": sorted(found)}, columns=["node"])
+        return pd.DataFrame([(v,) for v in sorted(found)], columns=["node"])
 
     return _by_component(edges, component, kernel, f"node {kind}")
 
