@@ -140,3 +140,31 @@ def contribution_ranks(counts: DataFrame) -> DataFrame:
     mean = ranked.withColumn("mean_rank", (F.col("rank_five") + F.col("rank_three")) / 2)
     both = mean.withColumns({"rank_mean": F.rank().over(W.orderBy("mean_rank")), "score": F.coalesce("five", F.lit(0)) * F.coalesce("three", F.lit(0))})
     return both.withColumn("rank_score", F.rank().over(W.orderBy(F.col("score").desc())))
+
+
+def topology(architectures: DataFrame, own: DataFrame) -> DataFrame:
+    """Adds topology to (gene, architecture): the gene's own (gene, topology), else that of the first gene of equal architecture that has one."""
+    direct = architectures.join(own, "gene", "left")
+    known = direct.where("topology is not null").groupBy("architecture").agg(F.min_by("topology", "gene").alias("__like"))
+    return direct.join(known, "architecture", "left").select("gene", "architecture", F.coalesce("topology", "__like").alias("topology"))
+
+
+def impact(corpus_rows: DataFrame, fused: DataFrame, longest: int) -> DataFrame:
+    """(id, copies, new, d_components, category) of each distinct recombined sequence that brings new n-grams: the whole chain.
+
+    Articulation points are not recounted for each sequence, so d_articulation is 0 here; give it to ``categories`` where it is known.
+    """
+    known = ngrams.support(ngrams.postings(corpus_rows, longest))
+    nodes = graph.cut(ngrams.closed(known))
+    component = graph.components(nodes, ngrams.containment_edges(nodes))
+    one = representatives(fused)
+    fresh = graph.cut(new_ngrams(one, nodes, known, longest))
+    counts = fresh.groupBy("id").agg(F.count(F.lit(1)).alias("new"))
+    changes = one.join(counts, "id").join(component_change(fresh, component), "id").withColumn("d_articulation", F.lit(0))
+    return categories(changes).select("id", "copies", "new", "d_components", "category")
+
+
+def category_counts(changes: DataFrame, by: str = "cancer") -> DataFrame:
+    """(by, category, n, share)."""
+    rows = changes.groupBy(by, "category").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(by)))

@@ -111,3 +111,11 @@ def dispersion(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     middle = rows.groupBy(*by).agg(F.median(value).alias("__m"), (F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("iqr"), F.stddev_pop(value).alias("std"), F.avg(value).alias("__a"))
     off = rows.join(middle, by).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("mad"), F.first("iqr").alias("iqr"), F.first("std").alias("std"), (F.first("std") / F.first("__a")).alias("cv"))
     return off.select(*by, "iqr", "mad", "std", "cv")
+
+
+def bootstrap_mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str, size: int, trials: int, seed: int) -> DataFrame:
+    """(trial, u, p) of samples of ``size`` from each group, all trials in one plan."""
+    number = rows.sparkSession.range(trials).select(F.col("id").alias("trial"))
+    own = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).withColumn("__id", F.xxhash64(*rows.columns)).crossJoin(F.broadcast(number))
+    drawn = sample_without_replacement(own, "__id", F.lit(size), F.concat_ws(BAR, F.lit(seed), "trial"), ["trial", group])
+    return mann_whitney(drawn, value, group, a, b, ["trial"])

@@ -65,3 +65,44 @@ def cox_sample_size(power_z: float, alpha_z: float, ratio: float, p_exposed: flo
     events = (1 / ratio) * ((ratio * hazard + 1) / (hazard - 1)) ** 2 * (alpha_z + power_z) ** 2
     control = events / (ratio * p_exposed + p_control)
     return math.ceil(control * ratio), math.ceil(control)
+
+
+def cox(rows: DataFrame, covariates: list[str], penalizer: float = 0.01, steps: int = 20, tolerance: float = 1e-9) -> dict[str, float]:
+    """Coefficients of a proportional-hazards model (Efron's ties are taken as Breslow's), by Newton steps with a ridge penalty.
+
+    Each step sums over subjects by time and then over times from the last to the first, both as aggregates; the driver gets sums only.
+    """
+    import numpy as np
+
+    known = rows.where("duration is not null and event is not null").dropna(subset=covariates).cache()
+    n, k = known.count(), len(covariates)
+    beta = np.zeros(k)
+    x = [F.col(c).cast("double") for c in covariates]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    for _ in range(steps):
+        risk = F.exp(sum((b * c for b, c in zip(beta.tolist(), x)), F.lit(0.0)))
+        level = known.groupBy("duration").agg(
+            F.sum("event").alias("d"), F.sum(risk).alias("s0"), *[F.sum(risk * c).alias(f"s1_{i}") for i, c in enumerate(x)], *[F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs],
+            *[F.sum(F.col("event") * c).alias(f"e_{i}") for i, c in enumerate(x)])
+        later = W.orderBy(F.col("duration").desc()).rowsBetween(W.unboundedPreceding, 0)
+        names = ["s0", *[f"s1_{i}" for i in range(k)], *[f"s2_{i}_{j}" for i, j in pairs]]
+        at = level.select("d", *[f"e_{i}" for i in range(k)], *[F.sum(c).over(later).alias(c) for c in names])
+        mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(k)]
+        got = at.agg(*[F.sum(F.col(f"e_{i}") - F.col("d") * mean[i]).alias(f"g_{i}") for i in range(k)], *[F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"h_{i}_{j}") for i, j in pairs]).first()
+        gradient = np.array([got[f"g_{i}"] for i in range(k)], float) - n * penalizer * beta
+        hessian = np.zeros((k, k))
+        for i, j in pairs:
+            hessian[i, j] = hessian[j, i] = got[f"h_{i}_{j}"]
+        step = np.linalg.solve(hessian + n * penalizer * np.eye(k), gradient)
+        beta = beta + step
+        if np.abs(step).max() < tolerance:
+            break
+    known.unpersist()
+    return dict(zip(covariates, beta.tolist()))
+
+
+def strata(subjects: DataFrame, fusions: DataFrame, key: str = "patient") -> DataFrame:
+    """Adds stratum: No Fusion, Single or Multiple, by the fusions of a subject."""
+    counts = fusions.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    joined = subjects.join(counts, F.col(key) == F.col("__k"), "left")
+    return joined.withColumn("stratum", F.when(F.col("__n").isNull(), "No Fusion").when(F.col("__n") == 1, "Single").otherwise("Multiple")).drop("__k", "__n")

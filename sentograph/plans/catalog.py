@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sentograph.operators import corpus, diff, entropy, fusion, graph, kernels, ngrams, stats, survival
+from sentograph.operators import compare, corpus, diff, entropy, fusion, graph, kernels, labels, ngrams, stats, survival
 
 from . import sql
 
@@ -549,3 +549,90 @@ def simple_modules(spark, sf):
     edges = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return graph.modules(graph.components(nodes, edges, "node"), graph.degrees(nodes, edges, "node"))
+
+
+# Labels and comparisons
+
+
+@query("SELECT o_orderkey, CASE WHEN a AND b THEN 'Both' WHEN a THEN 'pY' WHEN b THEN 'pST' ELSE 'None' END AS class FROM (SELECT l_orderkey AS o_orderkey, bool_or(p_size < 10) AS a, bool_or(p_size > 40) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)")
+def side_classes(spark, sf):
+    part = table(spark, sf, "part")
+    lines = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o_orderkey"), "p_partkey")
+    return labels.side_class(lines, "o_orderkey", "p_partkey", part.where("p_size < 10"), part.where("p_size > 40"))
+
+
+ROLES = "rl AS (SELECT replace(p_brand, 'Brand#', 'B') AS token, arg_max(p_type, (p_type)) AS role FROM part GROUP BY 1)"
+
+
+@query(w(sql.OB, sql.windows("ob", 3), ROLES) + "SELECT ngram, CASE WHEN count(DISTINCT role) > 1 THEN 'Multiple' ELSE min(role) END AS role FROM (SELECT ngram, unnest(string_split(ngram, '|')) AS token FROM s) JOIN rl USING (token) GROUP BY ngram")
+def node_roles(spark, sf):
+    part = table(spark, sf, "part").groupBy(F.col("p_type").alias("role")).agg(F.collect_set(F.replace("p_brand", F.lit("Brand#"), F.lit("B"))).alias("tokens"))
+    roles = labels.role_table(part.withColumn("nth", F.col("role")))
+    return labels.node_roles(ngrams.support(ngrams.postings(ob(spark, sf), 3)), roles)
+
+
+@query("SELECT bucket, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) >= 3 THEN '3+' ELSE CAST(count(DISTINCT o_orderpriority) AS VARCHAR) END AS bucket FROM orders GROUP BY 1) GROUP BY bucket")
+def set_count_buckets(spark, sf):
+    return labels.bucket_count(table(spark, sf, "orders"), "o_custkey", "o_orderpriority").withColumn("share", F.round("share", 9))
+
+
+@query("WITH m AS (SELECT DISTINCT o_orderpriority AS g, o_custkey AS k FROM orders), z AS (SELECT g, count(*) AS n FROM m GROUP BY g) SELECT a.g AS a, b.g AS b, round(count(*) / any_value(z.n), 9) AS share FROM m a JOIN m b ON a.k = b.k AND a.g <> b.g JOIN z ON z.g = a.g GROUP BY a.g, b.g")
+def overlap_shares(spark, sf):
+    return labels.overlap_share(table(spark, sf, "orders"), "o_orderpriority", "o_custkey").withColumn("share", F.round("share", 9))
+
+
+@query("SELECT p_brand, p_partkey, p_size, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice, p_partkey) AS r FROM part) WHERE r = 1")
+def redundant_resolution(spark, sf):
+    part = table(spark, sf, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice")
+    return labels.resolve_redundant(part, "p_brand", "p_partkey", [-F.col("p_size"), F.col("p_retailprice")])
+
+
+@query("WITH k AS (SELECT p_brand, l_shipmode, avg(l_extendedprice) AS m FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT 1".replace("l_shipmode", "l_returnflag").split(" SELECT 1")[0] + " SELECT p_brand, kind, round(mean, 4) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY mean DESC, p_brand) AS r FROM (SELECT p_brand, CASE WHEN count(DISTINCT l_returnflag) = (SELECT count(DISTINCT l_returnflag) FROM k) THEN 'common' WHEN count(DISTINCT l_returnflag) = 1 THEN 'unique' END AS kind, avg(m) AS mean FROM k GROUP BY p_brand) WHERE kind IS NOT NULL) WHERE r <= 6")
+def common_and_unique(spark, sf):
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    means = lines.groupBy("p_brand", "l_returnflag").agg(F.avg("l_extendedprice").alias("m"))
+    return labels.common_and_unique(means, "p_brand", "l_returnflag", "m").withColumn("mean", F.round("mean", 4))
+
+
+@query("WITH f AS (SELECT l_returnflag AS five, p_brand AS whole, l_linestatus AS three FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT five AS n, '5' AS r FROM f UNION SELECT whole, 'Full' FROM f UNION SELECT three, '3' FROM f), m AS (SELECT n FROM r GROUP BY n HAVING count(*) > 1), c AS (SELECT five AS a, '5' AS ra, whole AS b, 'Full' AS rb, count(*) AS weight FROM f GROUP BY 1, 3 UNION ALL SELECT whole, 'Full', three, '3', count(*) FROM f GROUP BY 1, 3) SELECT CASE WHEN a IN (SELECT n FROM m) THEN a || '_' || ra ELSE a END AS src, CASE WHEN b IN (SELECT n FROM m) THEN b || '_' || rb ELSE b END AS dst, weight FROM c")
+def contribution_edges(spark, sf):
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return compare.contribution_edges(lines.select(F.col("l_returnflag").alias("five"), F.col("p_brand").alias("whole"), F.col("l_linestatus").alias("three")))
+
+
+@query(w(sql.OB, sql.windows("ob", 2)) + "SELECT ngram, o_orderpriority AS set, count(DISTINCT id) AS shared FROM p JOIN orders ON o_orderkey = id GROUP BY 1, 2")
+def ngram_set_graph(spark, sf):
+    sets = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("set"))
+    return compare.bipartite(ngrams.postings(ob(spark, sf), 2), sets)
+
+
+@query("WITH g AS (SELECT p_partkey AS gene, p_retailprice - 1000 AS stat, p_brand AS s FROM part), r AS (SELECT *, row_number() OVER (ORDER BY stat DESC, gene) AS r, count(*) OVER () AS n FROM g), h AS (SELECT *, count(*) OVER (PARTITION BY s) AS size, sum(abs(stat)) OVER (PARTITION BY s) AS t, sum(abs(stat)) OVER (PARTITION BY s ORDER BY r) AS u, row_number() OVER (PARTITION BY s ORDER BY r) AS k FROM r), e AS (SELECT s, any_value(size) AS size, max(u / t - (r - k) / (n - size)) AS hi, min((u - abs(stat)) / t - (r - k) / (n - size)) AS lo FROM h WHERE size BETWEEN 2 AND 500 AND t > 0 GROUP BY s) SELECT s AS set, size, round(CASE WHEN hi >= -lo THEN hi ELSE lo END, 6) AS score FROM e")
+def running_enrichment(spark, sf):
+    part = table(spark, sf, "part")
+    ranked = part.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1000).alias("stat"))
+    return compare.running_enrichment(ranked, part.select(F.col("p_brand").alias("set"), F.col("p_partkey").alias("gene")), 2, 500).withColumn("score", F.round("score", 6))
+
+
+@query(w(*EVG, "gm AS (SELECT user_id AS id, CAST(user_id % 3 AS BIGINT) AS grp FROM (SELECT DISTINCT user_id FROM events))", "gn AS (SELECT DISTINCT grp, p.ngram FROM p JOIN gm USING (id) JOIN c USING (ngram))", "ge AS (SELECT a.grp, e.src, e.dst FROM e JOIN gn a ON a.ngram = e.src JOIN gn b ON b.ngram = e.dst AND a.grp = b.grp)") + 'SELECT grp AS "group", count(*) AS nodes, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM ge WHERE ge.grp = gn.grp AND (ge.src = gn.ngram OR ge.dst = gn.ngram))) AS isolates FROM gn GROUP BY grp')
+def group_networks(spark, sf):
+    posted, nodes, edges = ev_graph(spark, sf)
+    groups = table(spark, sf, "events").select(F.col("user_id").alias("id"), (F.col("user_id") % 3).alias("group")).distinct()
+    return compare.group_network(posted, groups, nodes, edges).drop("components")
+
+
+@query()
+def network_stack(spark, sf):
+    return compare.stacked(ev(spark, sf), [2, 3])
+
+
+@query()
+def bootstrap_tests(spark, sf):
+    return stats.bootstrap_mann_whitney(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "F", "O", 50, 20, 1)
+
+
+@query()
+def fusion_impact(spark, sf):
+    own = ev(spark, sf)
+    after = own.select((F.col("id") - 1).alias("id"), F.col("tokens").alias("tail"))
+    fused = own.join(after, "id").select("id", F.concat(F.slice("tokens", 1, 4), F.slice("tail", 5, 2**30)).alias("tokens"))
+    return fusion.impact(own, fused, 4)
