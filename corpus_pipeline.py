@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sentograph.llm import mixing, pieces, quality_rules, simhash
 from sentograph.llm.queries import tokenizer_path
-from sentograph.llm.shared import new_folder, stored
+from sentograph.llm.shared import new_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, all columns."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged, _ = quality_rules.quality_rules(docs, labels, store=lambda df: stored(df, "counts"))
-    kept = judged.where("kept").groupBy("doc_id").count().select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return quality_rules.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
