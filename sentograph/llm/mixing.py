@@ -109,5 +109,6 @@ def mix(documents: DataFrame, recipe: Recipe = Recipe(), text: str = "text", key
     A repeated key takes as often as the plan has for its rows, each row on its own share."""
     found = plan(documents, recipe, text, key, store).where("epochs > 0").select(F.col(key).alias("__key"), F.col("size").alias("__size"), "positions")
     rows = found.groupBy("__key", "__size").agg(F.max("positions").alias("positions")).select("__key", "__size", F.explode("positions").alias("__at"))
-    joined = documents.join(rows, F.col(key).eqNullSafe(F.col("__key")) & (sizes(F.col(text)) == F.col("__size")))
+    # The plan has a row for each document, so it is never broadcast.
+    joined = documents.join(rows.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (sizes(F.col(text)) == F.col("__size")))
     return joined.orderBy("__at", key).select(*[F.col(c) for c in documents.columns])

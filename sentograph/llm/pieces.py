@@ -33,7 +33,7 @@ from .token_files import gather, slices
 SPACE = "▁"
 LETTER = "([A-Za-zÀ-ɏ])"
 #: Bytes of text whose paths descend together.
-PART = 3_000_000
+PART = 800_000
 
 
 def mix(x):
@@ -87,6 +87,7 @@ class Pieces:
         self.width = np.array([len(self.names[k]) for k in self.ids])
         if len(np.unique(self.keys)) != len(self.keys):
             raise AssertionError("pieces share a hash")
+        self.ODD = np.uint64(0x9E3779B97F4A7C15)
         self._slots()
         self.bytes = [bytes([int(x[1:-1], 16)]) if own.is_byte(k) else b"" if own.is_control(k) else x.replace(SPACE, " ").encode() for k, x in enumerate(self.names)]
         self.byte_length = np.fromiter(map(len, self.bytes), np.int64, n)
@@ -100,29 +101,33 @@ class Pieces:
         return h
 
     def _slots(self):
-        """A table of 2**20 slots by the upper bits of a product; a second for those whose slot is taken."""
+        """A table of 2**18 slots by the upper bits of a product, small enough for a cache; pieces whose slot is taken are searched."""
         import numpy as np
 
-        self.table = []
-        left, odd = np.arange(len(self.keys)), 0x9E3779B97F4A7C15
-        while len(left):
-            slot = (self.keys[left] * np.uint64(odd)) >> np.uint64(44)
-            first = np.unique(slot, return_index=True)[1]
-            own = np.full(1 << 20, -1, np.int32)
-            own[slot[first]] = left[first]
-            self.table.append((np.uint64(odd), own))
-            left = np.delete(left, first)
-            odd = (odd * 0xD1342543DE82EF95 + 2) % 2**64 | 1
+        slot = (self.keys * self.ODD) >> np.uint64(46)
+        first = np.unique(slot, return_index=True)[1]
+        rest = np.setdiff1d(np.arange(len(self.keys)), first)
+        self.slot = np.zeros(1 << 18, np.uint16 if len(self.keys) < 2**16 else np.uint32)
+        self.slot[slot[first]] = first
+        self.crowded = np.zeros(1 << 18, bool)
+        self.crowded[slot[rest]] = True
+        self.rest, self.rest_keys = rest, self.keys[rest]
 
     def find(self, hashes, width: int):
         """Numbers of the pieces of a width that have these hashes, -1 for none."""
         import numpy as np
 
-        out = np.full(len(hashes), -1, np.int64)
-        for odd, own in self.table:
-            got = own[(hashes * odd) >> np.uint64(44)]
-            hit = (got >= 0) & (self.keys[got] == hashes) & (self.width[got] == width)
-            out[hit] = got[hit]
+        slot = (hashes * self.ODD) >> np.uint64(46)
+        got = self.slot[slot]
+        hit = self.keys[got] == hashes
+        out = np.where(hit, got.astype(np.int32), np.int32(-1))
+        if len(self.rest):
+            more = np.flatnonzero(self.crowded[slot] & ~hit)
+            at = np.minimum(np.searchsorted(self.rest_keys, hashes[more]), len(self.rest) - 1)
+            own = self.rest_keys[at] == hashes[more]
+            out[more[own]] = self.rest[at[own]]
+        found = np.flatnonzero(out >= 0)
+        out[found[self.width[out[found]] != width]] = -1
         return out
 
     def decode(self, ids) -> str:

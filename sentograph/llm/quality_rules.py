@@ -165,8 +165,8 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
     return which.isNull(), which.cast("int")
 
 
-def labelled(counted: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """FEATURES, quality and fold of labelled documents; at most about ``most`` labels, chosen by hash of their id.
+def sampled(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, quality), once an id: all labels, or about ``most`` of them by hash of their id.
 
     A label that is given twice with both values counts as low quality.
     """
@@ -174,8 +174,12 @@ def labelled(counted: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     keep = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     if n > most:
         keep = keep.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    keep = keep.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return counted.join(keep, "doc_id").select(*[c.alias(f) for f, c in features().items()], "quality", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)).alias("fold"))
+    return keep.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
+def labelled(counted: DataFrame) -> DataFrame:
+    """FEATURES, quality and fold of counted documents with a quality."""
+    return counted.select(*[c.alias(f) for f, c in features().items()], "quality", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)).alias("fold"))
 
 
 def judge(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -184,13 +188,33 @@ def judge(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & good, "rule": which})
 
 
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", most_labels: int = 200_000) -> list[Rule]:
+    """The list for documents by labels; only documents of the sample are counted.
+
+    most_labels: the documented bound of the sample of labelled rows on which the list is fitted; the sample is broadcast.
+    """
+    own = documents.select("doc_id", text).join(F.broadcast(sampled(labels, most_labels)), "doc_id")
+    return learn(labelled(with_counts(own, text)).cache())
+
+
 def quality_rules(documents: DataFrame, labels: DataFrame, text: str = "text", most_labels: int = 200_000, store=None) -> tuple[DataFrame, list[Rule]]:
-    """Documents with counts and verdicts, and the list. store: writes the counts once, instead of counting again for the verdicts.
+    """Documents with counts and verdicts, and the list.
 
-    most_labels: the documented bound of the sample of labelled rows on which the list is fitted.
+    store: writes the counts of all documents once, and gives back just those with doc_id and the verdicts; without it all
+    columns stay, and documents of the sample are counted twice.
     """
-    counted = with_counts(documents, text)
-    narrow = with_counts(documents.select("doc_id", text), text).drop(text)
-    source = counted if store is None else (counted := store(narrow))
-    rules = learn(labelled(source if store is not None else narrow, labels, most_labels).cache(), steps=4)
+    if store is None:
+        rules = fit(documents, labels, text, most_labels)
+        return judge(with_counts(documents, text), rules), rules
+    counted = store(with_counts(documents.select("doc_id", text), text).drop(text))
+    rules = learn(labelled(counted.join(F.broadcast(sampled(labels, most_labels)), "doc_id")).cache())
     return judge(counted, rules), rules
+
+
+def kept(documents: DataFrame, labels: DataFrame, text: str = "text", most_labels: int = 200_000) -> DataFrame:
+    """The documents that the base rules and the list keep, with their columns as they are. No row is shuffled."""
+    rules = fit(documents, labels, text, most_labels)
+    rows = documents.select(F.struct("*").alias("__row"), F.col(text).alias("text"))
+    # The row number, which no filter moves below, keeps the optimizer from writing the counts out in the filter, each within the next.
+    judged = judge(with_counts(rows), rules).select("__row", "kept", F.monotonically_increasing_id().alias("__nth"))
+    return judged.where("kept and __nth >= 0").select("__row.*")

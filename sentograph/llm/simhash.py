@@ -129,12 +129,19 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+#: Up to so many keys (8 bytes each) of documents to leave out are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 500_000
+
+
 def one_of_each(documents: DataFrame, text: str = "text", key: str = "doc_id", store=stored) -> DataFrame:
-    """The documents without those that have a smaller key in their group; all columns stay. Of rows that share such a key one stays."""
-    found = near_duplicates(documents, text, key, store)
-    keep = store(found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    kept = documents.join(keep.select(key), key, "left_semi")
-    if keep.where("__n > 1").isEmpty():
+    """The documents without those that have a smaller key in their group; all columns stay. Of rows that share such a key
+    and a group one stays. Documents without a key can't be told apart and stay."""
+    found = near_duplicates(documents, text, key, store).where(F.col(key).isNotNull())
+    chosen = store(found.groupBy(F.col(key).alias("__key")).agg(F.count_if(F.col(key) == F.col("component_id")).alias("__n")).where("__n <> 1"), "chosen")
+    gone, again = chosen.where("__n = 0").select("__key"), chosen.where("__n > 1").select("__key")
+    small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    kept = documents.join(small(gone), F.col(key) == F.col("__key"), "left_anti")
+    if again.isEmpty():
         return kept
-    again = keep.where("__n > 1").select(key)
-    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key])).select(*documents.columns)
+    repeated = documents.join(small(again), F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key])
+    return kept.join(small(again), F.col(key) == F.col("__key"), "left_anti").unionByName(repeated)
