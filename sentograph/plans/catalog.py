@@ -520,10 +520,10 @@ def bridging_centrality(spark, sf):
     return kernels.bridging(kernels.betweenness(nodes, edges), graph.degrees(nodes, edges), edges)
 
 
-@query()
+@query("SELECT 'c' || o_custkey AS node FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def articulation_points(spark, sf):
-    _, nodes, edges = ev_graph(spark, sf)
-    return kernels.articulation(edges, graph.components(nodes, edges))
+    edges = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("dst"))
+    return kernels.articulation(edges, graph.connected_components(edges))
 
 
 @query()
@@ -632,7 +632,7 @@ def bootstrap_tests(spark, sf):
 
 @query()
 def fusion_impact(spark, sf):
-    own = ev(spark, sf)
+    own = ob(spark, sf)
     after = own.select((F.col("id") - 1).alias("id"), F.col("tokens").alias("tail"))
-    fused = own.join(after, "id").select("id", F.concat(F.slice("tokens", 1, 4), F.slice("tail", 5, 2**30)).alias("tokens"))
-    return fusion.impact(own, fused, 4)
+    fused = own.join(after, "id").select("id", F.concat(F.slice("tokens", 1, 2), F.slice("tail", 2, 2**30)).alias("tokens"))
+    return fusion.impact(own, fused, 3)
