@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .token_files import gather, slices
 
 SPACE = "▁"
@@ -443,6 +444,7 @@ def sample(documents: DataFrame, model: str, k: int = 2, seed: int = 1, power: f
 
     ids: little-endian signed 32-bit numbers; restores: whether they decode to the text.
     """
+    bounded_batches(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(seed)).alias("seed"))
 

@@ -25,6 +25,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that goes to Python, for operators over texts; Spark's own bound is 64 MiB, for each of several buffers a task.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of bytes in a batch to BATCH, so that memory doesn't follow the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: a cut lineage that outlives executors."""
     spark = df.sparkSession

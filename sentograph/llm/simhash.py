@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from sentograph.operators.graph import connected_components
 
-from .shared import stored
+from .shared import bounded_batches, stored
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: (first bit, bits) of each block.
@@ -117,6 +117,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", store=stored) -> DataFrame:
     """(key, fp, component_id) for each document: fp as a long, component_id the smallest key reachable over links."""
+    bounded_batches(documents.sparkSession)
     marked = store(documents.select(F.col(key).alias("__key"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
     distinct = store(marked.groupBy("fp").agg(F.min("__key").alias("node")), "distinct")
     components = connected_components(links(distinct.where("node is not null")), lambda df: store(df, "components"))

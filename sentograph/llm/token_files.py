@@ -140,6 +140,21 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa
         at = to
 
 
+def merged(batches: Iterator[pa.RecordBatch], most: int = SLICE // 2) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about that many bytes, where those that come are smaller: a larger batch repeats more words."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end: int = 2, key: str = "doc_id", text: str = "text") -> list[dict]:
     """Writes the data set; returns its parts (part, documents, tokens, base, dtype), a dict each, in order."""
 
@@ -152,7 +167,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end: int = 2
         keys, counts = [], []
 
         def ids():
-            for whole in batches:
+            for whole in merged(batches):
                 for batch in slices(whole, "text"):
                     flat, lengths = encoder.encode(batch.column("text"), end)
                     keys.append(batch.column("key").fill_null(NULL_KEY).to_numpy(zero_copy_only=False).astype("<i8"))
