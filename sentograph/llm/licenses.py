@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
 Licence templates are split into words, and an index lists for each word the places it has in each template. How rare a
-licence word is comes from all documents. For a file, its rarest licence words are looked up; each of their places in the
-file and in a template says where in the file the template would begin. Where enough of the words agree on that, but
-for a few words more or less, the template is a candidate; it is a finding if one of its mandatory key phrases stands in the
-matched stretch and enough of its words do. Base phrases are found beside that, as consecutive words.
+licence word is comes from all documents. A template is a finding in a file if at some place enough of its words stand near
+their places, and one of its mandatory key phrases stands in that stretch. Both lead to the places that are tried, and leave out
+none: a key phrase's places in the file bound where the template can begin; and of each template's own words the rarest are
+looked up, so many that a finding can't do without NEED of them, each of whose places says where the template would begin.
+Base phrases are found beside that, as consecutive words.
 
 Defined results: a null or empty text has no words and no places, and empty labels; overlapping places all count;
 repeated rows each get a result; an empty table gives an empty result.
@@ -12,6 +13,8 @@ repeated rows each get a result; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,9 +43,9 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify and or distribute this software",)),
     ("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
-#: Rarest licence words of a file that are looked up.
-RAREST = 12
-#: Words that may be missing or added between agreeing places.
+#: Distinct ones of a template's rarest words that have to agree before all its words are compared.
+NEED = 3
+#: Half of the words that may be missing or added before a word of the template.
 SLACK = 4
 #: Share of a template's words that have to stand in the matched stretch.
 ENOUGH = 0.75
@@ -89,12 +92,16 @@ def coded(texts: pa.Array):
     return words, index, bounds
 
 
+def _within(own, lo: int, hi: int) -> bool:
+    """Whether one of the ordered places is from lo to hi."""
+    k = bisect_left(own, lo)
+    return k < len(own) and own[k] <= hi
+
+
 class Index:
     """The positional index of the templates, with the rarity of its words."""
 
     def __init__(self, frequency: dict[bytes, int], documents: int, templates=TEMPLATES, phrases=PHRASES):
-        import math
-
         self.templates = [(label, words_of(text), [words_of(k) for k in keys]) for label, text, keys in templates]
         self.phrases = [(words_of(p), label) for p, label in phrases]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
@@ -102,65 +109,86 @@ class Index:
             for place, w in enumerate(words):
                 self.postings.setdefault(w, []).append((t, place))
         self.rarity = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
+        rarest = lambda words: sorted(words, key=lambda w: (-self.rarity[w], w))
+        #: For each template: words that may be missing, its rarest words, how many of them agree at least, and all its (word, place), rarest first.
+        self.plans = []
+        for t, (_, words, _) in enumerate(self.templates):
+            spare = len(words) - math.ceil(ENOUGH * len(words))
+            some = rarest(set(words))[: spare + NEED]
+            self.plans.append((spare, some, max(1, len(some) - spare), [(w, q) for w in rarest(set(words)) for u, q in self.postings[w] if u == t]))
 
     def vocabulary(self) -> list[bytes]:
-        return sorted({*self.postings, *(w for p, _ in self.phrases for w in p)})
+        return sorted({*self.postings, *(w for p, _ in self.phrases for w in p), *(w for _, _, keys in self.templates for k in keys for w in k)})
 
     def findings(self, places: dict[bytes, list[int]]) -> dict[str, float]:
-        """Labels and scores for a file, by the places of its licence words."""
-        rare = sorted((w for w in places if w in self.postings), key=lambda w: (-self.rarity[w], w))[:RAREST]
-        votes: dict[int, list[tuple[int, bytes]]] = {}
-        for w in rare:
-            for t, q in self.postings[w]:
-                votes.setdefault(t, []).extend((p - q, w) for p in places[w])
+        """Labels and scores for a file, by the places of its licence words.
+
+        Of neighbouring begins the one with the most words right at their places gives the score, and the best score counts.
+        """
         out: dict[str, float] = {}
-        for t, own in votes.items():
-            label, words, keys = self.templates[t]
-            distinct = {w for _, w in own}
-            need = min(3, len(set(words)))
-            if len(distinct) < need:
+        for t, (label, words, keys) in enumerate(self.templates):
+            spare, some, need, every = self.plans[t]
+            if not words or out.get(label) == 1.0 or sum(w in places for w in some) < need:
                 continue
-            own.sort()
-            # Windows of begins that differ by no more than the slack; each begin opens one.
-            lo, count = 0, {}
-            tried = -(10**9)
-            for begin, w in own:
-                count[w] = count.get(w, 0) + 1
-                while own[lo][0] < begin - SLACK:
-                    x = own[lo][1]
-                    count[x] -= 1
-                    if not count[x]:
-                        del count[x]
-                    lo += 1
-                if len(count) < need or begin - tried <= SLACK // 2:
-                    continue
-                tried = begin
-                score = self.verify(words, keys, places, begin)
-                if score > out.get(label, 0.0):
-                    out[label] = score
+            last, most = None, -1
+            runs: list[float] = []  # the score of each run of begins
+            for lo, hi in self.stretches(len(words), keys, places):
+                for begin in self.begins(t, some, need, places, lo, hi):
+                    missing = 0
+                    for w, q in every:
+                        if not _within(places.get(w, ()), begin + q - 2 * SLACK, begin + q + 2 * SLACK):
+                            missing += 1
+                            if missing > spare:
+                                break
+                    else:
+                        right = sum(_within(places.get(w, ()), begin + q, begin + q) for w, q in every)
+                        score = (len(words) - missing) / len(words)
+                        if last is None or begin > last + 1:
+                            runs.append(score)
+                            most = right
+                        elif right > most:
+                            runs[-1], most = score, right
+                        last = begin
+            if runs:
+                out[label] = max(out.get(label, 0.0), max(runs))
         return out
 
-    def verify(self, words, keys, places, begin: int) -> float:
-        """The share of the template's words that stand near their place, 0 without a key phrase or below ENOUGH."""
-        from bisect import bisect_left
+    def stretches(self, n: int, keys, places) -> list[list[int]]:
+        """First and last begins of a template of n words with a key phrase in its stretch, in order and apart."""
+        starts = set()
+        for key in keys:
+            if all(w in places for w in key):
+                i, rare = min(enumerate(key), key=lambda x: len(places[x[1]]))
+                starts.update(p - i for p in places[rare] if all(_within(places[w], p - i + j, p - i + j) for j, w in enumerate(key)))
+        out: list[list[int]] = []
+        for p in sorted(starts):
+            lo, hi = p - n - 2 * SLACK, p + 2 * SLACK
+            if out and lo <= out[-1][1] + 1:
+                out[-1][1] = hi
+            else:
+                out.append([lo, hi])
+        return out
 
-        def within(w, lo, hi):
+    def begins(self, t: int, some: list[bytes], need: int, places, first: int, last: int) -> Iterator[int]:
+        """Begins from first to last near which so many of a template's rarest words agree."""
+        events = []
+        for w in some:
             own = places.get(w, ())
-            k = bisect_left(own, lo)
-            return k < len(own) and own[k] <= hi
-
-        hits = sum(within(w, begin + q - 2 * SLACK, begin + q + 2 * SLACK) for q, w in enumerate(words))
-        if hits < ENOUGH * len(words):
-            return 0.0
-        sets = {w: set(places.get(w, ())) for k in keys for w in k}
-        lo, hi = begin - 2 * SLACK, begin + len(words) + 2 * SLACK
-        for key in keys:
-            for p in places.get(key[0], ())[bisect_left(places.get(key[0], ()), lo) :]:
-                if p > hi:
-                    break
-                if all(p + i in sets[w] for i, w in enumerate(key)):
-                    return hits / len(words)
-        return 0.0
+            for u, q in self.postings[w]:
+                if u == t:
+                    for p in own[bisect_left(own, first + q - 2 * SLACK) : bisect_right(own, last + q + 2 * SLACK)]:
+                        events += [(p - q - 2 * SLACK, 1, w), (p - q + 2 * SLACK + 1, -1, w)]
+        events.sort()
+        count: dict[bytes, int] = {}
+        at = first
+        for place, step, w in events:
+            if place > at:
+                if len(count) >= need:
+                    yield from range(at, min(place, last + 1))
+                at = place
+            count[w] = count.get(w, 0) + step
+            if not count[w]:
+                del count[w]
 
 
 def frequencies(documents: DataFrame, text: str = "text") -> tuple[dict[bytes, int], int]:

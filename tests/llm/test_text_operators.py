@@ -221,6 +221,44 @@ def test_license_templates_are_found_and_others_not(spark):
     assert rows[4]["labels"] == "cc-by-nc" and rows[4]["base_labels"] == ""
 
 
+def test_license_templates_do_not_compete(spark):
+    draw = random.Random(6)
+    long_text, short = licenses.TEMPLATES[1][1], "Licensed under CC BY-NC 4.0."
+    every = [t for _, t, _ in licenses.TEMPLATES]
+    words = [w for t in every for w in t.split()]
+    filler = " ".join(draw.choice(words) for _ in range(40_000))
+    texts = [f"{long_text} {'x ' * 300} {short}", " \n ".join(every), f"{filler} {short} {filler}"]
+    for t in every * 3:  # words changed, and some put in
+        own = [draw.choice(["x", w]) if draw.random() < 0.3 else w for w in t.split()]
+        own[len(own) // 2 : len(own) // 2] = ["x"] * draw.randrange(8)
+        texts.append(" ".join(draw.choices(words, k=9) + own + draw.choices(words, k=9)))
+    common = [short] * 60  # so that the words of the longer text are rarer
+    rows = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts + common)).collect()}
+    assert set(rows[0]["labels"].split(",")) == {"mit", "cc-by-nc"}
+    assert set(rows[1]["labels"].split(",")) == {label for label, _, _ in licenses.TEMPLATES} and rows[1]["score"] == 1.0
+    assert "cc-by-nc" in rows[2]["labels"].split(",")
+    slack = 2 * licenses.SLACK
+    for d, text in list(enumerate(texts))[3:]:
+        own, best = [w.encode() for w in WORD.findall(text.translate(LOW))], {}
+        for label, template, keys in licenses.TEMPLATES:
+            words, keys = licenses.words_of(template), [licenses.words_of(k) for k in keys]
+            last, most, runs = None, -1, []
+            for begin in range(-len(words) - slack, len(own) + slack):
+                if any(own[p : p + len(k)] == k for k in keys for p in range(max(0, begin - slack), begin + len(words) + slack + 1)):
+                    hits = sum(w in own[max(0, begin + q - slack) : max(0, begin + q + slack + 1)] for q, w in enumerate(words))
+                    if hits >= licenses.ENOUGH * len(words):
+                        right = sum(0 <= begin + q < len(own) and own[begin + q] == w for q, w in enumerate(words))
+                        if last is None or begin > last + 1:
+                            runs, most = [*runs, hits / len(words)], right
+                        elif right > most:
+                            runs[-1], most = hits / len(words), right
+                        last = begin
+            if runs:
+                best[label] = max(best.get(label, 0), *runs)
+        base = set(filter(None, rows[d]["base_labels"].split(",")))
+        assert rows[d]["labels"] == ",".join(sorted({*best, *base})) and rows[d]["score"] == max([*best.values(), 0.5 if base else 0.0])
+
+
 def brute_top(rows, every, k, scale=256):
     good = [(i, [math.floor(float(np.float32(x)) * scale) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
