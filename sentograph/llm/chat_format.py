@@ -6,20 +6,24 @@ the shorter one the template has rewritten history. Where the text lies in a spa
 another text in its place: what stays at both ends is the template's. The output is kept as files: the
 formatted text, and for each turn the byte places of its span and text and whether it is under the loss mask.
 
-Turns are sorted by range of (conversation, turn), so a conversation of any size is spread over tasks; up to WINDOW
-turns are rendered at once, later ones with the CONTEXT turns before them as their history. What of a conversation a
-task holds is rendered as one portion, so a template should not look farther back than that. Reading streams a
+Turns are sorted by range of (conversation, turn), so a conversation of any size is spread over tasks, and kept as files by
+range. A task then renders the turns of one range; where its first conversation began in ranges before, it reads that one's earlier turns
+from their files, so every turn is rendered after its whole history, however the rows are spread. As the template is a black
+box, that takes memory in proportion to a conversation, and time to the square of its turns. Reading streams a
 conversation's portions in order; its digests are sequential, and no more than a turn is held at a time.
 
 Defined results: a null text or role is empty; turns of equal number follow in order of role and text; null turns
 come first; a null conversation id is a conversation; repeated rows are turns of their own; an empty table gives an
-empty result. A portion in which the template rewrites history is marked and has no loss spans.
+empty result. A turn that rewrites history is kept as what has to be cut off from the text before it and what follows then, so
+the portions give the rendering of the whole; its conversation is marked and has no loss spans and no digest of turns.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .shared import open_fs, publish, stored
 
-WINDOW, CONTEXT = 16, 1
+#: Turns whose spans are gathered before they are written; the output doesn't depend on it.
+WINDOW = 16
 LEARN = "assistant"
 #: Strings that mark turns in the default template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ASSISTANT]", "[ROLE ", "[/ROLE]")
@@ -45,18 +50,34 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\s\S])", r"\1", text) if "\\" in text else text
 
 
+#: Turns with texts up to this length are not formatted anew for each prefix.
+SHORT = 2048
+
+
+def whole_line(role: str, text: str) -> str:
+    body = escape(text)
+    if role == "user":
+        return f"<s>[INST] {body} [/INST]\n"
+    if role == LEARN:
+        return f"[ASSISTANT] {body} </s>\n"
+    return f"<s>[ROLE {escape(role).replace(']', chr(92) + ']')}] {body} [/ROLE]\n"
+
+
+_lines: dict[Turn, str] = {}
+
+
+def short_line(role: str, text: str) -> str:
+    line = _lines.get((role, text))
+    if line is None:
+        if len(_lines) >= 4096:
+            _lines.clear()
+        line = _lines[role, text] = whole_line(role, text)
+    return line
+
+
 def render(turns: list[Turn]) -> str:
     """The default template."""
-    out = []
-    for role, text in turns:
-        body = escape(text)
-        if role == "user":
-            out.append(f"<s>[INST] {body} [/INST]\n")
-        elif role == LEARN:
-            out.append(f"[ASSISTANT] {body} </s>\n")
-        else:
-            out.append(f"<s>[ROLE {escape(role).replace(']', chr(92) + ']')}] {body} [/ROLE]\n")
-    return "".join(out)
+    return "".join([(short_line if len(text) <= SHORT else whole_line)(role, text) for role, text in turns])
 
 
 def role_of(head: str) -> str:
@@ -90,101 +111,153 @@ def same_start(a: str, b: str) -> int:
     return lo
 
 
-def spans(turns: list[Turn], template: Callable[[list[Turn]], str] = render, history: list[Turn] | None = None) -> list[tuple[str, int, int]]:
-    """(span, start of the text in it, end) of each turn after the history. Raises Rewritten."""
+def steps(turns: Iterator[Turn], template: Callable[[list[Turn]], str] = render, history: list[Turn] | None = None) -> Iterator[tuple[str, int, int, str]]:
+    """(span, start of the text in it, end, what is cut off before it) of each turn after the history; start and end are -1 where it rewrites."""
     before = list(history or [])
-    known, out = template(before) if before else "", []
-    for nth, (role, text) in enumerate(turns):
+    known = template([*before]) if before else ""
+    for role, text in turns:
         now = template([*before, (role, text)])
-        if not now.startswith(known):
-            raise Rewritten(nth)
-        span = now[len(known) :]
-        # Two other texts, which differ in first and last character, show the template's own ends.
-        a, b = (template([*before, (role, x)])[len(known) :] for x in ("0", "1"))
-        head, tail = same_start(a, b), same_start(a[::-1], b[::-1])
-        out.append((span, head, len(span) - tail))
+        if now.startswith(known):
+            span = now[len(known) :]
+            # Two other texts, which differ in first and last character, show the template's own ends.
+            a, b = (template([*before, (role, x)])[len(known) :] for x in ("0", "1"))
+            head, tail = same_start(a, b), same_start(a[::-1], b[::-1])
+            yield span, head, len(span) - tail, ""
+        else:
+            same = same_start(known, now)
+            yield now[same:], -1, -1, known[same:]
         before.append((role, text))
         known = now
+
+
+def spans(turns: list[Turn], template: Callable[[list[Turn]], str] = render, history: list[Turn] | None = None) -> list[tuple[str, int, int]]:
+    """(span, start of the text in it, end) of each turn after the history. Raises Rewritten."""
+    out = []
+    for nth, (span, start, end, _) in enumerate(steps(iter(turns), template, history)):
+        if start < 0:
+            raise Rewritten(nth)
+        out.append((span, start, end))
     return out
 
 
-def format_conversations(rows: DataFrame, folder: str, template: Callable[[list[Turn]], str] = render, window: int = WINDOW, context: int = CONTEXT, key: str = "conv_id") -> DataFrame:
-    """Writes the output; returns its portions (part, nth, conv_id, first_turn, turns, at, rewrites) as a stored table."""
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    empty = F.lit("")
-    clean = rows.select(F.col(key).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    sorted_rows = clean.repartitionByRange(*order[:3], F.xxhash64("text")).sortWithinPartitions(*order)
+def _rows(folder: str, part: int, skip: int = 0) -> Iterator[tuple[int | None, str, str]]:
+    """(conv_id, role, text) of a range's turns, from the given one on."""
+    files, path = open_fs(f"{folder}/rows-{part:06d}.arrow")
+    with files.open_input_stream(path, compression=None) as source:
+        for batch in pa.ipc.open_stream(source):
+            yield from zip(*[c.to_pylist() for c in batch.slice(min(skip, batch.num_rows)).columns])
+            skip = max(0, skip - batch.num_rows)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import struct
 
-        from pyspark import TaskContext
+def _ranges(sorted_rows: DataFrame, folder: str) -> DataFrame:
+    """Keeps the rows as a file a task; returns (part, history, skip) of each: the parts that hold earlier turns of its first
+    conversation, and how many rows of the first of these to leave out."""
 
-        part = TaskContext.get().partitionId()
-        portions: list[list] = []  # nth, conv_id, first turn (number of the span record), turns, byte offset, rewrites
-        marks: list[bytes] = []
-        size = 0
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
 
-        def chunks():
-            nonlocal size
-            current, pending, past = object(), [], []
-
-            def flush():
-                nonlocal size, past
-                if not pending:
-                    return
-                p = portions[-1]
-                try:
-                    found = spans(pending, template, past)
-                except Rewritten:
-                    p[5] = True
-                    found = [(s, -1, -1) for s in (template([t]) for t in pending)]
-                for (role, _), (span, a, b) in zip(pending, found):
-                    head, whole = (len(span[:a].encode()), len(span.encode())) if a >= 0 else (-1, len(span.encode()))
-                    end = len(span[:b].encode()) if a >= 0 else -1
-                    marks.append(struct.pack("<qqqq", whole, head, end, int(a >= 0 and role == LEARN)))
-                    p[3] += 1
-                    size += whole
-                    yield span.encode()
-                past = (past + pending)[-context:] if context else []
-                pending.clear()
-
-            for batch in batches:
-                for conv, _, role, text in zip(*[c.to_pylist() for c in batch.columns]):
-                    if conv != current:
-                        yield from flush()
-                        current, past = conv, []
-                        portions.append([len(portions), conv, len(marks), 0, size, False])
-                    pending.append((role, text))
-                    if len(pending) >= window:
-                        yield from flush()
-            yield from flush()
-
-        stream = chunks()
-        first = next(stream, None)
+        from pyspark import TaskContext
+
+        part, rows, ends, last_from = TaskContext.get().partitionId(), 0, [], 0
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
         if first is None:
             return
 
-        def all_chunks():
-            yield first
-            yield from stream
-
-        publish(f"{folder}/text-{part:06d}.txt", all_chunks())
-        publish(f"{folder}/turns-{part:06d}.bin", [b"".join(marks)])
-        columns = list(zip(*portions))
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(portions), pa.int64())] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["part", "nth", "conv_id", "first_turn", "turns", "at", "rewrites"])
+        def chunks():
+            nonlocal rows, last_from
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, first.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                for batch in (b for some in ((first,), batches) for b in some):
+                    out.write_batch(batch)
+                    for n, conv in enumerate(batch.column(0).to_pylist(), rows):
+                        if not ends:
+                            ends[:] = [conv, conv]
+                        elif conv != ends[1]:
+                            ends[1], last_from = conv, n
+                    rows += batch.num_rows
+                    yield sink.getvalue()
+                    sink.seek(0)
+                    sink.truncate()
+            yield sink.getvalue()
+
+        publish(f"{folder}/rows-{part:06d}.arrow", chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, *ends, last_from)], names=["part", "first", "last", "last_from"])
+
+    found = sorted(tuple(r) for r in sorted_rows.mapInArrow(keep, "part long, first long, last long, last_from long").collect())
+    out: list[tuple[int, list[int], int]] = []
+    for k, (part, first, _, _) in enumerate(found):
+        history, skip = [], 0
+        if k and found[k - 1][2] == first:
+            before, _, _, skip = found[k - 1][0], *found[k - 1][1:]
+            history = [before]
+            if skip == 0 and out[-1][1]:  # nothing else is in that part
+                history, skip = [*out[-1][1], before], out[-1][2]
+        out.append((part, history, skip))
+    return sorted_rows.sparkSession.createDataFrame(out, "part long, history array<long>, skip long").repartitionByRange(max(1, len(out)), "part")
+
+
+def format_conversations(rows: DataFrame, folder: str, template: Callable[[list[Turn]], str] = render, window: int = WINDOW, key: str = "conv_id") -> DataFrame:
+    """Writes the output; returns its portions (part, nth, conv_id, first_turn, turns, at, rewrites) as a stored table."""
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    empty = F.lit("")
+    clean = rows.select(F.col(key).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    # By the start of the text, not a hash of it, so that turns of equal number are in order over ranges too.
+    sorted_rows = clean.repartitionByRange(*order[:3], F.substring("text", 1, 256)).sortWithinPartitions(*order).select("conv_id", "role", "text")
+    parts = _ranges(sorted_rows, folder)
 
-    return stored(sorted_rows.mapInArrow(write, "part long, nth long, conv_id long, first_turn long, turns long, at long, rewrites boolean"), "portions")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import groupby
+
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            part, portions, marks, size = row["part"], [], [], 0  # a portion: nth, conv_id, first turn (number of the span record), turns, byte offset, rewrites
+
+            def chunks():
+                nonlocal size
+                past = [(role, text) for n, p in enumerate(row["history"]) for _, role, text in _rows(folder, p, 0 if n else row["skip"])]
+                for conv, own in groupby(_rows(folder, part), key=lambda x: x[0]):
+                    p = [len(portions), conv, len(marks), 0, size, False]
+                    portions.append(p)
+                    turns = []  # noted as they are rendered
+
+                    def noted():
+                        for _, role, text in own:
+                            turns.append(role)
+                            yield role, text
+
+                    found = steps(noted(), template, past)
+                    past = []
+                    while some := list(islice(found, window)):
+                        for role, (span, a, b, cut) in zip(turns, some):
+                            data = span.encode()
+                            head, end = (len(span[:a].encode()), len(span[:b].encode())) if a >= 0 else (-1, -1)
+                            marks.append(struct.pack(MARK, len(data), head, end, int(a >= 0 and role == LEARN), len(cut.encode()), len(cut)))
+                            p[3] += 1
+                            p[5] |= a < 0
+                            size += len(data)
+                            yield data
+                        turns.clear()
+
+            publish(f"{folder}/text-{part:06d}.txt", chunks())
+            publish(f"{folder}/turns-{part:06d}.bin", [b"".join(marks)])
+            columns = list(zip(*portions))
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(portions), pa.int64())] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["part", "nth", "conv_id", "first_turn", "turns", "at", "rewrites"])
+
+    out = stored(parts.mapInArrow(write, "part long, nth long, conv_id long, first_turn long, turns long, at long, rewrites boolean"), "portions")
+    for r in parts.select("part").collect():
+        files, path = open_fs(f"{folder}/rows-{r['part']:06d}.arrow")
+        files.delete_file(path)
+    return out
 
 
 #: Bytes that are read at once.
 READ = 4 << 20
+#: Of a turn: bytes of its span, start and end of the text in it (-1 if it rewrites), whether it is learnt, bytes and code points cut off before it.
+MARK = "<qqqqqq"
 
 
 def read_turns(folder: str, part: int, first: int, turns: int, at: int, opened: dict) -> Iterator[tuple[str, str, bool, int]]:
-    """(role, text, learnt, code points of the span) of a portion's turns, read piece by piece."""
-    import struct
-
+    """(role, text, learnt, code points that it adds) of a portion's turns, read piece by piece; role and text are empty where it rewrites."""
     if opened.get("part") != part:
         for f in opened.get("files", ()):
             f.close()
@@ -194,23 +267,27 @@ def read_turns(folder: str, part: int, first: int, turns: int, at: int, opened:
     text, marks = opened["files"]
     done = 0
     while done < turns:
-        marks.seek((first + done) * 32)
-        some = list(struct.iter_unpack("<qqqq", marks.read(32 * min(turns - done, 1024))))
+        marks.seek((first + done) * struct.calcsize(MARK))
+        some = list(struct.iter_unpack(MARK, marks.read(struct.calcsize(MARK) * min(turns - done, 1024))))
         text.seek(at)
         held, place = text.read(min(sum(x[0] for x in some), READ)), 0
-        for whole, head, end, learnt in some:
+        for whole, head, end, learnt, _, lost in some:
             if place + whole > len(held):
                 text.seek(at + place)
                 held, at, place = text.read(max(whole, READ)), at + place, 0
             span = held[place : place + whole]
             place += whole
-            yield role_of(span[:head].decode()), unescape(span[head:end].decode()), bool(learnt), len(span.decode())
+            role, said = (role_of(span[:head].decode()), unescape(span[head:end].decode())) if head >= 0 else ("", "")
+            yield role, said, bool(learnt), len(span.decode()) - lost
         at += place
         done += len(some)
 
 
 def digests(portions: DataFrame, folder: str) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites) of each conversation, from the files."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites) of each conversation, from the files.
+
+    turns_sha256 is null and nothing is learnt where the template rewrites history.
+    """
     pieces = F.array_sort(F.collect_list(F.struct("part", "nth", "first_turn", "turns", "at")))
     convs = portions.groupBy("conv_id").agg(pieces.alias("pieces"), F.max("rewrites").alias("rewrites"))
     # A task for each file, however few rows tell of it: what counts is what it reads.
@@ -230,10 +307,10 @@ def digests(portions: DataFrame, folder: str) -> DataFrame:
                         all_turns.update(f"{role}\n{text}\n".encode())
                         n += 1
                         chars += size
-                        if learnt:
+                        if learnt and not row["rewrites"]:
                             learnt_text.update(text.encode())
                             learnt_chars += len(text)
-                out.append((row["conv_id"], n, all_turns.hexdigest(), learnt_chars, learnt_text.hexdigest(), chars, row["rewrites"]))
+                out.append((row["conv_id"], n, None if row["rewrites"] else all_turns.hexdigest(), learnt_chars, learnt_text.hexdigest(), chars, row["rewrites"]))
             columns = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"])
 

@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -337,6 +338,51 @@ def test_templates_that_rewrite_history():
     assert [s[a:b] for s, a, b in late] == ["yes", "more"] and not late[0][0].startswith("<bos>")
 
 
+def formatted(portions, folder):
+    """The rendering of each conversation from its portions, and whether it is marked."""
+    out, marked = collections.defaultdict(bytes), collections.defaultdict(bool)
+    for r in sorted(portions.collect(), key=lambda r: (r["part"], r["nth"])):
+        text, marks = (open(f"{folder}/{kind}-{r['part']:06d}.{end}", "rb").read() for kind, end in (("text", "txt"), ("turns", "bin")))
+        at = r["at"]
+        for k in range(r["first_turn"], r["first_turn"] + r["turns"]):
+            whole, _, _, _, cut, _ = struct.unpack_from(chat_format.MARK, marks, k * struct.calcsize(chat_format.MARK))
+            out[r["conv_id"]] = out[r["conv_id"]][: len(out[r["conv_id"]]) - cut] + text[at : at + whole]
+            at += whole
+        marked[r["conv_id"]] |= r["rewrites"]
+    return {c: x.decode() for c, x in out.items()}, marked
+
+
+@pytest.mark.parametrize("parts", [1, 3, 12])
+def test_chat_renders_whole_prefixes(spark, tmp_path, parts):
+    convs = {1: 3, 2: 80, 3: 29, 4: 20, None: 2}
+    rows = [(c, n, "assistant" if n % 2 else "user", f"é text {n} of {c}") for c, turns in convs.items() for n in range(turns)]
+    rows += [(5, 0, "user", f"{draw:02d} of equal number") for draw in range(40)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4)
+    own = {c: [(r, t) for k, _, r, t in sorted(rows, key=lambda x: (x[0] or 0, *x[1:])) if k == c] for c in [*convs, 5]}
+
+    def begins(turns):
+        return "<bos>" + "".join(f"{k}:{r}:{t}\n" for k, (r, t) in enumerate(turns))
+
+    def forgets(turns):
+        return begins([(r, "..." if k == 1 and len(turns) > 30 else t) for k, (r, t) in enumerate(turns)])
+
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, template, rewritten in (("b", begins, set()), ("f", forgets, {2, 5})):
+            portions = chat_format.format_conversations(frame, str(tmp_path / name), template)
+            assert parts == 1 or portions.select("part").distinct().count() > 1
+            texts, marked = formatted(portions, str(tmp_path / name))
+            assert texts == {c: template(turns) for c, turns in own.items()}
+            assert {c for c, m in marked.items() if m} == rewritten
+            for r in chat_format.digests(portions, str(tmp_path / name)).collect():
+                assert r["n_turns"] == len(own[r["conv_id"]]) and r["formatted_chars"] == len(template(own[r["conv_id"]]))
+                assert r["rewrites"] == (r["conv_id"] in rewritten) and (not r["rewrites"] or r["loss_chars"] == 0 and r["turns_sha256"] is None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 DAY = 86400
 
 
