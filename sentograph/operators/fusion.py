@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import corpus, graph, ngrams
+from . import corpus, graph, kernels, ngrams
 
 
 def select_fusions(fusions: DataFrame, cancers: list[str] | None = None) -> DataFrame:
@@ -102,22 +103,91 @@ def categories(changes: DataFrame) -> DataFrame:
     return changes.withColumn("category", F.coalesce(kind, F.lit("unclassified")))
 
 
-def component_change(fresh: DataFrame, component: DataFrame) -> DataFrame:
+def links(fresh: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, top, node, own) of each sequence's new n-grams: the nodes that one contains or is contained in, and (own) the other new ones that it contains."""
+    subs = lambda rows: rows.withColumn("sub", F.explode(F.array_distinct(ngrams._all(F.col("tokens"))))).withColumn("sub", F.array_join("sub", corpus.BAR))
+    holds = subs(fresh.select("id", F.col("ngram").alias("top"), "tokens")).select("id", "top", F.col("sub").alias("node")).where("top <> node")
+    inside = holds.join(nodes.select(F.col("ngram").alias("node")), "node", "left_semi").select("id", "top", "node", F.lit(False).alias("own"))
+    around = subs(nodes.select("ngram", "tokens")).where("sub <> ngram").select(F.col("sub").alias("top"), F.col("ngram").alias("node"))
+    around = fresh.select("id", F.col("ngram").alias("top")).join(around, "top").select("id", "top", "node", F.lit(False).alias("own"))
+    own = holds.join(fresh.select("id", F.col("ngram").alias("node")), ["id", "node"], "left_semi").select("id", "top", "node", F.lit(True).alias("own"))
+    return inside.union(around).union(own).distinct()
+
+
+def component_change(fresh: DataFrame, linked: DataFrame, component: DataFrame) -> DataFrame:
     """(id, d_components): how many components fewer there are with a sequence's new n-grams; one that touches none adds one.
 
-    A new n-gram is linked to all nodes that it contains, so it joins their components into one; new n-grams of a
-    sequence that share a component are joined through it.
+    A new n-gram joins the components of all nodes that it is linked to into one; new n-grams of a sequence that share a
+    component are joined through it.
     """
-    holds = fresh.select("id", F.col("ngram").alias("top"), F.explode(F.array_distinct(ngrams._all(F.col("tokens")))).alias("sub")).select("id", "top", F.array_join("sub", corpus.BAR).alias("node"))
-    touched = holds.where("top <> node").join(component, "node").select("id", F.concat(F.lit("new:"), F.col("id").cast("string"), F.lit(":"), "top").alias("src"), F.concat(F.lit("old:"), F.col("id").cast("string"), F.lit(":"), F.col("component").cast("string")).alias("dst")).distinct()
-    alone = fresh.select("id", F.concat(F.lit("new:"), F.col("id").cast("string"), F.lit(":"), "ngram").alias("src")).distinct()
+    new = lambda c: F.concat(F.lit("new:"), F.col("id").cast("string"), F.lit(":"), c)
+    old = linked.where("not own").join(component, "node").select("id", new("top").alias("src"), F.concat(F.lit("old:"), F.col("id").cast("string"), F.lit(":"), F.col("component").cast("string")).alias("dst")).distinct()
+    touched = graph.cut(old.union(linked.where("own").select("id", new("top").alias("src"), new("node").alias("dst"))))
+    alone = fresh.select("id", new("ngram").alias("src")).distinct()
     groups = graph.connected_components(touched.select("src", "dst"))
     news = alone.join(groups, alone.src == groups.node, "left").select("id", F.coalesce("component", "src").alias("g"))
     after = news.groupBy("id").agg(F.count_distinct("g").alias("after"))
-    before = touched.groupBy("id").agg(F.count_distinct("dst").alias("before"))
+    before = touched.where("dst like 'old:%'").groupBy("id").agg(F.count_distinct("dst").alias("before"))
     return after.join(before, "id", "left").select("id", (F.coalesce("before", F.lit(0)) - F.col("after")).alias("d_components"))
 
 
+#: Into so many groups the sequences that touch a component are spread; its edges go to each that has some.
+SPREAD = 16
+
+
+def articulation_change(linked: DataFrame, component: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, d_articulation): how many articulation points fewer there are with the new n-grams of a sequence that have links.
+
+    Only nodes between linked ones can change. For each sequence, a component's tree of blocks is cut down to what lies
+    between its linked nodes, with a leaf where more hangs on a node; with the new n-grams these small graphs are counted.
+    """
+    kind = dict(linked.dtypes)["id"]
+    ends = linked.where("not own").select("id", "node").distinct().join(component, "node").withColumn("group", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).select("component", "group", "id", "node")
+    asked = ends.select(F.col("component").alias("whole"), F.col("group").alias("nth")).distinct()
+    own = edges.where("src <> dst").join(component.select("node", F.col("component").alias("whole")), F.col("src") == F.col("node")).join(asked, "whole").select("whole", "nth", "src", "dst")
+
+    def between(edges: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        parent = kernels.block_tree(kernels._adjacent(edges["src"], edges["dst"]))
+        blocks: dict = {}
+        for x, up in parent.items():
+            if up is not None:
+                node = up if isinstance(x, int) else x
+                blocks[node] = blocks.get(node, 0) + 1
+        rows = []
+        for id_, nodes in ends.groupby("id")["node"]:
+            ends_of, under = list(nodes), {}
+            for x in ends_of:
+                while x is not None:
+                    under[x] = under.get(x, 0) + 1
+                    x = parent.get(x)
+            top = ends_of[0]
+            while under[top] < len(ends_of):
+                top = parent[top]
+            degree = {top: 0}
+            name = lambda x: f"block:{part}:{x}" if isinstance(x, int) else f"node:{x}"
+            part = ends["component"].iloc[0]
+            for x, n in under.items():
+                if n < len(ends_of):
+                    up = parent[x]
+                    rows.append((id_, name(x), name(up), 0))
+                    degree[x], degree[up] = degree.get(x, 0) + 1, degree.get(up, 0) + 1
+            for x, n in degree.items():
+                if not isinstance(x, int):
+                    all_blocks = blocks.get(x, 0)
+                    rows.append((id_, name(x), f"more:{x}" if all_blocks > n else None, int(all_blocks > 1)))
+        return pd.DataFrame(rows, columns=["id", "src", "dst", "was"])
+
+    kept = ends.groupBy("component", "group").cogroup(own.groupBy("whole", "nth")).applyInPandas(lambda ends, own: between(own, ends), f"id {kind}, src string, dst string, was int")
+    new = linked.select("id", F.concat(F.lit("new:"), "top").alias("src"), F.concat(F.when(F.col("own"), "new:").otherwise("node:"), "node").alias("dst"), F.lit(0).alias("was"))
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        real = rows[rows["dst"].notna()]
+        now = kernels.cut_nodes(kernels.block_tree(kernels._adjacent(real["src"], real["dst"])))
+        return pd.DataFrame([(rows["id"].iloc[0], int(rows["was"].sum()) - sum(not x.startswith("block:") for x in now))], columns=["id", "d_articulation"])
+
+    return kept.union(new).groupBy("id").applyInPandas(count, f"id {kind}, d_articulation long")
+
+
 def recurrent(fused: DataFrame) -> DataFrame:
     """(tokens, patients, n_cancers, n_fusions) of sequences with several fusions; fused has tokens, patient, cancer, pair."""
     rows = fused.groupBy("tokens").agg(F.array_sort(F.collect_set("patient")).alias("patients"), F.count_distinct("cancer").alias("n_cancers"), F.count_distinct("pair").alias("n_fusions"))
@@ -150,18 +220,22 @@ def topology(architectures: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def impact(corpus_rows: DataFrame, fused: DataFrame, longest: int) -> DataFrame:
-    """(id, copies, new, d_components, category) of each distinct recombined sequence that brings new n-grams: the whole chain.
-
-    Articulation points are not recounted for each sequence, so d_articulation is 0 here; give it to ``categories`` where it is known.
-    """
+    """(id, copies, new, d_components, d_isolates, d_articulation, category) of each distinct recombined sequence that brings
+    new n-grams: the whole chain. Changes are those before less those after."""
     known = ngrams.support(ngrams.postings(corpus_rows, longest))
     nodes = graph.cut(ngrams.closed(known))
-    component = graph.components(nodes, ngrams.containment_edges(nodes))
+    edges = graph.cut(ngrams.containment_edges(nodes))
+    component = graph.components(nodes, edges)
     one = representatives(fused)
     fresh = graph.cut(new_ngrams(one, nodes, known, longest))
+    linked = graph.cut(links(fresh, nodes))
     counts = fresh.groupBy("id").agg(F.count(F.lit(1)).alias("new"))
-    changes = one.join(counts, "id").join(component_change(fresh, component), "id").withColumn("d_articulation", F.lit(0))
-    return categories(changes).select("id", "copies", "new", "d_components", "category")
+    ends = linked.select("id", F.col("top").alias("ngram")).union(linked.where("own").select("id", "node"))
+    lone = fresh.join(ends, ["id", "ngram"], "left_anti").select("id", F.lit(-1).alias("n"))
+    ended = linked.where("not own").join(graph.isolates(nodes, edges).select(F.col("ngram").alias("node")), "node", "left_semi").select("id", "node").distinct().select("id", F.lit(1).alias("n"))
+    isolates = lone.union(ended).groupBy("id").agg(F.sum("n").alias("d_isolates"))
+    changes = one.join(counts, "id").join(component_change(fresh, linked, component), "id").join(isolates, "id", "left").join(articulation_change(linked, component, edges), "id", "left").fillna(0, ["d_isolates", "d_articulation"])
+    return categories(changes).select("id", "copies", "new", "d_components", "d_isolates", "d_articulation", "category")
 
 
 def category_counts(changes: DataFrame, by: str = "cancer") -> DataFrame:

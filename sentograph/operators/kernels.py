@@ -75,6 +75,58 @@ def _by_component(edges: DataFrame, component: DataFrame, kernel, schema: str) -
     return rows.groupBy("component").applyInPandas(kernel, schema)
 
 
+def block_tree(adjacent: dict) -> dict:
+    """Parent of each node in a forest of nodes and blocks, a block being a largest set of nodes that no single one's removal
+    parts. A root's is None, a node's else a block (a number), a block's the node by which it hangs."""
+    number, low, parent, held, blocks = {}, {}, {}, [], 0
+    for root in adjacent:
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        parent[root] = None
+        stack = [(root, None, iter(adjacent[root]))]
+        while stack:
+            v, up, rest = stack[-1]
+            for w in rest:
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    held.append(w)
+                    stack.append((w, v, iter(adjacent[w])))
+                    break
+                if w != up:
+                    low[v] = min(low[v], number[w])
+            else:
+                stack.pop()
+                if stack:
+                    low[up] = min(low[up], low[v])
+                    if low[v] >= number[up]:
+                        parent[blocks] = up
+                        last = None
+                        while last != v:
+                            last = held.pop()
+                            parent[last] = blocks
+                        blocks += 1
+    return parent
+
+
+def cut_nodes(parent: dict) -> set:
+    """Nodes in several blocks of such a forest: without one of them its component falls apart."""
+    count: dict = {}
+    for x, up in parent.items():
+        if up is not None:
+            node = up if isinstance(x, int) else x
+            count[node] = count.get(node, 0) + 1
+    return {v for v, n in count.items() if n > 1}
+
+
+def _adjacent(src, dst) -> dict:
+    out: dict = {}
+    for a, b in zip(src, dst):
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set()).add(a)
+    return out
+
+
 def articulation(edges: DataFrame, component: DataFrame) -> DataFrame:
     """(node): nodes without which their component falls apart."""
     kind = component.schema["node"].dataType.simpleString()

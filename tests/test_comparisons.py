@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sentograph.operators import compare, fusion, kernels, labels, stats, survival
+from sentograph.operators import compare, fusion, kernels, labels, ngrams, stats, survival
 
 
 def test_labels(spark):
@@ -66,6 +66,46 @@ def test_strata_and_sample_size(spark):
     assert exposed == control and exposed == math.ceil((3 / 1) ** 2 * 2.8**2 / 1.2)
 
 
+def test_impact_against_whole_graphs(spark):
+    """Each sequence's graph is made anew, and its points counted by leaving out one node after the other."""
+    draw = random.Random(4)
+    own = [(i, [draw.choice("abcdefghijkl"[i % 3 * 4 : i % 3 * 4 + 4]) for _ in range(draw.choice([1, 2, 3, 4]))]) for i in range(26)] + [(90, ["p", "q"]), (91, ["r"]), (92, ["r", "s", "t"])]
+    fused = [(i, [draw.choice("abcdefghijklpqrstxy") for _ in range(draw.choice([1, 2, 3, 4]))]) for i in range(70)] + [(70, ["p"]), (71, ["a", "x", "r"]), (72, ["x", "y"]), (73, ["s", "t"])]
+    schema = "id long, tokens array<string>"
+    windows = lambda t: {tuple(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    inside = lambda a, b: a != b and a in windows(b)
+    corpus_rows = spark.createDataFrame(own, schema)
+    nodes = {tuple(r["tokens"]) for r in ngrams.closed(ngrams.support(ngrams.postings(corpus_rows, 3))).collect()}
+
+    def parts(every):
+        left, n = set(every), 0
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                v = todo.pop()
+                near = {w for w in left if inside(v, w) or inside(w, v)}
+                left -= near
+                todo += near
+        return n
+
+    def measures(every):
+        whole, lone = parts(every), {v for v in every if not any(inside(v, w) or inside(w, v) for w in every)}
+        return whole, len(lone), sum(parts(every - {v}) > whole for v in every)
+
+    before, seen = measures(nodes), set()
+    rows = {r["id"]: r for r in fusion.impact(corpus_rows, spark.createDataFrame(fused, schema), 3).collect()}
+    fresh = {}
+    known = ngrams.support(ngrams.postings(corpus_rows, 3))
+    for r in fusion.new_ngrams(fusion.representatives(spark.createDataFrame(fused, schema)), ngrams.closed(known), known, 3).collect():
+        fresh.setdefault(r["id"], set()).add(tuple(r["tokens"]))
+    assert set(rows) == set(fresh) and len(rows) > 40
+    for i, new in fresh.items():
+        want = tuple(b - a for b, a in zip(before, measures(nodes | new)))
+        assert (rows[i]["d_components"], rows[i]["d_isolates"], rows[i]["d_articulation"]) == want, fused[i]
+        seen.add(rows[i]["category"])
+    assert {"adds redundancy", "adds a bridge"} <= seen
+
+
 def test_topology_falls_back_to_like_architectures(spark):
     genes = spark.createDataFrame([("g1", "A"), ("g2", "A"), ("g3", "B")], "gene string, architecture string")
     own = spark.createDataFrame([("g2", "TM")], "gene string, topology string")
