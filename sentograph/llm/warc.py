@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import open_fs, publish, stored
 
 MAGIC = b"WARC/1.1\r\n"
-#: Bytes of a range, and of a header at most.
+#: Bytes of a range, and bytes that are read at once beyond it; a header that is longer is read to its end.
 RANGE, HEADER = 16 << 20, 1 << 16
 #: Up to so many digests of repeated payloads (some 100 bytes each) are broadcast; more are joined by shuffle.
 MOST_HEADS = 200_000
@@ -44,7 +44,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         block += payload
     lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_name(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url[: HEADER // 8]))
+        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url))
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -95,19 +95,49 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload:
     return [r.asDict() for r in rows.mapInArrow(write, "file string, records long, bytes long").collect()]
 
 
-def _parse(data, at: int):
-    """(header lines, start of the block, its length) of a record whose header begins at a place in the bytes; None if it is none."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
-    if end < 0 or data[at : at + len(MAGIC)] != MAGIC:
-        return None
-    fields = {}
-    for line in data[at + len(MAGIC) : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
+class _Window:
+    """Bytes of a file from a place on; more are read as a header needs them."""
+
+    def __init__(self, stream, start: int, stop: int, size: int):
+        stream.seek(start)
+        self.stream, self.data, self.left, self.end = stream, bytearray(stream.read(stop - start)), size - stop, -1
+
+    def upto(self, length: int) -> None:
+        """Reads on until it holds so many bytes, or the file ends."""
+        while len(self.data) < length and self.left > 0:
+            more = self.stream.read(min(max(length - len(self.data), HEADER), self.left))
+            self.left = self.left - len(more) if more else 0
+            self.data += more
+
+    def parse(self, at: int):
+        """(header lines, start of the block, its length) of a record whose header begins at a place in the bytes; None if it is none."""
+        self.upto(at + len(MAGIC))
+        if not self.data.startswith(MAGIC, at):
+            return None
+        line = at + len(MAGIC)
+        if self.end < at:  # else the header's end is that found for an earlier place
+            seen = at
+            while (end := self.data.find(b"\r\n\r\n", seen)) < 0 and self.left > 0:
+                # A line without a colon is no header's; what follows need not be read.
+                while (stop := self.data.find(b"\r\n", line)) >= 0:
+                    if self.data.find(b":", line, stop) < 0:
+                        return None
+                    line = stop + 2
+                seen = max(at, len(self.data) - 3)
+                self.upto(2 * len(self.data))
+            if end < 0:
+                return None
+            self.end = end
+        if self.data.find(b"\r\n" + MAGIC, at, self.end) >= 0:  # a line without a colon
             return None
-        fields[name.strip().lower()] = value.strip()
-    length = fields.get(b"content-length", b"")
-    return (fields, end + 4, int(length)) if length.isdigit() and len(length) < 19 else None
+        fields = {}
+        for line in bytes(self.data[at + len(MAGIC) : self.end]).split(b"\r\n"):
+            name, colon, value = line.partition(b":")
+            if not colon:
+                return None
+            fields[name.strip().lower()] = value.strip()
+        length = fields.get(b"content-length", b"")
+        return (fields, self.end + 4, int(length)) if length.isdigit() and len(length) < 19 else None
 
 
 def ranges(spark: SparkSession, files: list[dict], step: int = RANGE) -> DataFrame:
@@ -126,13 +156,12 @@ def candidates(cut: DataFrame) -> DataFrame:
                 start, stop, size = row["start"], row["stop"], row["bytes"]
                 files, path = open_fs(row["file"])
                 with files.open_input_file(path) as stream:
-                    stream.seek(start)
-                    data = stream.read(min(stop + HEADER, size) - start)
-                follow, at = {}, data.find(MAGIC)
-                while 0 <= at < stop - start:
-                    if found := _parse(data, at):
-                        follow[start + at] = start + found[1] + found[2] + 4
-                    at = data.find(MAGIC, at + 1)
+                    window = _Window(stream, start, min(stop + HEADER, size), size)
+                    follow, at = {}, window.data.find(MAGIC)
+                    while 0 <= at < stop - start:
+                        if found := window.parse(at):
+                            follow[start + at] = start + found[1] + found[2] + 4
+                        at = window.data.find(MAGIC, at + 1)
                 leaves = {}
                 for at in sorted(follow, reverse=True):
                     to = follow[at]
@@ -178,28 +207,24 @@ def read_archives(spark: SparkSession, files: list[dict], step: int = RANGE, sto
                 files, path = open_fs(row["file"])
                 out = []
                 with files.open_input_file(path) as stream:
-                    stream.seek(row["entry"])
-                    data, base = stream.read(row["stop"] - row["entry"]), row["entry"]
-                    at = base
+                    base = at = row["entry"]
+                    window = _Window(stream, base, row["stop"], row["bytes"])
                     while at < row["stop"]:
-                        if at - base + HEADER > len(data) and base + len(data) < row["bytes"]:
-                            data += stream.read(HEADER)
-                        parsed = _parse(data, at - base)
+                        parsed = window.parse(at - base)
                         if not parsed:
                             break
                         fields, begin, length = parsed
                         if base + begin + length + 4 > row["bytes"]:
                             break
-                        if begin + length + 4 > len(data):
-                            data += stream.read(begin + length + 4 - len(data))
-                        block = memoryview(data)[begin : begin + length]
-                        http = data.find(b"\r\n\r\n", begin, begin + length)
-                        sized = re.search(rb"\r\nContent-Length: (\d+)\r\n", data[begin : http + 2])
+                        window.upto(begin + length + 4)
+                        block = bytes(window.data[begin : begin + length])
+                        http = block.find(b"\r\n\r\n")
+                        sized = re.search(rb"\r\nContent-Length: (\d+)\r\n", block[: http + 2])
                         digest = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode()
                         kind = fields.get(b"warc-type", b"").decode()
                         page, refers = fields.get(b"x-page-id"), fields.get(b"x-refers-to-page")
                         if kind == "response":
-                            payload = block[http + 4 - begin :]
+                            payload = memoryview(block)[http + 4 :]
                             true = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                             out.append((int(page) if page else None, kind, None, len(payload), true, true == digest, row["file"], at))
                         else:

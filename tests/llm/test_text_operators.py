@@ -187,6 +187,18 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0), str(tmp_path / "n"))).collect() == []
 
 
+def test_archives_with_long_headers(spark, tmp_path):
+    urls = [f"data:,{'x' * 100_000}{i}" for i in range(3)] + ["http://h/"]
+    bodies = ["first", "WARC/1.1\r\nX: " + "y" * 200_000, "WARC/1.1\r\nno colon\r\n" + "z" * 200_000, "last"]
+    pages = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(zip(urls, bodies))], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(pages, str(tmp_path / "w"))
+    data = b"".join(open(f["file"], "rb").read() for f in files)
+    assert sorted(re.findall(rb"WARC-Target-URI: (.*)\r\n", data)) == sorted(u.encode() for u in urls)
+    for step in (70_000, 1 << 24):
+        rows = warc.read_archives(spark, files, step).collect()
+        assert sorted((r["page_id"], r["payload_bytes"], r["digest_ok"]) for r in rows) == [(i, len(b), True) for i, b in enumerate(bodies)]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
