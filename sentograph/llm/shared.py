@@ -6,23 +6,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
+#: Used only where a local session names no folder, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints/sentograph"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a default where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a default where it is unset and all runs on one machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = DEFAULT_SHARED
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Folders that this process has made and not removed.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all intermediate folders that this process made, for when its results are no longer read. Returns how many."""
+    gone = 0
+    while _made:
+        files, path = open_fs(_made.pop())
+        if files.get_file_info(path).type.name == "Directory":
+            files.delete_dir(path)
+            gone += 1
+    return gone
 
 
 #: Bytes of an Arrow batch that goes to Python, for operators over texts; Spark's own bound is 64 MiB, for each of several buffers a task.
@@ -55,18 +74,35 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class Draft:
+    """A file under a name of its own that takes its place when it is closed: a task that runs twice leaves one whole file."""
+
+    def __init__(self, uri: str):
+        self.files, self.path = open_fs(uri)
+        self.files.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.draft, self.size = f"{self.path}.{uuid.uuid4().hex}.draft", 0
+        self.out = self.files.open_output_stream(self.draft, compression=None)
+
+    def write(self, data) -> int:
+        """Adds the bytes; returns where they begin."""
+        at = self.size
+        self.out.write(data)
+        self.size += len(data)
+        return at
+
+    def close(self) -> int:
+        self.out.close()
+        try:
+            self.files.move(self.draft, self.path)
+        except OSError:  # some stores don't replace a file that an earlier run of the task left
+            self.files.delete_file(self.path)
+            self.files.move(self.draft, self.path)
+        return self.size
+
+
 def publish(uri: str, chunks) -> int:
-    """Writes the chunks to a file of a name of its own, then renames it: a task that runs twice leaves one whole file. Returns its size."""
-    files, path = open_fs(uri)
-    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    draft, size = f"{path}.{uuid.uuid4().hex}.draft", 0
-    with files.open_output_stream(draft, compression=None) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    try:
-        files.move(draft, path)
-    except OSError:  # some stores don't replace a file that an earlier run of the task left
-        files.delete_file(path)
-        files.move(draft, path)
-    return size
+    """Writes the chunks as a whole file. Returns its size."""
+    out = Draft(uri)
+    for chunk in chunks:
+        out.write(chunk)
+    return out.close()
