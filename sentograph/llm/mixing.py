@@ -6,7 +6,8 @@ that time gives the training order. Running sums are taken in two steps, over ha
 a bucket, so that no task holds a source. Everything is DataFrame functions.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, last in order; repeated
-rows are documents of their own; an empty table gives an empty result; a source of only empty documents has target 0.
+rows and rows without a key are documents of their own, each on its own share; an empty table gives an empty result; a source
+of only empty documents has target 0; columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-#: Hex digits of the key that name a bucket: 4096 a source.
+#: Hex digits of a document's MD5 that name its bucket: 4096 a source.
 DIGITS = 3
 
 
@@ -73,42 +74,60 @@ def due(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return out
 
 
-def plan(documents: DataFrame, recipe: Recipe = Recipe(), text: str = "text", key: str = "doc_id", store=stored) -> DataFrame:
-    """(key, source, size, source_size, target, epochs, taken, positions) for each document, in training order.
+def numbered(documents: DataFrame, text: str, key: str, *more: Column) -> DataFrame:
+    """(key, source, size, order, number, more...) of each row: what tells it from all others. The number is the row's place in
+    its task, so it has to be written before it is used."""
+    order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    return documents.select(F.col(key).alias("key"), F.col("source").alias("source"), sizes(F.col(text)).alias("size"), order.alias("order"), F.monotonically_increasing_id().alias("number"), *more)
 
-    epochs: times that the mix takes the document, 0 to ``most``; positions: the time of each. Every source takes all
-    its documents in whole epochs and, for what is left of its target, those first in the order of the MD5 of their
-    key, a document if at least half of it fits. Documents that are not taken come last.
+
+def placed(rows: DataFrame, recipe: Recipe, store) -> DataFrame:
+    """(number, key, source, size, source_size, target, epochs, positions, order) of each of the numbered rows.
+
+    Rows that are alike are one row of the running sums for each task that they came from, so no bucket holds a hot key's copies.
     """
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    sized = store(documents.select(F.col(key), "source", sizes(F.col(text)).alias("size"), order.alias("order")), "sizes")
-    sized = sized.withColumn("bucket", F.substring("order", 1, DIGITS))
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    rows = rows.withColumn("bucket", F.substring("order", 1, DIGITS))
+    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     buckets = buckets.withColumn("bucket_start", F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("bucket_size"))
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), recipe)
+    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), recipe)
     known = store(buckets.join(goals.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), "bucket_start", "source_size", "nth", "target"), "buckets")
-    within = W.partitionBy("source", "bucket").orderBy("order", key, "size").rowsBetween(W.unboundedPreceding, 0)
-    run = sized.withColumn("inside", F.sum("size").over(within) - F.col("size"))
+    # A number's upper bits are those of its task.
+    alike = rows.groupBy("source", "bucket", "order", "key", "size", F.shiftright("number", 33).alias("task")).agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+    own = F.col("size") * F.size("numbers")
+    within = W.partitionBy("source", "bucket").orderBy("order", "key", "size", "task").rowsBetween(W.unboundedPreceding, 0)
+    run = alike.withColumn("inside", F.sum(own).over(within) - own)
     run = run.join(known, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("__bucket"))).drop("__source", "__bucket")
+    run = run.select("*", F.posexplode("numbers").alias("copy", "number")).drop("numbers")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    start, half = F.col("bucket_start") + F.col("inside"), F.col("size") / 2
+    start, half = F.col("bucket_start") + F.col("inside") + F.col("copy") * F.col("size"), F.col("size") / 2
     more = (F.col("size") > 0) & (start + half <= F.col("target") - F.col("whole") * F.col("source_size"))
     taken = run.withColumn("whole", whole.cast("int")).withColumn("epochs", (F.when(F.col("size") > 0, F.col("whole")).otherwise(0) + more.cast("int")).cast("int"))
     share = lambda k: F.least(F.lit(1.0), (k * F.col("source_size") + start + half) / F.col("target"))
     kinds = len(recipe.schedules)
-    at = lambda k: (lambda own: F.coalesce(*[F.when(F.col("nth") % kinds == i, x) for i, x in enumerate(own)]))([due(share(k), s) for s in recipe.schedules])
+    at = lambda k: (lambda due_at: F.coalesce(*[F.when(F.col("nth") % kinds == i, x) for i, x in enumerate(due_at)]))([due(share(k), s) for s in recipe.schedules])
     positions = F.filter(F.array(*[F.when(F.col("epochs") > k, at(k)) for k in range(recipe.most)]), lambda x: x.isNotNull())
-    placed = taken.select(key, "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"), positions.alias("positions"), "order")
+    return taken.select("number", "key", "source", "size", "source_size", "target", "epochs", positions.alias("positions"), "order")
+
+
+def plan(documents: DataFrame, recipe: Recipe = Recipe(), text: str = "text", key: str = "doc_id", store=stored) -> DataFrame:
+    """(key, source, size, source_size, target, epochs, taken, positions) for each document, in training order.
+
+    epochs: times that the mix takes the document, 0 to ``most``; positions: the time of each. Every source takes all
+    its documents in whole epochs and, for what is left of its target, those first in the order of the MD5 of their
+    key and text, a document if at least half of it fits. Documents that are not taken come last.
+    """
+    found = placed(store(numbered(documents, text, key), "sizes"), recipe, store)
     rank = F.coalesce(F.try_element_at("positions", F.lit(1)), 1 + F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 2.0**32)
-    return placed.withColumn("__at", rank).orderBy("__at", "order").drop("__at", "order")
+    found = found.withColumn("__at", rank).orderBy("__at", "order", "number")
+    return found.select(F.col("key").alias(key), "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"), "positions")
 
 
 def mix(documents: DataFrame, recipe: Recipe = Recipe(), text: str = "text", key: str = "doc_id", store=stored) -> DataFrame:
-    """The documents in training order, each as often as the mix takes it; all columns stay.
+    """The documents in training order, each as often as the plan takes it; all columns stay.
 
-    A repeated key takes as often as the plan has for its rows, each row on its own share."""
-    found = plan(documents, recipe, text, key, store).where("epochs > 0").select(F.col(key).alias("__key"), F.col("size").alias("__size"), "positions")
-    rows = found.groupBy("__key", "__size").agg(F.max("positions").alias("positions")).select("__key", "__size", F.explode("positions").alias("__at"))
+    The rows are written once with their numbers, by which each gets its own positions, whatever its key."""
+    marked = store(numbered(documents, text, key, F.struct("*").alias("row")), "numbered")
+    found = placed(marked.drop("row"), recipe, store).where("epochs > 0").select("number", "order", F.explode("positions").alias("at"))
     # The plan has a row for each document, so it is never broadcast.
-    joined = documents.join(rows.hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (sizes(F.col(text)) == F.col("__size")))
-    return joined.orderBy("__at", key).select(*[F.col(c) for c in documents.columns])
+    joined = marked.select("row", "number").join(found.hint("merge"), "number")
+    return joined.orderBy("at", "order", "number").select("row.*")
