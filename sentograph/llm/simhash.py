@@ -7,12 +7,14 @@ covering radius 1 of an anchor. Every fingerprint goes to its nearest anchor as
 radius plus threshold, 1 + 1 = 2, as a visitor (14 or more of 2**17); of two linked fingerprints one visits the other at its home in
 some block. Fingerprints are compared anchor by anchor, residents with visitors.
 
-Copies share a fingerprint and are one node, so groups of copies cost nothing. Anchors are a join key, and adaptive
-execution splits the hot ones.
+Fingerprints are the nodes, so groups of copies cost nothing. Groups of different fingerprints that all link are drawn together
+over a representative of each anchor first, and the comparison after that keeps pairs of groups only. Anchors are a join key, and
+adaptive execution splits the hot ones.
 
 Defined results: a null or empty text has no words, fingerprint zero, and links like any other; texts of fewer words
-than a shingle hash their whole sequence; repeated rows each get a result; a null id is returned, and never names a
-component unless its group has no other; an empty table gives an empty result.
+than a shingle hash their whole sequence; repeated rows each get a result, and rows of one id with different texts are rows like
+others; a null id is returned, links like others, and never names a component unless its group has no other; an empty table gives
+an empty result; columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -107,22 +109,58 @@ def _moved(value: Column, base: int):
     return lambda mask: value.bitwiseXOR(mask) + F.lit(base)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(src, dst) node pairs, src < dst, whose fingerprints link. distinct: (node, fp), a row for each fingerprint."""
-    home = distinct.select(F.explode(_anchors(F.col("fp"), 1)).alias("anchor"), F.col("fp").alias("home_fp"), F.col("node").alias("home_node"))
-    guest = distinct.select(F.explode(_anchors(F.col("fp"), None)).alias("anchor"), "fp", "node")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("home_fp"))) <= RADIUS
-    return guest.join(home, [guest.anchor == home.anchor, near, F.col("node") < F.col("home_node")]).select(F.col("node").alias("src"), F.col("home_node").alias("dst"))
+def _at_home(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.explode(_anchors(F.col("fp"), 1)).alias("anchor"), "fp", "root")
+
+
+def _near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
+
+
+def first_links(nodes: DataFrame) -> DataFrame:
+    """(src, dst) links of the fingerprints of an anchor to its smallest and its largest resident: few, and enough to draw a dense group together.
+
+    Representatives are at most two for each of 2**19 anchors (some 12 MB), so they are broadcast."""
+    home = _at_home(nodes)
+    chosen = home.groupBy(F.col("anchor").alias("a")).agg(F.array(F.min("fp"), F.max("fp")).alias("chosen"))
+    pairs = home.join(F.broadcast(chosen), F.col("anchor") == F.col("a")).select("fp", F.explode("chosen").alias("other"))
+    return pairs.where((F.col("fp") != F.col("other")) & _near(F.col("fp"), F.col("other"))).select(F.col("fp").alias("src"), F.col("other").alias("dst"))
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """(src, dst) pairs of roots, src < dst, once each, that a link joins. nodes: (fp, root), a row for each fingerprint; root is its group so far.
+
+    Pairs are made distinct before they are shuffled, so what leaves a task grows with the groups that it joins, not with the links."""
+    home = _at_home(nodes).select(F.col("anchor").alias("a"), F.col("fp").alias("home_fp"), F.col("root").alias("home_root"))
+    guest = nodes.select(F.explode(_anchors(F.col("fp"), None)).alias("anchor"), "fp", "root")
+    found = guest.join(home, [F.col("anchor") == F.col("a"), _near(F.col("fp"), F.col("home_fp")), F.col("root") < F.col("home_root")])
+    return found.select(F.col("root").alias("src"), F.col("home_root").alias("dst")).distinct()
+
+
+def merged(nodes: DataFrame, edges: DataFrame, store) -> DataFrame:
+    """The nodes with their roots joined by links between them."""
+    found = connected_components(edges, lambda df: store(df, "components"))
+    return nodes.join(found, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("component", "root").alias("root"))
+
+
+def groups(fingerprinted: DataFrame, store) -> DataFrame:
+    """(fp, root) of each fingerprint: root is the same for all that are reachable over links.
+
+    Dense groups are drawn together over their representatives first; then only links between different groups are left."""
+    nodes = store(fingerprinted.select("fp").distinct().select("fp", F.col("fp").alias("root")), "distinct")
+    nodes = store(merged(nodes, first_links(nodes), store), "drawn")
+    return store(merged(nodes, links(nodes), store), "groups")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", store=stored) -> DataFrame:
     """(key, fp, component_id) for each document: fp as a long, component_id the smallest key reachable over links."""
     bounded_batches(documents.sparkSession)
     marked = store(documents.select(F.col(key).alias("__key"), fingerprints(F.col(text)).alias("fp")), "fingerprints")
-    distinct = store(marked.groupBy("fp").agg(F.min("__key").alias("node")), "distinct")
-    components = connected_components(links(distinct.where("node is not null")), lambda df: store(df, "components"))
-    groups = distinct.join(components, "node", "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "node").alias("component_id"))
-    return marked.join(groups, marked.fp == F.col("__fp")).select(F.col("__key").alias(key), "fp", "component_id")
+    found = groups(marked, store)
+    least = marked.groupBy("fp").agg(F.min("__key").alias("least")).join(found, "fp")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = found.join(named, "root").select(F.col("fp").alias("__fp"), "component_id")
+    return marked.join(known, marked.fp == F.col("__fp")).select(F.col("__key").alias(key), "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -130,19 +168,21 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Up to so many keys (8 bytes each) of documents to leave out are broadcast; more are joined by shuffle.
+#: Up to so many numbers (8 bytes each) of rows to leave out are broadcast; more are joined by shuffle.
 MOST_BROADCAST = 500_000
 
 
-def one_of_each(documents: DataFrame, text: str = "text", key: str = "doc_id", store=stored) -> DataFrame:
-    """The documents without those that have a smaller key in their group; all columns stay. Of rows that share such a key
-    and a group one stays. Documents without a key can't be told apart and stay."""
-    found = near_duplicates(documents, text, key, store).where(F.col(key).isNotNull())
-    chosen = store(found.groupBy(F.col(key).alias("__key")).agg(F.count_if(F.col(key) == F.col("component_id")).alias("__n")).where("__n <> 1"), "chosen")
-    gone, again = chosen.where("__n = 0").select("__key"), chosen.where("__n > 1").select("__key")
-    small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-    kept = documents.join(small(gone), F.col(key) == F.col("__key"), "left_anti")
-    if again.isEmpty():
-        return kept
-    repeated = documents.join(small(again), F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key])
-    return kept.join(small(again), F.col(key) == F.col("__key"), "left_anti").unionByName(repeated)
+def one_of_each(documents: DataFrame, text: str = "text", key: str = "doc_id", store=stored, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """One row of each group, with all columns: that with the smallest key, and of several the one with the smallest fingerprint
+    and then the first. Rows without a key come after all others.
+
+    The rows are written once with fingerprint and number, so each is judged by itself, whatever its key."""
+    bounded_batches(documents.sparkSession)
+    marked = store(documents.select(F.struct("*").alias("row"), F.col(key).alias("key"), fingerprints(F.col(text)).alias("fp"), F.monotonically_increasing_id().alias("number")), "fingerprints")
+    narrow = marked.select("key", "fp", "number")
+    rank = F.struct(F.col("key").isNull(), "key", "fp", "number")
+    # First by fingerprint, so that copies are one row before they meet their group.
+    best = narrow.groupBy("fp").agg(F.min(rank).alias("best")).join(groups(marked, store), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    gone = store(narrow.join(best.select(F.col("best.number").alias("stays")), F.col("number") == F.col("stays"), "left_anti").select(F.col("number").alias("__gone")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone.hint("merge")
+    return marked.join(gone, F.col("number") == F.col("__gone"), "left_anti").select("row.*")
