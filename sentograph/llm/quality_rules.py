@@ -1,7 +1,8 @@
 """Quality rules: base counts of every document and a decision list learned from labels.
 
 Sequential covering: while documents of low quality are left, grow a conjunction of thresholds that covers them
-purely, prune it on rows that were held back, and put it on the list. The list becomes an ordered chain of Spark
+purely, prune it on rows that were held back, and put it on the list if it is pure enough, else set its region aside and grow
+elsewhere. The list becomes an ordered chain of Spark
 conditional expressions. Everything on the path is DataFrame functions; the driver sees only counts by cell of the
 threshold grid, whose number is bounded by the grid and not by the data.
 
@@ -102,54 +103,71 @@ def _thresholds(rows: DataFrame, steps: int) -> dict[str, list[float]]:
     return {f: sorted({*(got[f] or ()), *(got[f"low_{f}"] or ())}) for f in FEATURES}
 
 
-def learn(rows: DataFrame, steps: int = 4, most_rules: int = 8, most_tests: int = 3, purity: float = 0.99, least: int = 10) -> list[Rule]:
+def learn(rows: DataFrame, steps: int = 4, most_rules: int = 8, most_tests: int = 3, purity: float = 0.99, least: int = 10, most_tries: int = 64) -> list[Rule]:
     """The decision list for rows of FEATURES, quality (0 or 1) and fold (0 to 2; 2 is held back for pruning).
 
     steps: quantiles a feature, twice; the grid has at most (2 * steps + 1) ** 5 cells, which bounds what the driver gets.
-    purity: a rule stays if at least this share of the held-back rows that it covers is of low quality; least: and so many of the grown ones.
+    purity: a rule stays if at least this share of the held-back rows that it covers, and of all that it covers, is of low quality;
+    least: and so many of all. A conjunction that doesn't stay is set aside: growing leaves out what it covers from then on, and
+    goes on elsewhere, for at most most_tries conjunctions and most_rules rules. Ties go to the first test in order of feature, threshold and operator.
     """
     cuts = _thresholds(rows, steps)
     cell = [sum([(F.col(f) > x).cast("int") for x in cuts[f]], F.lit(0)).alias(f) for f in FEATURES]
     low = F.col("quality") == 0
-    cells = [
-        (tuple(r[f] for f in FEATURES), r["part"], r["bad"], r["good"])
-        for r in rows.select(*cell, (F.col("fold") == 2).alias("part"), "quality").groupBy(*FEATURES, "part").agg(F.count_if(low).alias("bad"), F.count_if(~low).alias("good")).collect()
-    ]
-    tests = [(k, op, j) for k, f in enumerate(FEATURES) for j in range(len(cuts[f])) for op in (">", "<=")]
-    meets = lambda c, t: (c[t[0]] > t[2]) == (t[1] == ">")
-
-    def covered(over, chosen):
-        hit = [x for x in over if all(meets(x[0], t) for t in chosen)]
-        return sum(x[2] for x in hit), sum(x[3] for x in hit)
-
-    rules: list[Rule] = []
-    while len(rules) < most_rules:
-        grown, kept_back = [x for x in cells if not x[1]], [x for x in cells if x[1]]
-        chosen: list[tuple[int, str, int]] = []
-        bad, good = covered(grown, chosen)
-        here = grown
+    counts = rows.select(*cell, (F.col("fold") == 2).alias("part"), "quality").groupBy(*FEATURES, "part").agg(F.count_if(low).alias("bad"), F.count_if(~low).alias("good")).collect()
+    return cover([(tuple(r[f] for f in FEATURES), r["part"], r["bad"], r["good"]) for r in counts], cuts, most_rules, most_tests, purity, least, most_tries)
+
+
+def cover(cells: list[tuple], cuts: dict[str, list[float]], most_rules: int, most_tests: int, purity: float, least: int, most_tries: int) -> list[Rule]:
+    """The list from counts by cell: (number of thresholds below the value for each feature, whether held back, low, high)."""
+    import numpy as np
+
+    cells = sorted(cells)
+    place = np.array([c[0] for c in cells], np.int64).reshape(len(cells), len(FEATURES))
+    back, low, high = (np.array([c[k] for c in cells]) for k in (1, 2, 3))
+    back = back.astype(bool)
+    tests = [(k, j, op) for k, f in enumerate(FEATURES) for j in range(len(cuts[f])) for op in (">", "<=")]
+    meets = [(place[:, k] > j) == (op == ">") for k, j, op in tests]
+    left, aside, rules = np.ones(len(cells), bool), np.zeros(len(cells), bool), []
+    total = lambda over: (int(low[over].sum()), int(high[over].sum()))
+    both = lambda chosen: np.logical_and.reduce([meets[t] for t in chosen]) if chosen else np.ones(len(cells), bool)
+
+    def worth(chosen):
+        b, g = total(left & back & both(chosen))
+        return (b - g) / (b + g) if b + g else -1.0
+
+    for _ in range(most_tries):
+        here, chosen = left & ~aside & ~back, []
+        bad, good = total(here)
+        if len(rules) >= most_rules or not bad:
+            break
         while good and bad and len(chosen) < most_tests:
-            was = math.log2(bad / (bad + good))
-            sums = [(t, *covered(here, [t])) for t in tests]
-            best = max(((b * (math.log2(b / (b + g)) - was), t) for t, b, g in sums if b >= least), default=(0, None), key=lambda x: x[0])
-            if best[1] is None or best[0] <= 1e-9:
+            was, best, gain = math.log2(bad / (bad + good)), None, 1e-9
+            for t, hit in enumerate(meets):
+                b, g = total(here & hit)
+                if b >= least and (x := b * (math.log2(b / (b + g)) - was)) > gain + 1e-12:
+                    best, gain = t, x
+            if best is None:
                 break
-            chosen.append(best[1])
-            here = [x for x in here if meets(x[0], best[1])]
-            bad, good = covered(here, [])
+            chosen.append(best)
+            here = here & meets[best]
+            bad, good = total(here)
+        if not chosen:
+            break
+        grown = here
         # Prune: leave off tests while that does not lower the worth on the rows held back.
-        worth = lambda own: (lambda b, g: (b - g) / (b + g) if b + g else -1)(*covered(kept_back, own))
         while len(chosen) > 1:
-            shorter = max(([t for t in chosen if t is not x] for x in chosen), key=worth)
+            shorter = max(([t for t in chosen if t != x] for x in chosen), key=worth)
             if worth(shorter) < worth(chosen):
                 break
             chosen = shorter
-        bad, good = covered(cells, chosen)
-        held = covered(kept_back, chosen)
-        if not chosen or bad < least or bad < purity * (bad + good) or held[0] < purity * sum(held) or not held[0]:
-            break
-        rules.append(Rule(tuple((FEATURES[k], op, cuts[FEATURES[k]][j]) for k, op, j in chosen), bad, good))
-        cells = [x for x in cells if not all(meets(x[0], t) for t in chosen)]
+        bad, good = total(left & both(chosen))
+        held = total(left & back & both(chosen))
+        if bad < least or bad < purity * (bad + good) or held[0] < purity * sum(held) or not held[0]:
+            aside |= grown
+            continue
+        rules.append(Rule(tuple((FEATURES[tests[t][0]], tests[t][2], cuts[FEATURES[tests[t][0]]][tests[t][1]]) for t in chosen), bad, good))
+        left &= ~both(chosen)
     return rules
 
 
@@ -194,7 +212,16 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", most_labels
     most_labels: the documented bound of the sample of labelled rows on which the list is fitted; the sample is broadcast.
     """
     own = documents.select("doc_id", text).join(F.broadcast(sampled(labels, most_labels)), "doc_id")
-    return learn(labelled(with_counts(own, text)).cache())
+    return _learned(labelled(with_counts(own, text)))
+
+
+def _learned(rows: DataFrame) -> list[Rule]:
+    """The sample's features are kept for the two passes over them, and no longer."""
+    kept_rows = rows.cache()
+    try:
+        return learn(kept_rows)
+    finally:
+        kept_rows.unpersist()
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, text: str = "text", most_labels: int = 200_000, store=None) -> tuple[DataFrame, list[Rule]]:
@@ -207,7 +234,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, text: str = "text", m
         rules = fit(documents, labels, text, most_labels)
         return judge(with_counts(documents, text), rules), rules
     counted = store(with_counts(documents.select("doc_id", text), text).drop(text))
-    rules = learn(labelled(counted.join(F.broadcast(sampled(labels, most_labels)), "doc_id")).cache())
+    rules = _learned(labelled(counted.join(F.broadcast(sampled(labels, most_labels)), "doc_id")))
     return judge(counted, rules), rules
 
 
