@@ -5,7 +5,7 @@ evaluated against the entries active at the time of its fetch. A capture's URL g
 domain above, and every path prefix; so the join is on equal keys, and its as-of part is on equal spans of time as
 well: an interval stands in each span that it reaches into, and a capture in its own.
 
-Patterns: kind "host" (that host), "domain" (it and all hosts below), "prefix" (host and leading path segments).
+Patterns: kind "host" (that host), "domain" (it and all hosts below, of a single label too), "prefix" (host and leading path segments).
 Of several hits the longest pattern decides, and of equal ones "allow".
 
 Defined results: a null or unreadable URL has no host and no hit; a null time hits nothing; repeated captures each get
@@ -40,7 +40,7 @@ def keys_of(url: Column) -> Column:
     host = host_of(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
+    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
     steps = F.array_remove(F.split(path_of(url), "/"), "")
     prefixes = F.transform(F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: i > 0), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")).alias("pattern")))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern")))
@@ -60,7 +60,7 @@ def validity(entries: DataFrame) -> DataFrame:
     return spans.where(starts).select(*names, F.col("at").alias("since"), "until")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", at: str = "fetched_at") -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", at: str = "fetched_at", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(key, url, at, host, n_hits, lists, verdict) of each capture: verdict is the deciding policy, or "none"."""
     second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     held = validity(entries).select("list", "policy", F.col("kind").alias("k"), F.col("pattern").alias("p"), second("since").alias("since"), second("until").alias("until"))
@@ -69,8 +69,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url:
     ends = F.least(F.coalesce(F.col("until") - 1, F.lit(last)), F.lit(last))
     span = lambda c: F.floor(c / SPAN).cast("long")
     held = held.where(F.col("since") <= ends).withColumn("s", F.explode(F.sequence(span(F.col("since")), span(ends))))
-    if held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if held.limit(most_broadcast + 1).count() <= most_broadcast:
         held = F.broadcast(held)
+    else:
+        held = held.hint("merge")
     # The null key stands for the capture itself.
     none = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("pattern")))
     asked = own.withColumn("m", F.explode(F.concat(none, keys_of(F.col("url"))))).select("key", "url", "at", "second", F.col("m.kind").alias("kind"), F.col("m.pattern").alias("pattern"), span(F.col("second")).alias("span"))
