@@ -10,8 +10,8 @@ all little-endian. Tasks write ids and lengths, the driver sums the parts' total
 tasks write the offsets from base and lengths. Files are written under a name of their own and renamed, so a task may
 run again at any time.
 
-The encoding of a text is that of its words between ASCII white space, put together: the tokenizer splits there
-and drops it. Each distinct word of a batch is encoded once.
+With a tokenizer that splits at white space and drops it, the encoding of a text is that of its words, put together, and
+each distinct word of a batch is encoded once. The tokenizer's own settings tell; with any other whole texts are encoded.
 
 Defined results: a null or empty text has just the end id; repeated keys follow one another in order of their text;
 null keys come first; an empty table makes a data set of no parts.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,62 +36,80 @@ PLAIN = r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+"
 SLICE = 48_000_000
 
 
+def splits_at_space(spec: dict) -> bool:
+    """Whether a tokenizer's file makes groups that end at white space, drops that, and marks a group's last token, so that words can be encoded one by one."""
+    normal, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [(x.get("type"), x.get("pattern"), x.get("content")) for x in normal.get("normalizers", [])]
+    split = (before.get("pretokenizers") or [{}])[0]
+    return (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and [x.get("type") for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        and split.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split.get("behavior") == "Removed" and split.get("invert") is True
+        and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+        and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout")
+    )
+
+
 class WordEncoder:
-    """Encodes texts with a ``tokenizers`` file that drops white space, each distinct word once."""
+    """Encodes texts with a ``tokenizers`` file: each distinct word once where its settings allow that, else whole texts."""
 
     def __init__(self, path: str):
-        import re
+        import json
 
         import numpy as np
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = re.compile(PLAIN)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_at_space(json.load(f))
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(names.values()) + 1
         self.vocabulary = size
         self.ends = np.zeros(size, bool)
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        for token, k in names.items():
             self.ends[k] = token.endswith("</w>")
 
-    def distinct(self, words: list[str]):
+    def distinct(self, words: pa.Array):
         """(ids of all words one after another, count for each word)."""
         import numpy as np
+        import pyarrow.compute as pc
 
         # A full stop or comma after a letter or digit is a group of its own.
-        point = [len(w) > 1 and w[-1] in ".," and w[-2].isascii() and w[-2].isalnum() for w in words]
-        bare = [w[:-1] if cut else w for w, cut in zip(words, point)]
-        number: dict[str, int] = {}
-        which = np.fromiter((number.setdefault(w, len(number)) for w in bare), np.int64, len(bare))
-        own = list(number)
-        plain = [bool(self.plain.fullmatch(w)) for w in own]
+        point = pc.match_substring_regex(words, "[0-9A-Za-z][.,]$")
+        coded = pc.if_else(point, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        which, own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        plain = pc.match_substring_regex(own, f"^{PLAIN}$")
+        simple, rest = own.filter(plain), own.filter(pc.invert(plain)).to_pylist()
+        plain = plain.to_numpy(zero_copy_only=False).astype(bool)
         lengths, parts = np.zeros(len(own) + 2, np.int64), []
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~np.array(plain, bool))]).astype(np.int64)
-        simple, rest = [w for w, p in zip(own, plain) if p], [w for w, p in zip(own, plain) if not p]
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]).astype(np.int64)
         counts = []
-        for k in range(0, len(simple), 200):
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple[k : k + 200])], add_special_tokens=False)[0].ids, np.int64)
+        bounds = np.append(np.arange(0, len(simple), 200), len(simple))
+        lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), simple)
+        for k, line in enumerate(pc.binary_join(lists, pa.scalar(" ", simple.type)).to_pylist() if len(simple) else []):
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
             last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(simple[k : k + 200]):
+            if len(last) != bounds[k + 1] - bounds[k]:
                 raise AssertionError("a plain word is more than one group")
             parts.append(ids)
             counts.append(np.diff(last, prepend=-1))
         for k in range(0, len(rest), 5000):
             found = [e.ids for e in self.tokenizer.encode_batch_fast(rest[k : k + 5000], add_special_tokens=False)]
-            parts += [np.array(x, np.int64) for x in found]
             counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts.append(np.fromiter(chain.from_iterable(found), np.int64, int(counts[-1].sum())))
         marks = [np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.int64) for m in ".,"]
-        flat = np.concatenate([*parts, *marks]) if parts else np.concatenate(marks)
+        flat = np.concatenate([*parts, *marks])
         lengths[order] = np.concatenate(counts) if counts else 0
         lengths[-2:] = [len(m) for m in marks]
         begins = np.zeros(len(own) + 2, np.int64)
-        placed = np.append(order, [len(own), len(own) + 1])
-        begins[placed] = np.cumsum(lengths[placed]) - lengths[placed]
+        begun = np.append(order, [len(own), len(own) + 1])
+        begins[begun] = np.cumsum(lengths[begun]) - lengths[begun]
         # A word is its bare form, then perhaps a mark.
-        cut = np.array(point, bool)
+        cut = point.to_numpy(zero_copy_only=False).astype(bool)
         two = np.empty((len(words), 2), np.int64)
         two[:, 0] = which
-        two[:, 1] = [len(own) + (w[-1] == ",") if c else -1 for w, c in zip(words, point)]
+        two[:, 1] = np.where(cut, len(own) + pc.ends_with(words, ",").to_numpy(zero_copy_only=False).astype(np.int64), -1)
         pieces = two[two >= 0]
         return gather(flat, begins, lengths, pieces), lengths[which] + np.where(cut, lengths[two[:, 1]], 0)
 
@@ -100,13 +119,14 @@ class WordEncoder:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_word:
+            return self._whole(texts.to_pylist(), end)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
         bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         index = coded.indices.to_numpy(zero_copy_only=False)[: bounds[-1] - bounds[0]].astype(np.int64)
         bounds = bounds - bounds[0]
-        flat, lengths = self.distinct(words)
+        flat, lengths = self.distinct(coded.dictionary)
         begins = np.cumsum(lengths) - lengths
         if end is not None:  # as a word of its own
             flat, begins, lengths = np.append(flat, end), np.append(begins, len(flat)), np.append(lengths, 1)
@@ -115,6 +135,13 @@ class WordEncoder:
         sums = np.append(0, np.cumsum(lengths[index]))
         return gather(flat, begins, lengths, index), sums[bounds[1:]] - sums[bounds[:-1]]
 
+    def _whole(self, texts: list[str], end: int | None):
+        import numpy as np
+
+        more = [] if end is None else [end]
+        ids = [np.array([*x.ids, *more], np.int64) for k in range(0, len(texts), 100) for x in self.tokenizer.encode_batch_fast(texts[k : k + 100], add_special_tokens=False)]
+        return np.concatenate([*ids, np.zeros(0, np.int64)]), np.fromiter(map(len, ids), np.int64, len(ids))
+
 
 def gather(flat, begins, lengths, index):
     """The runs ``flat[begins[i] : begins[i] + lengths[i]]`` for each i of index, one after another."""
