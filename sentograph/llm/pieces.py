@@ -34,7 +34,7 @@ from .token_files import gather, slices
 SPACE = "▁"
 LETTER = "([A-Za-zÀ-ɏ])"
 #: Bytes of text whose paths descend together.
-PART = 800_000
+PART = 2_000_000
 
 
 def mix(x):
