@@ -98,8 +98,8 @@ def test_links_are_all_found(spark):
                 v ^= 1 << bit
             values.append(v)
     values = sorted(set(values))
-    rows = spark.createDataFrame([(i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)], "node long, fp long")
-    got = {(r["src"], r["dst"]) for r in simhash.links(rows).distinct().collect()}
+    rows = spark.createDataFrame([(i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)], "root long, fp long")
+    got = {(r["src"], r["dst"]) for r in simhash.links(rows).collect()}
     assert got == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 4}
 
 
@@ -123,7 +123,69 @@ def test_components_and_one_of_each(spark):
     kept = simhash.one_of_each(frame)
     assert kept.columns == frame.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["10", "3", "9", "None"]
-    assert simhash.near_duplicates(documents(spark, [])).collect() == []
+    assert sorted(str(r["doc_id"]) for r in simhash.one_of_each(frame, most_broadcast=0).collect()) == ["10", "3", "9", "None"]
+    assert simhash.near_duplicates(documents(spark, [])).collect() == [] and simhash.one_of_each(documents(spark, [])).collect() == []
+
+
+def classes(rows, radius=simhash.RADIUS):
+    """Smallest id reachable and number of the class of each (id, text) row, by comparing all pairs."""
+    prints = [brute_fingerprint(t) for _, t in rows]
+    whose = list(range(len(rows)))
+
+    def find(x):
+        while whose[x] != x:
+            x = whose[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                whose[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [least.get(find(i)) for i in range(len(rows))], [find(i) for i in range(len(rows))]
+
+
+def test_rows_count_by_themselves(spark):
+    """Ids that repeat with different texts, and rows without an id that link others."""
+    draw = random.Random(8)
+    text = lambda: [f"w{draw.randint(0, 10**6)}" for _ in range(300)]
+    chain = [text()]
+    for _ in range(12):  # each near the one before
+        chain.append(list(chain[-1]))
+        for _ in range(3):
+            chain[-1][draw.randrange(300)] = "other"
+    rows = [(None if i % 3 == 1 else 100 - i, " ".join(w)) for i, w in enumerate(chain)]
+    rows += [(7, " ".join(text())) for _ in range(3)] + [(7, " ".join(chain[0])), (100, "alone here"), (None, "nobody"), (None, "nobody")]
+    least, which = classes(rows)
+    assert len(set(which)) < len(rows) - 3
+    got = collections.Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(documents(spark, rows).repartition(3)).collect())
+    assert got == collections.Counter((d, brute_fingerprint(t), c) for (d, t), c in zip(rows, least))
+    kept = simhash.one_of_each(documents(spark, rows).repartition(3)).collect()
+    at = {(d, t): w for (d, t), w in zip(rows, which)}
+    assert sorted(at[r["doc_id"], r["text"]] for r in kept) == sorted(set(which))
+    names = {w: min((d is None, d or 0) for (d, _), v in zip(rows, which) if v == w) for w in which}
+    assert all((r["doc_id"] is None, r["doc_id"] or 0) == names[at[r["doc_id"], r["text"]]] for r in kept)
+
+
+def test_dense_groups_leave_few_pairs(spark):
+    """All pairs of 697 fingerprints link; what is shuffled of that is in the order of their number."""
+    middle = 0x0123456789ABCDEF
+    values = [middle ^ (1 << a) ^ (1 << b) for a in range(0, 37) for b in range(a)] + [middle ^ (1 << a) for a in range(31)]
+    nodes = spark.createDataFrame([(v, v) for v in values], "fp long, root long")
+    assert len(values) == 697 and simhash.first_links(nodes).count() <= 6 * len(values)
+    made = []
+
+    def store(df, name):
+        made.append((name, df.cache()))
+        return made[-1][1]
+
+    found = simhash.groups(nodes.select("fp"), store)
+    assert {r["root"] for r in found.collect()} == {min(values)} and found.count() == len(values)
+    drawn = [df for name, df in made if name == "drawn"][0]
+    assert simhash.links(drawn).count() <= len(values)
 
 
 def mixed(rows):
@@ -184,3 +246,103 @@ def test_mix_repeats_documents(spark):
     assert max(times.values()) <= 2 and abs(sum(times.values()) - 60) <= 2
     assert mixing.mix(documents(spark, [])).collect() == []
     assert mixing.plan(documents(spark, [(1, None)])).first()["target"] == 0
+
+
+def test_mix_is_the_plan_for_rows_that_repeat(spark):
+    """Repeated ids with equal and other texts, null ids, and a third of all rows alike."""
+    draw = random.Random(9)
+    texts = [(i // 4, f"t{i % 2} " * (10 + i // 4 % 5)) for i in range(80)] + [(None, "n " * 7)] * 15 + [(None, f"m{i} " * 5) for i in range(9)] + [(5000, "hot " * 8)] * 60
+    sources = {i: "ab"[i % 2] for i in range(80)}
+    draw.shuffle(texts)
+    frame = documents(spark, texts, sources).withColumn("number", F.lit("clash")).withColumn("row", F.lit(2)).repartition(4)
+    plan = mixing.plan(frame).collect()
+    assert len(plan) == len(texts)
+    want, got = collections.Counter(), collections.Counter()
+    for r in plan:
+        want[r["doc_id"], r["source"], r["size"]] += r["epochs"]
+    out = mixing.mix(frame).collect()
+    for r in out:
+        got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+    assert got == +want and mixing.mix(frame).columns == frame.columns
+    by = collections.defaultdict(int)
+    for r in plan:
+        by[r["source"]] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    for r in plan:
+        assert abs(by[r["source"]] - r["target"]) <= 14 / 2 + 1
+    again = collections.Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.plan(frame.repartition(2)).collect())
+    assert again == collections.Counter((r["doc_id"], r["size"], r["taken"]) for r in plan)
+
+
+def test_kept_documents_have_their_columns(spark):
+    """Null, empty, very long and repeated rows, clashing names; the verdict is that of the whole query."""
+    long_text = "word " * 30_000 + "".join(f"u{i} " for i in range(60_000))
+    good = " ".join(f"g{i}" for i in range(60))
+    texts = [*ODD, (20, good), (20, good), (None, good), (21, long_text)]
+    frame = documents(spark, texts).withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit(3)).withColumn("__row", F.lit(1)).withColumn("quality", F.lit("q"))
+    none = spark.createDataFrame([(20, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = quality_rules.kept(frame, none)
+    assert kept.columns == frame.columns
+    base = lambda t: (lambda n, *rest: n >= 50 and 100 * rest[-1] <= 50 * n)(*counted(t))
+    assert sorted(str((r["doc_id"], r["text"], r["kept"])) for r in kept.collect()) == sorted(str((d, t, 3)) for d, t in texts if base(t))
+    assert quality_rules.kept(frame.limit(0), none).collect() == []
+
+
+def brute_list(cells, cuts, most_rules, most_tests, purity, least, most_tries):
+    """The decision list cell by cell, as the docstring of ``learn`` has it."""
+    import math
+
+    tests = [(k, j, op) for k, f in enumerate(quality_rules.FEATURES) for j in range(len(cuts[f])) for op in (">", "<=")]
+    meets = lambda c, own: all((c[0][k] > j) == (op == ">") for k, j, op in own)
+    total = lambda own: (sum(c[2] for c in own), sum(c[3] for c in own))
+    left, aside, rules = list(cells), [], []
+    for _ in range(most_tries):
+        here = [c for c in left if not c[1] and c not in aside]
+        if len(rules) == most_rules or not total(here)[0]:
+            break
+        chosen = []
+        while len(chosen) < most_tests and all(total(here)):
+            b0, g0 = total(here)
+            gains = []
+            for t in tests:
+                b, g = total([c for c in here if meets(c, [t])])
+                gains.append(b * (math.log2(b / (b + g)) - math.log2(b0 / (b0 + g0))) if b >= least else -1)
+            top = max(gains)
+            if top <= 1e-9:
+                break
+            chosen.append(tests[next(i for i, x in enumerate(gains) if x >= top - 1e-12)])
+            here = [c for c in here if meets(c, chosen[-1:])]
+        if not chosen:
+            break
+        held = lambda own: total([c for c in left if c[1] and meets(c, own)])
+        worth = lambda own: (lambda b, g: (b - g) / (b + g) if b + g else -1)(*held(own))
+        while len(chosen) > 1:
+            less = [[t for t in chosen if t != x] for x in chosen]
+            best = max(less, key=worth)
+            if worth(best) < worth(chosen):
+                break
+            chosen = best
+        (b, g), (hb, hg) = total([c for c in left if meets(c, chosen)]), held(chosen)
+        if b >= least and b >= purity * (b + g) and hb and hb >= purity * (hb + hg):
+            rules.append((tuple((quality_rules.FEATURES[k], op, cuts[quality_rules.FEATURES[k]][j]) for k, j, op in chosen), b, g))
+            left = [c for c in left if not meets(c, chosen)]
+        else:
+            aside += here
+    return rules
+
+
+def test_the_list_against_brute_force():
+    draw, seen = random.Random(10), set()
+    for trial in range(25):
+        cuts = {f: [float(x) for x in range(draw.choice([0, 1, 2]))] for f in quality_rules.FEATURES}
+        cells = {}
+        for _ in range(60):
+            place = tuple(draw.randint(0, len(cuts[f])) for f in quality_rules.FEATURES)
+            bad = place[0] == len(cuts["symbols_per_word"]) and draw.random() < 0.9
+            cells[place, draw.random() < 0.3] = (draw.randint(5, 40), draw.choice([0, 0, 1])) if bad else (draw.choice([0, 0, 9]), draw.randint(5, 60))
+        cells = [(p, back, *n) for (p, back), n in cells.items()]
+        for purity in (0.8, 0.99):
+            got = quality_rules.cover(cells, cuts, 4, 3, purity, 10, 12)
+            assert [(r.tests, r.bad, r.good) for r in got] == brute_list(sorted(cells), cuts, 4, 3, purity, 10, 12)
+            seen.add(len(got))
+    assert len(seen) > 2

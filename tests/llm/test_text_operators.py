@@ -136,6 +136,16 @@ def test_word_encoder_is_the_tokenizer():
         at += n
 
 
+def test_other_tokenizers_encode_whole_texts():
+    encoder = token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    flat, lengths = encoder.encode(pa.array(ODD, pa.string()), end=2)
+    at = 0
+    for text, n in zip(ODD, lengths.tolist()):
+        assert flat[at : at + n].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        at += n
+    assert not encoder.by_word and token_files.WordEncoder(WORDS).by_word
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i * 7 % 31, t) for i, t in enumerate(ODD)] + [(None, "no key"), (3, "again"), (3, "again")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("tokens", F.lit(1))
@@ -272,12 +282,17 @@ def test_license_templates_do_not_compete(spark):
         assert rows[d]["labels"] == ",".join(sorted({*best, *base})) and rows[d]["score"] == max([*best.values(), 0.5 if base else 0.0])
 
 
-def brute_top(rows, every, k, scale=256):
-    good = [(i, [math.floor(float(np.float32(x)) * scale) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+def limited(x):
+    return max(-(2**63), min(2**63 - 1, x))
+
+
+def brute_top(rows, every, k, scale=256, single=True):
+    value = lambda x: float(np.float32(x)) if single else x
+    good = [(i, [limited(math.floor(value(x) * scale)) if math.isfinite(value(x) * scale) else limited(2**64 if x > 0 else -(2**64)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in good if i % every == 0}):
         own = min(v for i, v in good if i == q)
-        best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in good if i != q)[:k]
+        best = sorted((-limited(sum(a * b for a, b in zip(own, v))), i) for i, v in good if i != q)[:k]
         out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return out
 
@@ -293,6 +308,12 @@ def test_vector_search(spark, shard):
     few = spark.createDataFrame(rows[:3], frame.select("vec_id", "embedding").schema)
     assert len(vector_search.top_k(few, every=10).collect()) == 2
     assert vector_search.top_k(few.limit(0)).collect() == []
+    with_copies = rows[:60] + [(1000 + i, [0.4] * 8) for i in range(60)] + [(2000, [0.3] * 8)] * 40  # a third alike
+    copied = spark.createDataFrame(with_copies, frame.select("vec_id", "embedding").schema)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.top_k(copied, every=10, k=5, shard=shard, block=7).collect()) == brute_top(with_copies, 10, 5)
+    wide = [(i, [draw.choice([1e30, -1e30, 1e308, 2.0**55, -3.5, 0.25, 1e17]) * draw.choice([1, 1, -1]) for _ in range(4)]) for i in range(40)]
+    doubles = spark.createDataFrame(wide, "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.top_k(doubles, every=4, shard=shard).collect()) == brute_top(wide, 4, 5, single=False)
     large = [(i, [float(draw.randint(-(2**30), 2**30)) for _ in range(4)]) for i in range(20)]
     frame = spark.createDataFrame(large, "vec_id long, embedding array<float>")
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.top_k(frame, every=5, scale=1.0).collect()) == brute_top(large, 5, 5, 1)
@@ -357,7 +378,7 @@ def formatted(portions, folder):
         text, marks = (open(f"{folder}/{kind}-{r['part']:06d}.{end}", "rb").read() for kind, end in (("text", "txt"), ("turns", "bin")))
         at = r["at"]
         for k in range(r["first_turn"], r["first_turn"] + r["turns"]):
-            whole, _, _, _, cut, _ = struct.unpack_from(chat_format.MARK, marks, k * struct.calcsize(chat_format.MARK))
+            whole, _, _, _, cut, *_ = struct.unpack_from(chat_format.MARK, marks, k * struct.calcsize(chat_format.MARK))
             out[r["conv_id"]] = out[r["conv_id"]][: len(out[r["conv_id"]]) - cut] + text[at : at + whole]
             at += whole
         marked[r["conv_id"]] |= r["rewrites"]
@@ -389,12 +410,32 @@ def test_chat_renders_whole_prefixes(spark, tmp_path, parts):
             assert {c for c, m in marked.items() if m} == rewritten
             for r in chat_format.digests(portions, str(tmp_path / name)).collect():
                 assert r["n_turns"] == len(own[r["conv_id"]]) and r["formatted_chars"] == len(template(own[r["conv_id"]]))
-                assert r["rewrites"] == (r["conv_id"] in rewritten) and (not r["rewrites"] or r["loss_chars"] == 0 and r["turns_sha256"] is None)
+                assert r["rewrites"] == (r["conv_id"] in rewritten) and r["turns_sha256"] == digest(own[r["conv_id"]])[1]
+                assert (r["loss_chars"], r["loss_sha256"]) == ((0, digest([])[3]) if r["rewrites"] else digest(own[r["conv_id"]])[2:])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("kind", ["system first", "shouts"])
+def test_chat_reads_back_any_template(spark, tmp_path, kind):
+    """Roles and texts come back whatever the template does to them."""
+
+    def template(turns):
+        if kind == "shouts":
+            return "".join(f"{r}:{t.strip().upper()}é\n" for r, t in turns)
+        return "<<SYS>>é<</SYS>>" + "".join(f"«{r}» {t} é" for r, t in turns)
+
+    draw = random.Random(11)
+    convs = {c: [(draw.choice(["user", "assistant", "<s>[ROLE x] ", "", "é"]), draw.choice([*CONTROL, "", " spaced ", "\\x", "É" * 40])) for _ in range(draw.choice([1, 3, 25]))] for c in range(12)}
+    frame = spark.createDataFrame([(c, n, r, t) for c, turns in convs.items() for n, (r, t) in enumerate(turns)], "conv_id long, turn int, role string, text string").repartition(3)
+    for name, most in (("all", None), ("few", 2)):
+        portions = chat_format.format_conversations(frame, str(tmp_path / name), template, most=most)
+        for r in chat_format.digests(portions, str(tmp_path / name)).collect():
+            assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["rewrites"]) == (*digest(convs[r["conv_id"]]), False)
+            assert r["formatted_chars"] == len(template(convs[r["conv_id"]]))
+
+
 DAY = 86400
 
 
@@ -425,7 +466,7 @@ def test_url_filter_against_brute_force(spark):
             return 0, "", "none"
         host = m[1].lower().rstrip(".")
         labels, steps = host.split("."), [s for s in (m[2] or "").split("/") if s]
-        keys = [("host", host)] + [("domain", ".".join(labels[i:])) for i in range(max(1, len(labels) - 1))] + [("prefix", host + "/" + "/".join(steps[: i + 1])) for i in range(len(steps))]
+        keys = [("host", host)] + [("domain", ".".join(labels[i:])) for i in range(len(labels))] + [("prefix", host + "/" + "/".join(steps[: i + 1])) for i in range(len(steps))]
         hits = [(name, policy, p) for kind, p in keys for name, policy in (("l1", "block"), ("l2", "allow")) if active(name, policy, kind, p, t)]
         return len(hits), ",".join(sorted({h[0] for h in hits})), max(hits, key=lambda h: (len(h[2]), h[1] == "allow"))[1] if hits else "none"
 
@@ -433,6 +474,7 @@ def test_url_filter_against_brute_force(spark):
     listed = spark.createDataFrame(entries, "list string, policy string, kind string, pattern string, action string, at timestamp")
     got = sorted(str((r["page_id"], r["url"], r["n_hits"], r["lists"], r["verdict"])) for r in url_filter.evaluate(frame, listed).collect())
     assert got == sorted(str((i, u, *verdict(u, t))) for i, u, t in captures)
+    assert got == sorted(str((r["page_id"], r["url"], r["n_hits"], r["lists"], r["verdict"])) for r in url_filter.evaluate(frame, listed, most_broadcast=0).collect())
     assert url_filter.evaluate(frame.limit(0), listed).collect() == []
     assert {r["verdict"] for r in url_filter.evaluate(frame, listed.limit(0)).collect()} == {"none"}
 
