@@ -11,7 +11,7 @@ tasks write the offsets from base and lengths. Files are written under a name of
 run again at any time.
 
 With a tokenizer that splits at white space and drops it, the encoding of a text is that of its words, put together, and
-each distinct word of a batch is encoded once. The tokenizer's own settings tell; with any other whole texts are encoded.
+each distinct word of a batch is encoded once, or taken from those that the process has encoded before. The tokenizer's own settings tell; with any other whole texts are encoded.
 
 Defined results: a null or empty text has just the end id; repeated keys follow one another in order of their text;
 null keys come first; an empty table makes a data set of no parts.
@@ -33,7 +33,9 @@ NULL_KEY = -(2**63)
 #: Letters that lower-case and normalise to one letter each; words of only these are one token group each.
 PLAIN = r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+"
 #: Bytes of text that are encoded at once.
-SLICE = 48_000_000
+SLICE = 32_000_000
+#: Words (some 30 bytes each with their ids) that an encoder keeps from batch to batch; those that come after are encoded in each batch.
+MOST_KNOWN = 600_000
 
 
 def splits_at_space(spec: dict) -> bool:
@@ -50,6 +52,9 @@ def splits_at_space(spec: dict) -> bool:
     )
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file: each distinct word once where its settings allow that, else whole texts."""
 
@@ -69,26 +74,30 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, k in names.items():
             self.ends[k] = token.endswith("</w>")
-
-    def distinct(self, words: pa.Array):
-        """(ids of all words one after another, count for each word)."""
+        #: Words that were encoded before, their ids one after another, and the count of each.
+        self.cache = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """The encoder of this process, which goes on knowing words from task to task."""
+        if path not in _encoders:
+            _encoders.clear()
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def forms(self, own: pa.Array):
+        """(ids of distinct words one after another, count for each word)."""
         import numpy as np
         import pyarrow.compute as pc
 
-        # A full stop or comma after a letter or digit is a group of its own.
-        point = pc.match_substring_regex(words, "[0-9A-Za-z][.,]$")
-        coded = pc.if_else(point, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
-        which, own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
         plain = pc.match_substring_regex(own, f"^{PLAIN}$")
         simple, rest = own.filter(plain), own.filter(pc.invert(plain)).to_pylist()
         plain = plain.to_numpy(zero_copy_only=False).astype(bool)
-        lengths, parts = np.zeros(len(own) + 2, np.int64), []
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]).astype(np.int64)
-        counts = []
+        parts, counts = [], []
         bounds = np.append(np.arange(0, len(simple), 200), len(simple))
         lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), simple)
         for k, line in enumerate(pc.binary_join(lists, pa.scalar(" ", simple.type)).to_pylist() if len(simple) else []):
-            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) != bounds[k + 1] - bounds[k]:
                 raise AssertionError("a plain word is more than one group")
@@ -97,21 +106,40 @@ class WordEncoder:
         for k in range(0, len(rest), 5000):
             found = [e.ids for e in self.tokenizer.encode_batch_fast(rest[k : k + 5000], add_special_tokens=False)]
             counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-            parts.append(np.fromiter(chain.from_iterable(found), np.int64, int(counts[-1].sum())))
-        marks = [np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.int64) for m in ".,"]
-        flat = np.concatenate([*parts, *marks])
-        lengths[order] = np.concatenate(counts) if counts else 0
-        lengths[-2:] = [len(m) for m in marks]
-        begins = np.zeros(len(own) + 2, np.int64)
-        begun = np.append(order, [len(own), len(own) + 1])
-        begins[begun] = np.cumsum(lengths[begun]) - lengths[begun]
+            parts.append(np.fromiter(chain.from_iterable(found), np.int32, int(counts[-1].sum())))
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(len(own), np.int64)
+        order, sizes = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), np.concatenate(counts)
+        lengths, begins = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        lengths[order], begins[order] = sizes, np.cumsum(sizes) - sizes
+        return gather(np.concatenate(parts), begins, lengths, np.arange(len(own))), lengths
+
+    def distinct(self, words: pa.Array):
+        """(ids of all words one after another, count for each word)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        # A full stop or comma after a letter or digit is a group of its own.
+        point = pc.match_substring_regex(words, "[0-9A-Za-z][.,]$")
+        coded = pc.if_else(point, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        which, own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        known, known_flat, known_lengths = self.cache
+        at = pc.fill_null(pc.index_in(own, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = own.filter(pa.array(at < 0))
+        new_flat, new_lengths = self.forms(new)
+        at[at < 0] = len(known) + np.arange(len(new))
+        marks = [np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.int32) for m in ".,"]
+        flat = np.concatenate([known_flat, new_flat, *marks])
+        lengths = np.concatenate([known_lengths, new_lengths, [len(m) for m in marks]])
+        begins = np.cumsum(lengths) - lengths
+        if room := min(MOST_KNOWN - len(known), len(new)):
+            self.cache = pa.concat_arrays([known, new.slice(0, room)]), np.append(known_flat, new_flat[: int(new_lengths[:room].sum())]), np.append(known_lengths, new_lengths[:room])
         # A word is its bare form, then perhaps a mark.
         cut = point.to_numpy(zero_copy_only=False).astype(bool)
         two = np.empty((len(words), 2), np.int64)
-        two[:, 0] = which
-        two[:, 1] = np.where(cut, len(own) + pc.ends_with(words, ",").to_numpy(zero_copy_only=False).astype(np.int64), -1)
-        pieces = two[two >= 0]
-        return gather(flat, begins, lengths, pieces), lengths[which] + np.where(cut, lengths[two[:, 1]], 0)
+        two[:, 0] = at[which]
+        two[:, 1] = np.where(cut, len(lengths) - 2 + pc.ends_with(words, ",").to_numpy(zero_copy_only=False).astype(np.int64), -1)
+        return gather(flat, begins, lengths, two[two >= 0]), lengths[two[:, 0]] + np.where(cut, lengths[two[:, 1]], 0)
 
     def encode(self, texts: pa.Array, end: int | None = None):
         """(ids of all texts one after another, count for each text); end: an id after each text."""
@@ -124,12 +152,12 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        index = coded.indices.to_numpy(zero_copy_only=False)[: bounds[-1] - bounds[0]].astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)[: bounds[-1] - bounds[0]]
         bounds = bounds - bounds[0]
         flat, lengths = self.distinct(coded.dictionary)
         begins = np.cumsum(lengths) - lengths
         if end is not None:  # as a word of its own
-            flat, begins, lengths = np.append(flat, end), np.append(begins, len(flat)), np.append(lengths, 1)
+            flat, begins, lengths = np.append(flat, np.int32(end)), np.append(begins, len(flat)), np.append(lengths, 1)
             index = np.insert(index, bounds[1:], len(lengths) - 1)
             bounds = bounds + np.arange(len(bounds))
         sums = np.append(0, np.cumsum(lengths[index]))
@@ -139,18 +167,23 @@ class WordEncoder:
         import numpy as np
 
         more = [] if end is None else [end]
-        ids = [np.array([*x.ids, *more], np.int64) for k in range(0, len(texts), 100) for x in self.tokenizer.encode_batch_fast(texts[k : k + 100], add_special_tokens=False)]
-        return np.concatenate([*ids, np.zeros(0, np.int64)]), np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = [np.array([*x.ids, *more], np.int32) for k in range(0, len(texts), 100) for x in self.tokenizer.encode_batch_fast(texts[k : k + 100], add_special_tokens=False)]
+        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
-def gather(flat, begins, lengths, index):
-    """The runs ``flat[begins[i] : begins[i] + lengths[i]]`` for each i of index, one after another."""
+def gather(flat, begins, lengths, index, most: int = 1 << 19):
+    """The runs ``flat[begins[i] : begins[i] + lengths[i]]`` for each i of index, one after another. Places are made for ``most`` runs at once."""
     import numpy as np
 
     n = lengths[index]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(begins[index] - (ends - n), n) + np.arange(total)]
+    out, at = np.empty(int(n.sum()), flat.dtype), 0
+    for k in range(0, len(index), most):
+        own = n[k : k + most]
+        ends = np.cumsum(own)
+        total = int(ends[-1])
+        out[at : at + total] = flat[np.repeat(begins[index[k : k + most]] - (ends - own), own) + np.arange(total)]
+        at += total
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -189,7 +222,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end: int = 2
         import numpy as np
         from pyspark import TaskContext
 
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = WordEncoder.of(tokenizer), TaskContext.get().partitionId()
         kind = "<u2" if max(encoder.vocabulary - 1, end) < 2**16 else "<u4"
         keys, counts = [], []
 
