@@ -10,7 +10,8 @@ plus Gumbel noise, distinct, as exact samples without replacement. All noise is
 don't depend on partitions. inclusion is the log of the chance to be among the k, given the (k+1)-th value.
 
 A character without a piece, and U+2581 itself, are its UTF-8 bytes as byte pieces, so decoding gives back the text.
-Pieces don't reach over a space or a line break into the next unit.
+Pieces don't reach over a space or a line break into the next unit. A long unit (text without spaces) is cut up between characters
+that no piece has side by side; that is exact. What can't be cut takes steps in proportion to its length.
 
 Lattices are computed once for each distinct unit of a part of the texts, and all paths of the part descend together
 in numpy.
@@ -34,7 +35,7 @@ from .token_files import gather, slices
 SPACE = "▁"
 LETTER = "([A-Za-zÀ-ɏ])"
 #: Bytes of text whose paths descend together.
-PART = 2_000_000
+PART = 1_400_000
 
 
 def mix(x):
@@ -88,6 +89,7 @@ class Pieces:
         self.width = np.array([len(self.names[k]) for k in self.ids])
         if len(np.unique(self.keys)) != len(self.keys):
             raise AssertionError("pieces share a hash")
+        self.pairs = np.array(sorted({ord(a) << 21 | ord(b) for k in inner for a, b in zip(self.names[k], self.names[k][1:])}), np.int64)
         self.ODD = np.uint64(0x9E3779B97F4A7C15)
         self._slots()
         self.bytes = [bytes([int(x[1:-1], 16)]) if own.is_byte(k) else b"" if own.is_control(k) else x.replace(SPACE, " ").encode() for k, x in enumerate(self.names)]
@@ -368,13 +370,39 @@ def units_of(texts: pa.Array, marks: bool = False):
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds - bounds[0]
 
 
+#: Longer units are cut up where that loses nothing.
+LONG = 256
+
+
+def cut_up(pieces: Pieces, units: list[str], index, bounds, longest: int = LONG):
+    """The same with each longer unit as several: cut between two characters that stand side by side in no piece. What comes
+    after a cut has no mark, so there is none before a space mark or a line break."""
+    import numpy as np
+
+    number = {u: k for k, u in enumerate(units)}
+    parts = [[k] for k in range(len(units))]
+    for k, unit in enumerate(units):
+        if len(unit) > longest:
+            code = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            pair = code[:-1] << 21 | code[1:]
+            cuts = np.flatnonzero(~np.isin(pair, pieces.pairs) & (code[1:] != ord(SPACE)) & (code[1:] != 10) & (code[:-1] != 10)) + 1
+            own = [unit[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)])]
+            parts[k] = [number.setdefault(u, len(number)) for u in own]
+    if len(number) == len(units) and all(len(p) == 1 for p in parts):
+        return units, index, bounds
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.append(0, np.cumsum(lengths[index]))
+    flat = np.fromiter((u for p in parts for u in p), np.int64, int(lengths.sum()))
+    return list(number), gather(flat, np.cumsum(lengths) - lengths, lengths, index), ends[bounds]
+
+
 def sample_part(pieces: Pieces, texts: pa.Array, seeds, k: int):
     """For each text a list of (path, log probability, value) in order of value, and the (k+1)-th value; and the lattice."""
     import math
 
     import numpy as np
 
-    units, index, bounds = units_of(texts, pieces.marks)
+    units, index, bounds = cut_up(pieces, *units_of(texts, pieces.marks))
     body = [u[1:] if u[:1] == SPACE or (u[:1] == "\n" and len(u) > 1) else u for u in units]
     lattice = Lattice(pieces, body, [u[:1] == SPACE for u in units])
     starts = lattice.start[index]
