@@ -81,6 +81,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, parts, {"ids_crc32": "long"}, token_files.checksum).withColumnRenamed("key", "doc_id")
 
 
+def _escapes(column: str) -> str:
+    """SQL for how many characters the default template's escaping adds: one for each control string and backslash."""
+    counts = [f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in (*chat_format.CONTROL, "\\")]
+    return " + ".join(counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_sentencepiece, op4_warc, op5_quality_rules, op6_licenses, op7_vector_search, op8_chat_format, op9_mixing, op10_token_files)}
 
 ORACLES: dict[str, str] = {
@@ -138,4 +144,27 @@ ORACLES: dict[str, str] = {
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN size > 0 AND start + size / 2 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
     """,
+    "op7_vector_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT vec_id AS query_id, min(v) AS w FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+        s AS (SELECT query_id, vec_id, CAST(coalesce(list_sum(list_transform(list_zip(v, w), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score FROM q JOIN v ON vec_id <> query_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
+    "op8_chat_format": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        l AS (
+            SELECT *, length(text) + {_escapes("text")} + CASE role WHEN 'user' THEN 19 WHEN 'assistant' THEN 18
+                ELSE 20 + length(role) + {_escapes("role")} + length(role) - length(replace(role, ']', '')) END AS chars
+            FROM c),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt, CAST(sum(chars) AS BIGINT) AS formatted_chars
+            FROM l GROUP BY conv_id)
+        SELECT conv_id, n_turns, turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars, false AS rewrites FROM g
+    """,
 }
