@@ -120,10 +120,10 @@ def _near(a: Column, b: Column) -> Column:
 def first_links(nodes: DataFrame) -> DataFrame:
     """(src, dst) links of the fingerprints of an anchor to its smallest and its largest resident: few, and enough to draw a dense group together.
 
-    Representatives are at most two for each of 2**19 anchors (some 12 MB), so they are broadcast."""
+    Only anchors with several residents have representatives. There are 2**19 anchors, so these are at most that many rows of three longs (some 25 MB) and are broadcast."""
     home = _at_home(nodes)
-    chosen = home.groupBy(F.col("anchor").alias("a")).agg(F.array(F.min("fp"), F.max("fp")).alias("chosen"))
-    pairs = home.join(F.broadcast(chosen), F.col("anchor") == F.col("a")).select("fp", F.explode("chosen").alias("other"))
+    chosen = home.groupBy(F.col("anchor").alias("a")).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    pairs = home.join(F.broadcast(chosen), F.col("anchor") == F.col("a")).select("fp", F.explode(F.array("low", "high")).alias("other"))
     return pairs.where((F.col("fp") != F.col("other")) & _near(F.col("fp"), F.col("other"))).select(F.col("fp").alias("src"), F.col("other").alias("dst"))
 
 
