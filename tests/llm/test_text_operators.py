@@ -5,7 +5,6 @@ import collections
 import datetime
 import hashlib
 import math
-import os
 import random
 import re
 import struct
@@ -33,9 +32,9 @@ def vocabulary():
     return pieces.Pieces(MODEL)
 
 
-def segmentations(vocabulary, text):
+def segmentations(vocabulary, text, longest=pieces.LONG):
     """All of a text, by recursion, with their probabilities."""
-    units, index, _ = pieces.units_of(pa.array([text]), vocabulary.marks)
+    units, index, _ = pieces.cut_up(vocabulary, *pieces.units_of(pa.array([text]), vocabulary.marks), longest)
     body = [u[1:] if u[:1] == pieces.SPACE or (u[:1] == "\n" and len(u) > 1) else u for u in units]
     lattice = pieces.Lattice(vocabulary, body, [u[:1] == pieces.SPACE for u in units])
     out = {(): 1.0}
@@ -97,6 +96,20 @@ def test_samples_are_distinct_and_follow_the_model(vocabulary):
     assert estimate == pytest.approx(sum(len(key) * p for key, p in chance.items()), rel=0.02)
 
 
+def test_cutting_up_loses_nothing(vocabulary):
+    for text in ("a日b本", "x4P+Q", "日本", " é\u0301Kq", "▁a▁", "a\n▁b", "q\n"):
+        whole, cut = segmentations(vocabulary, text), segmentations(vocabulary, text, 1)
+        assert whole.keys() == cut.keys() and all(cut[k] == pytest.approx(p) for k, p in whole.items())
+    draw = random.Random(12)
+    long = ["".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(60_000)), "".join(draw.choice("etaoin") for _ in range(20_000))]
+    lattice, found, _ = drawn(vocabulary, long, 2)
+    for text, own in zip(long, found):
+        for path, _, _ in own:
+            runs = lattice.run[path.edges]
+            ids = [i for r in runs for i in lattice.run_ids[lattice.run_begin[r] : lattice.run_begin[r] + lattice.run_length[r]]]
+            assert vocabulary.decode(ids) == text
+
+
 def test_few_segmentations_come_all_of_them(vocabulary):
     _, found, least = drawn(vocabulary, ["ab", "", "日"], 9)
     assert [len(x) for x in found] == [len(segmentations(vocabulary, t)) for t in ("ab", "", "日")]
@@ -477,39 +490,3 @@ def test_url_filter_against_brute_force(spark):
     assert got == sorted(str((r["page_id"], r["url"], r["n_hits"], r["lists"], r["verdict"])) for r in url_filter.evaluate(frame, listed, most_broadcast=0).collect())
     assert url_filter.evaluate(frame.limit(0), listed).collect() == []
     assert {r["verdict"] for r in url_filter.evaluate(frame, listed.limit(0)).collect()} == {"none"}
-
-
-def test_queries_with_sql(spark, sf):
-    import duckdb
-
-    from sentograph.llm import queries
-
-    if not os.path.isdir(sf):
-        pytest.skip("no test data")
-    con = duckdb.connect()
-    for t in ("documents", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name, sql in queries.ORACLES.items():
-        rows = queries.QUERIES[name](spark, sf)
-        found = con.execute(sql)
-        names = [d[0] for d in found.description]
-        assert sorted(names) == sorted(rows.columns)
-        assert sorted(str(tuple(r[n] for n in names)) for r in rows.collect()) == sorted(str(r) for r in found.fetchall())
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    if not os.path.isdir(sf):
-        pytest.skip("no test data")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf).cache()
-        assert docs.columns == columns, name
-        sizes.append(docs.count())
-    assert sizes[0] > sizes[1] > sizes[2]
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
-    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.select("doc_id").collect()} and all(r["restores"] for r in out)
-    run = corpus_pipeline.run(spark, sf)
-    assert sorted((r["doc_id"], r["rank"], bytes(r["ids"])) for r in run.collect()) == sorted((r["doc_id"], r["rank"], bytes(r["ids"])) for r in out)
