@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -35,12 +36,29 @@ class NgramNetwork:
     def __init__(self, corpus: DataFrame, options: Options = Options()):
         self.corpus, self.options = corpus, options
 
+    @classmethod
+    def from_saved(cls, corpus: DataFrame, adjacency: DataFrame, removed: DataFrame, options: Options = Options()) -> NgramNetwork:
+        """The network of a saved adjacency (row, col, value) and its removed n-grams (ngram): only postings are made anew, without the removed ones."""
+        net = cls(corpus, options)
+        posted = ngrams.postings(corpus, options.longest, list(options.seeds) if options.seeds else None, options.mode).join(removed.select("ngram"), "ngram", "left_anti")
+        kept = ngrams.support(posted, options.least).join(adjacency.select(F.col("row").alias("ngram")).union(adjacency.select("col")).distinct(), "ngram", "left_semi")
+        edges = adjacency.where("row <> col").select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("value").alias("weight"))
+        net.__dict__["_steps"] = {"postings": posted.cache(), "kept": kept.cache(), "removed": removed.select("ngram").cache(), "edges": edges.cache()}
+        return net
+
     @cached_property
     def _steps(self) -> dict[str, DataFrame]:
         o = self.options
         found = ngrams.analysis(self.corpus, o.longest, o.least, list(o.seeds) if o.seeds else None, o.mode, o.concat)
         return {k: v.cache() for k, v in found.items()}
 
+    def release(self) -> None:
+        """Gives back the memory of all that is cached."""
+        for df in (*self.__dict__.get("_steps", {}).values(), *(v for k, v in self.__dict__.items() if k in ("components", "distances", "penalties"))):
+            df.unpersist()
+        for k in ("_steps", "components", "distances", "penalties", "adjacency"):
+            self.__dict__.pop(k, None)
+
     postings = property(lambda self: self._steps["postings"])
     nodes = property(lambda self: self._steps["kept"])
     removed = property(lambda self: self._steps["removed"])
@@ -84,17 +102,24 @@ class NgramNetwork:
         return out
 
     def validate(self) -> None:
-        """Raises if no sequence is as long as n-grams are asked to be, or the corpus is empty."""
+        """Raises if the corpus is empty or has no token, or the n-grams don't fit the greatest length that is asked for; warns if that is over the longest sequence."""
         row = self.corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("tokens")).alias("longest")).first()
         if not row["n"]:
             raise ValueError("the corpus is empty")
         if (row["longest"] or 0) < 1:
             raise ValueError("no sequence has a token")
+        size = F.size(F.split("ngram", r"\|"))
+        kept, removed = (df.agg(F.max(size)).first()[0] or 0 for df in (self.nodes, self.removed))
+        if max(kept, removed) > self.options.longest:
+            raise ValueError(f"n-grams have up to {max(kept, removed)} tokens, more than {self.options.longest}")
+        if kept < row["longest"] and kept != self.options.longest:
+            raise ValueError(f"the longest n-gram has {kept} tokens, not {self.options.longest}")
+        if self.options.longest > row["longest"]:
+            warnings.warn(f"no sequence has {self.options.longest} tokens", stacklevel=2)
 
     def random_entities(self, count: int, trials: int, seed: int) -> DataFrame:
         """(trial, id): seeded samples without replacement."""
-        rows = self.corpus.select("id").crossJoin(F.broadcast(self.corpus.sparkSession.range(trials).select(F.col("id").alias("trial"))))
-        return stats.sample_without_replacement(rows, "id", F.lit(count), F.concat_ws("|", F.lit(seed), "trial"), ["trial"]).select("trial", "id")
+        return diff.random_sets(self.corpus, count, trials, seed)
 
 
 class Differential:
@@ -116,9 +141,23 @@ class Differential:
     def separation(self, contrast: str, alpha: float = 0.05, fold: float = 1.0, penalty: float | None = None) -> DataFrame:
         """(set, separation) of the up and down n-grams; no row if a side is empty."""
         up, down = (self.ngrams(contrast, alpha, fold, s).select(F.lit(contrast).alias("set"), F.col("ngram").alias("node")) for s in ("up", "down"))
-        n = self.network
-        return graph.separation(up, down, n.distances, n.penalties, penalty)
+        return graph.separation_by_search(up, down, self.network.components, self.network.edges, penalty)
 
     def enrichment(self, contrast: str, alpha: float = 0.05, fold: float = 1.0, side: str = "up") -> DataFrame:
         own = self.sets(contrast, alpha, fold).where(F.col("set") == side.lower()).select("id")
         return stats.enrichment(self.network.postings, self.ngrams(contrast, alpha, fold, side), own, self.network.corpus.select("id"))
+
+    def summary(self, contrast: str, alpha: float = 0.05, fold: float = 1.0, detailed: bool = False) -> DataFrame:
+        """(metric, value) as text: the contrast, the thresholds and the sizes of both sides; detailed: also those of their n-grams and of what they share."""
+        sets = self.sets(contrast, alpha, fold)
+        count = lambda df: df.agg(F.count(F.lit(1)).cast("string").alias("value"))
+        parts = [(name, sets.sparkSession.createDataFrame([(str(v),)], "value string")) for name, v in (("contrast", contrast), ("alpha", alpha), ("fold", fold))]
+        parts += [(s, count(sets.where(F.col("set") == s))) for s in ("up", "down")]
+        if detailed:
+            up, down = (self.ngrams(contrast, alpha, fold, s).select("ngram") for s in ("up", "down"))
+            parts += [("up n-grams", count(up)), ("down n-grams", count(down)), ("common n-grams", count(up.join(down, "ngram", "left_semi")))]
+        out = None
+        for name, df in parts:
+            one = df.select(F.lit(name).alias("metric"), "value")
+            out = one if out is None else out.union(one)
+        return out

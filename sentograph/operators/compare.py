@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import graph, kernels, ngrams
+from . import graph, kernels, ngrams, order, stats
 
 
 def stacked(corpus: DataFrame, lengths: list[int]) -> DataFrame:
@@ -87,7 +87,9 @@ def running_enrichment(ranked: DataFrame, sets: DataFrame, smallest: int = 15, l
     Between hits the sum falls evenly, so its extremes are at hits: just before and at each. Only rows of hits are kept.
     """
     n = ranked.count()
-    place = ranked.select("gene", F.abs("stat").alias("w"), F.row_number().over(W.orderBy(F.col("stat").desc(), "gene")).alias("r"))
+    # A gene's place is the rank of its statistic, and among equal ones that of its name.
+    alike = ranked.join(order.ranks(ranked, "stat"), "stat")
+    place = alike.select("gene", F.abs("stat").alias("w"), (F.col("rank") - 1 + F.row_number().over(W.partitionBy("stat").orderBy("gene"))).alias("r"))
     hits = sets.distinct().join(place, "gene")
     whole = W.partitionBy("set")
     upto = whole.orderBy("r").rowsBetween(W.unboundedPreceding, 0)
@@ -98,6 +100,20 @@ def running_enrichment(ranked: DataFrame, sets: DataFrame, smallest: int = 15, l
     return top.select("set", "size", F.when(F.col("high") >= -F.col("low"), F.col("high")).otherwise(F.col("low")).alias("score"))
 
 
+def enrichment_significance(ranked: DataFrame, sets: DataFrame, trials: int, seed: int, smallest: int = 15, largest: int = 500) -> DataFrame:
+    """(set, size, score, p, normalized) with ``trials`` permutations of the genes: p is the share of the permuted scores of the same sign that are
+    as far from 0, normalized the score by their mean. A set is permuted by drawing as many genes at random, as keys of one plan."""
+    actual = running_enrichment(ranked, sets, smallest, largest)
+    number = ranked.sparkSession.range(trials).select(F.col("id").alias("trial"))
+    draws = number.crossJoin(actual.select("set", F.col("size").alias("take"))).select(F.struct("trial", "set").alias("trial"), "take")
+    chosen = stats.drawn(ranked.select("gene"), "gene", [], draws, lambda t: stats.drawn_before(str(seed), t["trial"], t["set"], F.col("gene")))
+    null = running_enrichment(ranked, chosen.select(F.col("trial").alias("set"), "gene"), smallest, largest).select(F.col("set.set").alias("of"), F.col("score").alias("null"))
+    side = (F.col("null") >= 0) == (F.col("score") >= 0)
+    both = actual.join(null, F.col("set") == F.col("of"), "left").groupBy("set", "size", "score").agg(
+        F.count_if(side & (F.abs("null") >= F.abs("score"))).alias("hits"), F.count_if(side).alias("n"), F.avg(F.when(side, F.abs("null"))).alias("mean"))
+    return both.select("set", "size", "score", (F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("p"), (F.col("score") / F.nullif(F.col("mean"), F.lit(0.0))).alias("normalized"))
+
+
 def leaf_order(rows: DataFrame, key: str, column: str, value: str, most: int = 2000):
     """Keys in the order of Ward clustering of their value vectors; a display order, so for at most ``most`` keys, else an error."""
     import numpy as np

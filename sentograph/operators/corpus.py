@@ -68,3 +68,23 @@ def latest_file_wins(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     names = [c for c in rows.columns if c not in (key, ordinal)]
     best = rows.groupBy(key).agg(F.max_by(F.struct(*names), F.col(ordinal)).alias("row"))
     return best.select(key, *[F.col(f"row.{c}").alias(c) for c in names])
+
+
+def renamed_postings(posted: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, ngram) with each token's name: names are not unique, so n-grams that get one name are one."""
+    called = legible(posted.select("ngram", "tokens").dropDuplicates(["ngram"]), names).select("ngram", "legible")
+    return posted.join(called, "ngram").select("id", F.col("legible").alias("ngram")).distinct()
+
+
+def renamed_adjacency(adjacency: DataFrame, names: DataFrame) -> DataFrame:
+    """(row, col, value) with each token's name; of entries that get one place the largest counts."""
+    every = adjacency.select(F.col("row").alias("ngram")).union(adjacency.select("col")).distinct().withColumn("tokens", F.split("ngram", r"\|"))
+    called = legible(every, names).select("ngram", "legible")
+    row, col = called.toDF("row", "__r"), called.toDF("col", "__c")
+    return adjacency.join(row, "row").join(col, "col").groupBy(F.col("__r").alias("row"), F.col("__c").alias("col")).agg(F.max("value").alias("value"))
+
+
+def spans_of(annotated: DataFrame) -> DataFrame:
+    """(token, entities, copies, sizes): for each token of annotated entities (id, token, start, end) its copies in each entity and its spans, both sorted."""
+    each = annotated.groupBy("token", "id").agg(F.count(F.lit(1)).alias("c"), F.collect_list(F.col("end") - F.col("start")).alias("s"))
+    return each.groupBy("token").agg(F.count(F.lit(1)).alias("entities"), F.sort_array(F.collect_list("c")).alias("copies"), F.sort_array(F.flatten(F.collect_list("s"))).alias("sizes"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .corpus import BAR
 from .ngrams import instances
+from .order import with_totals
 
 
 def token_counts(corpus: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def f0(corpus: DataFrame) -> DataFrame:
 
 def f1(corpus: DataFrame) -> DataFrame:
     """(f1): entropy of the tokens in bits, to 3 digits."""
-    share = F.col("count") / F.sum("count").over(W.partitionBy())
-    return token_counts(corpus).select(share.alias("p")).agg(F.round(-F.sum(F.col("p") * F.log2("p")), 3).alias("f1"))
+    whole = with_totals(token_counts(corpus), F.sum("count").alias("all"))
+    return whole.select((F.col("count") / F.col("all")).alias("p")).agg(F.round(-F.sum(F.col("p") * F.log2("p")), 3).alias("f1"))
 
 
 def instance_counts(corpus: DataFrame, longest: int) -> DataFrame:
@@ -31,32 +31,63 @@ def instance_counts(corpus: DataFrame, longest: int) -> DataFrame:
     return instances(corpus, longest).groupBy("ngram").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("count"))
 
 
-def frequencies(counts: DataFrame) -> DataFrame:
+def frequencies(counts: DataFrame, interest: DataFrame | None = None) -> DataFrame:
     """Adds to (ngram, n, count) frequency (of all), conditional (count by that of the n-gram without its last token; for
     single tokens the count by that of all n-grams), length_total and total.
 
-    The counts have to hold the prefixes, as those of a full extraction do.
+    interest: (ngram) those that rows and totals are restricted to, of a count of 0 if the corpus lacks them; prefixes may be others. The counts
+    have to hold the prefixes, as those of a full extraction do. The conditional of a count of 0 is 0.
     """
-    every = W.partitionBy()
-    prefix = F.regexp_replace("ngram", r"\|[^|]*$", "")
+    own = counts.select("ngram", "n", "count")
+    if interest is not None:
+        own = interest.select("ngram").distinct().join(own, "ngram", "left").select("ngram", F.coalesce("n", F.size(F.split("ngram", r"\|")).cast("long")).alias("n"), F.coalesce("count", F.lit(0)).alias("count"))
     known = counts.select(F.col("ngram").alias("prefix"), F.col("count").alias("prefix_count"))
-    sums = counts.withColumns({"total": F.sum("count").over(every), "length_total": F.sum("count").over(W.partitionBy("n"))})
-    joined = sums.withColumn("prefix", F.when(F.col("n") > 1, prefix)).join(known, "prefix", "left")
-    return joined.select("ngram", "n", "count", (F.col("count") / F.col("total")).alias("frequency"), (F.col("count") / F.coalesce("prefix_count", "total")).alias("conditional"), "length_total", "total")
+    lengths = own.groupBy(F.col("n").alias("__n")).agg(F.sum("count").alias("length_total"))
+    sums = with_totals(own, F.sum("count").alias("total")).join(F.broadcast(lengths), F.col("n") == F.col("__n"))
+    joined = sums.withColumn("prefix", F.when(F.col("n") > 1, F.regexp_replace("ngram", r"\|[^|]*$", ""))).join(known, "prefix", "left")
+    conditional = F.when(F.col("count") == 0, 0.0).otherwise(F.col("count") / F.coalesce("prefix_count", "total"))
+    return joined.select("ngram", "n", "count", (F.col("count") / F.col("total")).alias("frequency"), conditional.alias("conditional"), "length_total", "total")
 
 
 def fn(frequency: DataFrame, n: int, cumulative: bool = True) -> DataFrame:
     """(fn): the conditional entropy over n-grams of up to, or of just, n tokens."""
-    own = frequency.where(F.col("n") <= n if cumulative else F.col("n") == n)
-    p = F.col("count") / F.sum("count").over(W.partitionBy())
-    return own.select(p.alias("p"), "conditional").agg((-F.sum(F.col("p") * F.log2("conditional"))).alias("fn"))
+    own = with_totals(frequency.where(F.col("n") <= n if cumulative else F.col("n") == n).where("count > 0"), F.sum("count").alias("all"))
+    return own.select((F.col("count") / F.col("all")).alias("p"), "conditional").agg((-F.sum(F.col("p") * F.log2("conditional"))).alias("fn"))
+
+
+def of_model(kept: DataFrame, removed: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(ngram) of a network's model: its nodes and what they stand for, and with a corpus all its tokens."""
+    every = kept.select("ngram").union(removed.select("ngram"))
+    return (every if corpus is None else every.union(corpus.select(F.explode("tokens").alias("ngram")))).distinct()
+
+
+def model_frequencies(kept: DataFrame, removed: DataFrame, corpus: DataFrame, longest: int) -> DataFrame:
+    """The frequencies of the nodes and what they stand for, by their occurrences in the corpus."""
+    counts = instance_counts(corpus, longest)
+    return frequencies(counts, of_model(kept, removed))
+
+
+def fn_of_model(kept: DataFrame, removed: DataFrame, corpus: DataFrame, n: int, cumulative: bool = False) -> DataFrame:
+    """(fn): the conditional entropy of a network's n-grams and the corpus' tokens of up to, or of just, n tokens."""
+    counts = instance_counts(corpus, n)
+    size = F.size(F.split("ngram", r"\|"))
+    return fn(frequencies(counts, of_model(kept, removed, corpus).where(size <= n if cumulative else size == n)), n, cumulative)
+
+
+def gains(kept: DataFrame, removed: DataFrame, corpus: DataFrame, lengths: list[int]) -> DataFrame:
+    """(n, fn, gain): the cumulative entropy of a model at each length, and what it gains over that of the tokens."""
+    first, out = f1(corpus), None
+    for n in lengths:
+        one = fn_of_model(kept, removed, corpus, n, True).crossJoin(F.broadcast(first)).select(F.lit(n).cast("long").alias("n"), "fn", (F.col("f1") - F.col("fn")).alias("gain"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 def last_token_share(counts: DataFrame) -> DataFrame:
     """(ngram, n, share): of n-grams over one token, the count by that of all with the same length and last token."""
-    last = F.element_at(F.split("ngram", r"\|"), -1)
-    same = W.partitionBy("n", "last")
-    return counts.where("n > 1").withColumn("last", last).select("ngram", "n", (F.col("count") / F.sum("count").over(same)).alias("share"))
+    rows = counts.where("n > 1").withColumn("last", F.element_at(F.split("ngram", r"\|"), -1))
+    same = rows.groupBy("n", "last").agg(F.sum("count").alias("same"))
+    return rows.join(same, ["n", "last"]).select("ngram", "n", (F.col("count") / F.col("same")).alias("share"))
 
 
 def cross_entropy(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -86,11 +117,20 @@ def simpson(counts: DataFrame, side: str = "pro") -> DataFrame:
     return counts.join(sums, counts.ngram == sums.base, "left").select("ngram", value.alias("diversity"))
 
 
+def shared_members(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """(a, b, both): members that two groups a < b share, for pairs that share any.
+
+    A member is reduced to the groups that it is in first, and equal ones are counted before their pairs are made, so a hot member is one row.
+    """
+    groups = rows.where(F.col(group).isNotNull() & F.col(member).isNotNull()).groupBy(F.col(member).alias("m")).agg(F.sort_array(F.collect_set(group)).alias("gs"))
+    alike = groups.where(F.size("gs") > 1).groupBy("gs").agg(F.count(F.lit(1)).alias("n"))
+    pairs = alike.select("n", "gs", F.posexplode("gs").alias("i", "a")).select("n", "a", F.explode(F.slice("gs", F.col("i") + 2, F.size("gs"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("both"))
+
+
 def jaccard(sets: DataFrame, group: str, member: str) -> DataFrame:
-    """(a, b, jaccard) of all pairs of groups a < b that have members, from distinct (group, member) rows."""
+    """(a, b, jaccard) of all pairs of groups a < b that have members, from (group, member) rows."""
     rows = sets.select(F.col(group).alias("a"), F.col(member).alias("m")).distinct()
     sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
-    other = rows.select(F.col("a").alias("b"), "m")
-    both = rows.join(other, "m").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
     names = sizes.select("a", F.col("size").alias("na")).join(sizes.select(F.col("a").alias("b"), F.col("size").alias("nb")), F.col("a") < F.col("b"))
-    return names.join(both, ["a", "b"], "left").select("a", "b", (F.coalesce("both", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("both", F.lit(0)))).alias("jaccard"))
+    return names.join(shared_members(rows, "a", "m"), ["a", "b"], "left").select("a", "b", (F.coalesce("both", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("both", F.lit(0)))).alias("jaccard"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import corpus, graph, kernels, ngrams
+from . import corpus, graph, kernels, ngrams, order
 
 
 def select_fusions(fusions: DataFrame, cancers: list[str] | None = None) -> DataFrame:
@@ -200,16 +200,28 @@ def multiple(fusions: DataFrame, patient: str = "BarcodeID") -> DataFrame:
     return fusions.join(many, patient, "left_semi")
 
 
+def contributions(sided: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(part, side, count, novel): how often a side (5 or 3) gives a part, and how often to a sequence that is no node. sided: side, part, tokens."""
+    known = nodes.select(F.col("ngram").alias("__g"), F.lit(1).alias("__known"))
+    rows = sided.join(known, F.array_join("tokens", corpus.BAR) == F.col("__g"), "left")
+    return rows.groupBy("part", "side").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("__known").isNull()).alias("novel"))
+
+
+def recurrent_genes(sided: DataFrame) -> DataFrame:
+    """(gene_id, n_cancers, n_fusions, n_architectures, patients) of genes whose fusions are in several cancers; sided: gene_id, cancer, pair, architecture, patient."""
+    rows = sided.groupBy("gene_id").agg(F.count_distinct("cancer").alias("n_cancers"), F.count_distinct("pair").alias("n_fusions"), F.count_distinct("architecture").alias("n_architectures"), F.array_sort(F.collect_list("patient")).alias("patients"))
+    return rows.where("n_cancers > 1")
+
+
 def contribution_ranks(counts: DataFrame) -> DataFrame:
     """Adds to (ngram, five, three) ranks by either count, their mean, the rank of that, and the product's rank. Missing
     counts rank last, with the number of rows."""
-    every = W.partitionBy()
-    n = F.count(F.lit(1)).over(every)
-    place = lambda c: F.when(F.col(c).isNotNull(), F.rank().over(W.partitionBy(F.col(c).isNull()).orderBy(F.col(c).desc())))
-    ranked = counts.withColumns({"rank_five": F.coalesce(place("five"), n), "rank_three": F.coalesce(place("three"), n)})
-    mean = ranked.withColumn("mean_rank", (F.col("rank_five") + F.col("rank_three")) / 2)
-    both = mean.withColumns({"rank_mean": F.rank().over(W.orderBy("mean_rank")), "score": F.coalesce("five", F.lit(0)) * F.coalesce("three", F.lit(0))})
-    return both.withColumn("rank_score", F.rank().over(W.orderBy(F.col("score").desc())))
+    own = order.with_totals(counts, F.count(F.lit(1)).alias("__n"))
+    for c in ("five", "three"):
+        own = own.join(order.ranks(counts, c).withColumnRenamed("rank", f"rank_{c}"), c, "left").withColumn(f"rank_{c}", F.coalesce(f"rank_{c}", "__n"))
+    own = graph.cut(own.withColumns({"mean_rank": (F.col("rank_five") + F.col("rank_three")) / 2, "score": F.coalesce("five", F.lit(0)) * F.coalesce("three", F.lit(0))}))
+    both = own.join(order.ranks(own, "mean_rank", largest_first=False).withColumnRenamed("rank", "rank_mean"), "mean_rank").join(order.ranks(own, "score").withColumnRenamed("rank", "rank_score"), "score")
+    return both.select("ngram", "five", "three", "rank_five", "rank_three", "mean_rank", "rank_mean", "score", "rank_score")
 
 
 def topology(architectures: DataFrame, own: DataFrame) -> DataFrame:
@@ -238,6 +250,17 @@ def impact(corpus_rows: DataFrame, fused: DataFrame, longest: int) -> DataFrame:
     return categories(changes).select("id", "copies", "new", "d_components", "d_isolates", "d_articulation", "category")
 
 
+def analysis(fusions: DataFrame, mapping: DataFrame, exon: DataFrame, domains: DataFrame, corpus_rows: DataFrame, longest: int, cancers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole chain from raw fusions: (id, tokens) of each fusion that both sides give coding sequence to, and the ``impact`` of the distinct sequences.
+
+    fusions: fusion_id and the columns of ``select_fusions`` and ``sides``; mapping as for ``gene_ids``, exon as for ``exons``, domains as for ``recombine``.
+    """
+    chosen = repair_genes(select_fusions(fusions, cancers))
+    ids = gene_ids(chosen.select(F.explode(F.array("H_gene", "T_gene")).alias("gene")), mapping)
+    fused = graph.cut(recombine(peptide(exons(sides(chosen, ids), exon)), domains))
+    return fused, impact(corpus_rows, fused.where(F.size("tokens") > 0), longest)
+
+
 def category_counts(changes: DataFrame, by: str = "cancer") -> DataFrame:
     """(by, category, n, share)."""
     rows = changes.groupBy(by, "category").agg(F.count(F.lit(1)).alias("n"))

@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Where a session names no checkpoint folder.
+from .order import with_totals
+
+#: Where a local session names no checkpoint folder, as in tests.
 CHECKPOINTS = "/tmp/checkpoints/sentograph"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows in the reliable checkpoint folder, without lineage."""
+    """The rows in the reliable checkpoint folder, without lineage. A session that is not local has to name the folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or CHECKPOINTS)
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(at or CHECKPOINTS)
     return df.checkpoint()
 
 
@@ -64,8 +68,9 @@ def isolates(nodes: DataFrame, edges: DataFrame, key: str = "ngram") -> DataFram
 def degrees(nodes: DataFrame, edges: DataFrame, key: str = "ngram") -> DataFrame:
     """(node, degree, centrality): centrality is degree by the number of other nodes, null for a single node."""
     ends = edges.select(F.col("src").alias("end")).union(edges.select("dst")).groupBy("end").agg(F.count(F.lit(1)).alias("d"))
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    return nodes.select(F.col(key).alias("node")).join(ends, F.col("node") == F.col("end"), "left").select("node", F.coalesce("d", F.lit(0)).alias("degree"), (F.coalesce("d", F.lit(0)) / F.nullif(n - 1, F.lit(0))).alias("centrality"))
+    own = with_totals(nodes.select(F.col(key).alias("node")), F.count(F.lit(1)).alias("all"))
+    degree = F.coalesce("d", F.lit(0))
+    return own.join(ends, F.col("node") == F.col("end"), "left").select("node", degree.alias("degree"), (degree / F.nullif(F.col("all") - 1, F.lit(0))).alias("centrality"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str = "ngram", store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
@@ -79,14 +84,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return pair.union(pair.select("dst", "src")).distinct()
 
 
-def distances(sources: DataFrame, edges: DataFrame, farthest: int = 1000, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
-    """(src, dst, d): shortest path lengths from each source (node) to all that it reaches, itself at 0.
+def distances(sources: DataFrame, edges: DataFrame, farthest: int | None = None, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(src, dst, d): shortest path lengths from each source (node) to all that it reaches, itself at 0; with ``farthest``, up to that.
 
     All sources step outwards together; each step joins the newest pairs with the edges and leaves out pairs that are known.
     """
     step = store(both_ways(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")))
     known = front = store(sources.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("d")).distinct())
-    for d in range(1, farthest + 1):
+    d = 0
+    while farthest is None or d < farthest:
+        d += 1
         new = front.join(step, front.dst == step.at).select("src", F.col("to").alias("dst")).distinct().join(known.select("src", "dst"), ["src", "dst"], "left_anti")
         front = store(new.withColumn("d", F.lit(d).cast("long")))
         if front.isEmpty():
@@ -95,6 +102,39 @@ def distances(sources: DataFrame, edges: DataFrame, farthest: int = 1000, store:
     return known
 
 
+def nearest_members(sets: DataFrame, edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(set, at, first, second): for each set (set, node) and each node that it reaches, the distances of its two nearest members; second is null
+    if it reaches one only. A member is its own nearest, so second is its distance to another.
+
+    Members step outwards together and a node passes on the two that reach it first, so there are twice as many rows as sets times nodes, not a row
+    for each pair of nodes.
+    """
+    step = store(both_ways(edges).select(F.col("src").alias("from"), F.col("dst").alias("to")))
+    known = store(sets.select("set", F.col("node").alias("at"), F.array(F.col("node")).alias("members"), F.array(F.lit(0).cast("long")).alias("ds")).distinct())
+    front, d = known.select("set", "at", F.explode("members").alias("member")), 0
+    while True:
+        d += 1
+        reached = front.join(step, F.col("at") == F.col("from")).groupBy("set", "to").agg(F.sort_array(F.collect_set("member")).alias("came"))
+        seen = known.select(F.col("set").alias("__set"), F.col("at").alias("__at"), "members", "ds")
+        both = reached.join(seen, (F.col("set") == F.col("__set")) & (F.col("to") == F.col("__at")), "left").select(
+            "set", F.col("to").alias("at"), F.coalesce("members", F.array().cast(known.schema["members"].dataType)).alias("members"), F.coalesce("ds", F.array().cast("array<bigint>")).alias("ds"), "came")
+        new = both.withColumn("new", F.slice(F.array_except("came", "members"), 1, 2)).withColumn("new", F.slice("new", 1, 2 - F.size("members"))).where(F.size("new") > 0)
+        new = store(new.select("set", "at", F.concat("members", "new").alias("members"), F.concat("ds", F.transform("new", lambda _: F.lit(d).cast("long"))).alias("ds"), "new"))
+        if new.isEmpty():
+            break
+        known = store(known.join(new.select("set", "at"), ["set", "at"], "left_anti").union(new.drop("new")))
+        front = new.select("set", "at", F.explode("new").alias("member"))
+    return known.select("set", "at", F.col("ds")[0].alias("first"), F.try_element_at("ds", F.lit(2)).alias("second"))
+
+
+def reach_penalties(wanting: DataFrame, component: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, far, isolated) for the components of the wanting nodes (node): only their diameters are made."""
+    own = component.join(wanting.join(component, "node").select("component").distinct(), "component", "left_semi")
+    own = cut(own)
+    far = distances(own.select("node"), induced(edges, own))
+    return penalties(own, diameters(far, own))
+
+
 def diameters(distance: DataFrame, component: DataFrame) -> DataFrame:
     """(component, size, diameter) of components of two nodes or more."""
     sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -148,6 +188,38 @@ def separation(first: DataFrame, second: DataFrame, distance: DataFrame, penalty
     return whole.select("set", (F.coalesce("across", F.lit(0.0)) / (F.col("ng") + F.col("nh")) - (F.col("gg") + F.col("hh")) / 2).alias("separation"))
 
 
+def mean_nearest_by_search(sets: DataFrame, component: DataFrame, edges: DataFrame, fixed: float | None = None) -> DataFrame:
+    """What ``mean_nearest`` returns, without the distances of all pairs."""
+    near = sets.join(nearest_members(sets, edges).withColumnRenamed("at", "node"), ["set", "node"]).select("set", "node", F.col("second").alias("d"))
+    return _mean(near, component, edges, fixed, 0.0)
+
+
+def _mean(near: DataFrame, component: DataFrame, edges: DataFrame, fixed: float | None, alone: float, name: str = "mean") -> DataFrame:
+    """(set, mean) of nearest distances (set, node, d); a node that reaches none counts as its penalty, an isolate as ``alone``."""
+    value = F.coalesce(F.col("d").cast("double"), F.when(F.col("isolated"), alone).otherwise(F.col("far").cast("double") if fixed is None else F.lit(float(fixed))))
+    wanting = near.where("d is null").select("node").distinct()
+    if fixed is None:
+        penalty = reach_penalties(wanting, component, edges)
+    else:
+        linked = both_ways(edges).select(F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True))
+        penalty = wanting.join(linked, "node", "left").select("node", F.lit(None).cast("long").alias("far"), F.col("linked").isNull().alias("isolated"))
+    return near.join(penalty, "node", "left").groupBy("set").agg((F.sum(value) / F.count(F.lit(1))).alias(name), F.count(F.lit(1)).alias("n"))
+
+
+def separation_by_search(first: DataFrame, second: DataFrame, component: DataFrame, edges: DataFrame, fixed: float | None = None, inner: float | None = 0.0) -> DataFrame:
+    """What ``separation`` returns for pairs of node sets, (set, node) each, without the distances of all pairs.
+
+    The penalty of a node that reaches no member is one more than the diameter of its component, and only such components' diameters are made."""
+    first, second = cut(first.select("set", "node").distinct()), cut(second.select("set", "node").distinct())
+    near_first, near_second = nearest_members(first, edges), nearest_members(second, edges)
+    within = lambda own, near: own.join(near.withColumnRenamed("at", "node"), ["set", "node"]).select("set", "node", F.col("second").alias("d"))
+    gg, hh = (_mean(within(own, near), component, edges, inner, 0.0, name).withColumnRenamed("n", f"n{name}") for own, near, name in ((first, near_first, "g"), (second, near_second, "h")))
+    to = lambda own, other, near: own.join(other, ["set", "node"], "left_anti").join(near.select("set", F.col("at").alias("node"), F.col("first").alias("d")), ["set", "node"], "left")
+    across = _mean(to(first, second, near_second).union(to(second, first, near_first)), component, edges, fixed, 1.0, "across")
+    whole = gg.join(hh, "set").join(across.withColumnRenamed("n", "apart"), "set", "left")
+    return whole.select("set", (F.coalesce(F.col("across") * F.col("apart"), F.lit(0.0)) / (F.col("ng") + F.col("nh")) - (F.col("g") + F.col("h")) / 2).alias("separation"))
+
+
 def modules(component: DataFrame, degree: DataFrame) -> DataFrame:
     """(component, kind, hub): components that are a flower (one hub that all edges meet), a wheel or a ring, the first that fits.
 
@@ -179,13 +251,17 @@ def simplify(nodes: DataFrame, edges: DataFrame, key: str = "ngram") -> tuple[Da
     return ends, small
 
 
+def community_degrees(edges: DataFrame, community: DataFrame) -> DataFrame:
+    """(node, community, inside, outside): a node's edges within its community and to others. community: (node, community)."""
+    here = community.select(F.col("node").alias("src"), F.col("community").alias("a"))
+    there = community.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+    counts = both_ways(edges).join(here, "src").join(there, "dst").groupBy("src").agg(F.count_if(F.col("a") == F.col("b")).alias("i"), F.count_if(F.col("a") != F.col("b")).alias("o"))
+    return community.join(counts, F.col("node") == F.col("src"), "left").select("node", "community", F.coalesce("i", F.lit(0)).alias("inside"), F.coalesce("o", F.lit(0)).alias("outside"))
+
+
 def community_strength(edges: DataFrame, community: DataFrame) -> DataFrame:
     """(community, strength): strong if each node has more edges within than without, weak if all together have, isolate if
     none has any, else mixed. community: (node, community)."""
-    two = both_ways(edges)
-    here = community.select(F.col("node").alias("src"), F.col("community").alias("a"))
-    there = community.select(F.col("node").alias("dst"), F.col("community").alias("b"))
-    inout = two.join(here, "src").join(there, "dst").groupBy("src").agg(F.count_if(F.col("a") == F.col("b")).alias("inside"), F.count_if(F.col("a") != F.col("b")).alias("outside"))
-    own = community.join(inout, F.col("node") == F.col("src"), "left").select("community", F.coalesce("inside", F.lit(0)).alias("i"), F.coalesce("outside", F.lit(0)).alias("o"))
+    own = community_degrees(edges, community).select("community", F.col("inside").alias("i"), F.col("outside").alias("o"))
     stats = own.groupBy("community").agg(F.min((F.col("i") > F.col("o")).cast("int")).alias("each"), F.sum("i").alias("i"), F.sum("o").alias("o"))
     return stats.select("community", F.when(F.col("i") + F.col("o") == 0, "isolate").when(F.col("each") == 1, "strong").when(F.col("i") > F.col("o"), "weak").otherwise("mixed").alias("strength"))

@@ -1,7 +1,7 @@
 """Graph algorithms without a relational form, as grouped pandas kernels.
 
 Adjacency goes to tasks as a broadcast of bounded size: graphs over ``MOST_EDGES`` are refused. Sources are dealt over
-tasks in batches; components are dealt whole, so a kernel by component is bounded by the largest.
+tasks in batches; components are dealt whole, and those over ``MOST_EDGES`` are refused.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ MOST_EDGES = 2_000_000
 
 def neighbours(edges: DataFrame):
     """A broadcast of node -> sorted neighbours."""
-    rows = both_ways(edges).limit(2 * MOST_EDGES + 1).collect()
-    if len(rows) > 2 * MOST_EDGES:
+    rows = both_ways(edges).limit(2 * MOST_EDGES + 1).toArrow()
+    if rows.num_rows > 2 * MOST_EDGES:
         raise ValueError(f"the graph has more than {MOST_EDGES} edges")
     found: dict = {}
-    for r in rows:
-        found.setdefault(r["src"], []).append(r["dst"])
+    for a, b in zip(rows["src"].to_pylist(), rows["dst"].to_pylist()):
+        found.setdefault(a, []).append(b)
     for v in found.values():
         v.sort()
     return edges.sparkSession.sparkContext.broadcast(found)
@@ -71,7 +71,11 @@ def bridging(between: DataFrame, degree: DataFrame, edges: DataFrame) -> DataFra
 
 
 def _by_component(edges: DataFrame, component: DataFrame, kernel, schema: str) -> DataFrame:
+    """Runs the kernel on each component's edges. Components of more than ``MOST_EDGES`` are refused, as one task holds one."""
     rows = edges.select("src", "dst").where("src <> dst").join(component, F.col("src") == F.col("node")).select("component", "src", "dst")
+    largest = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MOST_EDGES:
+        raise ValueError(f"a component has {largest} edges, more than {MOST_EDGES}")
     return rows.groupBy("component").applyInPandas(kernel, schema)
 
 
@@ -132,35 +136,10 @@ def articulation(edges: DataFrame, component: DataFrame) -> DataFrame:
     kind = component.schema["node"].dataType.simpleString()
 
     def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        adjacent: dict = {}
-        for a, b in zip(group["src"], group["dst"]):
-            adjacent.setdefault(a, set()).add(b)
-            adjacent.setdefault(b, set()).add(a)
-        found, number, low = set(), {}, {}
-        for root in adjacent:
-            if root in number:
-                continue
-            number[root] = low[root] = len(number)
-            stack, children = [(root, None, iter(adjacent[root]))], 0
-            while stack:
-                v, up, rest = stack[-1]
-                for w in rest:
-                    if w not in number:
-                        number[w] = low[w] = len(number)
-                        stack.append((w, v, iter(adjacent[w])))
-                        children += v == root
-                        break
-                    if w != up:
-                        low[v] = min(low[v], number[w])
-                else:
-                    stack.pop()
-                    if stack and up != root and low[v] >= number[up]:
-                        found.add(up)
-                    if stack:
-                        low[up] = min(low[up], low[v])
-            if children > 1:
-                found.add(root)
-        return pd.DataFrame([(v,) for v in sorted(found)], columns=["node"])
+        # Numbers name blocks in the tree, so nodes go by their text.
+        name = {str(v): v for side in ("src", "dst") for v in group[side]}
+        found = cut_nodes(block_tree(_adjacent(group["src"].map(str), group["dst"].map(str))))
+        return pd.DataFrame([(name[v],) for v in sorted(found)], columns=["node"])
 
     return _by_component(edges, component, kernel, f"node {kind}")
 
@@ -310,6 +289,25 @@ def soft_communities(edges: DataFrame, component: DataFrame, seeds: list[int]) -
     return counts.join(hubs, "community").select(F.col("community").alias("hub"), "node", "instances", (F.col("n") / len(seeds)).alias("share"), (F.col("n") == F.col("instances")).alias("core"))
 
 
+def iteration_seeds(count: int, seed: int) -> list[int]:
+    """Distinct numbers below 1000, or below twice the count if that is over 1000, in a random order that the seed fixes."""
+    import hashlib
+
+    most = 2 * count if count > 1000 else 1000
+    return sorted(range(most), key=lambda x: hashlib.md5(f"{seed}|{x}".encode()).hexdigest())[:count]
+
+
+def merged_communities(soft: DataFrame, iterations: int) -> DataFrame:
+    """The table of ``soft_communities`` where communities of several names are one if they never changed and have equal nodes; it bears the longest name
+    (most tokens, then the last in order), and instances and shares add up."""
+    steady = soft.groupBy("hub").agg(F.min("core").alias("same"), F.first("instances").alias("instances"), F.sort_array(F.collect_list("node")).alias("nodes")).where("same and instances < " + str(int(iterations)))
+    longest = F.struct(F.size(F.split(F.col("hub").cast("string"), r"\|")).alias("n"), F.col("hub").alias("h"))
+    groups = steady.groupBy("nodes").agg(F.max(longest).alias("top"), F.collect_list("hub").alias("hubs")).where(F.size("hubs") > 1)
+    names = groups.select(F.col("top.h").alias("to"), F.explode("hubs").alias("hub"))
+    moved = soft.join(names, "hub", "left").withColumn("hub", F.coalesce("to", "hub")).drop("to")
+    return moved.groupBy("hub", "node").agg(F.sum("instances").alias("instances"), F.sum("share").alias("share"), F.min("core").alias("core"))
+
+
 def soft_difference(first: DataFrame, second: DataFrame, quantile: float = 0.95) -> DataFrame:
     """(hub, node, difference): shares of second less first over the nodes of first, of hubs with any difference over the quantile of all."""
     other = second.select("hub", "node", F.col("share").alias("other"))

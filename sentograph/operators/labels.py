@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .entropy import shared_members
+from .order import with_totals
+
 
 def renamed(column: Column, changes: list[tuple[str, str]]) -> Column:
     """Literal replacements one after another."""
@@ -63,18 +66,17 @@ def bucket_count(members: DataFrame, key: str, group: str, most: int = 3) -> Dat
     """(bucket, n, share): keys by the number of groups that they are in, from ``most`` on together. Rows without a group count as in none."""
     sizes = members.groupBy(key).agg(F.count_distinct(group).alias("k"))
     label = F.when(F.col("k") >= most, F.lit(f"{most}+")).otherwise(F.col("k").cast("string"))
-    from pyspark.sql import Window as W
-
     counts = sizes.groupBy(label.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    return with_totals(counts, F.sum("n").alias("all")).select("bucket", "n", (F.col("n") / F.col("all")).alias("share"))
 
 
 def overlap_share(members: DataFrame, group: str, key: str) -> DataFrame:
     """(a, b, share): of the members of a those in b, for pairs that share any."""
     rows = members.select(F.col(group).alias("a"), F.col(key).alias("k")).distinct()
     sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    both = rows.join(rows.select(F.col("a").alias("b"), "k"), "k").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    return both.join(sizes, "a").select("a", "b", (F.col("c") / F.col("n")).alias("share"))
+    one = shared_members(rows, "a", "k")
+    both = one.union(one.select("b", "a", "both"))
+    return both.join(sizes, "a").select("a", "b", (F.col("both") / F.col("n")).alias("share"))
 
 
 def resolve_redundant(entries: DataFrame, by: str, key: str, order: list[Column]) -> DataFrame:
@@ -93,3 +95,27 @@ def common_and_unique(rows: DataFrame, key: str, group: str, value: str, top: in
     kinds = stats.select(key, F.when(F.col("n") == F.col("t"), "common").when(F.col("n") == 1, "unique").alias("kind"), "mean").where("kind is not null")
     place = F.row_number().over(W.partitionBy("kind").orderBy(F.col("mean").desc(), key))
     return kinds.withColumn("p", place).where(F.col("p") <= top).drop("p")
+
+
+def mixed_tops(nodes: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Two lists (ngram, n, support) of the ``top`` nodes by support, ties by name: those of two tokens or more that hold more than two different
+    ones or are of at most three, and those of one token, or of up to three that differ."""
+    size, kinds = F.size("tokens"), F.size(F.array_distinct("tokens"))
+    first = lambda rows: rows.select("ngram", "n", "support").orderBy(F.col("support").desc(), "ngram").limit(top)
+    return first(nodes.where((size >= 2) & ((kinds > 2) | (size <= 3)))), first(nodes.where((size == 1) | ((kinds >= 2) & (size <= 3))))
+
+
+def plotted(results: DataFrame, metric: str) -> DataFrame:
+    """(comparison, fpr, cohen, p_log, passes, sign, score, category) of a metric from rows (comparison, metric, variable, value) with the variables
+    ``<metric>_FPR``, ``<metric> Cohen`` and ``<metric> p_log``: category 0 where the effect is positive, else 1."""
+    own = results.where(F.col("metric") == metric)
+    of = lambda name: F.max(F.when(F.col("variable") == name, F.col("value")))
+    wide = own.groupBy("comparison").agg(of(f"{metric}_FPR").alias("fpr"), of(f"{metric} Cohen").alias("cohen"), of(f"{metric} p_log").alias("p_log"))
+    sign = F.coalesce(F.col("cohen") > 0, F.lit(False))
+    return wide.select("*", F.coalesce(F.col("fpr") <= 0.05, F.lit(False)).alias("passes"), sign.alias("sign"), F.abs("cohen").alias("score"), F.when(sign, 0).otherwise(1).alias("category"))
+
+
+def transposed(rows: DataFrame, key: str, values: list[str], columns: list[str]) -> DataFrame:
+    """(variable, a column for each of ``columns``): the values of each key, of which the first in order counts if it repeats."""
+    long = rows.unpivot(key, values, "variable", "__value")
+    return long.groupBy("variable").pivot(key, columns).agg(F.min("__value"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .corpus import BAR
@@ -104,9 +103,11 @@ def collapse(posted: DataFrame, longest_kept: int | None = None) -> tuple[DataFr
     longest_kept: over that length it is the longer one that goes instead.
     """
     supported = support(posted)
-    # Entities that both of a pair have, by one join on the pair's own postings.
-    pairs = proper_windows(supported).join(supported.select(F.col("ngram").alias("sub")), "sub", "left_semi")
-    shared = pairs.join(posted.select("ngram", "id"), "ngram").join(posted.select(F.col("ngram").alias("sub"), "id"), ["sub", "id"]).groupBy("sub", "ngram").agg(F.count(F.lit(1)).alias("both"))
+    # What an entity has is put together once, and the pairs that it holds are counted before they are shuffled.
+    mine = posted.groupBy("id").agg(F.collect_set("ngram").alias("mine"))
+    longer = posted.where("n > 1").select("id", "ngram", F.array_distinct(F.filter(_all(F.col("tokens")), lambda w: F.size(w) < F.col("n"))).alias("subs"))
+    held = longer.join(mine, "id").select("ngram", F.explode(F.array_intersect(F.transform("subs", lambda w: F.array_join(w, BAR)), "mine")).alias("sub"))
+    shared = held.groupBy("sub", "ngram").agg(F.count(F.lit(1)).alias("both"))
     sized = shared.join(supported.select(F.col("ngram").alias("sub"), F.col("support").alias("own"), F.col("n").alias("short")), "sub").join(supported.select("ngram", F.col("n").alias("long")), "ngram")
     within = sized.where("both = own")
     gone = within.select(F.col("sub").alias("ngram")) if longest_kept is None else within.select(F.when(F.col("long") <= longest_kept, F.col("sub")).otherwise(F.col("ngram")).alias("ngram"))
@@ -129,11 +130,10 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def length_cutoff(lengths: DataFrame, share: float = 0.8) -> DataFrame:
-    """(n): the first length by which more than ``share`` of the counts (n, count) is reached; gaps count as 0."""
-    whole = lengths.agg(F.max("n").alias("m")).select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("n"))
-    filled = whole.join(lengths, "n", "left").select("n", F.coalesce("count", F.lit(0)).alias("count"))
-    running = filled.select("n", (F.sum("count").over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)) / F.sum("count").over(W.partitionBy())).alias("upto"))
-    return running.where(F.col("upto") > share).agg(F.min("n").alias("n"))
+    """(n): the first length by which more than ``share`` of the counts (n, count) is reached. There is a row for each length."""
+    packed = lengths.agg(F.sort_array(F.collect_list(F.struct("n", "count"))).alias("ls"), F.sum("count").alias("all"))
+    upto = lambda n: F.aggregate(F.transform(F.filter("ls", lambda y: y["n"] <= n), lambda y: y["count"]), F.lit(0).cast("long"), lambda a, c: a + c)
+    return packed.select(F.array_min(F.transform(F.filter("ls", lambda x: upto(x["n"]) / F.col("all") > share), lambda x: x["n"])).alias("n"))
 
 
 def entity_count(kept: DataFrame, supported: DataFrame, ngrams: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
 from .corpus import BAR
 
 
@@ -14,10 +18,25 @@ def drawn_before(seed: Column | str, *parts: Column) -> Column:
     return F.md5(F.concat_ws(BAR, F.lit(seed).cast("string") if not isinstance(seed, Column) else seed.cast("string"), *[p.cast("string") for p in parts]))
 
 
-def sample_without_replacement(rows: DataFrame, key: str, take: Column, seed: Column, within: list[str]) -> DataFrame:
-    """For each group of ``within`` the first ``take`` rows in random order."""
-    place = F.row_number().over(W.partitionBy(*within).orderBy(drawn_before(seed, F.col(key)), key))
-    return rows.withColumn("__place", place).where(F.col("__place") <= take).drop("__place")
+def drawn(rows: DataFrame, key: str, by: list[str], draws: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """(trial, by..., key): of each group of ``by`` and each of its draws (by..., trial, take) the first ``take`` rows in random order.
+
+    digest: a row's MD5 from the trial's column. A row is looked at for every trial where it is, and goes on only if its MD5 is among those
+    that take, ten standard deviations and thirty more are expected to be under, so what is shuffled grows with what is
+    drawn. Were there too few (a chance below 1e-20), an error is raised.
+    """
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__all"))
+    share = F.least(F.lit(1.0), (F.col("take") + 10 * F.sqrt("take") + 30) / F.col("__all"))
+    limit = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(share * 2.0**32)), 8, "0")))
+    each = draws.join(sizes, by).withColumn("limit", limit) if by else draws.crossJoin(F.broadcast(sizes)).withColumn("limit", limit)
+    packed = each.groupBy(*by).agg(F.collect_list(F.struct("trial", "take", "limit", "__all")).alias("__draws"))
+    own = rows.join(F.broadcast(packed), by) if by else rows.crossJoin(F.broadcast(packed))
+    tried = F.transform("__draws", lambda d: F.struct(d["trial"].alias("trial"), d["take"].alias("take"), d["limit"].alias("limit"), d["__all"].alias("all"), digest(d["trial"]).alias("h")))
+    near = own.select(*by, key, F.explode(F.filter(tried, lambda d: d["h"] < d["limit"])).alias("d")).select("d.*", *by, key)
+    group = W.partitionBy("trial", *by)
+    placed = near.withColumns({"__place": F.row_number().over(group.orderBy("h", key)), "__near": F.count(F.lit(1)).over(group)})
+    enough = F.when(F.col("__near") < F.least("take", "all"), F.raise_error(F.lit("too few rows are under the limit of a draw"))).otherwise(True).cast("boolean")
+    return placed.where(enough & (F.col("__place") <= F.col("take"))).select("trial", *by, key)
 
 
 def cohen_d(rows: DataFrame, value: str, group: str, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -45,8 +64,7 @@ def mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str, by: li
     by = by or []
     own = rows.where(F.col(value).isNotNull() & F.col(group).isin(a, b))
     level = own.groupBy(*by, value).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(group) == a).alias("in_a"))
-    before = F.coalesce(F.sum("t").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = level.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = order.running(level, value, {"before": "t"}, by).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("in_a")).alias("r"), F.sum("in_a").alias("na"), F.sum(F.col("t") - F.col("in_a")).alias("nb"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     n = F.col("na") + F.col("nb")
     u = F.col("r") - F.col("na") * (F.col("na") + 1) / 2
@@ -56,38 +74,56 @@ def mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str, by: li
     return sums.select(*by, u.alias("u"), F.least(F.lit(1.0), 2 * upper_normal(z)).alias("p"))
 
 
-def log_factorials(rows: DataFrame, most: Column) -> DataFrame:
-    """(x, lf): ln x! for 0 to the largest ``most``; x is split into blocks, so the running sum isn't one task's."""
-    top = rows.select(F.max(most).alias("m"))
-    x = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("m"), F.lit(1)).cast("long"))).alias("x")).withColumn("block", F.floor(F.col("x") / 4096))
-    logs = x.withColumn("l", F.when(F.col("x") > 1, F.ln("x")).otherwise(0.0))
-    blocks = logs.groupBy("block").agg(F.sum("l").alias("s"))
-    starts = blocks.select(F.col("block").alias("b"), (F.sum("s").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).alias("start"))
-    within = F.sum("l").over(W.partitionBy("block").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    return logs.withColumn("w", within).join(starts, F.col("block") == F.col("b")).select("x", (F.col("start") + F.col("w")).alias("lf"))
+#: ln x! of the first numbers.
+_SMALL = 32
+
+
+def log_factorial(x: Column) -> Column:
+    """ln x! of whole numbers: exact for small ones, else by Stirling's series, with an error below 1e-14 of the result."""
+    table = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(_SMALL)])
+    x = x.cast("double")
+    large = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(x < _SMALL, F.try_element_at(table, (F.greatest(x, F.lit(0.0)) + 1).cast("int"))).otherwise(large)
 
 
 def hypergeometric_tail(rows: DataFrame, k: str, n: str, m: str, total: str) -> DataFrame:
     """Adds p = P(X >= k) of drawing m from total, n of which count. Rows with k = 0 have p = 1.
 
-    The first term comes from joined log factorials, each next one from the one before by a ratio.
+    Above the mean the tail is summed upwards from k, else what lies below k is summed downwards and taken from 1. Each term comes from
+    the one before by a ratio; only those are taken that may weigh something, some tens of standard deviations at most. No row is shuffled.
     """
-    keyed = rows.withColumn("__row", F.struct(k, n, m, total))
-    cases = keyed.select("__row.*").distinct()
-    lf = log_factorials(cases, F.col(total))
-    K, N, M, T = F.col(k), F.col(n), F.col(m), F.col(total)
-    parts = [(N, 1), (K, -1), (N - K, -1), (T - N, 1), (M - K, -1), (T - N - M + K, -1), (T, -1), (M, 1), (T - M, 1)]
-    each = cases.withColumn("part", F.explode(F.array(*[F.struct(x.cast("long").alias("x"), F.lit(s).alias("s")) for x, s in parts])))
-    first = each.join(lf, F.col("part.x") == F.col("x")).groupBy(k, n, m, total).agg(F.sum(F.col("part.s") * F.col("lf")).alias("first"))
-    steps = F.when(F.least(N, M) > K, F.sequence(K.cast("long"), F.least(N, M).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-
-    def add(acc, i):
-        t = acc["t"] * (N - i) * (M - i) / ((i + 1) * (T - N - M + i + 1))
-        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
-
-    ratio = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), add, lambda acc: acc["s"])
-    tail = first.select(k, n, m, total, F.least(F.lit(1.0), F.when(K <= 0, 1.0).otherwise(F.exp("first") * ratio)).alias("p"))
-    return rows.join(tail, [k, n, m, total])
+    K, N, M, T = (F.col(c).cast("double") for c in (k, n, m, total))
+    mean = N * M / T
+    spread = F.sqrt(F.greatest(F.lit(0.0), mean * (T - N) * (T - M) / (T * F.greatest(T - 1, F.lit(1.0)))))
+    least, most = F.greatest(F.lit(0.0), N + M - T), F.least(N, M)
+    rest = T - N - M
+
+    def log_term(i):
+        plus, minus = (N, T - N, M, T - M), (i, N - i, M - i, rest + i, T)
+        return sum((log_factorial(x) for x in plus), F.lit(0.0)) - sum((log_factorial(x) for x in minus), F.lit(0.0))
+
+    def terms(start, ratio, count, far):
+        """The sum of the terms from start on by the first; ratio: of the j-th following one to that before it."""
+        first = ratio(F.lit(0.0))
+        falling = F.when(first <= 0, 0.0).when(first < 1, F.ceil(-40 / F.ln(first)))
+        steps = F.least(count, falling, F.when(F.abs(start - mean) < 8 * spread, F.ceil(far))).cast("int")
+        places = F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>"))
+        add = lambda acc, j: (lambda t: F.struct(t.alias("t"), (acc["s"] + t).alias("s")))(acc["t"] * ratio(j.cast("double")))
+        return F.aggregate(places, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), add, lambda acc: acc["s"])
+
+    above = F.exp(log_term(K)) * terms(K, lambda j: (N - K - j) * (M - K - j) / ((K + j + 1) * (rest + K + j + 1)), most - K, mean + 20 * spread + 50 - K)
+    top = K - 1
+    below = F.exp(log_term(top)) * terms(top, lambda j: (top - j) * (rest + top - j) / ((N - top + j + 1) * (M - top + j + 1)), top - least, top - (mean - 20 * spread - 50))
+    p = F.when(K <= least, 1.0).when(K > most, 0.0).when(K > mean, above).otherwise(1 - below)
+    return rows.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+
+
+def upper_chi2(x: Column, df: int) -> Column:
+    """P(X >= x) of the chi-square distribution of a whole number of degrees of freedom."""
+    half = x / 2
+    if df % 2 == 0:
+        return F.exp(-half) * sum((F.pow(half, F.lit(float(i))) / math.factorial(i) for i in range(df // 2)), F.lit(0.0))
+    return 2 * upper_normal(F.sqrt(x)) + F.exp(-half) * sum((F.pow(half, F.lit(i - 0.5)) / math.gamma(i + 0.5) for i in range(1, (df + 1) // 2)), F.lit(0.0))
 
 
 def enrichment(posted: DataFrame, ngrams: DataFrame, foreground: DataFrame, background: DataFrame) -> DataFrame:
@@ -115,7 +151,13 @@ def dispersion(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def bootstrap_mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str, size: int, trials: int, seed: int) -> DataFrame:
     """(trial, u, p) of samples of ``size`` from each group, all trials in one plan."""
-    number = rows.sparkSession.range(trials).select(F.col("id").alias("trial"))
-    own = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).withColumn("__id", F.xxhash64(*rows.columns)).crossJoin(F.broadcast(number))
-    drawn = sample_without_replacement(own, "__id", F.lit(size), F.concat_ws(BAR, F.lit(seed), "trial"), ["trial", group])
-    return mann_whitney(drawn, value, group, a, b, ["trial"])
+    own = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(group, value, F.struct(value, F.xxhash64(*rows.columns).alias("h")).alias("__key"))
+    number = rows.sparkSession.range(trials).select(F.col("id").alias("trial"), F.lit(size).alias("take"))
+    draws = number.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(a,), (b,)], f"{group} string")))
+    found = drawn(own, "__key", [group], draws, lambda t: drawn_before(str(seed), t, F.col("__key")["h"]))
+    return mann_whitney(found.select("trial", group, F.col("__key")[value].alias(value)), value, group, a, b, ["trial"])
+
+
+def quartile_span(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., iqr): the distance of the quartiles, without nulls."""
+    return rows.groupBy(*by).agg((F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("iqr"))

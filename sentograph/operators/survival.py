@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def event_flag(status, codes: dict[str, int] | None = None):
     """1 or 0 from a status text: its first character, or by a table."""
@@ -20,37 +21,69 @@ def event_flag(status, codes: dict[str, int] | None = None):
 def at_risk(rows: DataFrame) -> DataFrame:
     """(stratum, duration, deaths, risk): a row for each time at which something ends."""
     own = rows.where("duration is not null and event is not null").groupBy("stratum", "duration").agg(F.sum("event").alias("deaths"), F.count(F.lit(1)).alias("gone"))
-    later = W.partitionBy("stratum").orderBy(F.col("duration").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return own.select("stratum", "duration", "deaths", F.sum("gone").over(later).alias("risk"))
+    later = order.running(own.withColumn("back", -F.col("duration")), "back", {"later": "gone"}, ["stratum"])
+    return later.select("stratum", "duration", "deaths", (F.col("later") + F.col("gone")).alias("risk"))
 
 
 def kaplan_meier(rows: DataFrame) -> DataFrame:
     """(stratum, duration, deaths, risk, survival)."""
-    upto = W.partitionBy("stratum").orderBy("duration").rowsBetween(W.unboundedPreceding, 0)
-    table = at_risk(rows)
-    none_left = F.max((F.col("deaths") == F.col("risk")).cast("int")).over(upto)
-    logs = F.sum(F.when(F.col("deaths") < F.col("risk"), F.ln(1 - F.col("deaths") / F.col("risk"))).otherwise(0.0)).over(upto)
-    return table.select("stratum", "duration", "deaths", "risk", F.when(none_left == 1, 0.0).otherwise(F.exp(logs)).alias("survival"))
+    table = at_risk(rows).withColumns({"log": F.when(F.col("deaths") < F.col("risk"), F.ln(1 - F.col("deaths") / F.col("risk"))).otherwise(0.0), "none": (F.col("deaths") == F.col("risk")).cast("long")})
+    upto = order.running(table, "duration", {"logs": "log", "ended": "none"}, ["stratum"])
+    return upto.select("stratum", "duration", "deaths", "risk", F.when(F.col("ended") + F.col("none") > 0, 0.0).otherwise(F.exp(F.col("logs") + F.col("log"))).alias("survival"))
 
 
 def log_rank(rows: DataFrame) -> DataFrame:
     """(stratum, observed, expected): what the log-rank test compares, for any number of strata."""
     times = rows.where("duration is not null and event is not null")
     every = times.groupBy("duration").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("gone"))
-    every = every.select("duration", "d", F.sum("gone").over(W.orderBy(F.col("duration").desc()).rowsBetween(W.unboundedPreceding, 0)).alias("n"))
+    later = order.running(every.withColumn("back", -F.col("duration")), "back", {"later": "gone"})
+    share = later.select("duration", (F.col("d") / (F.col("later") + F.col("gone"))).alias("share"))
     # A subject of duration t is at risk at all death times up to t: its expectation is the sum of d/n so far.
-    hazard = every.select("duration", F.sum(F.col("d") / F.col("n")).over(W.orderBy("duration").rowsBetween(W.unboundedPreceding, 0)).alias("h"))
+    hazard = order.running(share, "duration", {"before": "share"}).select("duration", (F.col("before") + F.col("share")).alias("h"))
     return times.join(hazard, "duration").groupBy("stratum").agg(F.sum("event").alias("observed"), F.sum("h").alias("expected"))
 
 
+def log_rank_test(rows: DataFrame, most: int = 100) -> DataFrame:
+    """(chi2, df, p) of all strata at once, by the hypergeometric covariance of their deaths. Only the sums of a matrix over the strata, of which
+    there may be ``most``, come to the driver. One stratum gives no row; strata that can't be told apart a null."""
+    import numpy as np
+
+    from .stats import upper_chi2
+
+    own = rows.where("duration is not null and event is not null and stratum is not null")
+    names = [r["stratum"] for r in own.select("stratum").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} strata")
+    names, spark = sorted(names)[:-1], rows.sparkSession
+    schema = "chi2 double, df int, p double"
+    if not names:
+        return spark.createDataFrame([], schema)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    level = own.groupBy("duration").agg(
+        F.sum("event").alias("d"), F.count(F.lit(1)).alias("g"), *[F.count_if(F.col("stratum") == x).alias(f"g{i}") for i, x in enumerate(names)],
+        *[F.sum(F.when(F.col("stratum") == x, F.col("event")).otherwise(0)).alias(f"d{i}") for i, x in enumerate(names)])
+    counts = ["g", *[f"g{i}" for i in range(len(names))]]
+    risk = order.running(level.withColumn("back", -F.col("duration")), "back", {f"n{c[1:]}": c for c in counts})
+    risk = risk.withColumns({f"n{c[1:]}": F.col(f"n{c[1:]}") + F.col(c) for c in counts}).where("d > 0")
+    share = [F.col(f"n{i}") / F.col("n") for i in range(len(names))]
+    weight = F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
+    got = risk.agg(*[F.sum(F.col(f"d{i}") - F.col("d") * s).alias(f"z{i}") for i, s in enumerate(share)], *[F.sum(weight * share[i] * (int(i == j) - share[j])).alias(f"v{i}_{j}") for i, j in pairs]).first()
+    z, v = np.array([got[f"z{i}"] or 0.0 for i in range(len(names))]), np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        v[i, j] = v[j, i] = got[f"v{i}_{j}"] or 0.0
+    chi2 = float(z @ np.linalg.solve(v, z)) if np.linalg.matrix_rank(v) == len(names) else None
+    one = spark.createDataFrame([(chi2, len(names))], "chi2 double, df int")
+    return one.withColumn("p", upper_chi2(F.col("chi2"), len(names)))
+
+
 def log_rank_pair(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(chi2, p) of two strata, by the hypergeometric variance."""
     from .stats import upper_normal
 
     own = rows.where(F.col("stratum").isin(a, b) & F.col("duration").isNotNull() & F.col("event").isNotNull())
     level = own.groupBy("duration").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("g"), F.sum(F.when(F.col("stratum") == a, F.col("event")).otherwise(0)).alias("da"), F.count_if(F.col("stratum") == a).alias("ga"))
-    later = W.orderBy(F.col("duration").desc()).rowsBetween(W.unboundedPreceding, 0)
-    risk = level.withColumns({"n": F.sum("g").over(later), "na": F.sum("ga").over(later)}).where("d > 0")
+    later = order.running(level.withColumn("back", -F.col("duration")), "back", {"n": "g", "na": "ga"})
+    risk = later.withColumns({"n": F.col("n") + F.col("g"), "na": F.col("na") + F.col("ga")}).where("d > 0")
     e = F.col("d") * F.col("na") / F.col("n")
     v = F.when(F.col("n") > 1, e * (1 - F.col("na") / F.col("n")) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
     sums = risk.agg(F.sum(F.col("da") - e).alias("o"), F.sum(v).alias("v"))
@@ -58,6 +91,19 @@ def log_rank_pair(rows: DataFrame, a: str, b: str) -> DataFrame:
     return sums.select(chi2.alias("chi2"), (2 * upper_normal(F.sqrt(chi2))).alias("p"))
 
 
+def log_rank_pairs(rows: DataFrame, most: int = 30) -> DataFrame:
+    """(a, b, chi2, p) of all pairs of strata a < b, of at most ``most`` strata."""
+    names = sorted(r["stratum"] for r in rows.where("duration is not null and event is not null and stratum is not null").select("stratum").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} strata")
+    out = None
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            one = log_rank_pair(rows, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "chi2", "p")
+            out = one if out is None else out.union(one)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "a string, b string, chi2 double, p double")
+
+
 def cox_sample_size(power_z: float, alpha_z: float, ratio: float, p_exposed: float, p_control: float, hazard: float) -> tuple[int, int]:
     """Subjects (exposed, control) for a two-sided test of a hazard ratio, at normal quantiles of power and level."""
     import math
@@ -70,7 +116,7 @@ def cox_sample_size(power_z: float, alpha_z: float, ratio: float, p_exposed: flo
 def cox(rows: DataFrame, covariates: list[str], penalizer: float = 0.01, steps: int = 20, tolerance: float = 1e-9) -> dict[str, float]:
     """Coefficients of a proportional-hazards model (Efron's ties are taken as Breslow's), by Newton steps with a ridge penalty.
 
-    Each step sums over subjects by time and then over times from the last to the first, both as aggregates; the driver gets sums only.
+    Raises if they don't settle in so many steps. Each step sums over subjects by time and then over times from the last to the first, both as aggregates; the driver gets sums only.
     """
     import numpy as np
 
@@ -79,14 +125,15 @@ def cox(rows: DataFrame, covariates: list[str], penalizer: float = 0.01, steps:
     beta = np.zeros(k)
     x = [F.col(c).cast("double") for c in covariates]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    settled = False
     for _ in range(steps):
         risk = F.exp(sum((b * c for b, c in zip(beta.tolist(), x)), F.lit(0.0)))
         level = known.groupBy("duration").agg(
             F.sum("event").alias("d"), F.sum(risk).alias("s0"), *[F.sum(risk * c).alias(f"s1_{i}") for i, c in enumerate(x)], *[F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs],
             *[F.sum(F.col("event") * c).alias(f"e_{i}") for i, c in enumerate(x)])
-        later = W.orderBy(F.col("duration").desc()).rowsBetween(W.unboundedPreceding, 0)
         names = ["s0", *[f"s1_{i}" for i in range(k)], *[f"s2_{i}_{j}" for i, j in pairs]]
-        at = level.select("d", *[f"e_{i}" for i in range(k)], *[F.sum(c).over(later).alias(c) for c in names])
+        later = order.running(level.withColumn("back", -F.col("duration")), "back", {f"l{c}": c for c in names})
+        at = later.select("d", *[f"e_{i}" for i in range(k)], *[(F.col(f"l{c}") + F.col(c)).alias(c) for c in names])
         mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(k)]
         got = at.agg(*[F.sum(F.col(f"e_{i}") - F.col("d") * mean[i]).alias(f"g_{i}") for i in range(k)], *[F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"h_{i}_{j}") for i, j in pairs]).first()
         gradient = np.array([got[f"g_{i}"] for i in range(k)], float) - n * penalizer * beta
@@ -95,9 +142,11 @@ def cox(rows: DataFrame, covariates: list[str], penalizer: float = 0.01, steps:
             hessian[i, j] = hessian[j, i] = got[f"h_{i}_{j}"]
         step = np.linalg.solve(hessian + n * penalizer * np.eye(k), gradient)
         beta = beta + step
-        if np.abs(step).max() < tolerance:
+        if settled := np.abs(step).max() < tolerance:
             break
     known.unpersist()
+    if not settled:
+        raise RuntimeError(f"the coefficients did not settle in {steps} steps")
     return dict(zip(covariates, beta.tolist()))
 
 
@@ -106,3 +155,9 @@ def strata(subjects: DataFrame, fusions: DataFrame, key: str = "patient") -> Dat
     counts = fusions.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
     joined = subjects.join(counts, F.col(key) == F.col("__k"), "left")
     return joined.withColumn("stratum", F.when(F.col("__n").isNull(), "No Fusion").when(F.col("__n") == 1, "Single").otherwise("Multiple")).drop("__k", "__n")
+
+
+def of_patients(samples: DataFrame, patients: DataFrame, endings: tuple[str, ...] = ("A", "B"), sample: str = "sample", patient: str = "patient") -> DataFrame:
+    """The rows of samples with their patient: a sample's id is the patient's and one of the endings. Samples of no known patient are left out."""
+    ids = patients.select(F.col(patient).alias("__p")).distinct().select("__p", F.explode(F.array(*[F.concat(F.col("__p"), F.lit(e)) for e in endings])).alias("__s"))
+    return samples.join(ids, F.col(sample) == F.col("__s")).withColumn(patient, F.col("__p")).drop("__p", "__s")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentograph.operators import corpus
+from sentograph.operators.entropy import shared_members
 
 REFERENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("UniProt ID", "Gene", "Species", "Uniprot Domains", "Ref Sequence", "PDB IDs", "Uniprot Domain Architecture", "Interpro Domains", "Interpro Domain Architecture")])
 MAPPING = T.StructType([T.StructField(n, T.StringType()) for n in ("Gene stable ID", "Gene name", "Gene Synonym", "UniProtKB/Swiss-Prot ID", "Version (gene)")])
@@ -94,6 +97,44 @@ def write_edges_csv(adjacency: DataFrame, path: str) -> None:
     adjacency.where("row <> col").write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_adjacency_csv(adjacency: DataFrame, removed: DataFrame, path: str, removed_path: str) -> None:
+    """The edges, and beside them the n-grams that the nodes stand for, a line each without a header."""
+    write_edges_csv(adjacency, path)
+    removed.select("ngram").write.mode("overwrite").csv(removed_path)
+
+
+def read_adjacency_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, value)."""
+    return spark.read.option("header", True).schema("row string, col string, value long").csv(path)
+
+
+def read_removed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(ngram)."""
+    return spark.read.schema("ngram string").csv(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder of any file system that the session knows is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_or_build(spark: SparkSession, path: str, read: Callable[[SparkSession, str], DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
+    """What is saved at the path, or else what is built; nothing is written."""
+    return read(spark, path) if exists(spark, path) else build()
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Records from a JSON array, an object or an object a line."""
+    reader = spark.read.option("multiLine", True)
+    return (reader if schema is None else reader.schema(schema)).json(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """An object a line."""
+    rows.write.mode("overwrite").json(path)
+
+
 def write_tidy(rows: DataFrame, path: str) -> None:
     """(Comparison, variable, value)."""
     rows.select("Comparison", "variable", "value").write.mode("overwrite").option("header", True).csv(path)
@@ -108,7 +149,8 @@ def contained_files(rows: DataFrame, file: str = "file", key: str = "id") -> Dat
     """(file, within): files all of whose ids another one has; of equal ones the smaller name stays."""
     own = rows.select(F.col(file).alias("file"), F.col(key).alias("k")).distinct()
     sizes = own.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    both = own.join(own.select(F.col("file").alias("within"), "k"), "k").where("file <> within").groupBy("file", "within").agg(F.count(F.lit(1)).alias("b"))
+    one = shared_members(own, "file", "k")
+    both = one.toDF("file", "within", "b").union(one.select("b", "a", "both"))
     sized = both.join(sizes, "file").join(sizes.select(F.col("file").alias("within"), F.col("n").alias("m")), "within")
     return sized.where("b = n and (m > n or within < file)").select("file", "within")
 
@@ -117,3 +159,24 @@ def batches(rows: DataFrame, key: str, size: int = 300) -> DataFrame:
     """Adds batch numbers of about that many rows by hash, so no sort or single task is needed."""
     n = rows.count()
     return rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size))).cast("long")))
+
+
+def as_corpus(spark: SparkSession, given, key: str = "UniProt ID") -> DataFrame:
+    """(id, tokens) from a path, a list of paths, a reference frame, a frame that has them, or a dictionary id -> tokens or bar-joined string."""
+    if isinstance(given, DataFrame):
+        return given.select("id", "tokens") if {"id", "tokens"} <= set(given.columns) else corpus_of(corpus.with_architecture(given.na.fill(""), "Interpro Domains", "Interpro Domain Architecture IDs"), key)
+    if isinstance(given, dict):
+        rows = [(k, list(v) if not isinstance(v, str) else [t for t in [v] if t and corpus.BAR not in t] or (v.split(corpus.BAR) if v else [])) for k, v in given.items()]
+        return spark.createDataFrame(rows, "id string, tokens array<string>")
+    return corpus_of(reference_files(spark, [given] if isinstance(given, str) else list(given), key), key)
+
+
+def as_ids(spark: SparkSession, given) -> DataFrame:
+    """(id), each once, from one id, a collection of ids, or a frame, whose id or only column counts."""
+    if isinstance(given, DataFrame):
+        if "id" not in given.columns and len(given.columns) != 1:
+            raise ValueError("the frame has no column id")
+        return given.select(F.col("id" if "id" in given.columns else given.columns[0]).alias("id")).distinct()
+    values = [given] if isinstance(given, (str, int)) else list(given)
+    kind = "long" if values and all(isinstance(v, int) for v in values) else "string"
+    return spark.createDataFrame([(v,) for v in values], f"id {kind}").distinct()
