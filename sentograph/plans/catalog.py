@@ -1,70 +1,14 @@
-"""Queries over the driver's tables, and SQL that gives the same rows.
-
-Three corpora stand for the entities: OB, orders with the brands of their lines; EV, users with their events; DOC,
-documents with their words.
-"""
+"""Queries over the driver's tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentograph.operators import compare, corpus, diff, entropy, fusion, graph, kernels, labels, ngrams, stats, survival
+from sentograph.operators import compare, corpus, diff, entropy, fusion, graph, kernels, labels, ngrams, order, stats, survival
 
 from . import sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None, name: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if oracle:
-            ORACLES[name or f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def ob(spark: SparkSession, sf: str) -> DataFrame:
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    lines = table(spark, sf, "lineitem").select("l_orderkey", *order).join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return corpus.ordered_tokens(lines.withColumn("token", F.replace("p_brand", F.lit("Brand#"), F.lit("B"))), "l_orderkey", "token", order)
-
-
-def ev(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.ordered_tokens(table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", "event_type", ["ts", "event_id"])
-
-
-def doc(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\u000B]+"), "")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", words.alias("tokens"))
-
-
-def ev_graph(spark: SparkSession, sf: str, longest: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, nodes, edges) of EV, cut from their lineage as iterations come back to them."""
-    posted = ngrams.postings(ev(spark, sf), longest)
-    nodes = graph.cut(ngrams.closed(ngrams.support(posted)))
-    return posted, nodes, graph.cut(ngrams.containment_edges(nodes))
-
-
-def w(*parts: str, recursive: bool = False) -> str:
-    return "WITH " + ("RECURSIVE " if recursive else "") + ", ".join(parts) + " "
-
-
-EVG = (sql.EV, sql.windows("ev", 3), sql.CLOSED, sql.EDGES)
-EVD = (*EVG, sql.UNDIRECTED, sql.distances())
-
+from .base import EVD, EVG, ORACLES, QUERIES, doc, ev, ev_graph, ob, query, table, w
 
 # Corpora and derived columns
 
@@ -228,30 +172,31 @@ def component_diameter(spark, sf):
     return graph.diameters(graph.distances(nodes.select(F.col("ngram").alias("node")), edges), graph.components(nodes, edges))
 
 
-def ev_sides(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(postings, nodes, (side, id) of users above and below the mean value, (side, node) of their n-grams)."""
+def ev_members(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings, nodes, edges, (set, id) of users above and below the mean value)."""
     posted, nodes, edges = ev_graph(spark, sf)
     events = table(spark, sf, "events")
-    mean = events.agg(F.avg("value").alias("m"))
-    members = events.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("v")).crossJoin(F.broadcast(mean)).select(F.when(F.col("v") > F.col("m"), "up").otherwise("down").alias("set"), "id")
+    users = events.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("v")).crossJoin(F.broadcast(events.agg(F.avg("value").alias("m"))))
+    return posted, nodes, edges, users.select(F.when(F.col("v") > F.col("m"), "up").otherwise("down").alias("set"), "id")
+
+
+def ev_sides(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(postings, nodes, edges, (set, node) of the n-grams of either side)."""
+    posted, nodes, edges, members = ev_members(spark, sf)
     return posted, nodes, edges, diff.trial_ngrams(posted, nodes, members)
 
 
 @query(w(*EVD, sql.COMPONENTS, sql.SETS, sql.SIDE_NODES, sql.SEPARATION, recursive=True) + "SELECT side AS set, round(m, 9) AS mean FROM inn")
 def mean_min_dist(spark, sf):
     _, nodes, edges, sides = ev_sides(spark, sf)
-    far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
-    penalty = graph.penalties(*(lambda c: (c, graph.diameters(far, c)))(graph.components(nodes, edges)))
-    return graph.mean_nearest(sides, far, penalty, 0.0).select("set", F.round("mean", 9).alias("mean"))
+    return graph.mean_nearest_by_search(sides, graph.components(nodes, edges), edges, 0.0).select("set", F.round("mean", 9).alias("mean"))
 
 
 @query(w(*EVD, sql.COMPONENTS, sql.SETS, sql.SIDE_NODES, sql.SEPARATION, recursive=True) + "SELECT round((SELECT t FROM acs) / (SELECT count(*) FROM sn) - (SELECT sum(m) FROM inn) / 2, 9) AS separation")
 def network_separation(spark, sf):
     _, nodes, edges, sides = ev_sides(spark, sf)
-    far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
-    component = graph.components(nodes, edges)
     side = lambda s: sides.where(F.col("set") == s).select(F.lit("all").alias("set"), "node")
-    return graph.separation(side("up"), side("down"), far, graph.penalties(component, graph.diameters(far, component))).select(F.round("separation", 9).alias("separation"))
+    return graph.separation_by_search(side("up"), side("down"), graph.components(nodes, edges), edges).select(F.round("separation", 9).alias("separation"))
 
 
 # Information
@@ -337,10 +282,10 @@ def jaccard_corpora(spark, sf):
 
 
 def deg(spark, sf) -> DataFrame:
-    every = W.partitionBy()
-    orders = table(spark, sf, "orders").where("o_totalprice > 0").withColumn("mean", F.avg("o_totalprice").over(every))
-    place = F.rank().over(W.orderBy(F.abs(F.col("o_totalprice") - F.col("mean")).desc()))
-    return orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("contrast"), F.log2(F.col("o_totalprice") / F.col("mean")).alias("log2fc"), (place.cast("double") / F.count(F.lit(1)).over(every)).alias("padj"))
+    orders = order.with_totals(table(spark, sf, "orders").where("o_totalprice > 0"), F.avg("o_totalprice").alias("mean"), F.count(F.lit(1)).alias("all"))
+    off = graph.cut(orders.withColumn("off", F.abs(F.col("o_totalprice") - F.col("mean"))))
+    placed = off.join(order.ranks(off, "off"), "off")
+    return placed.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("contrast"), F.log2(F.col("o_totalprice") / F.col("mean")).alias("log2fc"), (F.col("rank").cast("double") / F.col("all")).alias("padj"))
 
 
 @query(w(sql.DEG) + "SELECT CASE WHEN log2fc > 0.5 THEN 'up' ELSE 'down' END AS set, id FROM deg WHERE padj <= 0.2 AND abs(log2fc) > 0.5")
@@ -369,32 +314,78 @@ def hypergeom_enrichment(spark, sf):
     return stats.enrichment(posted, posted.select("ngram").distinct(), urgent, own.select("id")).withColumn("p", F.round("p", 6))
 
 
-def _priority_counts(spark, sf) -> DataFrame:
-    """(token, condition, p): for each brand and priority a stand-in p-value, from MD5."""
-    rows = ob(spark, sf).select("id", F.explode(F.array_distinct("tokens")).alias("ngram")).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("condition")), "id")
-    return rows.groupBy("ngram", "condition").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("f"))
+#: Brands and priorities: how many orders of a priority have a brand, of how many of either; and the same for priorities dealt out at random, ten times.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+BY_PRIORITY = (
+    sql.OB, "tk AS (SELECT DISTINCT id, unnest(tokens) AS ngram FROM ob)",
+    "cond AS (SELECT -1 AS t, o_orderkey AS id, o_orderpriority AS condition FROM orders JOIN ob ON id = o_orderkey UNION ALL SELECT t, id, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][1 + ('0x' || substr(md5(t || '|' || id), 1, 6))::BIGINT % 5] FROM ob, range(10) r(t))",
+    "sz AS (SELECT t, condition, count(*) AS m FROM cond GROUP BY 1, 2)", "nn AS (SELECT ngram, count(*) AS n FROM tk GROUP BY 1)",
+    "kk AS (SELECT t, ngram, condition, count(*) AS k FROM tk JOIN cond USING (id) GROUP BY 1, 2, 3)",
+    f"pv AS (SELECT t, ngram, condition, {sql.hyper('k', 'n', 'm', 'total')} AS p FROM (SELECT kk.*, n, m, (SELECT count(*) FROM ob) AS total FROM kk JOIN nn USING (ngram) JOIN sz USING (t, condition)))",
+    "fp AS (SELECT a.ngram, a.condition, a.p, avg(CASE WHEN b.p < a.p THEN 1.0 ELSE 0.0 END) AS fpr FROM pv a JOIN pv b ON b.ngram = a.ngram AND b.condition = a.condition AND b.t >= 0 WHERE a.t = -1 GROUP BY 1, 2, 3)",
+)
+
+
+def _p_by_priority(spark, sf) -> DataFrame:
+    """(t, ngram, condition, p): hypergeometric p of brands in orders of a priority; t = -1 the actual one, else priorities by MD5."""
+    own = graph.cut(ob(spark, sf))
+    tokens = own.select("id", F.explode(F.array_distinct("tokens")).alias("ngram"))
+    actual = table(spark, sf, "orders").select(F.lit(-1).cast("long").alias("t"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("condition")).join(own.select("id"), "id", "left_semi")
+    dealt = own.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("t"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("t").cast("string"), F.col("id").cast("string"))), 1, 6), 16, 10).cast("long") % 5
+    drawn = dealt.select("t", "id", F.element_at(F.array(*map(F.lit, PRIORITIES)), (number + 1).cast("int")).alias("condition"))
+    every = actual.unionByName(drawn)
+    counts = tokens.join(every, "id").groupBy("t", "ngram", "condition").agg(F.count(F.lit(1)).alias("k")).join(tokens.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")), "ngram")
+    counts = counts.join(F.broadcast(every.groupBy("t", "condition").agg(F.count(F.lit(1)).alias("m"))), ["t", "condition"]).crossJoin(F.broadcast(own.agg(F.count(F.lit(1)).alias("total"))))
+    return graph.cut(stats.hypergeometric_tail(counts, "k", "n", "m", "total").select("t", "ngram", "condition", "p"))
+
+
+def _rated(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(ngram, condition, p) and (ngram, condition, p, fpr)."""
+    every = _p_by_priority(spark, sf)
+    actual = every.where("t = -1").drop("t")
+    return actual, stats.false_positive_rate(actual, every.where("t >= 0"), ["ngram", "condition"], strict=True)
+
+
+@query(w(*BY_PRIORITY) + "SELECT ngram, condition, round(p, 6) AS p, round(fpr, 9) AS fpr FROM fp")
+def ngram_fpr(spark, sf):
+    return _rated(spark, sf)[1].withColumns({"p": F.round("p", 6), "fpr": F.round("fpr", 9)})
 
 
-@query(w(sql.OB, "pc AS (SELECT ngram, o_orderpriority AS condition, count(*) AS k FROM (SELECT DISTINCT id, unnest(tokens) AS ngram FROM ob) JOIN orders ON o_orderkey = id GROUP BY 1, 2)", "ac AS (SELECT ngram, condition, 1.0 / k AS p FROM pc)", "nl AS (SELECT ngram, condition, (('0x' || substr(md5(ngram || '|' || condition || '|' || t), 1, 4))::BIGINT) / 65536.0 * 0.2 AS p FROM pc, range(50) r(t))") + "SELECT a.ngram, a.condition, round(a.p, 9) AS p, round(avg(CASE WHEN nl.p < a.p THEN 1.0 ELSE 0.0 END), 9) AS fpr FROM ac a JOIN nl USING (ngram, condition) GROUP BY a.ngram, a.condition, a.p")
-def ngram_fpr(spark, sf):
-    own = _priority_counts(spark, sf)
-    actual = own.select("ngram", "condition", (1.0 / F.col("k")).alias("p"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", "ngram", "condition", F.col("t").cast("string"))), 1, 4), 16, 10).cast("double") / 65536.0 * 0.2
-    null = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(49)))).select("ngram", "condition", draw.alias("p"))
-    return stats.false_positive_rate(actual, null, ["ngram", "condition"], strict=True).withColumns({"p": F.round("p", 9), "fpr": F.round("fpr", 9)})
+RESULTS = "round(p, 6) AS p, round(-log10(p), 6) AS log_p, round(fpr, 9) AS fpr, fpr <= 0.05 AS passes"
 
 
-@query(w(sql.OB, "pc AS (SELECT ngram, o_orderpriority AS condition, count(*) AS k FROM (SELECT DISTINCT id, unnest(tokens) AS ngram FROM ob) JOIN orders ON o_orderkey = id GROUP BY 1, 2)", "r AS (SELECT ngram, condition, 1.0::DOUBLE / k AS p, (k % 20) / 100.0::DOUBLE AS fpr FROM pc)", "q AS (SELECT quantile_cont(p, 0.25) AS lim FROM r)") + "SELECT ngram, condition, round(p, 9) AS p, round(-log10(p), 6) AS log_p, round(fpr, 9) AS fpr, fpr <= 0.05 AS passes FROM r WHERE ngram IN (SELECT ngram FROM r, q WHERE p <= lim)")
+@query(w(*BY_PRIORITY, "q AS (SELECT quantile_cont(p, 0.25) AS lim FROM fp)") + f"SELECT ngram, condition, {RESULTS} FROM fp WHERE ngram IN (SELECT ngram FROM fp, q WHERE p <= lim)")
 def enrichment_results(spark, sf):
-    own = _priority_counts(spark, sf)
-    results = diff.gather_results(own.select("ngram", "condition", (1.0 / F.col("k")).alias("p")), own.select("ngram", "condition", (F.col("k") % 20 / 100.0).alias("fpr")))
-    return diff.top_quantile(results, 0.25).withColumns({"p": F.round("p", 9), "log_p": F.round("log_p", 6), "fpr": F.round("fpr", 9)})
+    actual, rates = _rated(spark, sf)
+    return diff.top_quantile(diff.gather_results(actual, rates.drop("p")), 0.25).withColumns({"p": F.round("p", 6), "log_p": F.round("log_p", 6), "fpr": F.round("fpr", 9)})
+
+
+@query(w(*BY_PRIORITY) + f"SELECT ngram, condition, {RESULTS} FROM fp WHERE fpr <= 0.2 AND p <= 0.2")
+def significant_results(spark, sf):
+    actual, rates = _rated(spark, sf)
+    return diff.significant(diff.gather_results(actual, rates.drop("p")), 0.2, 0.2).withColumns({"p": F.round("p", 6), "log_p": F.round("log_p", 6), "fpr": F.round("fpr", 9)})
+
 
+#: p of the EV n-grams that each side's users have.
+SIDE_P = ("msz AS (SELECT side, count(*) AS m FROM mem GROUP BY side)", f"sp AS (SELECT side, ngram, {sql.hyper('k', 'support', 'm', 'total')} AS p FROM (SELECT own.*, support, m, (SELECT count(*) FROM ev) AS total FROM own JOIN c USING (ngram) JOIN msz USING (side)))")
 
-@query(w(*EVG, "r AS (SELECT ngram, 'x' AS condition, support % 3 = 0 AS passes FROM c)") + "SELECT ngram, condition, passes FROM r WHERE ngram NOT IN (SELECT e.dst FROM e JOIN r a ON a.ngram = e.src JOIN r b ON b.ngram = e.dst WHERE a.passes = b.passes)")
+
+@query(w(*EVG, sql.SETS, sql.SIDE_NODES, *SIDE_P, "r AS (SELECT ngram, side AS condition, p <= 0.4 AS passes FROM sp)", "f AS (SELECT ngram, list((condition, passes) ORDER BY condition) AS f FROM r GROUP BY 1)") + "SELECT ngram, condition, passes FROM r WHERE ngram NOT IN (SELECT e.dst FROM e JOIN f a ON a.ngram = e.src JOIN f b ON b.ngram = e.dst WHERE a.f = b.f)")
 def max_info_collapse(spark, sf):
-    _, nodes, edges = ev_graph(spark, sf)
-    return diff.most_informative(nodes.select("ngram", F.lit("x").alias("condition"), (F.col("support") % 3 == 0).alias("passes")), edges)
+    posted, nodes, edges, members = ev_members(spark, sf)
+    found = side_p(posted, nodes, members, ev(spark, sf).select("id"))
+    return diff.most_informative(found.select("ngram", F.col("set").alias("condition"), (F.col("p") <= 0.4).alias("passes")), edges)
+
+
+def side_p(posted: DataFrame, nodes: DataFrame, members: DataFrame, background: DataFrame) -> DataFrame:
+    """(set, ngram, p) of the nodes that members (set, id) have."""
+    out = None
+    for s in ("up", "down"):
+        own = members.where(F.col("set") == s).select("id")
+        one = stats.enrichment(posted, nodes, own, background).where("k > 0").select(F.lit(s).alias("set"), "ngram", "p")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("SELECT o_orderpriority, round((avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') - avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O')) / sqrt(((count(*) FILTER (WHERE o_orderstatus = 'F') - 1) * var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'F') + (count(*) FILTER (WHERE o_orderstatus = 'O') - 1) * var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'O')) / (count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) - 2)), 6) AS d FROM orders GROUP BY 1")
@@ -402,10 +393,18 @@ def cohen_d(spark, sf):
     return stats.cohen_d(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "F", "O", ["o_orderpriority"]).withColumn("d", F.round("d", 6))
 
 
-@query("WITH r AS (SELECT o_orderpriority, o_orderstatus, (rank() OVER w) + (count(*) OVER (PARTITION BY o_orderpriority, round(o_totalprice, -3)) - 1) / 2.0 AS rk FROM (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O')) WINDOW w AS (PARTITION BY o_orderpriority ORDER BY round(o_totalprice, -3))) SELECT o_orderpriority, sum(rk) FILTER (WHERE o_orderstatus = 'F') - count(*) FILTER (WHERE o_orderstatus = 'F') * (count(*) FILTER (WHERE o_orderstatus = 'F') + 1) / 2.0 AS u FROM r GROUP BY 1")
+MANN = (
+    "r AS (SELECT o_orderpriority, o_orderstatus, (rank() OVER w) + (count(*) OVER (PARTITION BY o_orderpriority, round(o_totalprice, -3)) - 1) / 2.0 AS rk FROM (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O')) WINDOW w AS (PARTITION BY o_orderpriority ORDER BY round(o_totalprice, -3)))",
+    "t AS (SELECT o_orderpriority, sum(t ** 3 - t) AS ties FROM (SELECT o_orderpriority, count(*)::DOUBLE AS t FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderpriority, round(o_totalprice, -3)) GROUP BY 1)",
+    "a AS (SELECT o_orderpriority, sum(rk) FILTER (WHERE o_orderstatus = 'F') AS r, (count(*) FILTER (WHERE o_orderstatus = 'F'))::DOUBLE AS x, (count(*) FILTER (WHERE o_orderstatus = 'O'))::DOUBLE AS y FROM r GROUP BY 1)",
+    "b AS (SELECT o_orderpriority, r - x * (x + 1) / 2.0 AS u, greatest(0, (abs(r - x * (x + 1) / 2.0 - x * y / 2) - 0.5) / sqrt(x * y / 12 * (x + y + 1 - ties / ((x + y) * (x + y - 1))))) AS z FROM a JOIN t USING (o_orderpriority))",
+)
+
+
+@query(w(*MANN) + f"SELECT o_orderpriority, u, round({sql.two_sided('z')}, 6) AS p FROM b")
 def mann_whitney_u(spark, sf):
     rows = table(spark, sf, "orders").withColumn("v", F.round("o_totalprice", -3))
-    return stats.mann_whitney(rows, "v", "o_orderstatus", "F", "O", ["o_orderpriority"]).select("o_orderpriority", "u")
+    return stats.mann_whitney(rows, "v", "o_orderstatus", "F", "O", ["o_orderpriority"]).select("o_orderpriority", "u", F.round("p", 6).alias("p"))
 
 
 @query("WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS m FROM orders GROUP BY 1) SELECT o.o_orderpriority, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 6) AS iqr, round(median(abs(o_totalprice - m.m)), 6) AS mad, round(stddev_pop(o_totalprice), 4) AS std, round(stddev_pop(o_totalprice) / avg(o_totalprice), 6) AS cv FROM orders o JOIN m USING (o_orderpriority) GROUP BY 1")
@@ -420,13 +419,30 @@ def stratified_null_sample(spark, sf):
     return diff.length_stratified(own, weights, 5, 7)
 
 
-@query()
-def separation_stability(spark, sf):
-    posted, nodes, edges = ev_graph(spark, sf)
+def _stability(spark, sf, make):
+    posted, nodes, edges, members = ev_members(spark, sf)
     far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
     component = graph.components(nodes, edges)
-    drawn = diff.length_stratified(ev(spark, sf), ev(spark, sf).groupBy(F.least(F.size("tokens"), F.lit(11)).cast("long").alias("length")).agg((F.count(F.lit(1)) * 0.7).alias("weight")), 10, 3)
-    return diff.stability(posted, nodes, far, graph.penalties(component, graph.diameters(far, component)), diff.split_sets(drawn, 0.5, 3))
+    return make(graph.cut(ev(spark, sf)), posted, nodes, far, graph.penalties(component, graph.diameters(far, component)), members)
+
+
+@query()
+def separation_stability(spark, sf):
+    return _stability(spark, sf, lambda own, posted, nodes, far, penalty, members: diff.separation_stability(own, posted, nodes, far, penalty, members.withColumn("of", F.lit(0)), 10, 3))
+
+
+@query()
+def separation_fpr(spark, sf):
+    def make(own, posted, nodes, far, penalty, members):
+        actual = diff.stability_tests(diff.separation_stability(own, posted, nodes, far, penalty, members.withColumn("of", F.lit(0)), 6, 3))
+        return diff.check_rates(actual, diff.false_positive_checks(own, posted, nodes, far, penalty, 60, 4, 6, 5))
+
+    return _stability(spark, sf, make)
+
+
+@query()
+def separation_sizes(spark, sf):
+    return _stability(spark, sf, lambda own, posted, nodes, far, penalty, members: diff.size_sweep(own, posted, nodes, far, penalty, [5, 20, 60], 5, 1, [None, 0.0, 3.0]))
 
 
 @query("SELECT mask, count(*) AS count FROM (SELECT user_id, CAST(max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'error' THEN 2 ELSE 0 END) + max(CASE WHEN event_type = 'view' THEN 4 ELSE 0 END) AS BIGINT) AS mask FROM events WHERE value > 50 AND event_type IN ('click', 'error', 'view') GROUP BY user_id) GROUP BY mask")
@@ -469,7 +485,7 @@ def contribution_ranks(spark, sf):
 @query("SELECT l_suppkey, n, rk FROM (SELECT l_suppkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS rk FROM lineitem GROUP BY 1) WHERE rk <= 10")
 def top_k_with_ties(spark, sf):
     counts = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rk", F.rank().over(W.orderBy(F.col("n").desc())).cast("long")).where("rk <= 10")
+    return order.top_with_ties(counts, "n", 10).withColumnRenamed("rank", "rk").select("l_suppkey", "n", "rk")
 
 
 @query("SELECT o_orderpriority, coalesce(f, 0) AS f, coalesce(o, 0) AS o, round(coalesce(f, 0) / (coalesce(f, 0) + coalesce(o, 0)), 9) AS share FROM (SELECT o_orderpriority, count(*) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) FULL JOIN (SELECT o_orderpriority, count(*) AS o FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) USING (o_orderpriority)")
@@ -508,16 +524,19 @@ def logrank_stat(spark, sf):
 # Kernels
 
 
-@query()
+BC = (*EVG, sql.UNDIRECTED, "nd AS (SELECT ngram AS node FROM c)", sql.numbered_paths("nd", 7), sql.BETWEENNESS)
+
+
+@query(w(*BC) + "SELECT node, round(betweenness, 9) AS betweenness FROM bc")
 def betweenness(spark, sf):
     _, nodes, edges = ev_graph(spark, sf)
-    return kernels.betweenness(nodes, edges)
+    return kernels.betweenness(nodes, edges).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query()
+@query(w(*BC, "dg AS (SELECT a AS node, count(*) AS d FROM u GROUP BY 1)", "ar AS (SELECT a AS node, sum(1 / d) AS s FROM u JOIN dg ON dg.node = u.b GROUP BY 1)") + "SELECT bc.node, round(1 / d / s * betweenness, 9) AS bridging FROM bc LEFT JOIN dg USING (node) LEFT JOIN ar USING (node)")
 def bridging_centrality(spark, sf):
     _, nodes, edges = ev_graph(spark, sf)
-    return kernels.bridging(kernels.betweenness(nodes, edges), graph.degrees(nodes, edges), edges)
+    return kernels.bridging(kernels.betweenness(nodes, edges), graph.degrees(nodes, edges), edges).withColumn("bridging", F.round("bridging", 9))
 
 
 @query("SELECT 'c' || o_custkey AS node FROM orders GROUP BY o_custkey HAVING count(*) > 1")
@@ -613,11 +632,11 @@ def running_enrichment(spark, sf):
     return compare.running_enrichment(ranked, part.select(F.col("p_brand").alias("set"), F.col("p_partkey").alias("gene")), 2, 500).withColumn("score", F.round("score", 6))
 
 
-@query(w(*EVG, "gm AS (SELECT user_id AS id, CAST(user_id % 3 AS BIGINT) AS grp FROM (SELECT DISTINCT user_id FROM events))", "gn AS (SELECT DISTINCT grp, p.ngram FROM p JOIN gm USING (id) JOIN c USING (ngram))", "ge AS (SELECT a.grp, e.src, e.dst FROM e JOIN gn a ON a.ngram = e.src JOIN gn b ON b.ngram = e.dst AND a.grp = b.grp)") + 'SELECT grp AS "group", count(*) AS nodes, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM ge WHERE ge.grp = gn.grp AND (ge.src = gn.ngram OR ge.dst = gn.ngram))) AS isolates FROM gn GROUP BY grp')
+@query(w(*EVG, "gm AS (SELECT user_id AS id, CAST(user_id % 3 AS BIGINT) AS grp FROM (SELECT DISTINCT user_id FROM events))", "gn AS (SELECT DISTINCT grp, p.ngram FROM p JOIN gm USING (id) JOIN c USING (ngram))", "ge AS (SELECT a.grp, e.src, e.dst FROM e JOIN gn a ON a.ngram = e.src JOIN gn b ON b.ngram = e.dst AND a.grp = b.grp)", "gw(grp, src, dst) AS (SELECT grp, ngram, ngram FROM gn UNION SELECT gw.grp, gw.src, CASE WHEN ge.src = gw.dst THEN ge.dst ELSE ge.src END FROM gw JOIN ge ON ge.grp = gw.grp AND (ge.src = gw.dst OR ge.dst = gw.dst))", "gk AS (SELECT grp, count(DISTINCT m) AS k FROM (SELECT grp, src, min(dst) AS m FROM gw GROUP BY grp, src) GROUP BY grp)", recursive=True) + 'SELECT grp AS "group", count(*) AS nodes, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM ge WHERE ge.grp = gn.grp AND (ge.src = gn.ngram OR ge.dst = gn.ngram))) AS isolates, any_value(k) AS components FROM gn JOIN gk USING (grp) GROUP BY grp')
 def group_networks(spark, sf):
     posted, nodes, edges = ev_graph(spark, sf)
     groups = table(spark, sf, "events").select(F.col("user_id").alias("id"), (F.col("user_id") % 3).alias("group")).distinct()
-    return compare.group_network(posted, groups, nodes, edges).drop("components")
+    return compare.group_network(posted, groups, nodes, edges)
 
 
 @query()
@@ -636,3 +655,6 @@ def fusion_impact(spark, sf):
     after = own.select((F.col("id") - 1).alias("id"), F.col("tokens").alias("tail"))
     fused = own.join(after, "id").select("id", F.concat(F.slice("tokens", 1, 2), F.slice("tail", 2, 2**30)).alias("tokens"))
     return fusion.impact(own, fused, 3)
+
+
+from . import catalog_files, catalog_more, catalog_recombined  # noqa: E402, F401  they register the rest

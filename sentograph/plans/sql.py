@@ -43,3 +43,29 @@ SEPARATION = (
     "acr AS (SELECT one.node, min(d.d) AS d FROM one LEFT JOIN (SELECT d.src, d.d, t.side FROM d JOIN sn t ON t.node = d.dst WHERE d.d > 0) d ON d.src = one.node AND d.side <> one.side GROUP BY one.node), "
     "acs AS (SELECT coalesce(sum(CASE WHEN isolated THEN 1 ELSE coalesce(d, far) END), 0)::DOUBLE AS t FROM acr JOIN pen USING (node))"
 )
+
+
+def hyper(k: str, n: str, m: str, total: str) -> str:
+    """The upper tail of the hypergeometric distribution."""
+    t = f"lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + lgamma({total} - {n} + 1) - lgamma({m} - i + 1) - lgamma({total} - {n} - {m} + i + 1) - lgamma({total} + 1) + lgamma({m} + 1) + lgamma({total} - {m} + 1)"
+    return f"CASE WHEN {k} = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, list_sum(list_transform(list_filter(range({k}, least({n}, {m}) + 1), lambda i: {total} - {n} - {m} + i >= 0), lambda i: exp({t})))) END"
+
+
+def two_sided(z: str) -> str:
+    """The two-sided p of a standard normal value z >= 0, up to 6 or so."""
+    return f"greatest(0, least(1, 1 - 2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(greatest({z}, 1e-9)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))))"
+
+
+def numbered_paths(nodes: str, deep: int) -> str:
+    """sp(src, dst, d, n): shortest path lengths and how many such paths there are, level by level over the edges u(a, b)."""
+    parts = [f"l0 AS (SELECT node AS src, node AS dst, 0 AS d, 1.0::DOUBLE AS n FROM {nodes})"]
+    for k in range(1, deep + 1):
+        seen = " UNION ALL ".join(f"SELECT src, dst FROM l{j}" for j in range(k))
+        parts.append(f"l{k} AS (SELECT l.src, u.b AS dst, {k} AS d, sum(l.n) AS n FROM l{k - 1} l JOIN u ON u.a = l.dst WHERE (l.src, u.b) NOT IN ({seen}) GROUP BY 1, 2)")
+    return ", ".join(parts) + ", sp AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(deep + 1)) + ")"
+
+
+BETWEENNESS = (
+    "pr AS (SELECT a.dst AS node, sum(a.n * b.n / c.n) AS s FROM sp a JOIN sp b ON b.src = a.dst JOIN sp c ON c.src = a.src AND c.dst = b.dst AND c.d = a.d + b.d WHERE a.src < b.dst AND a.dst <> a.src AND a.dst <> b.dst GROUP BY 1), "
+    "bc AS (SELECT node, coalesce(s, 0) * 2 / ((count(*) OVER () - 1) * (count(*) OVER () - 2)) AS betweenness FROM nd LEFT JOIN pr USING (node))"
+)
