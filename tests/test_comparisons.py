@@ -58,6 +58,38 @@ def test_cox_finds_the_hazard(spark):
     assert abs(survival.cox(frame, ["x"], 1.0)["x"]) < abs(survival.cox(frame, ["x"], 0.0)["x"])
 
 
+def test_cox_says_if_it_does_not_settle(spark):
+    frame = spark.createDataFrame([(float(i), 1, float(i % 2)) for i in range(20)], "duration double, event int, x double")
+    with pytest.raises(RuntimeError):
+        survival.cox(frame, ["x"], 0.0, steps=1)
+
+
+def test_permuted_enrichment_repeats_itself(spark):
+    draw = random.Random(3)
+    genes = [(f"g{i:03}", draw.gauss(0, 1)) for i in range(80)]
+    top = [g for g, _ in sorted(genes, key=lambda x: -x[1])[:12]]
+    sets = [("top", g) for g in top] + [("any", g) for g, _ in draw.sample(genes, 12)]
+    make = lambda: {r["set"]: r for r in compare.enrichment_significance(spark.createDataFrame(genes, "gene string, stat double"), spark.createDataFrame(sets, "set string, gene string"), 60, 2, 5).collect()}
+    got = make()
+    assert got == make() and got["top"]["p"] <= 0.02 and got["top"]["normalized"] > 1.5 and got["any"]["p"] > 0.02
+
+
+def test_equal_communities_are_merged(spark):
+    soft = spark.createDataFrame([("a", "x", 2, 0.4, True), ("a", "y", 2, 0.4, True), ("b|c", "x", 3, 0.6, True), ("b|c", "y", 3, 0.6, True), ("d", "z", 5, 1.0, True), ("e", "x", 1, 0.2, True)], "hub string, node string, instances long, share double, core boolean")
+    got = {(r["hub"], r["node"]): (r["instances"], round(r["share"], 9)) for r in kernels.merged_communities(soft, 5).collect()}
+    assert got == {("b|c", "x"): (5, 1.0), ("b|c", "y"): (5, 1.0), ("d", "z"): (5, 1.0), ("e", "x"): (1, 0.2)}
+    assert len(set(kernels.iteration_seeds(30, 1))) == 30 and kernels.iteration_seeds(30, 1) != kernels.iteration_seeds(30, 2) and max(kernels.iteration_seeds(1500, 1)) > 1000
+
+
+def test_large_components_are_refused(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    component = spark.createDataFrame([(x, "a") for x in "abcd"], "node string, component string")
+    monkeypatch.setattr(kernels, "MOST_EDGES", 2)
+    for refused in (lambda: kernels.articulation(edges, component), lambda: kernels.betweenness(component.select(F.col("node").alias("ngram")), edges)):
+        with pytest.raises(ValueError):
+            refused()
+
+
 def test_strata_and_sample_size(spark):
     people = spark.createDataFrame([("a",), ("b",), ("c",)], "patient string")
     fused = spark.createDataFrame([("a",), ("a",), ("b",)], "patient string")

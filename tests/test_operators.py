@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentograph import sources
 from sentograph.network import NgramNetwork, Options
-from sentograph.operators import corpus, diff, entropy, fusion, graph, kernels, ngrams, stats, survival
+from sentograph.operators import corpus, diff, entropy, fusion, graph, kernels, ngrams, order, stats, survival
 
 
 def sequences(spark, rows):
@@ -139,6 +139,120 @@ def test_hypergeometric_tail(spark):
         assert r["p"] == pytest.approx(want, rel=1e-11)
 
 
+def test_hypergeometric_tail_of_large_numbers(spark):
+    cases = [(k, n, m, 20_000) for n, m in ((400, 5000), (9000, 8000), (50, 19_990)) for k in sorted({0, 1, n * m // 20_000 - 5, n * m // 20_000, n * m // 20_000 + 40, min(n, m)}) if 0 <= k <= min(n, m)]
+    rows = spark.createDataFrame(cases, "k long, n long, m long, total long")
+    for r in stats.hypergeometric_tail(rows, "k", "n", "m", "total").collect():
+        hits = sum(math.comb(r["n"], i) * math.comb(20_000 - r["n"], r["m"] - i) for i in range(r["k"], min(r["n"], r["m"]) + 1))
+        want = _ratio(hits, math.comb(20_000, r["m"]))
+        assert r["p"] == pytest.approx(want, rel=1e-8, abs=1e-300), (r["k"], r["n"], r["m"])
+
+
+def _ratio(a, b):
+    """a / b of numbers beyond the range of a float."""
+    import fractions
+
+    return float(fractions.Fraction(a, b))
+
+
+def test_ranks_and_running_sums(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice([None, "a", "b"]), draw.choice([None, *range(50)]), draw.randint(0, 9)) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "g string, v int, w int")
+    got = {(r["g"], r["v"]): r["rank"] for r in order.ranks(frame, "v", ["g"]).collect()}
+    assert got == {(g, v): 1 + sum(h == g and u is not None and u > v for h, u, _ in rows) for g, v, _ in rows if v is not None}
+    levels = frame.where("v is not null").groupBy("v").agg(F.sum("w").alias("w"))
+    for blocks in (1, 7, 128):
+        found = {r["v"]: r["before"] for r in order.running(levels, "v", {"before": "w"}, blocks=blocks).collect()}
+        assert found == {v: sum(w for _, u, w in rows if u is not None and u < v) for _, v, _ in rows if v is not None}
+    assert order.running(levels.limit(0), "v", {"before": "w"}).collect() == []
+    top = order.top_with_ties(frame.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "n", 3).collect()
+    assert sorted(r["rank"] for r in top) == sorted(r["rank"] for r in top if r["rank"] <= 3) and len(top) >= 3
+
+
+def test_draws_are_the_first_by_their_digest(spark):
+    import hashlib
+
+    rows = [(i, "ab"[i % 3 == 0]) for i in range(3000)]
+    draws = spark.createDataFrame([(t, g, n) for t in range(4) for g, n in (("a", 5), ("b", 2500))], "trial long, g string, take long")
+    got = {}
+    for r in stats.drawn(spark.createDataFrame(rows, "id long, g string"), "id", ["g"], draws, lambda t: stats.drawn_before("s", t, F.col("id"))).collect():
+        got.setdefault((r["trial"], r["g"]), set()).add(r["id"])
+    for t in range(4):
+        for g, n in (("a", 5), ("b", 2500)):
+            own = sorted((hashlib.md5(f"s|{t}|{i}".encode()).hexdigest(), i) for i, h in rows if h == g)[:n]
+            assert got[t, g] == {i for _, i in own}
+
+
+def test_nearest_members_are_those_of_all_distances(spark):
+    draw = random.Random(6)
+    edges = [(f"v{draw.randint(0, 40)}", f"v{draw.randint(0, 40)}") for _ in range(45)] + [("p", "q"), ("q", "r")]
+    names = [f"v{i}" for i in range(41)] + ["p", "q", "r", "alone", "lone"]
+    frame = spark.createDataFrame([e for e in edges if e[0] != e[1]], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in names], "node string")
+    far = graph.distances(nodes, frame)
+    component = graph.components(nodes, frame, "node")
+    penalty = graph.penalties(component, graph.diameters(far, component))
+    assert graph.distances(nodes, frame, 2).agg(F.max("d")).first()[0] == 2
+    one, two = (spark.createDataFrame([(s, x) for s in ("s", "t") for x in draw.sample(names, 14)] + [("s", "alone"), ("t", end)], "set string, node string").distinct() for end in ("p", "lone"))
+    known = {(r["src"], r["dst"]): r["d"] for r in far.collect()}
+    members = {}
+    for r in one.collect():
+        members.setdefault(r["set"], []).append(r["node"])
+    for r in graph.nearest_members(one, frame).collect():
+        reach = sorted(known[m, r["at"]] for m in members[r["set"]] if (m, r["at"]) in known)
+        assert [r["first"], r["second"]] == (reach + [None])[:2]
+    for fixed, inner in ((None, 0.0), (2.0, 0.0), (None, None)):
+        want = {r["set"]: r["separation"] for r in graph.separation(one, two, far, penalty, fixed, inner).collect()}
+        got = {r["set"]: r["separation"] for r in graph.separation_by_search(one, two, component, frame, fixed, inner).collect()}
+        assert got == pytest.approx(want) and len(got) == 2
+    for fixed in (None, 1.5):
+        want = {r["set"]: r["mean"] for r in graph.mean_nearest(one, far, penalty, fixed).collect()}
+        assert {r["set"]: r["mean"] for r in graph.mean_nearest_by_search(one, component, frame, fixed).collect()} == pytest.approx(want)
+
+
+def test_trial_metrics_are_those_of_each_trial(spark):
+    draw = random.Random(7)
+    rows = sequences(spark, [(f"e{i}", "".join(draw.choice("abcd") for _ in range(draw.randint(1, 5)))) for i in range(40)]).cache()
+    posted = ngrams.postings(rows, 3)
+    nodes = graph.cut(ngrams.closed(ngrams.support(posted)))
+    edges = graph.cut(ngrams.containment_edges(nodes))
+    component = graph.components(nodes, edges)
+    far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
+    penalty = graph.penalties(component, graph.diameters(far, component))
+    members = [(t, s, f"e{i}") for t in (0, 1) for s, own in (("up", draw.sample(range(20), 8)), ("down", draw.sample(range(20, 40), 8))) for i in own] + [(2, "up", "e1")]
+    got = {r["trial"]: r for r in diff.trial_metrics(posted, nodes, rows.select("id"), far, penalty, spark.createDataFrame(members, "trial long, set string, id string"), (1.0, 0.6, 0.3)).collect()}
+    assert got[2]["separation"] is None and got[2]["iqr"] is None and len(got) == 3
+    for t in (0, 1):
+        sides = {}
+        for s in ("up", "down"):
+            own = spark.createDataFrame([(i,) for u, v, i in members if (u, v) == (t, s)], "id string")
+            kept = diff.set_ngrams(posted, nodes, own).select("ngram")
+            sides[s] = stats.enrichment(posted, kept, own, rows.select("id")).select(F.lit("x").alias("set"), F.col("ngram").alias("node"), "p").cache()
+        at = []
+        for cutoff in (None, 1.0, 0.6, 0.3):
+            up, down = (sides[s].where("true" if cutoff is None else f"p <= {cutoff}").select("set", "node") for s in ("up", "down"))
+            at += [r["separation"] for r in graph.separation(up, down, far, penalty).collect()] or [None]
+        assert got[t]["separation"] == pytest.approx(at[0])
+        rest = sorted(x for x in at[1:] if x is not None)
+        quantile = lambda q: (lambda p: rest[int(p)] + (p - int(p)) * (rest[min(int(p) + 1, len(rest) - 1)] - rest[int(p)]))(q * (len(rest) - 1))
+        assert got[t]["iqr"] == pytest.approx(quantile(0.75) - quantile(0.25))
+
+
+def test_trials_have_the_sizes_of_their_pair(spark):
+    rows = sequences(spark, [(f"e{i}", "ab" * (i % 4 + 1)) for i in range(400)])
+    pair = spark.createDataFrame([(0, "up" if i % 3 else "down", f"e{i}") for i in range(120)], "of int, set string, id string")
+    trials = diff.stability_trials(rows, pair, 3, 1).collect()
+    assert trials == diff.stability_trials(rows, pair, 3, 1).collect() or sorted(map(str, trials)) == sorted(map(str, diff.stability_trials(rows, pair, 3, 1).collect()))
+    sizes, members = {}, {(r["set"], r["id"]) for r in pair.collect()}
+    for r in trials:
+        key = (r["trial"]["kind"], r["trial"]["trial"])
+        sizes.setdefault(key, {"up": 0, "down": 0})[r["set"]] += 1
+        assert r["trial"]["kind"] == "random" or (r["set"], r["id"]) in members
+    for t in range(3):
+        assert sizes["random", t] == sizes["subsample", t] and 0.8 * 84 <= sum(sizes["random", t].values()) <= 1.2 * 84
+
+
 def test_relative_entropy_with_itself(spark):
     f = entropy.frequencies(entropy.instance_counts(sequences(spark, CASES), 3))
     assert entropy.relative_entropy(f, f).first()[0] == pytest.approx(0)
@@ -154,6 +268,12 @@ def test_kaplan_meier_by_hand(spark):
     both = {r["stratum"]: (r["observed"], r["expected"]) for r in survival.log_rank(two).collect()}
     assert sum(o for o, _ in both.values()) == pytest.approx(sum(e for _, e in both.values()))
     assert 0 < pair["p"] < 1
+    both_ways = survival.log_rank_test(two).first()
+    assert (both_ways["chi2"], both_ways["df"], both_ways["p"]) == (pytest.approx(pair["chi2"]), 1, pytest.approx(pair["p"]))
+    assert [(r["a"], r["b"]) for r in survival.log_rank_pairs(two).collect()] == [("s", "t")] and survival.log_rank_test(rows).collect() == []
+    known = {(1, 3.84): 0.0500435, (2, 5.99): 0.0500366, (3, 0.5): 0.9188914, (5, 11.07): 0.0500096}
+    for (df, x), p in known.items():
+        assert spark.range(1).select(stats.upper_chi2(F.lit(x), df).alias("p")).first()["p"] == pytest.approx(p, abs=1e-6)
 
 
 def test_fusion_steps(spark):
@@ -186,6 +306,14 @@ def test_network_facade(spark):
         net.entities_of()
     with pytest.raises(ValueError):
         Options(mode="other")
+    with pytest.warns(UserWarning):
+        NgramNetwork(sequences(spark, CASES), Options(longest=9)).validate()
+    for wrong in (Options(longest=2), Options(longest=3)):
+        bad = NgramNetwork.from_saved(sequences(spark, CASES), net.adjacency, spark.createDataFrame([("x|y|z|x",)], "ngram string"), wrong)
+        with pytest.raises(ValueError):
+            bad.validate()
+    with pytest.raises(ValueError):
+        NgramNetwork(sequences(spark, []), Options(longest=3)).validate()
     drawn = net.random_entities(2, 3, 1).collect()
     assert len(drawn) == 6 and drawn == net.random_entities(2, 3, 1).collect()
 
@@ -203,6 +331,14 @@ def test_files(spark, tmp_path):
     assert {tuple(r) for r in sources.read_adjacency_json(spark, str(tmp_path / "adj")).collect()} == {("a", "a", 2), ("a", "b", 1)}
     (tmp_path / "sets.json").write_text('{"s": {"geneSymbols": ["x", "y"]}}')
     assert sources.gene_sets(spark, str(tmp_path / "sets.json")).count() == 2
+    assert {r["id"]: r["tokens"] for r in sources.as_corpus(spark, {"a": "x|y", "b": "", "c": ["z"], "d": "one"}).collect()} == {"a": ["x", "y"], "b": [], "c": ["z"], "d": ["one"]}
+    assert {r["id"]: r["tokens"] for r in sources.as_corpus(spark, str(tmp_path / "a.csv")).collect()} == {"P1": ["I1", "I2"], "P2": []}
+    assert [sorted(r["id"] for r in sources.as_ids(spark, x).collect()) for x in ("p", ["p", "q", "p"], {1, 2}, spark.createDataFrame([("k",)], "n string"))] == [["p"], ["p", "q"], [1, 2], ["k"]]
+    with pytest.raises(ValueError):
+        sources.as_ids(spark, adjacency)
+    assert sources.read_or_build(spark, str(tmp_path / "none"), sources.read_adjacency_csv, lambda: adjacency) is adjacency
+    (tmp_path / "list.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert sorted(r["a"] for r in sources.read_json(spark, str(tmp_path / "list.json"), "a long").collect()) == [1, 2]
     inside = sources.contained_files(spark.createDataFrame([("f", 1), ("g", 1), ("g", 2)], "file string, id long")).collect()
     assert [(r["file"], r["within"]) for r in inside] == [("f", "g")]
 
