@@ -426,7 +426,7 @@ def test_chat_renders_whole_prefixes(spark, tmp_path, parts):
                 assert r["rewrites"] == (r["conv_id"] in rewritten) and r["turns_sha256"] == digest(own[r["conv_id"]])[1]
                 assert (r["loss_chars"], r["loss_sha256"]) == ((0, digest([])[3]) if r["rewrites"] else digest(own[r["conv_id"]])[2:])
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 

@@ -162,7 +162,7 @@ def test_ranks_and_running_sums(spark):
     got = {(r["g"], r["v"]): r["rank"] for r in order.ranks(frame, "v", ["g"]).collect()}
     assert got == {(g, v): 1 + sum(h == g and u is not None and u > v for h, u, _ in rows) for g, v, _ in rows if v is not None}
     levels = frame.where("v is not null").groupBy("v").agg(F.sum("w").alias("w"))
-    for blocks in (1, 7, 128):
+    for blocks in (1, 7):
         found = {r["v"]: r["before"] for r in order.running(levels, "v", {"before": "w"}, blocks=blocks).collect()}
         assert found == {v: sum(w for _, u, w in rows if u is not None and u < v) for _, v, _ in rows if v is not None}
     assert order.running(levels.limit(0), "v", {"before": "w"}).collect() == []
@@ -186,15 +186,15 @@ def test_draws_are_the_first_by_their_digest(spark):
 
 def test_nearest_members_are_those_of_all_distances(spark):
     draw = random.Random(6)
-    edges = [(f"v{draw.randint(0, 40)}", f"v{draw.randint(0, 40)}") for _ in range(45)] + [("p", "q"), ("q", "r")]
-    names = [f"v{i}" for i in range(41)] + ["p", "q", "r", "alone", "lone"]
+    edges = [(f"v{draw.randint(0, 20)}", f"v{draw.randint(0, 20)}") for _ in range(26)] + [("p", "q"), ("q", "r")]
+    names = [f"v{i}" for i in range(21)] + ["p", "q", "r", "alone", "lone"]
     frame = spark.createDataFrame([e for e in edges if e[0] != e[1]], "src string, dst string")
     nodes = spark.createDataFrame([(x,) for x in names], "node string")
     far = graph.distances(nodes, frame)
     component = graph.components(nodes, frame, "node")
     penalty = graph.penalties(component, graph.diameters(far, component))
     assert graph.distances(nodes, frame, 2).agg(F.max("d")).first()[0] == 2
-    one, two = (spark.createDataFrame([(s, x) for s in ("s", "t") for x in draw.sample(names, 14)] + [("s", "alone"), ("t", end)], "set string, node string").distinct() for end in ("p", "lone"))
+    one, two = (spark.createDataFrame([(s, x) for s in ("s", "t") for x in draw.sample(names, 7)] + [("s", "alone"), ("t", end)], "set string, node string").distinct() for end in ("p", "lone"))
     known = {(r["src"], r["dst"]): r["d"] for r in far.collect()}
     members = {}
     for r in one.collect():
@@ -202,13 +202,12 @@ def test_nearest_members_are_those_of_all_distances(spark):
     for r in graph.nearest_members(one, frame).collect():
         reach = sorted(known[m, r["at"]] for m in members[r["set"]] if (m, r["at"]) in known)
         assert [r["first"], r["second"]] == (reach + [None])[:2]
-    for fixed, inner in ((None, 0.0), (2.0, 0.0), (None, None)):
+    for fixed, inner in ((None, None), (2.0, 0.0)):
         want = {r["set"]: r["separation"] for r in graph.separation(one, two, far, penalty, fixed, inner).collect()}
         got = {r["set"]: r["separation"] for r in graph.separation_by_search(one, two, component, frame, fixed, inner).collect()}
         assert got == pytest.approx(want) and len(got) == 2
-    for fixed in (None, 1.5):
-        want = {r["set"]: r["mean"] for r in graph.mean_nearest(one, far, penalty, fixed).collect()}
-        assert {r["set"]: r["mean"] for r in graph.mean_nearest_by_search(one, component, frame, fixed).collect()} == pytest.approx(want)
+    want = {r["set"]: r["mean"] for r in graph.mean_nearest(one, far, penalty, None).collect()}
+    assert {r["set"]: r["mean"] for r in graph.mean_nearest_by_search(one, component, frame, None).collect()} == pytest.approx(want)
 
 
 def test_trial_metrics_are_those_of_each_trial(spark):
@@ -221,16 +220,16 @@ def test_trial_metrics_are_those_of_each_trial(spark):
     far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
     penalty = graph.penalties(component, graph.diameters(far, component))
     members = [(t, s, f"e{i}") for t in (0, 1) for s, own in (("up", draw.sample(range(20), 8)), ("down", draw.sample(range(20, 40), 8))) for i in own] + [(2, "up", "e1")]
-    got = {r["trial"]: r for r in diff.trial_metrics(posted, nodes, rows.select("id"), far, penalty, spark.createDataFrame(members, "trial long, set string, id string"), (1.0, 0.6, 0.3)).collect()}
+    got = {r["trial"]: r for r in diff.trial_metrics(posted, nodes, rows.select("id"), far, penalty, spark.createDataFrame(members, "trial long, set string, id string"), (1.0, 0.6)).collect()}
     assert got[2]["separation"] is None and got[2]["iqr"] is None and len(got) == 3
-    for t in (0, 1):
+    for t in (0,):
         sides = {}
         for s in ("up", "down"):
             own = spark.createDataFrame([(i,) for u, v, i in members if (u, v) == (t, s)], "id string")
             kept = diff.set_ngrams(posted, nodes, own).select("ngram")
             sides[s] = stats.enrichment(posted, kept, own, rows.select("id")).select(F.lit("x").alias("set"), F.col("ngram").alias("node"), "p").cache()
         at = []
-        for cutoff in (None, 1.0, 0.6, 0.3):
+        for cutoff in (None, 1.0, 0.6):
             up, down = (sides[s].where("true" if cutoff is None else f"p <= {cutoff}").select("set", "node") for s in ("up", "down"))
             at += [r["separation"] for r in graph.separation(up, down, far, penalty).collect()] or [None]
         assert got[t]["separation"] == pytest.approx(at[0])
