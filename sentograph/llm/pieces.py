@@ -34,8 +34,10 @@ from .token_files import gather, slices
 
 SPACE = "▁"
 LETTER = "([A-Za-zÀ-ɏ])"
-#: Bytes of text whose paths descend together.
-PART = 1_400_000
+#: Bytes of text whose paths descend together. More of them share more lattices, and take more memory: 100 MB for this many, 200 MB for three times as many.
+PART = 500_000
+#: Bytes of an Arrow batch; a part is taken from one.
+BATCH = 2 << 20
 
 
 def mix(x):
@@ -472,7 +474,7 @@ def sample(documents: DataFrame, model: str, k: int = 2, seed: int = 1, power: f
 
     ids: little-endian signed 32-bit numbers; restores: whether they decode to the text.
     """
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, BATCH)
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(seed)).alias("seed"))
 

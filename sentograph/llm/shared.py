@@ -48,11 +48,11 @@ def clear(spark: SparkSession) -> int:
 BATCH = 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound of bytes in a batch to BATCH, so that memory doesn't follow the length of texts."""
+def bounded_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """Lowers the session's bound of bytes in a batch, so that memory doesn't follow the length of texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH:
-        spark.conf.set(name, str(BATCH))
+    if int(spark.conf.get(name).rstrip("b")) > most:
+        spark.conf.set(name, str(most))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
