@@ -123,8 +123,11 @@ def first_links(nodes: DataFrame) -> DataFrame:
     Only anchors with several residents have representatives. There are 2**19 anchors, so these are at most that many rows of three longs (some 25 MB) and are broadcast."""
     home = _at_home(nodes)
     chosen = home.groupBy(F.col("anchor").alias("a")).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    pairs = home.join(F.broadcast(chosen), F.col("anchor") == F.col("a")).select("fp", F.explode(F.array("low", "high")).alias("other"))
-    return pairs.where((F.col("fp") != F.col("other")) & _near(F.col("fp"), F.col("other"))).select(F.col("fp").alias("src"), F.col("other").alias("dst"))
+    # The condition is the join's own, and only links are made rows.
+    low, high = (_near(F.col("fp"), F.col(c)) & (F.col("fp") != F.col(c)) for c in ("low", "high"))
+    pairs = home.join(F.broadcast(chosen), [F.col("anchor") == F.col("a"), low | high])
+    linked = F.filter(F.array(F.when(low, F.col("low")), F.when(high, F.col("high"))), lambda x: x.isNotNull())
+    return pairs.select(F.col("fp").alias("src"), F.explode(linked).alias("dst"))
 
 
 def links(nodes: DataFrame) -> DataFrame:
