@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Blocks that running sums are taken in; each but the first is as large as the others, or nearly.
-BLOCKS = 128
+#: Ranges of the order that running sums are taken in, and values drawn for the border of each.
+BLOCKS, DRAWN = 1024, 4
 
 
 def with_totals(rows: DataFrame, *totals: Column) -> DataFrame:
@@ -18,29 +15,44 @@ def with_totals(rows: DataFrame, *totals: Column) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(*totals)))
 
 
+def borders(rows: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
+    """One row with at most ``blocks - 1`` ascending values (__borders) that cut the distinct values of ``order`` into ranges of about one size.
+
+    The values are an even draw: of those whose hash falls into a bin, the one with the least hash. So they follow from
+    the set of values alone, however rows are dealt to tasks, and a plan that computes them twice gets the same ones.
+    """
+    drawn = rows.select(F.col(order).alias("__v")).withColumn("__h", F.xxhash64("__v"))
+    drawn = drawn.groupBy(F.pmod("__h", F.lit(blocks * DRAWN)).alias("__bin")).agg(F.min_by("__v", F.col("__h")).alias("__v"))
+    every = drawn.agg(F.sort_array(F.collect_list("__v")).alias("__drawn"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("__drawn") / blocks)).cast("int")
+    return every.select(F.filter("__drawn", lambda _, i: (F.pmod(i + 1, step) == 0) & (i + 1 < F.size("__drawn"))).alias("__borders"))
+
+
+def with_block(rows: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
+    """The rows with the number of the range (__block) that their ``order`` falls into; ranges ascend with it."""
+    both = rows.crossJoin(F.broadcast(borders(rows, order, blocks)))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(blocks.bit_length()))])
+    under = F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.try_element_at("__borders", at + half) < F.col(order), half).otherwise(0))  # a binary search
+    return both.withColumn("__block", under).drop("__borders")
+
+
 def running(levels: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, blocks: int = BLOCKS) -> DataFrame:
     """Adds for each name -> column of ``sums`` the sum of the column over the rows of the group with a smaller ``order``.
 
-    order is a number or a time that is distinct within a group. Rows are cut into blocks at its quantiles; a window holds one block
-    of a group, and what lies before comes from at most ``blocks`` sums a group.
+    order is comparable and distinct within a group. Rows are cut into ranges of the order; the totals of a group's earlier ranges become
+    one row that goes first into each of its ranges, and a window holds one range of a group. Nothing runs while the plan is built.
     """
     by = by or []
-    cuts = levels.agg(F.percentile_approx(order, F.array(*[F.lit((k + 1) / blocks) for k in range(blocks - 1)]), F.lit(10_000)).alias("cuts")).first()["cuts"]
-    own = sorted(set(cuts or []))
-    block = F.size(F.filter(F.array(*map(F.lit, own)), lambda c: c < F.col(order))) if own else F.lit(0)
-    marked = levels.withColumn("__block", block)
-    parts = marked.groupBy(*by, "__block").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
-    kinds = {n: parts.schema[f"__{n}"].dataType for n in sums}
-    whole = parts.groupBy(*by).agg(F.collect_list(F.struct("__block", *[f"__{n}" for n in sums])).alias("__parts"))
-    if by:
-        same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by])
-        joined = marked.join(whole.withColumnsRenamed({c: f"__by_{c}" for c in by}), same).drop(*[f"__by_{c}" for c in by])
-    else:
-        joined = marked.crossJoin(F.broadcast(whole))
-    within = W.partitionBy(*by, "__block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    earlier = F.filter("__parts", lambda p: p["__block"] < F.col("__block"))
-    before = lambda n: F.aggregate(F.transform(earlier, lambda p: p[f"__{n}"]), F.lit(0).cast(kinds[n]), lambda a, x: (a + x).cast(kinds[n]))
-    return joined.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) + before(n) for n, c in sums.items()}).drop("__block", "__parts")
+    marked = with_block(levels, order, blocks)
+    totals = marked.groupBy(*by, "__block").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()], F.max(F.col(order).isNull()).alias("__one"))
+    kinds = {n: totals.schema[f"__{n}"].dataType for n in sums}
+    earlier = W.partitionBy(*(by or ["__one"])).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)  # at most a row for each range
+    zero = lambda n, c: F.coalesce(c, F.lit(0)).cast(kinds[n])
+    starts = totals.select(*by, "__block", *[zero(n, F.sum(f"__{n}").over(earlier)).alias(f"__{n}") for n in sums], F.lit(0).alias("__own"))
+    own = marked.select("*", *[F.col(c).cast(kinds[n]).alias(f"__{n}") for n, c in sums.items()], F.lit(1).alias("__own"))
+    within = W.partitionBy(*by, "__block").orderBy("__own", order).rowsBetween(W.unboundedPreceding, -1)
+    found = own.unionByName(starts, allowMissingColumns=True).withColumns({f"__{n}": zero(n, F.sum(f"__{n}").over(within)) for n in sums})
+    return found.where("__own = 1").select(*levels.columns, *[F.col(f"__{n}").alias(n) for n in sums])
 
 
 def top_with_ties(rows: DataFrame, value: str, k: int) -> DataFrame:

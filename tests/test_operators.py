@@ -162,10 +162,23 @@ def test_ranks_and_running_sums(spark):
     got = {(r["g"], r["v"]): r["rank"] for r in order.ranks(frame, "v", ["g"]).collect()}
     assert got == {(g, v): 1 + sum(h == g and u is not None and u > v for h, u, _ in rows) for g, v, _ in rows if v is not None}
     levels = frame.where("v is not null").groupBy("v").agg(F.sum("w").alias("w"))
-    for blocks in (1, 7):
+    for blocks in (1, 2, 7, 64):
         found = {r["v"]: r["before"] for r in order.running(levels, "v", {"before": "w"}, blocks=blocks).collect()}
         assert found == {v: sum(w for _, u, w in rows if u is not None and u < v) for _, v, _ in rows if v is not None}
+        both = frame.where("v is not null").groupBy("g", "v").agg(F.sum("w").alias("w"), F.sum(F.lit(0.5)).alias("x"))
+        found = {(r["g"], r["v"]): (r["w0"], r["x0"]) for r in order.running(both, "v", {"w0": "w", "x0": "x"}, ["g"], blocks).collect()}
+        before = lambda g, v: [w for h, u, w in rows if h == g and u is not None and u < v]
+        assert found == {(g, v): (sum(before(g, v)), 0.5 * len(before(g, v))) for g, v, _ in rows if v is not None}
     assert order.running(levels.limit(0), "v", {"before": "w"}).collect() == []
+    # Borders follow from the values alone, are values themselves, and ranges between them are of about one size.
+    wide = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("v"))
+    cuts = [order.borders(x, "v", 64).first()[0] for x in (wide, wide.repartition(7), wide.union(wide))]
+    assert cuts[0] == cuts[1] == cuts[2] and len(cuts[0]) == 63
+    sizes = [r["count"] for r in order.with_block(wide, "v", 64).groupBy("__block").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 6 * 20_000 / 64
+    pairs = wide.select(F.struct(F.when(F.col("v") > 900, F.col("v")).alias("a"), F.col("v").alias("b")).alias("o"), F.lit(1).alias("n"))
+    at = {v: k for k, v in enumerate(sorted(k * 7919 % 20_011 for k in range(20_000)))}
+    assert all(at[r["o"]["b"]] == r["c"] for r in order.running(pairs, "o", {"c": "n"}, blocks=16).collect())
     top = order.top_with_ties(frame.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "n", 3).collect()
     assert sorted(r["rank"] for r in top) == sorted(r["rank"] for r in top if r["rank"] <= 3) and len(top) >= 3
 
