@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentograph.operators import diff, graph, ngrams, stats
+from sentograph.operators import diff, graph, hubs, ngrams, stats
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class Options:
 
 
 class NgramNetwork:
-    """The containment network of a corpus (id, tokens), lazily computed and cached."""
+    """The containment network of a corpus (id, tokens), computed when it is asked for and kept in the reliable checkpoint folder, where lost executors take nothing away."""
 
     def __init__(self, corpus: DataFrame, options: Options = Options()):
         self.corpus, self.options = corpus, options
@@ -43,20 +43,18 @@ class NgramNetwork:
         posted = ngrams.postings(corpus, options.longest, list(options.seeds) if options.seeds else None, options.mode).join(removed.select("ngram"), "ngram", "left_anti")
         kept = ngrams.support(posted, options.least).join(adjacency.select(F.col("row").alias("ngram")).union(adjacency.select("col")).distinct(), "ngram", "left_semi")
         edges = adjacency.where("row <> col").select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("value").alias("weight"))
-        net.__dict__["_steps"] = {"postings": posted.cache(), "kept": kept.cache(), "removed": removed.select("ngram").cache(), "edges": edges.cache()}
+        net.__dict__["_steps"] = {k: graph.cut(v) for k, v in (("postings", posted), ("kept", kept), ("removed", removed.select("ngram")), ("edges", edges))}
         return net
 
     @cached_property
     def _steps(self) -> dict[str, DataFrame]:
         o = self.options
         found = ngrams.analysis(self.corpus, o.longest, o.least, list(o.seeds) if o.seeds else None, o.mode, o.concat)
-        return {k: v.cache() for k, v in found.items()}
+        return {k: graph.cut(v) for k, v in found.items()}
 
     def release(self) -> None:
-        """Gives back the memory of all that is cached."""
-        for df in (*self.__dict__.get("_steps", {}).values(), *(v for k, v in self.__dict__.items() if k in ("components", "distances", "penalties"))):
-            df.unpersist()
-        for k in ("_steps", "components", "distances", "penalties", "adjacency"):
+        """Forgets all that was computed; Spark's cleaner removes checkpoints that nothing refers to, if it is set to."""
+        for k in ("_steps", "components", "labels", "penalties", "adjacency"):
             self.__dict__.pop(k, None)
 
     postings = property(lambda self: self._steps["postings"])
@@ -70,15 +68,16 @@ class NgramNetwork:
 
     @cached_property
     def components(self) -> DataFrame:
-        return graph.components(self.nodes, self.edges).cache()
+        return graph.cut(graph.components(self.nodes, self.edges))
 
     @cached_property
-    def distances(self) -> DataFrame:
-        return graph.distances(self.nodes.select(F.col("ngram").alias("node")), self.edges).cache()
+    def labels(self) -> DataFrame:
+        """Distances to hubs, from which those of any two n-grams follow."""
+        return hubs.distance_labels(self.nodes, self.edges)
 
     @cached_property
     def penalties(self) -> DataFrame:
-        return graph.penalties(self.components, graph.diameters(self.distances, self.components)).cache()
+        return graph.cut(graph.penalties(self.components, hubs.diameters(self.components, self.labels)))
 
     def entities_of(self, ids: DataFrame | None = None, ngram: DataFrame | None = None) -> DataFrame:
         """Corpus rows by id or by n-gram, one of the two."""

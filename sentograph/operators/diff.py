@@ -37,9 +37,9 @@ def threshold_sweep(rows: DataFrame, alphas: list[float], fold: float) -> DataFr
     return each.groupBy("contrast", "alpha").agg(F.count_if(hit & (F.col("log2fc") > fold)).alias("up"), F.count_if(hit & (F.col("log2fc") < -fold)).alias("down"))
 
 
-def separation_sweep(up: DataFrame, down: DataFrame, cutoffs: list[float], distance: DataFrame, penalty: DataFrame) -> DataFrame:
+def separation_sweep(up: DataFrame, down: DataFrame, cutoffs: list[float], distance: graph.Distances, penalty: DataFrame) -> DataFrame:
     """(set, separation) for each cutoff, as a string, of the n-grams (node, p) with p up to it; all cutoffs in one plan."""
-    cut = lambda df: df.withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs)))).where("p <= cutoff").select(F.col("cutoff").cast("string").alias("set"), "node")
+    cut = lambda df: df.withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs)))).where(stats.up_to(F.col("p"), F.col("cutoff"))).select(F.col("cutoff").cast("string").alias("set"), "node")
     return graph.separation(cut(up), cut(down), distance, penalty)
 
 
@@ -94,7 +94,7 @@ def trial_ngrams(posted: DataFrame, nodes: DataFrame, members: DataFrame) -> Dat
     return counts.join(gone, ["set", "ngram"], "left_anti").select("set", F.col("ngram").alias("node"))
 
 
-def stability(posted: DataFrame, nodes: DataFrame, distance: DataFrame, penalty: DataFrame, members: DataFrame) -> DataFrame:
+def stability(posted: DataFrame, nodes: DataFrame, distance: graph.Distances, penalty: DataFrame, members: DataFrame) -> DataFrame:
     """(trial, separation) of trials (trial, set, id) in one plan."""
     keyed = members.select(F.concat_ws("|", "trial", "set").alias("set"), "id")
     found = trial_ngrams(posted, nodes, keyed).select(F.split("set", r"\|")[0].alias("trial"), F.split("set", r"\|")[1].alias("side"), "node")
@@ -106,7 +106,7 @@ def stability(posted: DataFrame, nodes: DataFrame, distance: DataFrame, penalty:
 SWEEP = tuple(10 ** (-k / 2) for k in range(21))
 
 
-def trial_metrics(posted: DataFrame, nodes: DataFrame, background: DataFrame, distance: DataFrame, penalty: DataFrame, members: DataFrame, sweep: tuple[float, ...] = SWEEP) -> DataFrame:
+def trial_metrics(posted: DataFrame, nodes: DataFrame, background: DataFrame, distance: graph.Distances, penalty: DataFrame, members: DataFrame, sweep: tuple[float, ...] = SWEEP) -> DataFrame:
     """(trial, separation, iqr) of trials (trial, set, id), set being up or down: the separation of their n-grams, and the distance of the quartiles of the
     separations of those up to each cutoff of their hypergeometric p. All trials and cutoffs are keys of one plan; a side without n-grams gives null.
 
@@ -120,7 +120,7 @@ def trial_metrics(posted: DataFrame, nodes: DataFrame, background: DataFrame, di
     rows = trial_ngrams(posted, nodes, members).withColumnRenamed("node", "ngram").join(counts, ["set", "ngram"]).join(own, "ngram").join(F.broadcast(sizes), "set")
     rows = rows.crossJoin(F.broadcast(background.agg(F.count_distinct("id").alias("total"))))
     tested = graph.cut(stats.hypergeometric_tail(rows, "k", "n", "m", "total").select(F.col("set.trial").alias("trial"), F.col("set.set").alias("side"), F.col("ngram").alias("node"), "p"))
-    each = tested.withColumn("cutoff", F.explode(F.array(F.lit(None).cast("double"), *map(F.lit, sweep)))).where("cutoff is null or p <= cutoff")
+    each = tested.withColumn("cutoff", F.explode(F.array(F.lit(None).cast("double"), *map(F.lit, sweep)))).where(F.col("cutoff").isNull() | stats.up_to(F.col("p"), F.col("cutoff")))
     side = lambda s: each.where(F.col("side") == s).select(F.struct("trial", F.coalesce("cutoff", F.lit(-1.0)).alias("cutoff")).alias("set"), "node")
     found = graph.separation(side("up"), side("down"), distance, penalty).select(F.col("set.trial").alias("trial"), F.col("set.cutoff").alias("cutoff"), "separation")
     spans = found.groupBy("trial").agg(
@@ -149,7 +149,7 @@ def stability_trials(corpus: DataFrame, members: DataFrame, trials: int, seed: i
     return random.unionByName(again.select("trial", "set", "id"))
 
 
-def separation_stability(corpus: DataFrame, posted: DataFrame, nodes: DataFrame, distance: DataFrame, penalty: DataFrame, members: DataFrame, trials: int, seed: int, sweep: tuple[float, ...] = SWEEP) -> DataFrame:
+def separation_stability(corpus: DataFrame, posted: DataFrame, nodes: DataFrame, distance: graph.Distances, penalty: DataFrame, members: DataFrame, trials: int, seed: int, sweep: tuple[float, ...] = SWEEP) -> DataFrame:
     """(of, kind, trial, separation, iqr): the metrics of the random and the subsampled trials of each pair of sets (of, set, id)."""
     drawn = graph.cut(stability_trials(corpus, members, trials, seed))
     found = trial_metrics(posted, nodes, corpus.select("id"), distance, penalty, drawn, sweep)
@@ -157,12 +157,13 @@ def separation_stability(corpus: DataFrame, posted: DataFrame, nodes: DataFrame,
 
 
 def stability_tests(metrics: DataFrame) -> DataFrame:
-    """(of, separation_p, iqr_p): whether random and subsampled trials differ, by Mann-Whitney."""
+    """(of, separation_p, iqr_p): whether random and subsampled trials differ, by Mann-Whitney; values tie if they agree in nine decimals."""
+    metrics = metrics.withColumns({c: F.round(c, 9) for c in ("separation", "iqr")})
     test = lambda c: stats.mann_whitney(metrics, c, "kind", "random", "subsample", ["of"]).select("of", F.col("p").alias(f"{c}_p"))
     return test("separation").join(test("iqr"), "of", "full_outer")
 
 
-def false_positive_checks(corpus: DataFrame, posted: DataFrame, nodes: DataFrame, distance: DataFrame, penalty: DataFrame, size: int, sets: int, trials: int, seed: int, up_share: float = 0.6, sweep: tuple[float, ...] = SWEEP) -> DataFrame:
+def false_positive_checks(corpus: DataFrame, posted: DataFrame, nodes: DataFrame, distance: graph.Distances, penalty: DataFrame, size: int, sets: int, trials: int, seed: int, up_share: float = 0.6, sweep: tuple[float, ...] = SWEEP) -> DataFrame:
     """(of, separation_p, iqr_p) for ``sets`` random pairs of ``size`` entities: what an actual pair's p-values are held against."""
     chosen = split_sets(random_sets(corpus, size, sets, seed), up_share, seed).select(F.col("trial").alias("of"), "set", "id")
     return stability_tests(separation_stability(corpus, posted, nodes, distance, penalty, graph.cut(chosen), trials, seed, sweep))
@@ -171,11 +172,11 @@ def false_positive_checks(corpus: DataFrame, posted: DataFrame, nodes: DataFrame
 def check_rates(actual: DataFrame, checks: DataFrame) -> DataFrame:
     """(separation_fpr, iqr_fpr): the share of the checks' p-values up to the actual ones (one row each of separation_p, iqr_p)."""
     own = actual.select(F.col("separation_p").alias("a"), F.col("iqr_p").alias("b"))
-    share = lambda c, x: F.avg((F.col(c) <= F.col(x)).cast("double"))
+    share = lambda c, x: F.avg(stats.up_to(F.col(c), F.col(x)).cast("double"))
     return checks.crossJoin(F.broadcast(own)).agg(share("separation_p", "a").alias("separation_fpr"), share("iqr_p", "b").alias("iqr_fpr"))
 
 
-def size_sweep(corpus: DataFrame, posted: DataFrame, nodes: DataFrame, distance: DataFrame, penalty: DataFrame, sizes: list[int], trials: int, seed: int, penalties: list[float | None] = (None,)) -> DataFrame:
+def size_sweep(corpus: DataFrame, posted: DataFrame, nodes: DataFrame, distance: graph.Distances, penalty: DataFrame, sizes: list[int], trials: int, seed: int, penalties: list[float | None] = (None,)) -> DataFrame:
     """(size, trial, penalty, separation) of random pairs of disjoint sets of each size, for each penalty of a node that reaches none (None: by its component)."""
     chosen = None
     for n in sizes:
@@ -198,7 +199,7 @@ def common_ngrams(sets: DataFrame) -> DataFrame:
 
 def enriched_ngrams(p_values: DataFrame, cutoff: float) -> DataFrame:
     """(set, ngram) with p below the cutoff, from (set, ngram, p)."""
-    return p_values.where(F.col("p") < cutoff).select("set", "ngram")
+    return p_values.where(stats.below(F.col("p"), cutoff)).select("set", "ngram")
 
 
 def enriched_entities(enriched: DataFrame, posted: DataFrame, members: DataFrame) -> DataFrame:
@@ -213,13 +214,13 @@ def gather_results(p_values: DataFrame, rates: DataFrame) -> DataFrame:
 
 def significant(results: DataFrame, rate: float = 0.05, p: float = 0.05) -> DataFrame:
     """Rows of ``gather_results`` whose FPR and p are up to these."""
-    return results.where((F.col("fpr") <= rate) & (F.col("p") <= p))
+    return results.where((F.col("fpr") <= rate) & stats.up_to(F.col("p"), p))
 
 
 def top_quantile(results: DataFrame, q: float) -> DataFrame:
     """All rows of n-grams with any p up to the q-quantile."""
     limit = results.agg(F.percentile("p", q).alias("limit"))
-    passing = results.crossJoin(F.broadcast(limit)).where("p <= limit").select("ngram").distinct()
+    passing = results.crossJoin(F.broadcast(limit)).where(stats.up_to(F.col("p"), F.col("limit"))).select("ngram").distinct()
     return results.join(passing, "ngram", "left_semi")
 
 

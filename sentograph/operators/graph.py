@@ -129,10 +129,11 @@ def nearest_members(sets: DataFrame, edges: DataFrame, store: Callable[[DataFram
 
 def reach_penalties(wanting: DataFrame, component: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, far, isolated) for the components of the wanting nodes (node): only their diameters are made."""
+    from . import hubs  # which builds on this module
+
     own = component.join(wanting.join(component, "node").select("component").distinct(), "component", "left_semi")
     own = cut(own)
-    far = distances(own.select("node"), induced(edges, own))
-    return penalties(own, diameters(far, own))
+    return penalties(own, hubs.diameters(own, hubs.distance_labels(own, induced(edges, own), "node")))
 
 
 def diameters(distance: DataFrame, component: DataFrame) -> DataFrame:
@@ -148,14 +149,20 @@ def induced(edges: DataFrame, nodes: DataFrame, key: str = "node") -> DataFrame:
     return edges.join(own, F.col("src") == F.col("__n"), "left_semi").join(own, F.col("dst") == F.col("__n"), "left_semi")
 
 
-def nearest(sources: DataFrame, targets: DataFrame, distance: DataFrame) -> DataFrame:
+#: Distances of pairs (src, dst, d), or what finds the nearest targets (set, node) of sources (set, node), as ``hubs.by_labels`` does.
+Distances = DataFrame | Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def nearest(sources: DataFrame, targets: DataFrame, distance: Distances) -> DataFrame:
     """(set, node, d): for each source (set, node) the least distance to a target (set, node) of the set other than itself; null if none is reached."""
+    if not isinstance(distance, DataFrame):
+        return distance(sources, targets)
     reach = distance.where("d > 0").join(targets.select(F.col("set").alias("s"), F.col("node").alias("dst")), "dst")
     least = reach.groupBy("s", "src").agg(F.min("d").alias("d"))
     return sources.join(least, (F.col("set") == F.col("s")) & (F.col("node") == F.col("src")), "left").select("set", "node", "d")
 
 
-def mean_nearest(sets: DataFrame, distance: DataFrame, penalty: DataFrame, fixed: float | None = None) -> DataFrame:
+def mean_nearest(sets: DataFrame, distance: Distances, penalty: DataFrame, fixed: float | None = None) -> DataFrame:
     """(set, mean): mean over a set's nodes of the least distance to another of its nodes.
 
     penalty: (node, far, isolated) for all nodes; far is the distance of a node that reaches none unless fixed is given.
@@ -171,7 +178,7 @@ def penalties(component: DataFrame, diameter: DataFrame) -> DataFrame:
     return component.join(diameter, "component", "left").select("node", (F.coalesce("diameter", F.lit(0)) + 1).alias("far"), F.col("diameter").isNull().alias("isolated"))
 
 
-def separation(first: DataFrame, second: DataFrame, distance: DataFrame, penalty: DataFrame, fixed: float | None = None, inner: float | None = 0.0) -> DataFrame:
+def separation(first: DataFrame, second: DataFrame, distance: Distances, penalty: DataFrame, fixed: float | None = None, inner: float | None = 0.0) -> DataFrame:
     """(set, separation) for pairs of node sets, (set, node) each, in one plan for all sets.
 
     d_GH - (d_GG + d_HH) / 2. Between the two, only nodes of one set count, an isolate of them as 1, and the sum goes by

@@ -13,6 +13,20 @@ from . import order
 from .corpus import BAR
 
 
+#: Computed p-values that differ by this share are the same: their last digits depend on the order of additions.
+TIE = 1e-9
+
+
+def up_to(p: Column, limit: Column | float) -> Column:
+    """p <= limit, where p is a computed probability that may be off in its last digits."""
+    return p <= limit * F.lit(1 + TIE)
+
+
+def below(p: Column, limit: Column | float) -> Column:
+    """p < limit, likewise."""
+    return p < limit * F.lit(1 - TIE)
+
+
 def drawn_before(seed: Column | str, *parts: Column) -> Column:
     """A reproducible random order: the MD5 of seed and parts."""
     return F.md5(F.concat_ws(BAR, F.lit(seed).cast("string") if not isinstance(seed, Column) else seed.cast("string"), *[p.cast("string") for p in parts]))
@@ -60,7 +74,7 @@ def upper_normal(z: Column) -> Column:
 
 
 def mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., u, p): U of group a and the two-sided asymptotic p with tie and continuity correction."""
+    """(by..., u, p): U of group a and the two-sided asymptotic p with tie and continuity correction; p is null where all values are one."""
     by = by or []
     own = rows.where(F.col(value).isNotNull() & F.col(group).isin(a, b))
     level = own.groupBy(*by, value).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(group) == a).alias("in_a"))
@@ -70,8 +84,8 @@ def mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str, by: li
     u = F.col("r") - F.col("na") * (F.col("na") + 1) / 2
     middle = F.col("na") * F.col("nb") / 2
     spread = F.sqrt(F.col("na") * F.col("nb") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = F.greatest(F.lit(0.0), (F.abs(u - middle) - 0.5) / spread)
-    return sums.select(*by, u.alias("u"), F.least(F.lit(1.0), 2 * upper_normal(z)).alias("p"))
+    z = F.greatest(F.lit(0.0), (F.abs(u - middle) - 0.5) / F.nullif(spread, F.lit(0.0)))
+    return sums.select(*by, u.alias("u"), F.when(spread > 0, F.least(F.lit(1.0), 2 * upper_normal(z))).alias("p"))
 
 
 #: ln x! of the first numbers.
@@ -138,7 +152,7 @@ def enrichment(posted: DataFrame, ngrams: DataFrame, foreground: DataFrame, back
 def false_positive_rate(actual: DataFrame, null: DataFrame, by: list[str], strict: bool = False) -> DataFrame:
     """(by..., p, fpr): share of the null p-values up to (strict: below) the actual one, among the null rows of the group; 0 without any."""
     other = null.select(*by, F.col("p").alias("null_p"))
-    hit = F.col("null_p") < F.col("p") if strict else F.col("null_p") <= F.col("p")
+    hit = (below if strict else up_to)(F.col("null_p"), F.col("p"))
     return actual.join(other, by, "left").groupBy(*by, "p").agg(F.coalesce(F.avg(F.when(F.col("null_p").isNotNull(), hit.cast("double"))), F.lit(0.0)).alias("fpr"))
 
 

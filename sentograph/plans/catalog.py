@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentograph.operators import compare, corpus, diff, entropy, fusion, graph, kernels, labels, ngrams, order, stats, survival
+from sentograph.operators import compare, corpus, diff, entropy, fusion, graph, hubs, kernels, labels, ngrams, order, stats, survival
 
 from . import sql
 from .base import EVD, EVG, ORACLES, QUERIES, doc, ev, ev_graph, ob, query, table, w
@@ -169,7 +169,7 @@ def shortest_paths(spark, sf):
 @query(w(*EVD, sql.COMPONENTS, recursive=True) + "SELECT component, size, diameter FROM diam")
 def component_diameter(spark, sf):
     _, nodes, edges = ev_graph(spark, sf)
-    return graph.diameters(graph.distances(nodes.select(F.col("ngram").alias("node")), edges), graph.components(nodes, edges))
+    return hubs.diameters(graph.components(nodes, edges), hubs.distance_labels(nodes, edges))
 
 
 def ev_members(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -322,7 +322,7 @@ BY_PRIORITY = (
     "sz AS (SELECT t, condition, count(*) AS m FROM cond GROUP BY 1, 2)", "nn AS (SELECT ngram, count(*) AS n FROM tk GROUP BY 1)",
     "kk AS (SELECT t, ngram, condition, count(*) AS k FROM tk JOIN cond USING (id) GROUP BY 1, 2, 3)",
     f"pv AS (SELECT t, ngram, condition, {sql.hyper('k', 'n', 'm', 'total')} AS p FROM (SELECT kk.*, n, m, (SELECT count(*) FROM ob) AS total FROM kk JOIN nn USING (ngram) JOIN sz USING (t, condition)))",
-    "fp AS (SELECT a.ngram, a.condition, a.p, avg(CASE WHEN b.p < a.p THEN 1.0 ELSE 0.0 END) AS fpr FROM pv a JOIN pv b ON b.ngram = a.ngram AND b.condition = a.condition AND b.t >= 0 WHERE a.t = -1 GROUP BY 1, 2, 3)",
+    f"fp AS (SELECT a.ngram, a.condition, a.p, avg(CASE WHEN {sql.below('b.p', 'a.p')} THEN 1.0 ELSE 0.0 END) AS fpr FROM pv a JOIN pv b ON b.ngram = a.ngram AND b.condition = a.condition AND b.t >= 0 WHERE a.t = -1 GROUP BY 1, 2, 3)",
 )
 
 
@@ -355,13 +355,13 @@ def ngram_fpr(spark, sf):
 RESULTS = "round(p, 6) AS p, round(-log10(p), 6) AS log_p, round(fpr, 9) AS fpr, fpr <= 0.05 AS passes"
 
 
-@query(w(*BY_PRIORITY, "q AS (SELECT quantile_cont(p, 0.25) AS lim FROM fp)") + f"SELECT ngram, condition, {RESULTS} FROM fp WHERE ngram IN (SELECT ngram FROM fp, q WHERE p <= lim)")
+@query(w(*BY_PRIORITY, "q AS (SELECT quantile_cont(p, 0.25) AS lim FROM fp)") + f"SELECT ngram, condition, {RESULTS} FROM fp WHERE ngram IN (SELECT ngram FROM fp, q WHERE {sql.up_to('p', 'lim')})")
 def enrichment_results(spark, sf):
     actual, rates = _rated(spark, sf)
     return diff.top_quantile(diff.gather_results(actual, rates.drop("p")), 0.25).withColumns({"p": F.round("p", 6), "log_p": F.round("log_p", 6), "fpr": F.round("fpr", 9)})
 
 
-@query(w(*BY_PRIORITY) + f"SELECT ngram, condition, {RESULTS} FROM fp WHERE fpr <= 0.2 AND p <= 0.2")
+@query(w(*BY_PRIORITY) + f"SELECT ngram, condition, {RESULTS} FROM fp WHERE fpr <= 0.2 AND {sql.up_to('p', '0.2')}")
 def significant_results(spark, sf):
     actual, rates = _rated(spark, sf)
     return diff.significant(diff.gather_results(actual, rates.drop("p")), 0.2, 0.2).withColumns({"p": F.round("p", 6), "log_p": F.round("log_p", 6), "fpr": F.round("fpr", 9)})
@@ -371,11 +371,11 @@ def significant_results(spark, sf):
 SIDE_P = ("msz AS (SELECT side, count(*) AS m FROM mem GROUP BY side)", f"sp AS (SELECT side, ngram, {sql.hyper('k', 'support', 'm', 'total')} AS p FROM (SELECT own.*, support, m, (SELECT count(*) FROM ev) AS total FROM own JOIN c USING (ngram) JOIN msz USING (side)))")
 
 
-@query(w(*EVG, sql.SETS, sql.SIDE_NODES, *SIDE_P, "r AS (SELECT ngram, side AS condition, p <= 0.4 AS passes FROM sp)", "f AS (SELECT ngram, list((condition, passes) ORDER BY condition) AS f FROM r GROUP BY 1)") + "SELECT ngram, condition, passes FROM r WHERE ngram NOT IN (SELECT e.dst FROM e JOIN f a ON a.ngram = e.src JOIN f b ON b.ngram = e.dst WHERE a.f = b.f)")
+@query(w(*EVG, sql.SETS, sql.SIDE_NODES, *SIDE_P, f"r AS (SELECT ngram, side AS condition, {sql.up_to('p', '0.4')} AS passes FROM sp)", "f AS (SELECT ngram, list((condition, passes) ORDER BY condition) AS f FROM r GROUP BY 1)") + "SELECT ngram, condition, passes FROM r WHERE ngram NOT IN (SELECT e.dst FROM e JOIN f a ON a.ngram = e.src JOIN f b ON b.ngram = e.dst WHERE a.f = b.f)")
 def max_info_collapse(spark, sf):
     posted, nodes, edges, members = ev_members(spark, sf)
     found = side_p(posted, nodes, members, ev(spark, sf).select("id"))
-    return diff.most_informative(found.select("ngram", F.col("set").alias("condition"), (F.col("p") <= 0.4).alias("passes")), edges)
+    return diff.most_informative(found.select("ngram", F.col("set").alias("condition"), stats.up_to(F.col("p"), 0.4).alias("passes")), edges)
 
 
 def side_p(posted: DataFrame, nodes: DataFrame, members: DataFrame, background: DataFrame) -> DataFrame:
@@ -421,28 +421,44 @@ def stratified_null_sample(spark, sf):
 
 def _stability(spark, sf, make):
     posted, nodes, edges, members = ev_members(spark, sf)
-    far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
-    component = graph.components(nodes, edges)
-    return make(graph.cut(ev(spark, sf)), posted, nodes, far, graph.penalties(component, graph.diameters(far, component)), members)
+    near, component = hubs.distance_labels(nodes, edges), graph.components(nodes, edges)
+    return make(graph.cut(ev(spark, sf)), posted, nodes, hubs.by_labels(near), graph.penalties(component, hubs.diameters(component, near)), members)
 
 
-@query()
+PAIR = "pair AS (SELECT '0' AS pof, side, id FROM mem)"
+STABLE = "split_part(t, '|', 1) AS of, split_part(t, '|', 2) AS kind, split_part(t, '|', 3)::BIGINT AS trial, round(separation, 9) AS separation, round(iqr, 9) AS iqr"
+
+
+@query(w(*EVD, sql.COMPONENTS, sql.SETS, PAIR, *sql.stability_trials("pair", 10, 3), *sql.trial_metrics(diff.SWEEP), recursive=True) + f"SELECT {STABLE} FROM tm")
 def separation_stability(spark, sf):
-    return _stability(spark, sf, lambda own, posted, nodes, far, penalty, members: diff.separation_stability(own, posted, nodes, far, penalty, members.withColumn("of", F.lit(0)), 10, 3))
+    return _stability(spark, sf, lambda own, posted, nodes, far, penalty, members: diff.separation_stability(own, posted, nodes, far, penalty, members.withColumn("of", F.lit("0")), 10, 3)).withColumns({c: F.round(c, 9) for c in ("separation", "iqr")})
 
 
-@query()
+ACTUAL = (PAIR, *sql.stability_trials("pair", 6, 3), *sql.trial_metrics(diff.SWEEP), *sql.stability_tests("actual"))
+RANDOM = (f"rpair AS (SELECT r::VARCHAR AS pof, side, id FROM ({sql.random_pairs(60, 4, 5, 5, 0.6)}))", *sql.again((*sql.stability_trials("rpair", 6, 5), *sql.trial_metrics(diff.SWEEP), *sql.stability_tests("checks")), "_r"))
+RATE = ", ".join(f"round(avg(({sql.up_to(f'c.{x}_p', f'a.{x}_p')})::INT), 9) AS {x}_fpr" for x in ("separation", "iqr"))
+
+
+@query(w(*EVD, sql.COMPONENTS, sql.SETS, *ACTUAL, *RANDOM, recursive=True) + f"SELECT {RATE} FROM checks c, actual a")
 def separation_fpr(spark, sf):
     def make(own, posted, nodes, far, penalty, members):
-        actual = diff.stability_tests(diff.separation_stability(own, posted, nodes, far, penalty, members.withColumn("of", F.lit(0)), 6, 3))
-        return diff.check_rates(actual, diff.false_positive_checks(own, posted, nodes, far, penalty, 60, 4, 6, 5))
+        actual = diff.stability_tests(diff.separation_stability(own, posted, nodes, far, penalty, members.withColumn("of", F.lit("0")), 6, 3))
+        found = diff.check_rates(actual, diff.false_positive_checks(own, posted, nodes, far, penalty, 60, 4, 6, 5))
+        return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
     return _stability(spark, sf, make)
 
 
-@query()
+SIZES = "tmem AS (" + " UNION ALL ".join(f"SELECT '{n}|' || r AS t, side, id FROM ({sql.random_pairs(2 * n, 5, 1 + n, 1, 0.5)})" for n in (5, 20, 60)) + ")"
+FIXED = {"z0": ("far", "NULL::DOUBLE"), "z1": ("0", "0.0::DOUBLE"), "z2": ("3", "3.0::DOUBLE")}
+
+
+@query(
+    w(*EVD, sql.COMPONENTS, SIZES, *sql.TRIAL_NGRAMS, "zn AS (SELECT t, side, ngram AS node FROM tsn)", *[p for name, (fixed, _) in FIXED.items() for p in sql.separations("zn", name, "t", fixed)], recursive=True)
+    + " UNION ALL ".join(f"SELECT split_part(t, '|', 1)::INT AS size, split_part(t, '|', 2)::BIGINT AS trial, {shown} AS penalty, round(separation, 9) AS separation FROM {name}" for name, (_, shown) in FIXED.items())
+)
 def separation_sizes(spark, sf):
-    return _stability(spark, sf, lambda own, posted, nodes, far, penalty, members: diff.size_sweep(own, posted, nodes, far, penalty, [5, 20, 60], 5, 1, [None, 0.0, 3.0]))
+    return _stability(spark, sf, lambda own, posted, nodes, far, penalty, members: diff.size_sweep(own, posted, nodes, far, penalty, [5, 20, 60], 5, 1, [None, 0.0, 3.0]).withColumn("separation", F.round("separation", 9)))
 
 
 @query("SELECT mask, count(*) AS count FROM (SELECT user_id, CAST(max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'error' THEN 2 ELSE 0 END) + max(CASE WHEN event_type = 'view' THEN 4 ELSE 0 END) AS BIGINT) AS mask FROM events WHERE value > 50 AND event_type IN ('click', 'error', 'view') GROUP BY user_id) GROUP BY mask")

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sentograph.operators import compare, diff, entropy, graph, kernels, ngrams, stats
+from sentograph.operators import compare, diff, entropy, graph, hubs, kernels, ngrams, stats
 
 from . import sql
 from .base import EVD, EVG, ev, ev_graph, ob, query, table, w
@@ -229,12 +229,12 @@ def _tested(spark, sf):
     return posted, nodes, edges, members, graph.cut(side_p(posted, nodes, members, ev(spark, sf).select("id")))
 
 
-@query(w(*EVG, *SIDE_P) + "SELECT side AS set, ngram FROM sp WHERE p < 0.3")
+@query(w(*EVG, *SIDE_P) + f"SELECT side AS set, ngram FROM sp WHERE {sql.below('p', '0.3')}")
 def enriched_ngrams(spark, sf):
     return diff.enriched_ngrams(_tested(spark, sf)[4], 0.3)
 
 
-@query(w(*EVG, *SIDE_P) + "SELECT DISTINCT sp.side AS set, mem.id FROM sp JOIN p USING (ngram) JOIN mem ON mem.side = sp.side AND mem.id = p.id WHERE sp.p < 0.3")
+@query(w(*EVG, *SIDE_P) + "SELECT DISTINCT sp.side AS set, mem.id FROM sp JOIN p USING (ngram) JOIN mem ON mem.side = sp.side AND mem.id = p.id WHERE " + sql.below("sp.p", "0.3"))
 def enriched_entities(spark, sf):
     posted, _, _, members, tested = _tested(spark, sf)
     return diff.enriched_entities(diff.enriched_ngrams(tested, 0.3), posted, members)
@@ -245,7 +245,7 @@ CUTOFFS = (0.9, 0.5, 0.2)
 
 def _swept(k: int, cutoff: float) -> str:
     """The CTEs of the separation under other names, over the n-grams with p up to the cutoff."""
-    own = f"sn{k} AS (SELECT sn.* FROM sn JOIN sp ON sp.side = sn.side AND sp.ngram = sn.node WHERE sp.p <= {cutoff})"
+    own = f"sn{k} AS (SELECT sn.* FROM sn JOIN sp ON sp.side = sn.side AND sp.ngram = sn.node WHERE {sql.up_to('sp.p', str(cutoff))})"
     return own + ", " + re.sub(r"\b(sn|near|inn|one|acr|acs)\b", lambda m: f"{m[1]}{k}", sql.SEPARATION)
 
 
@@ -253,10 +253,10 @@ def _swept(k: int, cutoff: float) -> str:
 def separation_sweep(spark, sf):
     _, nodes, edges, _, tested = _tested(spark, sf)
     sides = ev_sides(spark, sf)[3].withColumnRenamed("node", "ngram").join(tested, ["set", "ngram"]).withColumnRenamed("ngram", "node")
-    far = graph.distances(nodes.select(F.col("ngram").alias("node")), edges)
+    labels = hubs.distance_labels(nodes, edges)
     component = graph.components(nodes, edges)
     of = lambda s: sides.where(F.col("set") == s).select("node", "p")
-    return diff.separation_sweep(of("up"), of("down"), list(CUTOFFS), far, graph.penalties(component, graph.diameters(far, component))).withColumn("separation", F.round("separation", 9))
+    return diff.separation_sweep(of("up"), of("down"), list(CUTOFFS), hubs.by_labels(labels), graph.penalties(component, hubs.diameters(component, labels))).withColumn("separation", F.round("separation", 9))
 
 
 CHECKS = "ck AS (SELECT (o_custkey % 100) / 100.0::DOUBLE AS a, (o_orderkey % 37) / 37.0::DOUBLE AS b FROM orders)"

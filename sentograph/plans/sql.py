@@ -1,5 +1,7 @@
 """Parts of the SQL that the queries' results are compared with."""
 
+import re
+
 OB = r"ob AS (SELECT l_orderkey AS id, list(replace(p_brand, 'Brand#', 'B') ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS tokens FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"
 EV = r"ev AS (SELECT user_id AS id, list(event_type ORDER BY ts, event_id) AS tokens FROM events GROUP BY user_id)"
 DOC = r"doc AS (SELECT doc_id AS id, lang, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS tokens FROM documents)"
@@ -51,6 +53,15 @@ def hyper(k: str, n: str, m: str, total: str) -> str:
     return f"CASE WHEN {k} = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, list_sum(list_transform(list_filter(range({k}, least({n}, {m}) + 1), lambda i: {total} - {n} - {m} + i >= 0), lambda i: exp({t})))) END"
 
 
+def up_to(p: str, limit: str) -> str:
+    """p <= limit for computed probabilities, whose last digits don't count."""
+    return f"{p} <= {limit} * (1 + 1e-9::DOUBLE)"
+
+
+def below(p: str, limit: str) -> str:
+    return f"{p} < {limit} * (1 - 1e-9::DOUBLE)"
+
+
 def two_sided(z: str) -> str:
     """The two-sided p of a standard normal value z >= 0, up to 6 or so."""
     return f"greatest(0, least(1, 1 - 2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(greatest({z}, 1e-9)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))))"
@@ -69,3 +80,75 @@ BETWEENNESS = (
     "pr AS (SELECT a.dst AS node, sum(a.n * b.n / c.n) AS s FROM sp a JOIN sp b ON b.src = a.dst JOIN sp c ON c.src = a.src AND c.dst = b.dst AND c.d = a.d + b.d WHERE a.src < b.dst AND a.dst <> a.src AND a.dst <> b.dst GROUP BY 1), "
     "bc AS (SELECT node, coalesce(s, 0) * 2 / ((count(*) OVER () - 1) * (count(*) OVER () - 2)) AS betweenness FROM nd LEFT JOIN pr USING (node))"
 )
+
+
+#: town(t, side, ngram, k) and tsn: the n-grams of each side of trials tmem(t, side, id), and those that a longer one with the same entities doesn't contain.
+TRIAL_NGRAMS = (
+    "town AS (SELECT t, side, p.ngram, count(*) AS k FROM p JOIN c USING (ngram) JOIN tmem USING (id) GROUP BY t, side, p.ngram)",
+    "tsn AS (SELECT o.* FROM town o WHERE NOT EXISTS (SELECT 1 FROM e JOIN town l ON l.ngram = e.dst WHERE e.src = o.ngram AND l.t = o.t AND l.side = o.side AND l.k = o.k))",
+)
+
+
+def trial_metrics(sweep: tuple[float, ...]) -> tuple[str, ...]:
+    """tm(t, separation, iqr) of trials tmem(t, side, id): the separation of each, and the quartiles' distance over those of the n-grams with p up to each cutoff. Over p, c, e, d, pen, ev."""
+    cutoffs = ", ".join(f"{c!r}::DOUBLE" for c in sweep)
+    return (
+        *TRIAL_NGRAMS,
+        "tsz AS (SELECT t, side, count(DISTINCT id) AS m FROM tmem GROUP BY t, side)",
+        f"tsp AS (SELECT t, side, ngram AS node, {hyper('k', 'support', 'm', 'total')} AS p FROM (SELECT tsn.*, support, m, (SELECT count(*) FROM ev) AS total FROM tsn JOIN c USING (ngram) JOIN tsz USING (t, side)))",
+        f"t3 AS (SELECT t, -1.0::DOUBLE AS cut, side, node FROM tsp UNION ALL SELECT t, cut, side, node FROM tsp, unnest([{cutoffs}]) x(cut) WHERE {up_to('p', 'cut')})",
+        *separations("t3", "tsep", "t, cut"),
+        "tm AS (SELECT t, max(separation) FILTER (WHERE cut < 0) AS separation, quantile_cont(separation, 0.75) FILTER (WHERE cut >= 0) - quantile_cont(separation, 0.25) FILTER (WHERE cut >= 0) AS iqr FROM (SELECT DISTINCT t FROM tmem) LEFT JOIN tsep USING (t) GROUP BY t)",
+    )
+
+
+def separations(rows: str, out: str, key: str, fixed: str = "far") -> tuple[str, ...]:
+    """out(key, separation) of the sides of nodes in rows(key, side, node), by d and pen. fixed: the distance of a node that reaches none."""
+    on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in key.split(","))
+    own = lambda a: ", ".join(f"{a}.{k.strip()}" for k in key.split(","))
+    return (
+        f"{out}_near AS (SELECT {own('g')}, g.side, g.node, min(d.d) AS d FROM {rows} g LEFT JOIN (SELECT d.src, d.d, r.* FROM d JOIN {rows} r ON r.node = d.dst WHERE d.d > 0) d ON d.src = g.node AND d.side = g.side AND {on('d', 'g')} GROUP BY {own('g')}, g.side, g.node)",
+        f"{out}_in AS (SELECT {key}, side, sum(CASE WHEN isolated THEN 0 ELSE coalesce(d, 0) END)::DOUBLE / count(*) AS m, count(*) AS n FROM {out}_near JOIN pen USING (node) GROUP BY {key}, side)",
+        f"{out}_one AS (SELECT {key}, min(side) AS side, node FROM {rows} GROUP BY {key}, node HAVING count(*) = 1)",
+        f"{out}_to AS (SELECT {own('g')}, g.node, min(d.d) AS d FROM {out}_one g LEFT JOIN (SELECT d.src, d.d, r.* FROM d JOIN {rows} r ON r.node = d.dst WHERE d.d > 0) d ON d.src = g.node AND d.side <> g.side AND {on('d', 'g')} GROUP BY {own('g')}, g.node)",
+        f"{out}_sum AS (SELECT {key}, sum(CASE WHEN isolated THEN 1 ELSE coalesce(d, {fixed}) END)::DOUBLE AS s FROM {out}_to JOIN pen USING (node) GROUP BY {key})",
+        f"{out} AS (SELECT i.*, coalesce(s, 0) / n - m / 2 AS separation FROM (SELECT {key}, sum(m) AS m, sum(n) AS n FROM {out}_in GROUP BY {key} HAVING count(*) = 2) i LEFT JOIN {out}_sum USING ({key}))",
+    )
+
+
+def stability_trials(pairs: str, trials: int, seed: int) -> tuple[str, ...]:
+    """tmem(t, side, id) of the trials 'of|random|trial' and 'of|subsample|trial' for pairs(pof, side, id); lengths are those of ev."""
+    return (
+        "lens AS (SELECT id, least(len(tokens), 11) AS length FROM ev)",
+        f"wt AS (SELECT pof, length, round(count(*) * 0.7::DOUBLE) AS weight FROM {pairs} JOIN lens USING (id) GROUP BY pof, length)",
+        f"wr AS (SELECT pof, pof || '|random|' || r AS t, r, length, weight FROM wt, range({trials}) x(r))",
+        f"tk AS (SELECT *, (floor(0.85::DOUBLE * weight) + floor(('0x' || substr(md5('{seed}|' || t || '|' || length), 1, 8))::BIGINT / 4294967296.0::DOUBLE * greatest(ceil(1.15::DOUBLE * weight) - floor(0.85::DOUBLE * weight), 1)))::BIGINT AS take FROM wr)",
+        f"chosen AS (SELECT pof, t, r, id FROM (SELECT pof, t, r, id, take, row_number() OVER (PARTITION BY t, length ORDER BY md5('{seed}|' || t || '|' || length || '|' || id), id) AS place FROM tk JOIN lens USING (length)) WHERE place <= take)",
+        f"ups AS (SELECT pof, count(*) FILTER (WHERE side = 'up') / count(*)::DOUBLE AS ups FROM {pairs} GROUP BY pof)",
+        "tsize AS (SELECT pof, t, r, count(*) AS size, floor(count(*) * any_value(ups))::BIGINT AS n_up FROM chosen JOIN ups USING (pof) GROUP BY pof, t, r)",
+        f"rnd AS (SELECT t, id, CASE WHEN row_number() OVER (PARTITION BY t ORDER BY md5('split{seed}|' || t || '|' || id), id) <= n_up THEN 'up' ELSE 'down' END AS side FROM chosen JOIN tsize USING (pof, t, r))",
+        f"subs AS (SELECT t, side, id FROM (SELECT pof || '|subsample|' || r AS t, side, id, CASE side WHEN 'up' THEN n_up ELSE size - n_up END AS take, row_number() OVER (PARTITION BY pof, r, side ORDER BY md5('sub{seed}|' || pof || '|subsample|' || r || '|' || side || '|' || id), id) AS place FROM {pairs} JOIN tsize USING (pof)) WHERE place <= take)",
+        "tmem AS (SELECT t, side, id FROM rnd UNION ALL SELECT t, side, id FROM subs)",
+    )
+
+
+def stability_tests(out: str) -> tuple[str, ...]:
+    """out(pof, separation_p, iqr_p): whether the random and subsampled trials of tm differ, by rank."""
+    parts = ["tv AS (SELECT split_part(t, '|', 1) AS pof, split_part(t, '|', 2) AS kind, m, round(CASE m WHEN 's' THEN separation ELSE iqr END, 9) AS v FROM tm, unnest(['s', 'i']) x(m))"]
+    parts.append("tr AS (SELECT *, rank() OVER (PARTITION BY pof, m ORDER BY v) + (count(*) OVER (PARTITION BY pof, m, v) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY pof, m, v) AS same FROM tv WHERE v IS NOT NULL)")
+    parts.append("ta AS (SELECT pof, m, sum(rk) FILTER (WHERE kind = 'random') AS r, (count(*) FILTER (WHERE kind = 'random'))::DOUBLE AS x, (count(*) FILTER (WHERE kind = 'subsample'))::DOUBLE AS y, sum(same::DOUBLE * same - 1) AS ties FROM tr GROUP BY pof, m)")
+    parts.append("tz AS (SELECT pof, m, greatest(0, (abs(r - x * (x + 1) / 2 - x * y / 2) - 0.5) / nullif(sqrt(x * y / 12 * (x + y + 1 - ties / ((x + y) * (x + y - 1)))), 0)) AS z FROM ta)")
+    p = lambda m: f"max(CASE WHEN m = '{m}' THEN {two_sided('z')} END)"
+    return (*parts, f"{out} AS (SELECT pof, {p('s')} AS separation_p, {p('i')} AS iqr_p FROM tz GROUP BY pof)")
+
+
+def random_pairs(size: int, sets: int, seed: int, split: int, up_share: float, ids: str = "ev") -> str:
+    """Rows (r, side, id) of random sets of ``size`` entities, the first share of them, in another order, as up."""
+    drawn = f"SELECT r, id FROM (SELECT r, id, row_number() OVER (PARTITION BY r ORDER BY md5('{seed}|' || r || '|' || id), id) AS place FROM {ids}, range({sets}) x(r)) WHERE place <= {size}"
+    return f"SELECT r, CASE WHEN row_number() OVER (PARTITION BY r ORDER BY md5('split{split}|' || r || '|' || id), id) <= floor(count(*) OVER (PARTITION BY r) * {up_share}::DOUBLE) THEN 'up' ELSE 'down' END AS side, id FROM ({drawn})"
+
+
+def again(parts: tuple[str, ...], suffix: str) -> tuple[str, ...]:
+    """The trials' steps under names of their own, to stand beside another set of trials."""
+    names = r"\b(lens|wt|wr|tk|chosen|ups|tsize|rnd|subs|tmem|town|tsn|tsz|tsp|t3|tsep\w*|tm|tv|tr|ta|tz)\b(?! *\()"
+    return tuple(re.sub(names, lambda m: m[1] + suffix, p) for p in parts)

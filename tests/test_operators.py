@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentograph import sources
 from sentograph.network import NgramNetwork, Options
-from sentograph.operators import corpus, diff, entropy, fusion, graph, kernels, ngrams, order, stats, survival
+from sentograph.operators import corpus, diff, entropy, fusion, graph, hubs, kernels, ngrams, order, stats, survival
 
 
 def sequences(spark, rows):
@@ -223,6 +223,51 @@ def test_nearest_members_are_those_of_all_distances(spark):
     assert {r["set"]: r["mean"] for r in graph.mean_nearest_by_search(one, component, frame, None).collect()} == pytest.approx(want)
 
 
+def test_labels_give_all_distances(spark):
+    """Random, dense, path-like and star-like parts, isolates; whatever the batches of hubs."""
+    draw = random.Random(11)
+    edges = [(f"a{draw.randint(0, 30)}", f"a{draw.randint(0, 30)}") for _ in range(45)] + [(f"p{i}", f"p{i + 1}") for i in range(9)] + [("s0", f"s{i}") for i in range(1, 9)] + [(f"k{i}", f"k{j}") for i in range(6) for j in range(i)]
+    names = sorted({x for e in edges for x in e} | {"alone", "lone"})
+    frame = spark.createDataFrame([e for e in edges if e[0] != e[1]], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in names], "node string")
+    far = {(r["src"], r["dst"]): r["d"] for r in graph.distances(nodes, frame).collect()}
+    component = graph.components(nodes, frame, "node")
+    for growth in (4,):
+        labels = hubs.distance_labels(nodes, frame, "node", growth)
+        own = {}
+        for r in labels.collect():
+            own.setdefault(r["node"], {})[r["hub"]] = r["d"]
+        assert sum(map(len, own.values())) == labels.count() < len(far) / 2
+        for a in names:
+            for b in names:
+                assert min((d + own[b][h] for h, d in own[a].items() if h in own[b]), default=None) == far.get((a, b))
+        # A label is there only if no earlier hub gives its distance.
+        at = {h: x for x, hs in own.items() for h, d in hs.items() if d == 0}
+        assert all(not any(h in own[at[g]] and own[at[g]][h] + own[x][h] <= d for h in own[x] if h < g) for x, hs in own.items() for g, d in hs.items())
+    want = sorted(map(str, graph.diameters(graph.distances(nodes, frame), component).select("component", "size", "diameter").collect()))
+    assert sorted(map(str, hubs.diameters(component, labels).collect())) == want
+    one, two = (spark.createDataFrame([(s, x) for s in ("s", "t") for x in draw.sample(names, 9)] + [("s", "alone"), ("t", end)], "set string, node string").distinct() for end in ("p1", "lone"))
+    penalty = graph.penalties(component, hubs.diameters(component, labels))
+    pairs = graph.distances(nodes, frame)
+    for fixed, inner in ((None, None), (2.0, 0.0)):
+        want = {r["set"]: r["separation"] for r in graph.separation(one, two, pairs, penalty, fixed, inner).collect()}
+        assert {r["set"]: r["separation"] for r in graph.separation(one, two, hubs.by_labels(labels), penalty, fixed, inner).collect()} == pytest.approx(want) and len(want) == 2
+    empty = frame.limit(0)
+    assert hubs.distance_labels(nodes, empty, "node").count() == len(names) and hubs.diameters(component.limit(0), labels).collect() == []
+
+
+def test_labels_of_many_nodes(spark):
+    """100,000 nodes in a tree: rows go with the labels, a few a node, not with the 10 ** 10 pairs."""
+    n = 100_000
+    edges = spark.range(1, n).select(F.col("id").alias("src"), F.floor((F.col("id") - 1) / 10).alias("dst"))
+    labels = hubs.distance_labels(spark.range(n).withColumnRenamed("id", "node"), edges, "node", 64)
+    assert labels.count() < 8 * n
+    far = hubs.nearest(spark.createDataFrame([(0, n - 1)], "set int, node long"), spark.createDataFrame([(0, 1), (0, n - 1)], "set int, node long"), labels).first()["d"]
+    up = lambda x: [x, *up((x - 1) // 10)] if x else [0]
+    a, b = up(n - 1), up(1)
+    assert far == min(a.index(x) + b.index(x) for x in a if x in b)
+
+
 def test_trial_metrics_are_those_of_each_trial(spark):
     draw = random.Random(7)
     rows = sequences(spark, [(f"e{i}", "".join(draw.choice("abcd") for _ in range(draw.randint(1, 5)))) for i in range(40)]).cache()
