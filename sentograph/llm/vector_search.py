@@ -131,13 +131,15 @@ def maxscore(queries, candidates, own_ids, ids, k: int, floors=None, part: int =
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of every row's vector for each query, the rows whose id is divisible by ``every``."""
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"))
+    # By row, so that copies of a vector don't share a shard. A row's number depends on how files are dealt to tasks, so it is written before it is used: each row is in one
+    # shard for both searches, however many executors either finds.
+    rows = stored(rows.withColumn("at", F.xxhash64(F.monotonically_increasing_id())), "vectors")
     count = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
     shards, blocks = max(1, -(-count[0] // shard)), max(1, -(-count[1] // block))
     numbers = lambda first, n: F.explode(F.sequence(F.lit(first).cast("long"), F.lit(n - 1).cast("long")))
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     asked = asked.select("id", "v", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks).cast("long")).alias("block"))
-    # By row, so that copies of a vector don't share a shard.
-    held = rows.select(F.col("id").alias("vec"), F.col("v").alias("w"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards).cast("long")).alias("shard"), numbers(0, blocks).alias("block"))
+    held = rows.select(F.col("id").alias("vec"), F.col("v").alias("w"), F.pmod("at", F.lit(shards).cast("long")).alias("shard"), numbers(0, blocks).alias("block"))
 
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         import numpy as np

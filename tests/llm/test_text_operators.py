@@ -310,6 +310,30 @@ def brute_top(rows, every, k, scale=256, single=True):
     return out
 
 
+def test_vector_search_under_changing_tasks(spark, tmp_path, monkeypatch):
+    """Every row is in one shard for both searches, though files are dealt to other tasks in the second."""
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=12).astype(np.float32).tolist()) for i in range(400)]
+    path = str(tmp_path / "vectors.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6).write.parquet(path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before, store = [spark.conf.get(n) for n in names], vector_search.stored
+
+    def changed(df, name):
+        out = store(df, name)
+        for n in names:
+            spark.conf.set(n, "1k" if spark.conf.get(n) != "1k" else "128m")
+        return out
+
+    monkeypatch.setattr(vector_search, "stored", changed)
+    try:
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.top_k(spark.read.parquet(path), every=10, shard=50).collect())
+    finally:
+        for n, x in zip(names, before):
+            spark.conf.set(n, x)
+    assert got == brute_top(rows, 10, 5)
+
+
 @pytest.mark.parametrize("shard", [16, 8192])
 def test_vector_search(spark, shard):
     draw = random.Random(3)
