@@ -11,10 +11,11 @@ don't depend on partitions. inclusion is the log of the chance to be among the k
 
 A character without a piece, and U+2581 itself, are its UTF-8 bytes as byte pieces, so decoding gives back the text.
 Pieces don't reach over a space or a line break into the next unit. A long unit (text without spaces) is cut up between characters
-that no piece has side by side; that is exact. What can't be cut takes steps in proportion to its length.
+that no piece has side by side; that is exact. What can't be cut takes steps in proportion to its length; more of it than a window (PART characters) is cut, and no piece crosses that.
 
 Lattices are computed once for each distinct unit of a part of the texts, and all paths of the part descend together
-in numpy.
+in numpy. A text longer than a part goes through in windows of its units (``LongText``), so memory doesn't follow the length of a
+text, but for its ids.
 
 Defined results: a null or empty text is the one segmentation of the leading space mark; a text with fewer than k
 segmentations has all of them, with inclusion 0 (certain); a null key counts as the key "null"; equal keys draw
@@ -334,19 +335,32 @@ class Group:
         import numpy as np
 
         masses, before = self.masses(lattice)
-        upto = np.cumsum(masses)
-        k = min(int(np.searchsorted(upto, u * upto[-1], "right")), int(np.flatnonzero(masses)[-1]))
-        rest = (u * upto[-1] - (upto[k - 1] if k else 0.0)) / np.exp(before[k])  # uniform within the step's own mass
+        k, total, rest = chosen(masses, before, u)
         step = self.since + k
-        place = lattice.place[self.path.edges[step]]
-        barred = {int(self.path.edges[step]), *self.gone.get(step, ())}
-        for edge in [e for e in range(lattice.first[place], lattice.first[place + 1]) if e not in barred]:
-            rest -= np.exp(lattice.log[edge])
-            if rest <= 0:
-                break
-        log = float(before[k] + lattice.log[edge])
-        left = float(upto[-1]) - float(np.exp(log))
-        return step, edge, log, left if left > 1e-6 * upto[-1] else None
+        edge, log = other_edge(lattice, int(self.path.edges[step]), self.gone.get(step, ()), rest, before[k])
+        left = total - float(np.exp(log))
+        return step, edge, log, left if left > 1e-6 * total else None
+
+
+def chosen(masses, before, u: float):
+    """(step, sum of masses, what is left for the step by its path's chance): a step by mass, for a uniform number."""
+    import numpy as np
+
+    upto = np.cumsum(masses)
+    k = min(int(np.searchsorted(upto, u * upto[-1], "right")), int(np.flatnonzero(masses)[-1]))
+    return k, float(upto[-1]), (u * upto[-1] - (upto[k - 1] if k else 0.0)) / np.exp(before[k])  # uniform within the step's own mass
+
+
+def other_edge(lattice: Lattice, own: int, gone, rest: float, before: float):
+    """(edge, log probability with it): one from the place of the path's own edge, by chance, but neither that nor any that is gone."""
+    import numpy as np
+
+    place, barred = lattice.place[own], {own, *gone}
+    for edge in [e for e in range(lattice.first[place], lattice.first[place + 1]) if e not in barred]:
+        rest -= np.exp(lattice.log[edge])
+        if rest <= 0:
+            break
+    return edge, float(before + lattice.log[edge])
 
 
 def units_of(texts: pa.Array, marks: bool = False):
@@ -459,6 +473,165 @@ def sample_part(pieces: Pieces, texts: pa.Array, seeds, k: int):
     return lattice, found, [max((g.value for g in q), default=-math.inf) for q in queues]
 
 
+#: How a window begins: with a space mark, with a line break, or within a unit.
+MARK, BREAK, WITHIN = range(3)
+
+
+def windows(pieces: Pieces, text: str, size: int) -> list[tuple[int, int, int]]:
+    """(begin, end, how it begins) of the windows of a long text, of about ``size`` characters at most: cut at a space, which the mark of the next window stands for,
+    else before a line break, else between characters that no piece has side by side; where a window has none of these, at its end, and no piece crosses that."""
+    import numpy as np
+
+    out, at, how = [], 0, MARK
+    while len(text) - at > size:
+        low, end = at + size // 2, at + size
+        space, line = text.rfind(" ", low, end), text.rfind("\n", low, end)
+        if space > 0 and text[space + 1] != SPACE:
+            out.append((at, space, how))
+            at, how = space + 1, MARK
+        elif line > 0 and text[line + 1] != SPACE:
+            out.append((at, line, how))
+            at, how = line, BREAK
+        else:
+            code = np.frombuffer(text[low - 1 : end].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            odd = np.isin(code, [ord(" "), 10])
+            free = np.flatnonzero(~np.isin(code[:-1] << 21 | code[1:], pieces.pairs) & ~odd[:-1] & ~odd[1:])
+            plain = np.flatnonzero(~odd[:-1] & ~odd[1:])
+            cut = low + int(free[-1] if len(free) else plain[-1] if len(plain) else len(code) - 2)
+            out.append((at, cut, how))
+            at, how = cut, WITHIN
+    return [*out, (at, len(text), how)]
+
+
+class LongText:
+    """Segmentations of a text, a window at a time: one window's lattice and steps are held, and of each segmentation its ids, and those edges on which it may still be left.
+
+    The ways through the units of a window don't depend on other windows, so each window's are drawn by themselves. A group's mass lies where its path is left, nearly always in
+    the first window, as a path's chance falls with each step; windows are gone through until what follows weighs nothing."""
+
+    def __init__(self, pieces: Pieces, text: str, seed: int, k: int, size: int):
+        import numpy as np
+
+        self.pieces, self.text, self.k = pieces, text, k
+        self.parts, self.begins, self.now = windows(pieces, text, size), {0: 0}, (-1, None)
+        own = np.array([seed], np.uint64)
+        self.rounds = [mix(own + np.uint64(0x632BE59BD9B4E019) * np.uint64(r + 1)) for r in range(k)]
+        self.noise = uniform(own[:, None], np.uint64(1 << 60) + np.arange(3 * k + 1, dtype=np.uint64))[0]
+
+    def window(self, i: int):
+        """(lattice, start and ordinal of each unit) of a window."""
+        import numpy as np
+
+        if self.now[0] != i:
+            self.now = (-1, None)
+            a, b, how = self.parts[i]
+            units, index, _ = units_of(pa.array([self.text[a:b]], pa.large_string()), self.pieces.marks)
+            if how == BREAK:
+                index = index[1:]
+            elif how == WITHIN:
+                first = units[index[0]][1:]
+                first = "\n" + first if first[:1] == SPACE else first  # as after a line break: a mark of the text's own
+                units = units if first in units else [*units, first]
+                index = np.append(units.index(first), index[1:])
+            units, index, _ = cut_up(self.pieces, units, index, np.array([0, len(index)]))
+            body = [u[1:] if u[:1] == SPACE or (u[:1] == "\n" and len(u) > 1) else u for u in units]
+            lattice = Lattice(self.pieces, body, [u[:1] == SPACE for u in units])
+            self.begins[i + 1] = self.begins[i] + len(index)
+            self.now = (i, (lattice, lattice.start[index], np.arange(self.begins[i], self.begins[i + 1]).astype(np.uint64) << np.uint64(24)))
+        return self.now[1]
+
+    def spelled(self, i: int, edges):
+        """(ids as bytes, whether they are the window's text)."""
+        import numpy as np
+
+        lattice = self.window(i)[0]
+        runs = lattice.run[edges]
+        tokens = gather(lattice.run_ids, lattice.run_begin, lattice.run_length, runs)
+        a, b, how = self.parts[i]
+        body = (b" " if how == MARK else b"") + self.text[a:b].encode("utf-8", "surrogatepass")
+        return np.asarray(tokens).astype("<i4").tobytes(), gather(self.pieces.byte_flat, self.pieces.byte_begin, self.pieces.byte_length, tokens).tobytes() == body
+
+    def follow(self, r: int, before: list, first: int, base: float, start: float, head=None) -> list:
+        """A path: a list of (edges, counts, ids, whether they restore, log) by window. ``before`` are the windows it has in common with another; from window ``first`` on it is drawn
+        in round r. head: (edges, counts, place of the next step, number of its unit) of a path that begins within the window. base: log probability from
+        which it may be left; edges and counts of windows so far on that this weighs nothing are None. start: the log at the beginning of window ``first``."""
+        import numpy as np
+
+        out, log = list(before), start
+        for i in range(first, len(self.parts)):
+            lattice, starts, ordinal = self.window(i)
+            if head is None:
+                edges, counts = descend(lattice, starts, np.repeat(self.rounds[r], len(starts)), ordinal)
+            else:
+                old, old_counts, to, unit = head
+                at = np.append(to, starts[unit + 1 :])
+                more, count = descend(lattice, at, np.repeat(self.rounds[r], len(at)), ordinal[unit:])
+                edges, counts = np.concatenate([old, more]), np.append(old_counts[:unit], count)
+                counts[unit] += len(old) - int(old_counts[:unit].sum())
+                head = None
+            own = float(lattice.log[edges].sum())
+            kept = log >= base - 60
+            out.append((edges if kept else None, counts.astype(np.int32) if kept else None, *self.spelled(i, edges), own))
+            log += own
+        return out
+
+    def masses(self, path: list, since: tuple[int, int], base: float, gone: dict):
+        """(window, first step, masses, logs before) of each window where the group has mass."""
+        out, step, log = [], since[1], base
+        for i in range(since[0], len(self.parts)):
+            edges = path[i][0]
+            if edges is None or log < base - 60:
+                break
+            lattice = self.window(i)[0]
+            group = Group(Path(edges, None), step, log)
+            group.gone = {s: e for (w, s), e in gone.items() if w == i}
+            mass, before = group.masses(lattice)
+            out.append((i, step, mass, before))
+            log, step = log + float(lattice.log[edges[step:]].sum()), 0
+        return out
+
+    def sample(self):
+        """A list of (path, log probability, value) in order of value, and the (k+1)-th value."""
+        import math
+
+        import numpy as np
+
+        total = lambda own: sum(float(m.sum()) for _, _, m, _ in own)
+        path = self.follow(0, [], 0, 0.0, 0.0)
+        value = -math.log(-math.log(self.noise[0]))
+        found, queue = [(path, sum(w[4] for w in path), value)], []
+
+        def push(path, since, base, gone, mass, bound, u):
+            if mass > 0:
+                queue.append((below(math.log(mass), bound, u), path, since, base, gone))
+
+        mass_of = lambda path, since, base, whole: math.exp(base) if whole - base < -40 else total(self.masses(path, since, base, {}))
+        push(path, (0, 0), 0.0, {}, mass_of(path, (0, 0), 0.0, found[0][1]), value, self.noise[1])
+        for r in range(1, self.k):
+            if not queue:
+                break
+            value, path, since, base, gone = queue.pop(max(range(len(queue)), key=lambda i: queue[i][0]))
+            own = self.masses(path, since, base, gone)
+            at, mass, rest = chosen(np.concatenate([x[2] for x in own]), np.concatenate([x[3] for x in own]), self.noise[3 * r - 1])
+            for i, first, masses, before in own:
+                if at < len(masses):
+                    break
+                at -= len(masses)
+            edges, counts = path[i][:2]
+            step, (lattice, _, _) = first + at, self.window(i)
+            edge, log = other_edge(lattice, int(edges[step]), gone.get((i, step), ()), rest, before[at])
+            unit = int(np.searchsorted(np.cumsum(counts), step, "right"))
+            start = sum(w[4] for w in path[:i])
+            new = self.follow(r, path[:i], i, log, start, (np.append(edges[:step], edge).astype(edges.dtype), counts.astype(np.int64), lattice.to[edge], unit))
+            whole = sum(w[4] for w in new)
+            found.append((new, whole, value))
+            gone = gone | {(i, step): {*gone.get((i, step), ()), edge}}
+            left = mass - math.exp(log)
+            push(path, since, base, gone, left if left > 1e-6 * mass else total(self.masses(path, since, base, gone)), value, self.noise[3 * r])
+            push(new, (i, step + 1), log, {}, mass_of(new, (i, step + 1), log, whole), value, self.noise[3 * r + 1])
+        return found, max((g[0] for g in queue), default=-math.inf)
+
+
 def inclusion(log: float, least: float) -> float:
     """The log of the chance that a segmentation's value is over the (k+1)-th."""
     import math
@@ -482,9 +655,23 @@ def sample(documents: DataFrame, model: str, k: int = 2, seed: int = 1, power: f
         import numpy as np
 
         pieces = Pieces(model, power)
+
+        def long_rows(pieces, batch):
+            """Each segmentation of a long text as a batch of its own."""
+            own = LongText(pieces, batch.column("text")[0].as_py(), batch.column("seed").to_numpy().view(np.uint64)[0], k, part)
+            with np.errstate(over="ignore"):
+                found, least = own.sample()
+            for rank, (path, log, value) in enumerate(found, 1):
+                ids = b"".join(w[2] for w in path)
+                columns = [pa.array([x], t) for x, t in zip((rank, ids, len(ids) // 4, log, value, inclusion(log, least), all(w[3] for w in path)), (pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", "rank", "ids", "n_pieces", "log_probability", "perturbed", "log_inclusion", "restores"])
+
         for whole in batches:
             for batch in slices(whole, "text", part):
                 texts = batch.column("text")
+                if len(batch) == 1 and len(texts[0].as_buffer()) > part:
+                    yield from long_rows(pieces, batch)
+                    continue
                 with np.errstate(over="ignore"):
                     lattice, found, least = sample_part(pieces, texts, batch.column("seed").to_numpy().view(np.uint64), k)
                 bodies = [b" " + x.encode("utf-8", "surrogatepass") for x in texts.to_pylist()]

@@ -514,3 +514,55 @@ def test_url_filter_against_brute_force(spark):
     assert got == sorted(str((r["page_id"], r["url"], r["n_hits"], r["lists"], r["verdict"])) for r in url_filter.evaluate(frame, listed, most_broadcast=0).collect())
     assert url_filter.evaluate(frame.limit(0), listed).collect() == []
     assert {r["verdict"] for r in url_filter.evaluate(frame, listed.limit(0)).collect()} == {"none"}
+
+
+def test_windows_of_long_texts_change_nothing(spark):
+    """A text that goes through in windows has the segmentations that it has as a whole, where no piece crosses a cut; all restore it."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(1, 9)))
+    prose = lambda n: "".join(draw.choice([" ", " ", "\n", "  ", ". ", ", "]) + word() for _ in range(n))
+    same = [prose(900), "\n" * 500 + prose(300) + "\n\n\n", "é▁ ▁a\n▁b " * 300, "аб" * 900, "漢字" * 700 + prose(100), " " * 1500, "a.b,c" * 500]
+    vocabulary = pieces.Pieces(MODEL)
+    with np.errstate(over="ignore"):
+        for nth, text in enumerate([*same, "x" * 3000, "▁" * 2500]):
+            for k in (1, 2, 5):
+                seed = np.uint64(12345 + k)
+                long = pieces.LongText(vocabulary, text, seed, k, 1000)
+                found, least = long.sample()
+                assert len(long.parts) > 1 and all(w[3] for path, _, _ in found for w in path)
+                ids = [b"".join(w[2] for w in path) for path, _, _ in found]
+                assert len(set(ids)) == len(ids)
+                if nth < len(same):
+                    lattice, whole, bound = pieces.sample_part(vocabulary, pa.array([text]), np.array([seed]), k)
+                    runs = lambda path: [(lattice.run_begin[x], lattice.run_length[x]) for x in lattice.run[path.edges].tolist()]  # noqa: B023, E731
+                    assert ids == [np.array([i for b, n in runs(path) for i in lattice.run_ids[b : b + n].tolist()], "<i4").tobytes() for path, _, _ in whole[0]]
+                    assert [x[1:] for x in found] == [pytest.approx(x[1:]) for x in whole[0]] and (least == bound[0] or least == pytest.approx(bound[0]))
+    frame = spark.createDataFrame(list(enumerate(same[:3])), "doc_id long, text string")
+    rows = lambda part: sorted((r["doc_id"], r["rank"], bytes(r["ids"]), r["n_pieces"], round(r["log_inclusion"], 6), r["restores"]) for r in pieces.sample(frame, MODEL, k=3, part=part).collect())
+    assert rows(1000) == rows(pieces.PART)
+
+
+def test_memory_does_not_follow_a_text(tmp_path):
+    """Peak memory over that of the text and the ids, for 1, 4 and 20 MB."""
+    import subprocess
+    import sys
+
+    code = f"""
+import random, resource, sys
+import numpy as np
+from sentograph.llm import pieces
+draw = random.Random(3)
+some = " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(1, 9))) for _ in range(160_000))
+text, own = (some + " ") * int(sys.argv[1]), pieces.Pieces({MODEL!r})
+with np.errstate(over="ignore"):
+    found, _ = pieces.LongText(own, text, np.uint64(5), 2, pieces.PART).sample()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, sum(len(w[2]) for path, _, _ in found for w in path) // 2**20, len(text) // 2**20)
+"""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for times in (1, 4, 20):
+        out = subprocess.run([sys.executable, "-c", code, str(times)], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": os.pathsep.join([root, *sys.path])})
+        assert out.returncode == 0, out.stderr
+        peak, ids, length = map(int, out.stdout.split())
+        assert peak < 300 + 2 * ids + 2 * length
