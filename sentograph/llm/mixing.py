@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, stored_texts
 
 #: Hex digits of a document's MD5 that name its bucket: 4096 a source.
 DIGITS = 3
@@ -122,11 +122,11 @@ def plan(documents: DataFrame, recipe: Recipe = Recipe(), text: str = "text", ke
     return found.select(F.col("key").alias(key), "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"), "positions")
 
 
-def mix(documents: DataFrame, recipe: Recipe = Recipe(), text: str = "text", key: str = "doc_id", store=stored) -> DataFrame:
+def mix(documents: DataFrame, recipe: Recipe = Recipe(), text: str = "text", key: str = "doc_id", store=stored, store_texts=stored_texts) -> DataFrame:
     """The documents in training order, each as often as the plan takes it; all columns stay.
 
     The rows are written once with their numbers, by which each gets its own positions, whatever its key."""
-    marked = store(numbered(documents, text, key, F.struct("*").alias("row")), "numbered")
+    marked = store_texts(numbered(documents, text, key, F.struct("*").alias("row")), "numbered")
     found = placed(marked.drop("row"), recipe, store).where("epochs > 0").select("number", "order", F.explode("positions").alias("at"))
     # The plan has a row for each document, so it is never broadcast.
     joined = marked.select("row", "number").join(found.hint("merge"), "number")

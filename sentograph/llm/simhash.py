@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from sentograph.operators.graph import connected_components
 
-from .shared import bounded_batches, stored
+from .shared import bounded_batches, stored, stored_texts
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: (first bit, bits) of each block.
@@ -175,13 +175,13 @@ def hexadecimal(fp: Column) -> Column:
 MOST_BROADCAST = 500_000
 
 
-def one_of_each(documents: DataFrame, text: str = "text", key: str = "doc_id", store=stored, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def one_of_each(documents: DataFrame, text: str = "text", key: str = "doc_id", store=stored, most_broadcast: int = MOST_BROADCAST, store_texts=stored_texts) -> DataFrame:
     """One row of each group, with all columns: that with the smallest key, and of several the one with the smallest fingerprint
     and then the first. Rows without a key come after all others.
 
     The rows are written once with fingerprint and number, so each is judged by itself, whatever its key."""
     bounded_batches(documents.sparkSession)
-    marked = store(documents.select(F.struct("*").alias("row"), F.col(key).alias("key"), fingerprints(F.col(text)).alias("fp"), F.monotonically_increasing_id().alias("number")), "fingerprints")
+    marked = store_texts(documents.select(F.struct("*").alias("row"), F.col(key).alias("key"), fingerprints(F.col(text)).alias("fp"), F.monotonically_increasing_id().alias("number")), "fingerprints")
     narrow = marked.select("key", "fp", "number")
     rank = F.struct(F.col("key").isNull(), "key", "fp", "number")
     # First by fingerprint, so that copies are one row before they meet their group.
