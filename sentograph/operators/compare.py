@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import graph, kernels, ngrams, order, stats
+from . import blocks, graph, ngrams, order, stats
 
 
 def stacked(corpus: DataFrame, lengths: list[int]) -> DataFrame:
-    """(longest, isolates, components, articulation) of the network at each length."""
-    out = None
+    """(longest, isolates, components, articulation) of the network at each length; all networks are parts of one graph, keyed by length."""
+    nodes = edges = None
     for n in lengths:
         kept = graph.cut(ngrams.closed(ngrams.support(ngrams.postings(corpus, n))))
-        edges = graph.cut(ngrams.containment_edges(kept))
-        component = graph.components(kept, edges)
-        one = graph.isolates(kept, edges).agg(F.count(F.lit(1)).alias("isolates")).crossJoin(component.agg(F.count_distinct("component").alias("components"))).crossJoin(kernels.articulation(edges, component).agg(F.count(F.lit(1)).alias("articulation")))
-        one = one.select(F.lit(n).cast("long").alias("longest"), "*")
-        out = one if out is None else out.union(one)
-    return out
+        of = lambda x: F.concat(F.lit(f"{n}:"), x)  # noqa: B023, E731
+        own = kept.select(F.lit(n).cast("long").alias("longest"), of(F.col("ngram")).alias("node"))
+        links = ngrams.containment_edges(kept).select(of(F.col("src")).alias("src"), of(F.col("dst")).alias("dst"))
+        nodes, edges = (own, links) if nodes is None else (nodes.union(own), edges.union(links))
+    nodes, edges = graph.cut(nodes), graph.cut(edges)
+    points = blocks.articulation_points(blocks.block_tree(edges)).withColumn("point", F.lit(1))
+    lone = graph.isolates(nodes, edges, "node").select("node", F.lit(1).alias("lone"))
+    every = nodes.join(graph.components(nodes, edges, "node"), "node").join(lone, "node", "left").join(points, "node", "left")
+    return every.groupBy("longest").agg(F.count("lone").alias("isolates"), F.count_distinct("component").alias("components"), F.count("point").alias("articulation"))
 
 
 def component_fate(full: DataFrame, model: DataFrame) -> DataFrame:

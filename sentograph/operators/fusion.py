@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import corpus, graph, kernels, ngrams, order
+from . import blocks, corpus, graph, ngrams, order
 
 
 def select_fusions(fusions: DataFrame, cancers: list[str] | None = None) -> DataFrame:
@@ -131,61 +130,30 @@ def component_change(fresh: DataFrame, linked: DataFrame, component: DataFrame)
     return after.join(before, "id", "left").select("id", (F.coalesce("before", F.lit(0)) - F.col("after")).alias("d_components"))
 
 
-#: Into so many groups the sequences that touch a component are spread; its edges go to each that has some.
-SPREAD = 16
-
-
 def articulation_change(linked: DataFrame, component: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, d_articulation): how many articulation points fewer there are with the new n-grams of a sequence that have links.
 
     Only nodes between linked ones can change. For each sequence, a component's tree of blocks is cut down to what lies
-    between its linked nodes, with a leaf where more hangs on a node; with the new n-grams these small graphs are counted.
+    between its linked nodes, with a leaf where more hangs on a node; with the new n-grams these are parts of one graph, keyed by sequence, whose points are counted.
     """
-    kind = dict(linked.dtypes)["id"]
-    ends = linked.where("not own").select("id", "node").distinct().join(component, "node").withColumn("group", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).select("component", "group", "id", "node")
-    asked = ends.select(F.col("component").alias("whole"), F.col("group").alias("nth")).distinct()
-    own = edges.where("src <> dst").join(component.select("node", F.col("component").alias("whole")), F.col("src") == F.col("node")).join(asked, "whole").select("whole", "nth", "src", "dst")
-
-    def between(edges: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        parent = kernels.block_tree(kernels._adjacent(edges["src"], edges["dst"]))
-        blocks: dict = {}
-        for x, up in parent.items():
-            if up is not None:
-                node = up if isinstance(x, int) else x
-                blocks[node] = blocks.get(node, 0) + 1
-        rows = []
-        for id_, nodes in ends.groupby("id")["node"]:
-            ends_of, under = list(nodes), {}
-            for x in ends_of:
-                while x is not None:
-                    under[x] = under.get(x, 0) + 1
-                    x = parent.get(x)
-            top = ends_of[0]
-            while under[top] < len(ends_of):
-                top = parent[top]
-            degree = {top: 0}
-            name = lambda x: f"block:{part}:{x}" if isinstance(x, int) else f"node:{x}"
-            part = ends["component"].iloc[0]
-            for x, n in under.items():
-                if n < len(ends_of):
-                    up = parent[x]
-                    rows.append((id_, name(x), name(up), 0))
-                    degree[x], degree[up] = degree.get(x, 0) + 1, degree.get(up, 0) + 1
-            for x, n in degree.items():
-                if not isinstance(x, int):
-                    all_blocks = blocks.get(x, 0)
-                    rows.append((id_, name(x), f"more:{x}" if all_blocks > n else None, int(all_blocks > 1)))
-        return pd.DataFrame(rows, columns=["id", "src", "dst", "was"])
-
-    kept = ends.groupBy("component", "group").cogroup(own.groupBy("whole", "nth")).applyInPandas(lambda ends, own: between(own, ends), f"id {kind}, src string, dst string, was int")
-    new = linked.select("id", F.concat(F.lit("new:"), "top").alias("src"), F.concat(F.when(F.col("own"), "new:").otherwise("node:"), "node").alias("dst"), F.lit(0).alias("was"))
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        real = rows[rows["dst"].notna()]
-        now = kernels.cut_nodes(kernels.block_tree(kernels._adjacent(real["src"], real["dst"])))
-        return pd.DataFrame([(rows["id"].iloc[0], int(rows["was"].sum()) - sum(not x.startswith("block:") for x in now))], columns=["id", "d_articulation"])
-
-    return kept.union(new).groupBy("id").applyInPandas(count, f"id {kind}, d_articulation long")
+    tree = blocks.block_tree(edges)
+    places = blocks.depths(tree)
+    many = graph.cut(blocks.memberships(tree).groupBy(F.concat(F.lit("node:"), "node").alias("n")).agg(F.count(F.lit(1)).alias("all")))
+    ends = linked.where("not own").select("id", "node").distinct().join(component, "node").select(F.struct("id", "component").alias("key"), F.concat(F.lit("node:"), "node").alias("x"))
+    kept, on = blocks.between(ends, places)
+    degree = kept.select("key", "x").union(kept.select("key", F.col("up").alias("x"))).groupBy("key", "x").agg(F.count(F.lit(1)).alias("kept"))
+    nodes = on.where("x like 'node:%'").join(many, F.col("x") == F.col("n")).join(degree, ["key", "x"], "left").select("key.id", "x", "all", F.coalesce("kept", F.lit(0)).alias("kept"))
+    nodes = graph.cut(nodes)
+    was = nodes.where("all > 1").groupBy("id").agg(F.count(F.lit(1)).alias("was"))
+    of = lambda x: F.concat(F.col("id").cast("string"), F.lit("|"), x)
+    more = nodes.where("all > kept").select("id", of(F.col("x")).alias("src"), of(F.concat(F.lit("more:"), "x")).alias("dst"))
+    new = linked.select("id", of(F.concat(F.lit("new:"), "top")).alias("src"), of(F.concat(F.when(F.col("own"), "new:").otherwise("node:"), "node")).alias("dst"))
+    between = kept.select("key.id", F.concat(F.col("key.id").cast("string"), F.lit("|"), "x").alias("src"), F.concat(F.col("key.id").cast("string"), F.lit("|"), "up").alias("dst"))
+    every = graph.cut(between.union(more).union(new))
+    points = blocks.articulation_points(blocks.block_tree(every)).withColumnRenamed("node", "point")
+    owner = every.select("id", F.col("src").alias("point")).union(every.select("id", "dst")).distinct()
+    now = points.join(owner, "point").where(~F.col("point").startswith(of(F.lit("block:")))).groupBy("id").agg(F.count(F.lit(1)).alias("now"))
+    return linked.select("id").distinct().join(was, "id", "left").join(now, "id", "left").select("id", (F.coalesce("was", F.lit(0)) - F.coalesce("now", F.lit(0))).alias("d_articulation"))
 
 
 def recurrent(fused: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .order import with_totals
@@ -13,15 +14,24 @@ from .order import with_totals
 CHECKPOINTS = "/tmp/checkpoints/sentograph"
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for what is cut from its lineage, which all executors share. A session that is not local has to name it."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not at and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (at or CHECKPOINTS).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows in the reliable checkpoint folder, without lineage. A session that is not local has to name the folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not at and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(at or CHECKPOINTS)
-    return df.checkpoint()
+    """The rows as a table in the checkpoint folder, without lineage.
+
+    A checkpoint would keep the size that its plan was estimated at; over the rounds of an iteration such estimates are multiplied, until planning takes longer than
+    the work. A table has the size of its files, so what is small is joined as such."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut, rounds: int = 100) -> DataFrame:

@@ -53,8 +53,7 @@ def doc(spark: SparkSession, sf: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the session's checkpoint folder, for what a query writes and reads back."""
-    graph.cut(spark.range(0))  # names the folder where a local session doesn't
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{graph.checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ev_graph(spark: SparkSession, sf: str, longest: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentograph.operators import compare, corpus, diff, entropy, fusion, graph, hubs, kernels, labels, ngrams, order, stats, survival
+from sentograph.operators import blocks, compare, corpus, diff, entropy, fusion, graph, hubs, kernels, labels, ngrams, order, stats, survival
 
 from . import sql
 from .base import EVD, EVG, ORACLES, QUERIES, doc, ev, ev_graph, ob, query, table, w
@@ -558,7 +560,7 @@ def bridging_centrality(spark, sf):
 @query("SELECT 'c' || o_custkey AS node FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def articulation_points(spark, sf):
     edges = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("dst"))
-    return kernels.articulation(edges, graph.connected_components(edges))
+    return blocks.articulation_points(blocks.block_tree(edges))
 
 
 @query()
@@ -655,7 +657,14 @@ def group_networks(spark, sf):
     return compare.group_network(posted, groups, nodes, edges)
 
 
-@query()
+STACK = (
+    sql.EV, *[re.sub(r"\b(w|p|s|par|c|sub|e)\b(?=[ .(),]|$)", lambda m: f"{m[1]}_{n}", f"{sql.windows('ev', n)}, {sql.CLOSED}, {sql.EDGES}") for n in (2, 3)],  # noqa: B023
+    "sn AS (SELECT 2 AS k, ngram AS node FROM c_2 UNION ALL SELECT 3, ngram FROM c_3)",
+    "sl AS (SELECT 2 AS k, src AS a, dst AS b FROM e_2 UNION SELECT 2, dst, src FROM e_2 UNION SELECT 3, src, dst FROM e_3 UNION SELECT 3, dst, src FROM e_3)",
+)
+
+
+@query(w(*STACK, *sql.shapes("sn", "sl"), recursive=True) + "SELECT k::BIGINT AS longest, isolates, components, articulation FROM shape")
 def network_stack(spark, sf):
     return compare.stacked(ev(spark, sf), [2, 3])
 
@@ -665,9 +674,15 @@ def bootstrap_tests(spark, sf):
     return stats.bootstrap_mann_whitney(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "F", "O", 50, 20, 1)
 
 
-@query()
+#: Customers' orders, by tens of customers: many small networks, each with the statuses of its ten; sequences that go on with the next customer's orders.
+TENS = "cg AS (SELECT o_custkey AS id, list((o_custkey // 10) || o_orderstatus ORDER BY o_orderdate, o_orderkey) AS tokens FROM orders GROUP BY o_custkey)"
+NEXT = "fu AS (SELECT a.id, list_concat(a.tokens[1:2], b.tokens[2:]) AS tokens FROM cg a JOIN cg b ON b.id = a.id + 1)"
+
+
+@query(w(TENS, sql.windows("cg", 3), sql.CLOSED, NEXT, recursive=True)[:-1] + ", " + sql.impact("regexp_extract({}, '^[0-9]+')"))
 def fusion_impact(spark, sf):
-    own = ob(spark, sf)
+    orders = table(spark, sf, "orders").withColumn("token", F.concat(F.floor(F.col("o_custkey") / 10).cast("string"), "o_orderstatus"))
+    own = graph.cut(corpus.ordered_tokens(orders, "o_custkey", "token", ["o_orderdate", "o_orderkey"]))
     after = own.select((F.col("id") - 1).alias("id"), F.col("tokens").alias("tail"))
     fused = own.join(after, "id").select("id", F.concat(F.slice("tokens", 1, 2), F.slice("tail", 2, 2**30)).alias("tokens"))
     return fusion.impact(own, fused, 3)

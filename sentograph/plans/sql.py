@@ -152,3 +152,33 @@ def again(parts: tuple[str, ...], suffix: str) -> tuple[str, ...]:
     """The trials' steps under names of their own, to stand beside another set of trials."""
     names = r"\b(lens|wt|wr|tk|chosen|ups|tsize|rnd|subs|tmem|town|tsn|tsz|tsp|t3|tsep\w*|tm|tv|tr|ta|tz)\b(?! *\()"
     return tuple(re.sub(names, lambda m: m[1] + suffix, p) for p in parts)
+
+
+def shapes(nodes: str, links: str) -> tuple[str, ...]:
+    """shape(k, components, isolates, articulation) of the graphs nodes(k, node) with links(k, a, b) both ways, by leaving out each node in turn."""
+    return (
+        f"reach(k, src, dst) AS (SELECT k, node, node FROM {nodes} UNION SELECT r.k, r.src, l.b FROM reach r JOIN {links} l ON l.k = r.k AND l.a = r.dst)",
+        f"left_out(k, v, dst) AS (SELECT k, a, min(b) FROM {links} GROUP BY k, a UNION SELECT r.k, r.v, l.b FROM left_out r JOIN {links} l ON l.k = r.k AND l.a = r.dst AND l.b <> r.v)",
+        f"points AS (SELECT k, count(DISTINCT a) AS articulation FROM {links} l WHERE NOT EXISTS (SELECT 1 FROM left_out r WHERE r.k = l.k AND r.v = l.a AND r.dst = l.b) GROUP BY k)",
+        "whole AS (SELECT k, count(*) FILTER (WHERE n = 1) AS isolates, count(DISTINCT m) AS components FROM (SELECT k, src, min(dst) AS m, count(*) AS n FROM reach GROUP BY k, src) GROUP BY k)",
+        "shape AS (SELECT k, components, isolates, coalesce(articulation, 0) AS articulation FROM whole LEFT JOIN points USING (k))",
+    )
+
+
+def impact(group: str) -> str:
+    """What sequences fu(id, tokens) change in the network c. group: SQL for what an n-gram's component lies within; only graphs of such groups that a sequence touches are looked at."""
+    inner = r"regexp_replace(l.ngram, '\|[^|]*$', '') = m.ngram OR regexp_replace(l.ngram, '^[^|]*\|', '') = m.ngram"
+    steps = (
+        "rep AS (SELECT min(id) AS id, tokens, count(*) AS copies FROM fu GROUP BY tokens)",
+        "fw AS (SELECT DISTINCT id, array_to_string(tokens[i:i + k - 1], '|') AS ngram, k AS n FROM rep, unnest(range(1, len(tokens) + 1)) a(i), unnest(range(1, least(3, len(tokens) - i + 1) + 1)) b(k) WHERE array_to_string(tokens, '|') NOT IN (SELECT ngram FROM c))",
+        "mi AS (SELECT * FROM fw WHERE ngram NOT IN (SELECT ngram FROM c))",
+        f"fresh AS (SELECT id, ngram FROM mi m WHERE NOT EXISTS (SELECT 1 FROM mi l WHERE l.id = m.id AND l.n = m.n + 1 AND ({inner})))",
+        f"touch AS (SELECT DISTINCT id, {group.format('token')} AS g FROM (SELECT id, unnest(string_split(ngram, '|')) AS token FROM fresh))",
+        f"gn AS (SELECT id || ':0' AS k, ngram AS node FROM touch JOIN c ON {group.format('c.ngram')} = g UNION ALL SELECT id || ':1', ngram FROM touch JOIN c ON {group.format('c.ngram')} = g UNION ALL SELECT id || ':1', ngram FROM fresh)",
+        "sub_of AS (SELECT x.k, x.node AS a, y.node AS b FROM gn x JOIN gn y ON x.k = y.k AND x.node <> y.node AND contains('|' || y.node || '|', '|' || x.node || '|'))",
+        "gl AS (SELECT k, a, b FROM sub_of UNION SELECT k, b, a FROM sub_of)",
+        *shapes("gn", "gl"),
+        "ch AS (SELECT rep.id, copies, (SELECT count(*) FROM fresh f WHERE f.id = rep.id) AS new, coalesce(x.components, 0) - y.components AS d_components, coalesce(x.isolates, 0) - y.isolates AS d_isolates, coalesce(x.articulation, 0) - y.articulation AS d_articulation FROM rep JOIN shape y ON y.k = rep.id || ':1' LEFT JOIN shape x ON x.k = rep.id || ':0')",
+    )
+    kind = "CASE WHEN d_components = 0 AND d_articulation = 0 THEN 'no change' WHEN d_components > 0 AND d_articulation <= 0 THEN 'joins components' WHEN d_components < 0 AND d_articulation = 0 THEN 'adds a component' WHEN d_components = 0 AND d_articulation > 0 THEN 'adds redundancy' WHEN d_components = 0 AND d_articulation < 0 THEN 'adds a bridge' ELSE 'unclassified' END"
+    return ", ".join(steps) + f" SELECT *, {kind} AS category FROM ch"
