@@ -104,17 +104,32 @@ def running_enrichment(ranked: DataFrame, sets: DataFrame, smallest: int = 15, l
 
 
 def enrichment_significance(ranked: DataFrame, sets: DataFrame, trials: int, seed: int, smallest: int = 15, largest: int = 500) -> DataFrame:
-    """(set, size, score, p, normalized) with ``trials`` permutations of the genes: p is the share of the permuted scores of the same sign that are
-    as far from 0, normalized the score by their mean. A set is permuted by drawing as many genes at random, as keys of one plan."""
+    """(set, size, score, p, normalized, q) with ``trials`` permutations of the genes: p is the share of the permuted scores of the same sign that are
+    as far from 0, normalized the score by their mean. A set is permuted by drawing as many genes at random, as keys of one plan.
+
+    q is the false discovery rate: the permuted scores of all sets, each normalized by its set's mean for its sign, are one null distribution; q is the share of those of a sign
+    that are as far from 0 by the share of the sets' own scores that are, at most 1. Both shares are of ranks over all rows; scores tie if they agree in nine decimals.
+    """
     actual = running_enrichment(ranked, sets, smallest, largest)
     number = ranked.sparkSession.range(trials).select(F.col("id").alias("trial"))
     draws = number.crossJoin(actual.select("set", F.col("size").alias("take"))).select(F.struct("trial", "set").alias("trial"), "take")
     chosen = stats.drawn(ranked.select("gene"), "gene", [], draws, lambda t: stats.drawn_before(str(seed), t["trial"], t["set"], F.col("gene")))
     null = running_enrichment(ranked, chosen.select(F.col("trial").alias("set"), "gene"), smallest, largest).select(F.col("set.set").alias("of"), F.col("score").alias("null"))
-    side = (F.col("null") >= 0) == (F.col("score") >= 0)
-    both = actual.join(null, F.col("set") == F.col("of"), "left").groupBy("set", "size", "score").agg(
-        F.count_if(side & (F.abs("null") >= F.abs("score"))).alias("hits"), F.count_if(side).alias("n"), F.avg(F.when(side, F.abs("null"))).alias("mean"))
-    return both.select("set", "size", "score", (F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("p"), (F.col("score") / F.nullif(F.col("mean"), F.lit(0.0))).alias("normalized"))
+    null, actual = graph.cut(null.withColumn("up", F.col("null") >= 0)), graph.cut(actual.withColumn("up", F.col("score") >= 0))
+    means = null.groupBy(F.col("of").alias("o"), F.col("up").alias("u")).agg(F.avg(F.abs("null")).alias("mean"))
+    scaled = null.join(means, (F.col("of") == F.col("o")) & (F.col("up") == F.col("u"))).select("of", "null", "up", F.round(F.abs("null") / F.nullif(F.col("mean"), F.lit(0.0)), 9).alias("far"))
+    hits = actual.join(scaled, (F.col("set") == F.col("of")) & (actual.up == scaled.up), "left").groupBy("set").agg(
+        F.count_if(stats.up_to(F.abs("score"), F.abs("null"))).alias("hits"), F.count("null").alias("n"))
+    own = actual.join(means, (F.col("set") == F.col("o")) & (F.col("up") == F.col("u")), "left").select("set", "size", "score", "up", (F.col("score") / F.nullif(F.col("mean"), F.lit(0.0))).alias("normalized"))
+    own = graph.cut(own.join(hits, "set").withColumn("far", F.round(F.abs("normalized"), 9)))
+    both = scaled.select("up", "far", F.lit(1).alias("null"), F.lit(0).alias("own")).union(own.select("up", "far", F.lit(0), F.lit(1))).where("far is not null")
+    levels = both.groupBy("up", "far").agg(F.sum("null").alias("null"), F.sum("own").alias("own")).withColumn("back", -F.col("far"))
+    beyond = order.running(levels, "back", {"farther": "null", "farther_own": "own"}, ["up"])
+    totals = both.groupBy(F.col("up").alias("t")).agg(F.sum("null").alias("nulls"), F.sum("own").alias("owns"))  # a row for each sign
+    shares = beyond.join(F.broadcast(totals), F.col("up") == F.col("t")).select(
+        F.col("up").alias("s"), F.col("far").alias("level"), ((F.col("farther") + F.col("null")) / F.nullif(F.col("nulls"), F.lit(0)) / F.nullif(F.col("farther_own") + F.col("own"), F.lit(0)) * F.col("owns")).alias("q"))
+    found = own.join(shares, (F.col("up") == F.col("s")) & (F.col("far") == F.col("level")), "left")
+    return found.select("set", "size", "score", (F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("p"), "normalized", F.when(F.col("q").isNotNull(), F.least(F.lit(1.0), "q")).alias("q"))
 
 
 def leaf_order(rows: DataFrame, key: str, column: str, value: str, most: int = 2000):

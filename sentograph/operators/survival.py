@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import order
@@ -113,33 +113,58 @@ def cox_sample_size(power_z: float, alpha_z: float, ratio: float, p_exposed: flo
     return math.ceil(control * ratio), math.ceil(control)
 
 
+#: Terms of a sum over tied deaths that are added one by one; what more there are is a difference of digamma functions.
+DIRECT = 16
+
+
+def tied_sums(a: Column, d: Column) -> tuple[Column, Column]:
+    """The sums of 1/u and 1/u**2 over u = a, a - 1, ..., a - d + 1, for a >= d >= 1; work doesn't grow with d."""
+    few = F.least(d, F.lit(DIRECT).cast("long"))
+    least = a - d + 1
+    add = lambda acc, i: F.struct((acc["one"] + 1 / (least + i)).alias("one"), (acc["two"] + 1 / ((least + i) * (least + i))).alias("two"))
+    small = F.aggregate(F.sequence(F.lit(0).cast("long"), few - 1), F.struct(F.lit(0.0).alias("one"), F.lit(0.0).alias("two")), add)
+    x, y, rest = a + 1, least + few, d - few  # rest terms: the difference of digamma, and of trigamma, at x and y, by their series
+    power = lambda k: F.pow(x, F.lit(-float(k))) - F.pow(y, F.lit(-float(k)))
+    apart = rest / (x * y)
+    one = -F.log1p(-rest / x) + apart / 2 - power(2) / 12 + power(4) / 120 - power(6) / 252
+    two = apart - power(2) / 2 - power(3) / 6 + power(5) / 30 - power(7) / 42
+    more = lambda c: F.when(rest > 0, c).otherwise(0.0)
+    return small["one"] + more(one), small["two"] + more(two)
+
+
 def cox(rows: DataFrame, covariates: list[str], penalizer: float = 0.01, steps: int = 20, tolerance: float = 1e-9) -> dict[str, float]:
-    """Coefficients of a proportional-hazards model (Efron's ties are taken as Breslow's), by Newton steps with a ridge penalty.
+    """Coefficients of a proportional-hazards model with Efron's ties, by Newton steps with a ridge penalty.
 
-    Raises if they don't settle in so many steps. Each step sums over subjects by time and then over times from the last to the first, both as aggregates; the driver gets sums only.
+    Of d deaths at a time, the l-th meets a risk from which l/d of the dying is taken away; the sums over l are closed (``tied_sums``). Raises if the coefficients don't settle in so many
+    steps. Each step sums over subjects by time and then over times from the last to the first, both as aggregates; the driver gets sums only.
     """
     import numpy as np
 
-    known = rows.where("duration is not null and event is not null").dropna(subset=covariates).cache()
+    known = rows.where("duration is not null and event is not null").dropna(subset=covariates).select("duration", "event", *covariates).cache()
     n, k = known.count(), len(covariates)
     beta = np.zeros(k)
     x = [F.col(c).cast("double") for c in covariates]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    died = F.col("event").cast("double")
     settled = False
     for _ in range(steps):
         risk = F.exp(sum((b * c for b, c in zip(beta.tolist(), x)), F.lit(0.0)))
+        parts = {"0": risk} | {f"1_{i}": risk * c for i, c in enumerate(x)} | {f"2_{i}_{j}": risk * x[i] * x[j] for i, j in pairs}
         level = known.groupBy("duration").agg(
-            F.sum("event").alias("d"), F.sum(risk).alias("s0"), *[F.sum(risk * c).alias(f"s1_{i}") for i, c in enumerate(x)], *[F.sum(risk * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in pairs],
-            *[F.sum(F.col("event") * c).alias(f"e_{i}") for i, c in enumerate(x)])
-        names = ["s0", *[f"s1_{i}" for i in range(k)], *[f"s2_{i}_{j}" for i, j in pairs]]
-        later = order.running(level.withColumn("back", -F.col("duration")), "back", {f"l{c}": c for c in names})
-        at = later.select("d", *[f"e_{i}" for i in range(k)], *[(F.col(f"l{c}") + F.col(c)).alias(c) for c in names])
-        mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(k)]
-        got = at.agg(*[F.sum(F.col(f"e_{i}") - F.col("d") * mean[i]).alias(f"g_{i}") for i in range(k)], *[F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"h_{i}_{j}") for i, j in pairs]).first()
-        gradient = np.array([got[f"g_{i}"] for i in range(k)], float) - n * penalizer * beta
+            F.sum("event").cast("long").alias("d"), *[F.sum(v).alias(f"s{m}") for m, v in parts.items()], *[F.sum(died * v).alias(f"q{m}") for m, v in parts.items()], *[F.sum(died * c).alias(f"e_{i}") for i, c in enumerate(x)])
+        later = order.running(level.withColumn("back", -F.col("duration")), "back", {f"l{m}": f"s{m}" for m in parts}).where("d > 0")
+        at = later.withColumns({f"s{m}": F.col(f"l{m}") + F.col(f"s{m}") for m in parts})
+        s, q, d = (lambda m: F.col(f"s{m}")), (lambda m: F.col(f"q{m}")), F.col("d")
+        one, two = tied_sums(s("0") * d / q("0"), d)
+        at = at.withColumns({"one": one, "two": two, "scale": d / q("0")})
+        off = lambda m: s(m) - s("0") * q(m) / q("0")  # noqa: B023, E731
+        over = lambda m: F.col("scale") * (off(m) * F.col("one") + q(m))  # noqa: B023, E731
+        product = lambda i, j: F.col("scale") * F.col("scale") * (off(f"1_{i}") * off(f"1_{j}") * F.col("two") + (off(f"1_{i}") * q(f"1_{j}") + off(f"1_{j}") * q(f"1_{i}")) / d * F.col("one") + q(f"1_{i}") * q(f"1_{j}") / d)  # noqa: B023, E731
+        got = at.agg(*[F.sum(F.col(f"e_{i}") - over(f"1_{i}")).alias(f"g_{i}") for i in range(k)], *[F.sum(over(f"2_{i}_{j}") - product(i, j)).alias(f"h_{i}_{j}") for i, j in pairs]).first()
+        gradient = np.array([got[f"g_{i}"] or 0.0 for i in range(k)], float) - n * penalizer * beta
         hessian = np.zeros((k, k))
         for i, j in pairs:
-            hessian[i, j] = hessian[j, i] = got[f"h_{i}_{j}"]
+            hessian[i, j] = hessian[j, i] = got[f"h_{i}_{j}"] or 0.0
         step = np.linalg.solve(hessian + n * penalizer * np.eye(k), gradient)
         beta = beta + step
         if settled := np.abs(step).max() < tolerance:

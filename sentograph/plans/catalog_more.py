@@ -114,11 +114,6 @@ def clique_strength(spark, sf):
     return graph.community_strength(edges, kernels.louvain(edges, clique_components(edges), 4))
 
 
-@query("SELECT row_number() OVER (ORDER BY md5('7|' || x)) - 1 AS nth, x AS seed FROM range(1000) t(x) QUALIFY row_number() OVER (ORDER BY md5('7|' || x)) <= 20")
-def iteration_seeds(spark, sf):
-    return spark.createDataFrame(list(enumerate(kernels.iteration_seeds(20, 7))), "nth long, seed long")
-
-
 @query(w(*CLIQUES) + "SELECT community AS hub, node, 5::BIGINT AS instances, 1.0::DOUBLE AS share, true AS core FROM cm")
 def soft_cliques(spark, sf):
     edges = clique_edges(spark, sf)
@@ -283,11 +278,31 @@ def random_sets(spark, sf):
     return diff.random_sets(ev(spark, sf), 20, 5, 9)
 
 
-@query()
+def _scored(own: str) -> str:
+    """SQL for (t, s, size, score) of the running sums of sets own(t, s, gene) over gr(gene, stat, r, n)."""
+    return (
+        f"SELECT t, s, any_value(size) AS size, CASE WHEN max(u / w - (r - k) / (n - size)) >= -min((u - abs(stat)) / w - (r - k) / (n - size)) THEN max(u / w - (r - k) / (n - size)) ELSE min((u - abs(stat)) / w - (r - k) / (n - size)) END AS score "
+        f"FROM (SELECT *, count(*) OVER (PARTITION BY t, s) AS size, sum(abs(stat)) OVER (PARTITION BY t, s) AS w, sum(abs(stat)) OVER (PARTITION BY t, s ORDER BY r) AS u, row_number() OVER (PARTITION BY t, s ORDER BY r) AS k FROM {own} JOIN gr USING (gene)) WHERE size BETWEEN 2 AND 500 AND w > 0 GROUP BY t, s"
+    )
+
+
+GSEA = (
+    "gr AS (SELECT p_partkey AS gene, p_retailprice - 1000 AS stat, row_number() OVER (ORDER BY p_retailprice - 1000 DESC, p_partkey) AS r, count(*) OVER () AS n FROM part)",
+    "gs AS (SELECT -1 AS t, p_brand AS s, p_partkey AS gene FROM part)", f"ac AS ({_scored('gs')})",
+    "gd AS (SELECT t, s, gene FROM (SELECT x.t, ac.s, gene, size, row_number() OVER (PARTITION BY x.t, ac.s ORDER BY md5('3|' || x.t || '|' || ac.s || '|' || gene), gene) AS place FROM ac, range(50) x(t), gr) WHERE place <= size)",
+    f"nu AS ({_scored('gd')})", "me AS (SELECT s, score >= 0 AS up, avg(abs(score)) AS m FROM nu GROUP BY 1, 2)",
+    "fa AS (SELECT nu.s, nu.score >= 0 AS up, score, round(abs(score) / nullif(m, 0), 9) AS far FROM nu JOIN me ON me.s = nu.s AND me.up = (nu.score >= 0))",
+    "ow AS (SELECT ac.s, size, score, score >= 0 AS up, score / nullif(m, 0) AS normalized, round(abs(score / nullif(m, 0)), 9) AS far FROM ac LEFT JOIN me ON me.s = ac.s AND me.up = (ac.score >= 0))",
+    "pq AS (SELECT o.*, (SELECT avg((abs(o.score) <= abs(f.score) * (1 + 1e-9::DOUBLE))::INT) FROM fa f WHERE f.s = o.s AND f.up = o.up) AS p, (SELECT avg((f.far >= o.far)::INT) FROM fa f WHERE f.up = o.up AND f.far IS NOT NULL) AS a, (SELECT avg((x.far >= o.far)::INT) FROM ow x WHERE x.up = o.up AND x.far IS NOT NULL) AS b FROM ow o)",
+)
+
+
+@query(w(*GSEA) + "SELECT s AS set, size, round(score, 6) AS score, round(p, 9) AS p, round(normalized, 6) AS normalized, round(CASE WHEN a / b IS NOT NULL THEN least(1, a / b) END, 9) AS q FROM pq")
 def enrichment_significance(spark, sf):
     part = table(spark, sf, "part")
     ranked = part.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1000).alias("stat"))
-    return compare.enrichment_significance(ranked, part.select(F.col("p_brand").alias("set"), F.col("p_partkey").alias("gene")), 50, 3, 2, 500)
+    found = compare.enrichment_significance(ranked, part.select(F.col("p_brand").alias("set"), F.col("p_partkey").alias("gene")), 50, 3, 2, 500)
+    return found.withColumns({"score": F.round("score", 6), "p": F.round("p", 9), "normalized": F.round("normalized", 6), "q": F.round("q", 9)})
 
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 6) AS iqr FROM orders GROUP BY 1")

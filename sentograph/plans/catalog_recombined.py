@@ -202,12 +202,6 @@ def logrank_pairs(spark, sf):
     return survival.log_rank_pairs(grouped(spark, sf)).withColumns({"chi2": F.round("chi2", 6), "p": F.round("p", 6)})
 
 
-@query("SELECT 'x' AS design, CAST(ceil(e / 1.2 * 1.0) AS BIGINT) AS exposed, CAST(ceil(e / 1.2) AS BIGINT) AS control FROM (SELECT ((2.0 + 1) / (2.0 - 1)) ** 2 * (1.96 + 0.84) ** 2 AS e)")
-def cox_sample_size(spark, sf):
-    exposed, control = survival.cox_sample_size(0.84, 1.96, 1.0, 0.7, 0.5, 2.0)
-    return spark.createDataFrame([("x", exposed, control)], "design string, exposed long, control long")
-
-
 @query("SELECT c_custkey AS patient, CASE WHEN n IS NULL THEN 'No Fusion' WHEN n = 1 THEN 'Single' ELSE 'Multiple' END AS stratum FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey")
 def patient_strata(spark, sf):
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("patient"))
@@ -222,10 +216,14 @@ def patient_samples(spark, sf):
     return survival.of_patients(samples, people).groupBy("patient").agg(F.count(F.lit(1)).alias("samples"))
 
 
-@query()
+COX = "cx AS (SELECT date_diff('day', o_orderdate::DATE, last::DATE) AS duration, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS event, o_totalprice / 100000 AS price, CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS urgent FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS last FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"
+
+
+@query(w(COX, *sql.cox("cx", ("price", "urgent"), 0.01, 8)) + "SELECT 'price' AS covariate, round(a, 7) AS coefficient FROM beta8 UNION ALL SELECT 'urgent', round(b, 7) FROM beta8")
 def cox_coefficients(spark, sf):
     """Coefficients of price and priority on the orders' survival, with the ridge penalty of 0.01."""
     last = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
     rows = table(spark, sf, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey"))
     rows = rows.select(F.datediff("last", "o_orderdate").cast("long").alias("duration"), (F.col("o_orderstatus") == "F").cast("int").alias("event"), (F.col("o_totalprice") / 100000).alias("price"), F.col("o_orderpriority").startswith("1").cast("int").alias("urgent"))
-    return spark.createDataFrame(sorted(survival.cox(rows, ["price", "urgent"]).items()), "covariate string, coefficient double")
+    found = {c: round(b, 7) for c, b in survival.cox(rows, ["price", "urgent"]).items()}
+    return spark.createDataFrame(sorted(found.items()), "covariate string, coefficient double")

@@ -182,3 +182,24 @@ def impact(group: str) -> str:
     )
     kind = "CASE WHEN d_components = 0 AND d_articulation = 0 THEN 'no change' WHEN d_components > 0 AND d_articulation <= 0 THEN 'joins components' WHEN d_components < 0 AND d_articulation = 0 THEN 'adds a component' WHEN d_components = 0 AND d_articulation > 0 THEN 'adds redundancy' WHEN d_components = 0 AND d_articulation < 0 THEN 'adds a bridge' ELSE 'unclassified' END"
     return ", ".join(steps) + f" SELECT *, {kind} AS category FROM ch"
+
+
+def cox(rows: str, covariates: tuple[str, ...], penalizer: float, steps: int) -> tuple[str, ...]:
+    """beta<steps> of so many Newton steps for two covariates of rows(duration, event, ...), each tied death by itself."""
+    x, y = covariates
+    parts = {"0": "r", "1": f"r * {x}", "2": f"r * {y}", "11": f"r * {x} * {x}", "12": f"r * {x} * {y}", "22": f"r * {y} * {y}"}
+    out = ["beta0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)", f"many AS (SELECT count(*) * {penalizer}::DOUBLE AS n FROM {rows})"]
+    for k in range(steps):
+        sums = ", ".join(f"sum({v}) AS s{m}, sum(event * {v}) AS q{m}" for m, v in parts.items())
+        later = ", ".join(f"sum(s{m}) OVER (ORDER BY duration DESC) AS s{m}, q{m}" for m in parts)
+        left = ", ".join(f"s{m} - i * q{m} / d AS p{m}" for m in parts)
+        out += [
+            f"cr{k} AS (SELECT c.*, exp(a * {x} + b * {y}) AS r FROM {rows} c, beta{k})",
+            f"cl{k} AS (SELECT duration, sum(event)::BIGINT AS d, sum(event * {x}) AS ex, sum(event * {y}) AS ey, {sums} FROM cr{k} GROUP BY duration)",
+            f"cs{k} AS (SELECT duration, d, ex, ey, {later} FROM cl{k})",
+            f"ct{k} AS (SELECT d, ex, ey, i, {left} FROM cs{k}, unnest(range(d)) t(i))",
+            f"cg{k} AS (SELECT sum(ex / d - p1 / p0) AS gx, sum(ey / d - p2 / p0) AS gy, sum(p11 / p0 - p1 * p1 / p0 / p0) AS xx, sum(p12 / p0 - p1 * p2 / p0 / p0) AS xy, sum(p22 / p0 - p2 * p2 / p0 / p0) AS yy FROM ct{k})",
+            f"ch{k} AS (SELECT a, b, gx - n * a AS gx, gy - n * b AS gy, xx + n AS xx, xy, yy + n AS yy FROM cg{k}, many, beta{k})",
+            f"beta{k + 1} AS (SELECT a + (gx * yy - gy * xy) / (xx * yy - xy * xy) AS a, b + (gy * xx - gx * xy) / (xx * yy - xy * xy) AS b FROM ch{k})",
+        ]
+    return tuple(out)

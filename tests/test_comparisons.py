@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentograph.operators import compare, fusion, kernels, labels, ngrams, stats, survival
+from sentograph.operators import blocks, compare, fusion, graph, kernels, labels, ngrams, stats, survival
 
 
 def test_labels(spark):
@@ -58,6 +59,77 @@ def test_cox_finds_the_hazard(spark):
     assert abs(survival.cox(frame, ["x"], 1.0)["x"]) < abs(survival.cox(frame, ["x"], 0.0)["x"])
 
 
+def test_cox_takes_ties_as_efron_does(spark):
+    """Against a fit that goes through the deaths one by one, with many deaths at a time."""
+    draw = random.Random(8)
+    rows = [(draw.randint(1, 9), int(draw.random() < 0.7), draw.gauss(0, 1), float(draw.randint(0, 1))) for _ in range(400)]
+    t, e, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2:] for r in rows])
+    for ridge in (0.0, 0.05):
+        beta = np.zeros(2)
+        for _ in range(30):
+            r = np.exp(x @ beta)
+            g, h = -len(rows) * ridge * beta, len(rows) * ridge * np.eye(2)
+            for at in set(t):
+                risk, died = t >= at, (t == at) & (e == 1)
+                d = int(died.sum())
+                for i in range(d):
+                    weight = r * risk - i / d * r * died
+                    s0, s1, s2 = weight.sum(), weight @ x, (x * weight[:, None]).T @ x
+                    g = g - s1 / s0
+                    h = h + s2 / s0 - np.outer(s1, s1) / s0**2
+                g = g + x[died].sum(0)
+            beta = beta + np.linalg.solve(h, g)
+        found = survival.cox(spark.createDataFrame(rows, "duration int, event int, x double, y double"), ["x", "y"], ridge)
+        assert [found["x"], found["y"]] == pytest.approx(beta.tolist(), abs=1e-6)
+
+
+def test_tied_sums(spark):
+    """The closed sums of reciprocals, for few and many terms, up to the smallest and from very large numbers on."""
+    cases = [(1.0, 1), (1.5, 1), (7.25, 7), (16.0, 16), (17.0, 17), (40.5, 30), (5000.0, 5000), (5000.5, 4000), (1e9, 1), (1e9, 50), (1e12, 3000)]
+    frame = spark.createDataFrame(cases, "a double, d long")
+    one, two = survival.tied_sums(F.col("a"), F.col("d"))
+    for r in frame.select("a", "d", one.alias("one"), two.alias("two")).collect():
+        terms = [r["a"] - i for i in range(r["d"])]
+        assert r["one"] == pytest.approx(sum(1 / u for u in terms), rel=1e-11) and r["two"] == pytest.approx(sum(1 / u**2 for u in terms), rel=1e-11)
+
+
+def test_blocks_are_those_of_a_search(spark):
+    """Random graphs of every density, trees, rings and cliques, as parts of one graph: points, and which edges share a block."""
+    draw = random.Random(2)
+    edges = [(f"{k}.{draw.randint(0, 14)}", f"{k}.{draw.randint(0, 14)}") for k in range(12) for _ in range(6 + 2 * k)]
+    edges += [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("r0", "t0"), ("t0", "t1"), ("t0", "t2")] + [(f"q{i}", f"q{j}") for i in range(5) for j in range(i)] + [("x", "y")]
+    edges = [e for e in edges if e[0] != e[1]]
+    frame = spark.createDataFrame(edges + edges[:5] + [("z", "z")], "src string, dst string")
+    tree = graph.cut(blocks.block_tree(frame))
+    assert sorted(r["node"] for r in blocks.articulation_points(tree).collect()) == sorted(kernels.cut_nodes(kernels.block_tree(kernels._adjacent(*zip(*edges)))))
+    own = {}
+    for r in blocks.memberships(tree).collect():
+        own.setdefault(r["block"], set()).add(r["node"])
+    assert all(sum({a, b} <= x for x in own.values()) == 1 for a, b in edges)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def reach(start, without, within):
+        seen, todo = {start}, [start]
+        while todo:
+            new = (near[todo.pop()] & within) - {without} - seen
+            seen |= new
+            todo += new
+        return seen
+
+    for x in own.values():  # nothing in a block hangs on one node
+        assert all(len(x) == 2 or reach(min(x - {v}), v, x) == x - {v} for v in x)
+    assert blocks.block_tree(frame.limit(0)).collect() == []
+
+
+def test_blocks_of_a_long_chain(spark):
+    n = 100_000
+    chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert blocks.articulation_points(blocks.block_tree(chain)).agg(F.count(F.lit(1)), F.min("node"), F.max("node")).first()[:] == (n - 2, 1, n - 2)
+
+
 def test_cox_says_if_it_does_not_settle(spark):
     frame = spark.createDataFrame([(float(i), 1, float(i % 2)) for i in range(20)], "duration double, event int, x double")
     with pytest.raises(RuntimeError):
