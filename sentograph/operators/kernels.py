@@ -1,8 +1,4 @@
-"""Graph algorithms without a relational form, as grouped pandas kernels.
-
-Adjacency goes to tasks as a broadcast of bounded size: graphs over ``MOST_EDGES`` are refused. Sources are dealt over
-tasks in batches; components are dealt whole, and those over ``MOST_EDGES`` are refused.
-"""
+"""Graph algorithms as grouped pandas kernels: components are dealt whole, and those over ``MOST_EDGES`` are refused."""
 
 from __future__ import annotations
 
@@ -12,57 +8,10 @@ from pyspark.sql import functions as F
 
 from .graph import both_ways
 
-#: Edges (some 100 bytes each) that may be broadcast.
+#: Edges of a component that a task may hold.
 MOST_EDGES = 2_000_000
 
 
-def neighbours(edges: DataFrame):
-    """A broadcast of node -> sorted neighbours."""
-    rows = both_ways(edges).limit(2 * MOST_EDGES + 1).toArrow()
-    if rows.num_rows > 2 * MOST_EDGES:
-        raise ValueError(f"the graph has more than {MOST_EDGES} edges")
-    found: dict = {}
-    for a, b in zip(rows["src"].to_pylist(), rows["dst"].to_pylist()):
-        found.setdefault(a, []).append(b)
-    for v in found.values():
-        v.sort()
-    return edges.sparkSession.sparkContext.broadcast(found)
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, key: str = "ngram", batch: int = 64) -> DataFrame:
-    """(node, betweenness) over unordered pairs, by 2 / ((n-1)(n-2)); each task walks from a batch of sources."""
-    shared = neighbours(edges)
-    n = nodes.count()
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        adjacent, total = shared.value, {}
-        for s in group["node"]:
-            order, before, paths, depth = [s], {s: []}, {s: 1.0}, {s: 0}
-            for v in order:
-                for w in adjacent.get(v, ()):
-                    if w not in depth:
-                        depth[w] = depth[v] + 1
-                        before[w], paths[w] = [], 0.0
-                        order.append(w)
-                    if depth[w] == depth[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            load = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    load[v] += paths[v] / paths[w] * (1 + load[w])
-                if w != s:
-                    total[w] = total.get(w, 0.0) + load[w]
-        return pd.DataFrame(list(total.items()), columns=["node", "load"])
-
-    kind = nodes.schema[key].dataType.simpleString()
-    sources = nodes.select(F.col(key).alias("node")).withColumn("batch", F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // batch)))))
-    loads = sources.groupBy("batch").applyInPandas(walk, f"node {kind}, load double").groupBy("node").agg(F.sum("load").alias("load"))
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    own = nodes.select(F.col(key).alias("n"))
-    return own.join(loads, F.col("n") == F.col("node"), "left").select(F.col("n").alias("node"), (F.coalesce("load", F.lit(0.0)) * scale).alias("betweenness"))
-
-
 def bridging(between: DataFrame, degree: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, bridging): betweenness by (1/degree) / sum of 1/degree of the neighbours; null for isolates."""
     around = both_ways(edges).join(degree, F.col("dst") == F.col("node")).groupBy("src").agg(F.sum(1 / F.col("degree")).alias("s"))
@@ -131,19 +80,6 @@ def _adjacent(src, dst) -> dict:
     return out
 
 
-def articulation(edges: DataFrame, component: DataFrame) -> DataFrame:
-    """(node): nodes without which their component falls apart."""
-    kind = component.schema["node"].dataType.simpleString()
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        # Numbers name blocks in the tree, so nodes go by their text.
-        name = {str(v): v for side in ("src", "dst") for v in group[side]}
-        found = cut_nodes(block_tree(_adjacent(group["src"].map(str), group["dst"].map(str))))
-        return pd.DataFrame([(name[v],) for v in sorted(found)], columns=["node"])
-
-    return _by_component(edges, component, kernel, f"node {kind}")
-
-
 def louvain(edges: DataFrame, component: DataFrame, seed: int = 0) -> DataFrame:
     """(node, community): communities of locally best modularity, in an order of nodes that the seed shuffles; named by their node of highest degree."""
     kind = component.schema["node"].dataType.simpleString()

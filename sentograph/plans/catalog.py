@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentograph.operators import blocks, compare, corpus, diff, entropy, fusion, graph, hubs, kernels, labels, ngrams, order, stats, survival
+from sentograph.operators import blocks, compare, corpus, diff, entropy, fusion, graph, hubs, kernels, labels, ngrams, order, paths, stats, survival
 
 from . import sql
 from .base import EVD, EVG, ORACLES, QUERIES, doc, ev, ev_graph, ob, query, table, w
@@ -548,13 +548,13 @@ BC = (*EVG, sql.UNDIRECTED, "nd AS (SELECT ngram AS node FROM c)", sql.numbered_
 @query(w(*BC) + "SELECT node, round(betweenness, 9) AS betweenness FROM bc")
 def betweenness(spark, sf):
     _, nodes, edges = ev_graph(spark, sf)
-    return kernels.betweenness(nodes, edges).withColumn("betweenness", F.round("betweenness", 9))
+    return paths.betweenness(nodes, edges).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query(w(*BC, "dg AS (SELECT a AS node, count(*) AS d FROM u GROUP BY 1)", "ar AS (SELECT a AS node, sum(1 / d) AS s FROM u JOIN dg ON dg.node = u.b GROUP BY 1)") + "SELECT bc.node, round(1 / d / s * betweenness, 9) AS bridging FROM bc LEFT JOIN dg USING (node) LEFT JOIN ar USING (node)")
 def bridging_centrality(spark, sf):
     _, nodes, edges = ev_graph(spark, sf)
-    return kernels.bridging(kernels.betweenness(nodes, edges), graph.degrees(nodes, edges), edges).withColumn("bridging", F.round("bridging", 9))
+    return kernels.bridging(paths.betweenness(nodes, edges), graph.degrees(nodes, edges), edges).withColumn("bridging", F.round("bridging", 9))
 
 
 @query("SELECT 'c' || o_custkey AS node FROM orders GROUP BY o_custkey HAVING count(*) > 1")

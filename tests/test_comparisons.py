@@ -157,7 +157,7 @@ def test_large_components_are_refused(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
     component = spark.createDataFrame([(x, "a") for x in "abcd"], "node string, component string")
     monkeypatch.setattr(kernels, "MOST_EDGES", 2)
-    for refused in (lambda: kernels.articulation(edges, component), lambda: kernels.betweenness(component.select(F.col("node").alias("ngram")), edges)):
+    for refused in (lambda: kernels.louvain(edges, component), lambda: kernels.divisive(edges, component)):
         with pytest.raises(ValueError):
             refused()
 

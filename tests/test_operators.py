@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentograph import sources
 from sentograph.network import NgramNetwork, Options
-from sentograph.operators import corpus, diff, entropy, fusion, graph, hubs, kernels, ngrams, order, stats, survival
+from sentograph.operators import blocks, corpus, diff, entropy, fusion, graph, hubs, kernels, ngrams, order, paths, stats, survival
 
 
 def sequences(spark, rows):
@@ -75,8 +75,8 @@ def test_graph(spark, small):
     assert known["a", "d"] == 2 and known["e", "f"] == 1 and ("a", "e") not in known and known["g", "g"] == 0
     assert {r["component"]: r["diameter"] for r in graph.diameters(far, component).collect()} == {"a": 2, "e": 1}
     assert [r["ngram"] for r in graph.isolates(nodes, edges).collect()] == ["g"]
-    assert [r["node"] for r in kernels.articulation(edges, component).collect()] == ["c"]
-    between = {r["node"]: r["betweenness"] for r in kernels.betweenness(nodes, edges).collect()}
+    assert [r["node"] for r in blocks.articulation_points(blocks.block_tree(edges)).collect()] == ["c"]
+    between = {r["node"]: r["betweenness"] for r in paths.betweenness(nodes, edges).collect()}
     assert between["c"] == pytest.approx(2 * 2 / (6 * 5)) and between["a"] == 0
     parts = kernels.louvain(edges, component).collect()
     assert {r["node"] for r in parts} == set("abcdef")
@@ -223,6 +223,44 @@ def test_nearest_members_are_those_of_all_distances(spark):
     assert {r["set"]: r["mean"] for r in graph.mean_nearest_by_search(one, component, frame, None).collect()} == pytest.approx(want)
 
 
+def test_betweenness_in_batches(spark, tmp_path):
+    """Against counts of all shortest paths; a run goes on from the batches that are there."""
+    import itertools
+    import shutil
+
+    draw = random.Random(13)
+    edges = [(draw.randint(0, 17), draw.randint(0, 17)) for _ in range(30)] + [(30, 31), (31, 32)]
+    edges = [e for e in edges if e[0] != e[1]]
+    names = sorted({x for e in edges for x in e} | {40})
+    near = {v: {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in names}
+
+    def shortest(a, b):
+        level = [[a]]
+        seen = {a}
+        while level:
+            if hits := [p for p in level if p[-1] == b]:
+                return hits
+            level = [[*p, w] for p in level for w in near[p[-1]] if w not in seen]
+            seen |= {p[-1] for p in level}
+        return []
+
+    want = dict.fromkeys(names, 0.0)
+    for a, b in itertools.combinations(names, 2):
+        ways = shortest(a, b)
+        for p in ways:
+            for v in p[1:-1]:
+                want[v] += 1 / len(ways)
+    n = len(names)
+    nodes, frame = spark.createDataFrame([(v,) for v in names], "ngram int"), spark.createDataFrame(edges, "src int, dst int")
+    for batch in (7, 100):
+        folder = str(tmp_path / str(batch))
+        for again in range(2):
+            got = {r["node"]: r["betweenness"] for r in paths.betweenness(nodes, frame, batch=batch, folder=folder).collect()}
+            assert got == pytest.approx({v: 2 * x / ((n - 1) * (n - 2)) for v, x in want.items()})
+            shutil.rmtree(f"{folder}/of={-(-n // batch)}/batch=0")
+        assert paths.betweenness(nodes.limit(1), frame.limit(0), folder=f"{folder}/one").first()["betweenness"] == 0
+
+
 def test_labels_give_all_distances(spark):
     """Random, dense, path-like and star-like parts, isolates; whatever the batches of hubs."""
     draw = random.Random(11)
