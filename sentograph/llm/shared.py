@@ -49,7 +49,8 @@ BATCH = 8 << 20
 
 
 def bounded_batches(spark: SparkSession, most: int = BATCH) -> None:
-    """Lowers the session's bound of bytes in a batch, so that memory doesn't follow the length of texts."""
+    """Lowers the session's bound of bytes in a batch, so that memory doesn't follow the length of texts. It stays lowered, as a plan reads it only when it
+    runs; a session that wants larger batches for other work sets ``spark.sql.execution.arrow.maxBytesPerBatch`` again before that."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name).rstrip("b")) > most:
         spark.conf.set(name, str(most))

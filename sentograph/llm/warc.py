@@ -7,8 +7,9 @@ rounds that grows with the logarithm of the ranges of a file. Only records on th
 payload, however well formed, is never a record.
 
 Defined results: a null payload is empty; a null page id is written and read back as null; repeated page ids make a
-record each; a null or odd URL is written without its line breaks; an empty table makes no archive; of a
-truncated file the whole records before the cut are read.
+record each; a null or odd URL is written without its line breaks; an empty table makes no archive; records of
+WARC/1.0 and WARC/1.1 are read, also in one file; of a truncated file the whole records before the cut are read; a
+record that is damaged otherwise, or of another version, is an error or reported, see ``read_archives``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from .shared import open_fs, publish, stored
 
 MAGIC = b"WARC/1.1\r\n"
+#: Versions that are read, each of as many bytes.
+MAGICS = (b"WARC/1.0\r\n", MAGIC)
+_ANY_MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 #: Bytes of a range, and bytes that are read at once beyond it; a header that is longer is read to its end.
 RANGE, HEADER = 16 << 20, 1 << 16
 #: Up to so many digests of repeated payloads (some 100 bytes each) are broadcast; more are joined by shuffle.
@@ -112,7 +116,7 @@ class _Window:
     def parse(self, at: int):
         """(header lines, start of the block, its length) of a record whose header begins at a place in the bytes; None if it is none."""
         self.upto(at + len(MAGIC))
-        if not self.data.startswith(MAGIC, at):
+        if not self.data.startswith(MAGICS, at):
             return None
         line = at + len(MAGIC)
         if self.end < at:  # else the header's end is that found for an earlier place
@@ -128,7 +132,7 @@ class _Window:
             if end < 0:
                 return None
             self.end = end
-        if self.data.find(b"\r\n" + MAGIC, at, self.end) >= 0:  # a line without a colon
+        if any(self.data.find(b"\r\n" + m, at, self.end) >= 0 for m in MAGICS):  # a line without a colon
             return None
         fields = {}
         for line in bytes(self.data[at + len(MAGIC) : self.end]).split(b"\r\n"):
@@ -140,6 +144,15 @@ class _Window:
         return (fields, self.end + 4, int(length)) if length.isdigit() and len(length) < 19 else None
 
 
+    def cut_off(self, at: int) -> bool:
+        """Whether the file ends within a record's header that begins at a place where no record parses."""
+        self.upto(at + len(MAGIC))
+        rest = bytes(self.data[at : at + len(MAGIC)])
+        if len(rest) < len(MAGIC):
+            return any(m.startswith(rest) for m in MAGICS)
+        return self.data.startswith(MAGICS, at) and self.left == 0 and self.data.find(b"\r\n\r\n", at) < 0
+
+
 def ranges(spark: SparkSession, files: list[dict], step: int = RANGE) -> DataFrame:
     """(file, bytes, start, stop) of every range: made from one row a file, so the driver holds no more than that."""
     rows = spark.createDataFrame([(f["file"], f["bytes"]) for f in files], "file string, bytes long")
@@ -157,11 +170,12 @@ def candidates(cut: DataFrame) -> DataFrame:
                 files, path = open_fs(row["file"])
                 with files.open_input_file(path) as stream:
                     window = _Window(stream, start, min(stop + HEADER, size), size)
-                    follow, at = {}, window.data.find(MAGIC)
-                    while 0 <= at < stop - start:
+                    follow, magic = {}, _ANY_MAGIC.search(window.data)
+                    while magic and (at := magic.start()) < stop - start:
+                        magic = None  # a match holds the bytes, which parse may add to
                         if found := window.parse(at):
                             follow[start + at] = start + found[1] + found[2] + 4
-                        at = window.data.find(MAGIC, at + 1)
+                        magic = _ANY_MAGIC.search(window.data, at + 1)
                 leaves = {}
                 for at in sorted(follow, reverse=True):
                     to = follow[at]
@@ -172,15 +186,14 @@ def candidates(cut: DataFrame) -> DataFrame:
 
 
 def entries(cut: DataFrame, store=stored) -> DataFrame:
-    """(file, at): where the chain from the file's start enters each range, by pointer jumping."""
+    """(file, at): where the chain from the file's start enters each range, by pointer jumping; also where it meets no record."""
     jumps = store(candidates(cut), "candidates")
     reached = store(jumps.where("at = 0").select("file", "at"), "reached")
     known = reached.count()
     while known:
         here = jumps.withColumnsRenamed({"file": "f", "at": "a", "leaves": "to"})
         onward = reached.join(here, [F.col("file") == F.col("f"), F.col("at") == F.col("a")]).select("file", F.col("to").alias("at"))
-        real = jumps.select("file", "at")
-        reached = store(reached.union(onward.join(real, ["file", "at"], "left_semi")).distinct(), "reached")
+        reached = store(reached.union(onward.where("at >= 0")).distinct(), "reached")
         if (now := reached.count()) == known:
             break
         known = now
@@ -189,17 +202,20 @@ def entries(cut: DataFrame, store=stored) -> DataFrame:
     return reached
 
 
-def read_archives(spark: SparkSession, files: list[dict], step: int = RANGE, store=stored) -> DataFrame:
+def read_archives(spark: SparkSession, files: list[dict], step: int = RANGE, store=stored, strict: bool = True) -> DataFrame:
     """(page_id, record_type, refers_to, payload_bytes, payload_digest, digest_ok, file, at) of every record on the chains.
 
-    payload_bytes is that of the full payload, for a revisit too; digest_ok compares a response's payload with its header.
+    payload_bytes is that of the full payload, for a revisit too; digest_ok compares a response's payload with its header. Where a chain meets something that is no record, before its
+    file ends, nothing that follows can be told from a payload: it is an error, or, if not strict, a row of record_type "broken" with that place and digest_ok false.
     """
     schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean, file string, at long"
     if not files:
         return spark.createDataFrame([], schema)
     cut = ranges(spark, files, step)
     found = entries(cut, store).select(F.col("file").alias("f"), F.col("at").alias("entry"))
-    todo = cut.join(found, (F.col("file") == F.col("f")) & (F.col("entry") - F.col("entry") % step == F.col("start"))).groupBy("file", "bytes", "start", "stop").agg(F.min("entry").alias("entry"))
+    # A file is read from its start even if no record is there, to say so.
+    todo = cut.join(found, (F.col("file") == F.col("f")) & (F.col("entry") - F.col("entry") % step == F.col("start")), "left").where("entry is not null or start = 0")
+    todo = todo.groupBy("file", "bytes", "start", "stop").agg(F.coalesce(F.min("entry"), F.lit(0).cast("long")).alias("entry"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,6 +228,10 @@ def read_archives(spark: SparkSession, files: list[dict], step: int = RANGE, sto
                     while at < row["stop"]:
                         parsed = window.parse(at - base)
                         if not parsed:
+                            if not window.cut_off(at - base):
+                                if strict:
+                                    raise ValueError(f"{row['file']}: no record at byte {at} of {row['bytes']}")
+                                out.append((None, "broken", None, None, None, False, row["file"], at))
                             break
                         fields, begin, length = parsed
                         if base + begin + length + 4 > row["bytes"]:

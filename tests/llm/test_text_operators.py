@@ -210,6 +210,33 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0), str(tmp_path / "n"))).collect() == []
 
 
+def test_archives_of_other_versions_and_damaged_ones(spark, tmp_path):
+    bodies = ["first", "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", "third", "fourth", "last"]
+    parts = [warc.record(i, f"http://h/{i}", b.encode(), base64.b32encode(hashlib.sha1(b.encode()).digest()).decode(), None, False) for i, b in enumerate(bodies)]
+    old = [b"WARC/1.0" + p[8:] for p in parts]
+
+    def read(data, step, **more):
+        path = tmp_path / f"{hashlib.md5(data).hexdigest()}.warc"
+        path.write_bytes(data)
+        return warc.read_archives(spark, [{"file": str(path), "bytes": len(data)}], step, **more)
+
+    for step in (100, 1 << 20):
+        for data in (b"".join(old), b"".join([parts[0], *old[1:3], *parts[3:]])):
+            assert sorted((r["page_id"], r["payload_bytes"], r["digest_ok"]) for r in read(data, step).collect()) == [(i, len(b), True) for i, b in enumerate(bodies)]
+        for broken, whole in ((parts[2].replace(b"WARC/1.1", b"WARC/2.1", 1), 2), (parts[2].replace(b"Content-Length", b"Content-Breadth"), 2), (b"noise" + parts[2], 2)):
+            data = b"".join([*parts[:2], broken, *parts[3:]])
+            rows = read(data, step, strict=False).collect()
+            assert sorted(r["page_id"] for r in rows if r["record_type"] == "response") == list(range(whole))
+            assert [(r["at"], r["digest_ok"]) for r in rows if r["record_type"] == "broken"] == [(len(parts[0]) + len(parts[1]), False)]
+            with pytest.raises(Exception, match="no record at byte"):
+                read(data, step).collect()
+        with pytest.raises(Exception, match="no record at byte 0"):
+            read(b"WARC/0.18\r\n" + parts[0], step).collect()
+        for cut in (3, 15, len(parts[1]) - 5):  # within the magic, a header, a payload
+            assert [r["page_id"] for r in read(parts[0] + parts[1][:cut], step).collect()] == [0]
+        assert read(b"", step).collect() == []
+
+
 def test_archives_with_long_headers(spark, tmp_path):
     urls = [f"data:,{'x' * 100_000}{i}" for i in range(3)] + ["http://h/"]
     bodies = ["first", "WARC/1.1\r\nX: " + "y" * 200_000, "WARC/1.1\r\nno colon\r\n" + "z" * 200_000, "last"]
