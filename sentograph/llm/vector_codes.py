@@ -7,7 +7,7 @@ bound, or that is more than twice the upper bound away from the own entry, is fa
 compared by squared distances in whole numbers, so ties are exact. Bounds are whole UNITths, lower ones rounded down and upper ones up, in 16 bits;
 a bound that is too large for that is cut (lower) or unknown (upper), which prunes less and errs never.
 
-The rows with their codes and bounds are written to the shared folder after each round, so a lost executor costs no round. Sums of
+The rows with their codes and bounds are written to the shared folder after each round, so a lost executor costs no round; they take 2 bytes for each part and entry. Sums of
 parts are added up in each task, then by Spark; only codebooks, which are as small as their shape, come to the driver.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are padded with zeros to the longest, and
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, stored_texts
 from .vector_search import MOST, usable, whole
 
 #: Bounds are counted in this part of a step of the components; the largest bound, and what stands for an unknown upper one.
@@ -213,7 +213,7 @@ def coded(rows: DataFrame, books: Codebooks) -> DataFrame:
     return rows.mapInArrow(run, f"{own}, code string, error long, checked long")
 
 
-def compress(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", parts: int = 16, entries: int = 64, rounds: int = 2, scale: float = 256.0, store: Callable = stored) -> tuple[DataFrame, Codebooks | None]:
+def compress(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", parts: int = 16, entries: int = 64, rounds: int = 2, scale: float = 256.0, store: Callable = stored, store_state: Callable = stored_texts) -> tuple[DataFrame, Codebooks | None]:
     """(key, label, code, error, label_error, checked) of each usable vector and the final codebooks (None without vectors).
 
     code: the parts' entries, two hex digits each, so ``entries`` is at most 256. label_error: error summed over equal labels."""
@@ -228,7 +228,7 @@ def compress(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     start = first.reshape(len(first), parts, width).transpose(1, 0, 2).copy()
     books = Codebooks(start, np.zeros(start.shape[:2], np.int32))
     for _ in range(rounds):
-        rows = store(with_state(rows, books), "codes")
+        rows = store_state(with_state(rows, books), "codes")
         books = books.after(sums(rows, books))
     found = store(coded(rows, books), "coded")
     total = found.groupBy(F.col("label").alias("__label")).agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("sum"))
