@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sentograph import sources
 from sentograph.operators import compare, corpus, diff, labels, ngrams, survival
+from sentograph.sources import workbook
 
 from . import sql
 from .base import EVG, ev, ev_graph, ob, query, scratch, table, w
@@ -110,6 +111,14 @@ def tab_separated_without_header(spark, sf):
     return sources.delimited(spark, path, header=False)
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ordered, o_orderpriority FROM orders")
+def workbook_records(spark, sf):
+    path = scratch(spark, "workbooks")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    workbook.write_workbooks(orders, path, 5000).agg(F.sum("rows")).collect()  # writes the files
+    return workbook.read_workbooks(spark, path).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).withColumnRenamed("o_orderdate", "ordered")
+
+
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def json_records(spark, sf):
     path = scratch(spark, "json")
