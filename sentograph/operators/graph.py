@@ -14,6 +14,10 @@ from .order import with_totals
 CHECKPOINTS = "/tmp/checkpoints/sentograph"
 
 
+#: Tables that this process has made and not removed.
+_made: list[str] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder for what is cut from its lineage, which all executors share. A session that is not local has to name it."""
     context = spark.sparkContext
@@ -30,10 +34,25 @@ def cut(df: DataFrame) -> DataFrame:
     the work. A table has the size of its files, so what is small is joined as such."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear() -> int:
+    """Deletes all tables that ``cut`` made in this process, for when results that follow from them are no longer read. Returns how many."""
+    from pyarrow import fs
+
+    gone = 0
+    while _made:
+        at = _made.pop()
+        files, path = fs.FileSystem.from_uri(at) if ":" in at else (fs.LocalFileSystem(), at)
+        if files.get_file_info(path).type == fs.FileType.Directory:
+            files.delete_dir(path)
+            gone += 1
+    return gone
+
+
 def connected_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut, rounds: int = 100) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 

@@ -294,6 +294,19 @@ def test_labels_give_all_distances(spark):
     assert hubs.distance_labels(nodes, empty, "node").count() == len(names) and hubs.diameters(component.limit(0), labels).collect() == []
 
 
+def test_cut_tables_are_cleared(spark):
+    """What is cut has the rows and kinds that it had, in a table that goes when it is cleared."""
+    rows = spark.createDataFrame([(1, ["a"], {"k": 2.0}, None)], "a long, b array<string>, c map<string, double>, d struct<x: int, y: string>")
+    kept = graph.cut(rows)
+    assert kept.collect() == rows.collect() and kept.schema == rows.schema and kept.inputFiles()
+    before = list(graph._made)
+    graph._made[:] = before[-1:]
+    assert graph.clear() == 1 and graph.clear() == 0
+    graph._made[:] = before[:-1]
+    with pytest.raises(Exception, match="(?i)exist"):
+        kept.collect()
+
+
 def test_labels_of_many_nodes(spark):
     """100,000 nodes in a tree: each has no more labels than the logarithm of the nodes, against 10 ** 10 pairs."""
     n = 100_000
