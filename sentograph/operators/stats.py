@@ -163,9 +163,10 @@ def dispersion(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return off.select(*by, "iqr", "mad", "std", "cv")
 
 
-def bootstrap_mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str, size: int, trials: int, seed: int) -> DataFrame:
-    """(trial, u, p) of samples of ``size`` from each group, all trials in one plan."""
-    own = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(group, value, F.struct(value, F.xxhash64(*rows.columns).alias("h")).alias("__key"))
+def bootstrap_mann_whitney(rows: DataFrame, value: str, group: str, a: str, b: str, size: int, trials: int, seed: int, key: str | None = None) -> DataFrame:
+    """(trial, u, p) of samples of ``size`` from each group, all trials in one plan. key: the column that tells rows apart (None: a hash of all columns)."""
+    name = F.xxhash64(*rows.columns) if key is None else F.col(key)
+    own = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(group, value, F.struct(value, name.alias("h")).alias("__key"))
     number = rows.sparkSession.range(trials).select(F.col("id").alias("trial"), F.lit(size).alias("take"))
     draws = number.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(a,), (b,)], f"{group} string")))
     found = drawn(own, "__key", [group], draws, lambda t: drawn_before(str(seed), t, F.col("__key")["h"]))

@@ -669,9 +669,18 @@ def network_stack(spark, sf):
     return compare.stacked(ev(spark, sf), [2, 3])
 
 
-@query()
+DRAWN = (
+    "bs AS (SELECT t, o_orderstatus AS g, o_totalprice AS v FROM (SELECT o.*, t, row_number() OVER (PARTITION BY t, o_orderstatus ORDER BY md5('1|' || t || '|' || o_orderkey)) AS place FROM orders o, range(20) x(t) WHERE o_orderstatus IN ('F', 'O')) WHERE place <= 50)",
+    "br AS (SELECT t, g, rank() OVER (PARTITION BY t ORDER BY v) + (count(*) OVER (PARTITION BY t, v) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY t, v) AS same FROM bs)",
+    "ba AS (SELECT t, sum(rk) FILTER (WHERE g = 'F') AS r, (count(*) FILTER (WHERE g = 'F'))::DOUBLE AS x, (count(*) FILTER (WHERE g = 'O'))::DOUBLE AS y, sum(same::DOUBLE * same - 1) AS ties FROM br GROUP BY t)",
+    "bb AS (SELECT t, r - x * (x + 1) / 2 AS u, greatest(0, (abs(r - x * (x + 1) / 2 - x * y / 2) - 0.5) / sqrt(x * y / 12 * (x + y + 1 - ties / ((x + y) * (x + y - 1))))) AS z FROM ba)",
+)
+
+
+@query(w(*DRAWN) + f"SELECT t AS trial, u, round({sql.two_sided('z')}, 6) AS p FROM bb")
 def bootstrap_tests(spark, sf):
-    return stats.bootstrap_mann_whitney(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "F", "O", 50, 20, 1)
+    found = stats.bootstrap_mann_whitney(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus", "F", "O", 50, 20, 1, "o_orderkey")
+    return found.withColumn("p", F.round("p", 6))
 
 
 #: Customers' orders, by tens of customers: many small networks, each with the statuses of its ten; sequences that go on with the next customer's orders.
