@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sentograph.operators import corpus, fusion, graph, survival
@@ -112,7 +114,10 @@ def fusion_chain(spark, sf):
     return fusion.analysis(fusions(spark, sf), mapping(spark, sf), exon_table(spark, sf), domain_table(spark, sf), gene_corpus(spark, sf), 3, CANCERS)[0].select("id", F.array_join("tokens", "|").alias("architecture"))
 
 
-@query()
+CHAIN = (*[re.sub(r"\bfu\b", "fz", part) for part in FUSIONS], "gc AS (SELECT gene_id AS id, list(token ORDER BY s, token)[1:3] AS tokens FROM dm GROUP BY gene_id)", "fu AS (SELECT id, string_split(architecture, '|') AS tokens FROM ra WHERE architecture <> '')")
+
+
+@query(w(*CHAIN, sql.windows("gc", 3), sql.CLOSED, recursive=True)[:-1] + ", " + sql.impact("length({}) * 0"))
 def fusion_chain_impact(spark, sf):
     return fusion.analysis(fusions(spark, sf), mapping(spark, sf), exon_table(spark, sf), domain_table(spark, sf), gene_corpus(spark, sf), 3, CANCERS)[1]
 
