@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sentograph import sources
 from sentograph.operators import fusion
 
 
@@ -21,3 +22,18 @@ def test_exploded_gene_tables_are_cut_to_the_genes_that_occur(spark, tmp_path):
     whole = fusion.recombine(parts, domains)
     assert "Generate" not in whole._jdf.queryExecution().optimizedPlan().toString()
     assert {r["id"]: r["tokens"] for r in whole.collect()} == {1: ["D0", "D1", "D4", "D5"], 2: []}
+
+
+def test_contained_files_shuffle_no_pairs(spark):
+    """Against brute force, with equal files and null ids; what is cut holds contained sets only, and the plan counts no pairs."""
+    import random
+
+    dice = random.Random(3)
+    files = {f"f{k:03}": [dice.choice([None, *range(6)]) if dice.random() < 0.1 else dice.randrange(6) for _ in range(dice.randrange(1, 7))] for k in range(120)}
+    rows = spark.createDataFrame([(f, i) for f, ids in files.items() for i in ids] + [(None, 1), ("f000", files["f000"][0])], "file string, id int")
+    found = sources.contained_files(rows)
+    sets = {f: set(ids) for f, ids in files.items()}
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a != b and None not in x and x <= y and (len(y) > len(x) or b < a)}
+    got = [tuple(r) for r in found.select("file", "within").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
