@@ -37,3 +37,12 @@ def test_contained_files_shuffle_no_pairs(spark):
     got = [tuple(r) for r in found.select("file", "within").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_recurrent_genes_count_without_lists(spark):
+    """Counts of genes hold no list of a gene's patients; the lists themselves keep repeats, in order, and a null gene is a gene."""
+    rows = spark.createDataFrame([("g", "c1", 1, "x", 5), ("g", "c2", 1, "y", 3), ("g", "c2", 2, "y", 3), ("g", "c2", 2, None, None), ("h", "c1", 4, "x", 1), (None, "c1", 1, "x", 2), (None, "c2", 1, "x", 1)], "gene_id string, cancer string, pair long, architecture string, patient long")
+    counts = fusion.gene_counts(rows)
+    assert "collect" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, counts.collect()), key=str) == [("g", 2, 2, 2, 3), (None, 2, 1, 1, 2)]
+    assert sorted(map(tuple, fusion.recurrent_genes(rows).collect()), key=str) == [("g", 2, 2, 2, [3, 3, 5]), (None, 2, 1, 1, [1, 2])]
