@@ -157,9 +157,11 @@ def separation_stability(corpus: DataFrame, posted: DataFrame, nodes: DataFrame,
 
 
 def stability_tests(metrics: DataFrame) -> DataFrame:
-    """(of, separation_p, iqr_p): whether random and subsampled trials differ, by Mann-Whitney; values tie if they agree in nine decimals."""
+    """(of, separation_p, iqr_p): whether random and subsampled trials differ, by Mann-Whitney; values tie if they agree in nine decimals.
+
+    Where all values are one, or one kind has none, nothing speaks for a difference and p is 1."""
     metrics = metrics.withColumns({c: F.round(c, 9) for c in ("separation", "iqr")})
-    test = lambda c: stats.mann_whitney(metrics, c, "kind", "random", "subsample", ["of"]).select("of", F.col("p").alias(f"{c}_p"))
+    test = lambda c: stats.mann_whitney(metrics, c, "kind", "random", "subsample", ["of"]).select("of", F.coalesce("p", F.lit(1.0)).alias(f"{c}_p"))
     return test("separation").join(test("iqr"), "of", "full_outer")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sentograph import sources
-from sentograph.operators import fusion
+from sentograph.operators import diff, fusion
 
 
 def test_exploded_gene_tables_are_cut_to_the_genes_that_occur(spark, tmp_path):
@@ -46,3 +46,12 @@ def test_recurrent_genes_count_without_lists(spark):
     assert "collect" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, counts.collect()), key=str) == [("g", 2, 2, 2, 3), (None, 2, 1, 1, 2)]
     assert sorted(map(tuple, fusion.recurrent_genes(rows).collect()), key=str) == [("g", 2, 2, 2, [3, 3, 5]), (None, 2, 1, 1, [1, 2])]
+
+
+def test_trials_that_are_all_alike_do_not_differ(spark):
+    """As in the SQL of separation_fpr, whose trials all separate alike on larger tables: p is 1, and a rate is no null."""
+    rows = [(of, kind, t, -1.0 if of == 0 else 0.1 * t, 0.5 * t) for of in (0, 1) for kind in ("random", "subsample") for t in range(6)]
+    found = diff.stability_tests(spark.createDataFrame(rows, "of int, kind string, trial int, separation double, iqr double"))
+    by = {r["of"]: r for r in found.collect()}
+    assert by[0]["separation_p"] == 1.0 and by[1]["separation_p"] == by[0]["iqr_p"]
+    assert diff.check_rates(found.where("of = 0"), found.where("of = 1")).collect() == [(1.0, 1.0)]
