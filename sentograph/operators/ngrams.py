@@ -57,14 +57,17 @@ def instances(corpus: DataFrame, longest: int) -> DataFrame:
 
 
 def postings(corpus: DataFrame, longest: int, seeds: list[str] | None = None, mode: str = "complete") -> DataFrame:
-    """Distinct (id, ngram, n, tokens). Windows are made distinct within a sequence before the shuffle."""
-    own = windows(F.col("tokens"), longest) if seeds is None else seeded_windows(F.col("tokens"), seeds, longest, mode)
-    return named(corpus.select("id", F.explode(F.array_distinct(own)).alias("tokens")).distinct())
+    """Distinct (id, ngram, n, tokens). Sequences of an id are put together, and their windows made distinct there: no task holds the windows of many."""
+    own = lambda s: windows(s, longest) if seeds is None else seeded_windows(s, seeds, longest, mode)
+    whole = corpus.groupBy("id").agg(F.collect_set("tokens").alias("sequences"))
+    return named(whole.select("id", F.explode(F.array_distinct(F.flatten(F.transform("sequences", own)))).alias("tokens")))
 
 
 def support(posted: DataFrame, least: int = 1) -> DataFrame:
     """(ngram, n, tokens, support) of n-grams with at least so many entities."""
-    counted = posted.groupBy("ngram").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("support"))
+    # Counted by hash first: a first array is no value for a hash map, and all postings would be sorted for it.
+    each = posted.groupBy("ngram", "n", "tokens").agg(F.count(F.lit(1)).alias("c"))
+    counted = each.groupBy("ngram").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.sum("c").alias("support"))
     return counted if least <= 1 else counted.where(F.col("support") >= least)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sentograph import sources
-from sentograph.operators import diff, fusion
+from sentograph.operators import diff, fusion, ngrams
 
 
 def test_exploded_gene_tables_are_cut_to_the_genes_that_occur(spark, tmp_path):
@@ -55,3 +55,18 @@ def test_trials_that_are_all_alike_do_not_differ(spark):
     by = {r["of"]: r for r in found.collect()}
     assert by[0]["separation_p"] == 1.0 and by[1]["separation_p"] == by[0]["iqr_p"]
     assert diff.check_rates(found.where("of = 0"), found.where("of = 1")).collect() == [(1.0, 1.0)]
+
+
+def test_postings_hold_no_windows_and_support_sorts_none(spark):
+    """Windows are exploded after sequences of an id are put together, ids that repeat or are null included; support is counted by hash."""
+    rows = [(1, ["a", "b", "a"]), (1, ["a", "b"]), (None, ["a", "b"]), (None, ["b", "c"]), (2, []), (3, None)]
+    posted = ngrams.postings(spark.createDataFrame(rows, "id long, tokens array<string>"), 2)
+    plan = posted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+    got = [(r["id"], tuple(r["tokens"])) for r in posted.collect()]
+    want = {(i, tuple(t[a : a + k])) for i, t in rows if t for a in range(len(t)) for k in (1, 2) if a + k <= len(t)}
+    assert len(got) == len(set(got)) and set(got) == want
+    known = ngrams.support(posted)
+    steps = known._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("Aggregate") == 3
+    assert {r["ngram"]: r["support"] for r in known.collect()} == {"a": 2, "b": 2, "a|b": 2, "b|a": 1, "c": 1, "b|c": 1}
