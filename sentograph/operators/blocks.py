@@ -3,12 +3,13 @@
 A spanning forest comes from contracting the graph over least edges. Its Euler tours are ranked by pointer jumping, which gives each node its place in preorder and
 the size of its subtree, so a subtree is a range. What each range reaches over other edges is the least and greatest of a range, from tables of
 doubled widths. Two tree edges are in one block if an edge closes a cycle over both; blocks are the components of that relation. Rounds grow with
-the logarithm of the nodes, whatever the shape; no task holds a component.
+the logarithm of the nodes, whatever the shape; no task holds a component. Nodes that hang on a single other one are taken off before all that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,10 +105,36 @@ def reaches(nodes: DataFrame, store: Store = cut) -> DataFrame:
     return out if out is not None else nodes.select("pre", F.col("lo").alias("low"), F.col("hi").alias("high"))
 
 
+def leaves_off(edges: DataFrame, store: Store = cut) -> tuple[list[DataFrame], DataFrame]:
+    """((node, block, top) tables of nodes with a single neighbour, a block below 0 each, and the edges (src, dst) that are left).
+
+    Without them others may be left with a single neighbour; rounds go on while one takes a fifth of the edges, so they grow with the logarithm of those."""
+    rest, off = edges.select("src", "dst").where("src <> dst"), []
+    while True:
+        alone = rest.union(rest.select("dst", "src")).groupBy(F.col("src").alias("leaf")).agg(F.min("dst").alias("top"), F.max("dst").alias("most")).where("top = most")
+        # Of two that have only one another, the smaller stays.
+        once = alone.groupBy(F.least("leaf", "top").alias("a"), F.greatest("leaf", "top").alias("b")).agg(F.max("leaf").alias("node"))
+        number = -1 - len(off) - 64 * F.monotonically_increasing_id()
+        gone = store(once.select("node", number.alias("block"), F.when(F.col("node") == F.col("b"), F.col("a")).otherwise(F.col("b")).alias("top")))
+        ends = gone.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b"))
+        rest = store(rest.join(ends, (F.least("src", "dst") == F.col("a")) & (F.greatest("src", "dst") == F.col("b")), "left_anti"))
+        off.append(gone)
+        left = rest.count()
+        if not left or gone.count() * 4 < left or len(off) == 64:
+            return off, rest
+
+
 def block_tree(edges: DataFrame, store: Store = cut) -> DataFrame:
     """(node, block, top) of every node that isn't a root: the block over it, a number, and that block's node next to the root.
 
     So a block has its top and the nodes that name it; every edge (src, dst) is in one block, and the blocks of a component are a tree."""
+    off, rest = leaves_off(edges, store)
+    hanging = reduce(DataFrame.union, off)
+    return hanging if rest.isEmpty() else store(hanging.union(_core_tree(rest, store)))
+
+
+def _core_tree(edges: DataFrame, store: Store) -> DataFrame:
+    """The rows of ``block_tree`` by a spanning forest."""
     number, pairs = _numbered(edges, store)
     tree, home = spanning_forest(pairs, store)
     nodes = preorder(tree, home, store)
@@ -127,7 +154,7 @@ def block_tree(edges: DataFrame, store: Store = cut) -> DataFrame:
     tops = own.where("pre = block").select(F.col("block").alias("b"), F.col("parent").alias("t"))
     name = lambda n: number.select(F.col("node").alias(n), F.col("v").alias(f"v_{n}"))
     found = own.join(tops, F.col("block") == F.col("b")).join(name("node"), F.col("v") == F.col("v_node")).join(name("top"), F.col("t") == F.col("v_top"))
-    return store(found.select("node", "block", "top"))
+    return found.select("node", F.col("block").cast("long").alias("block"), "top")
 
 
 def memberships(tree: DataFrame) -> DataFrame:

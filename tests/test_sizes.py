@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sentograph import sources
-from sentograph.operators import diff, fusion, ngrams
+from sentograph.operators import blocks, diff, fusion, graph, ngrams
 
 
 def test_exploded_gene_tables_are_cut_to_the_genes_that_occur(spark, tmp_path):
@@ -70,3 +70,33 @@ def test_postings_hold_no_windows_and_support_sorts_none(spark):
     steps = known._jdf.queryExecution().optimizedPlan().toString()
     assert steps.count("Aggregate") == 3
     assert {r["ngram"]: r["support"] for r in known.collect()} == {"a": 2, "b": 2, "a|b": 2, "b|a": 1, "c": 1, "b|c": 1}
+
+
+def test_leaves_are_no_part_of_the_spanning_forest(spark):
+    """Stars, a pair, a path and a cycle with tails, edges both ways and repeated: what hangs on one node goes before the forest is made. Against removal of each node."""
+    made = []
+
+    def store(rows):
+        made.append(graph.cut(rows))
+        return made[-1]
+
+    def parts(edges, nodes):
+        home = {n: n for n in nodes}
+        for _ in nodes:
+            for a, b in edges:
+                if a in home and b in home:
+                    home[a] = home[b] = min(home[a], home[b])
+        return len(set(home.values()))
+
+    stars = [(f"c{k % 5}", f"o{k}") for k in range(40)]
+    points = blocks.articulation_points(blocks.block_tree(spark.createDataFrame(stars, "src string, dst string"), store))
+    assert {r[0] for r in points.collect()} == {f"c{k}" for k in range(5)}
+    assert len(made) == 2
+    shapes = stars + [("x", "y"), ("y", "x"), ("x", "x")] + [(f"p{k:02}", f"p{k + 1:02}") for k in range(12)] + [(f"r{k}", f"r{(k + 1) % 4}") for k in range(4)] * 2 + [("r0", "t0"), ("t0", "t1"), ("r2", "c0")]
+    tree = blocks.block_tree(spark.createDataFrame(shapes, "src string, dst string"))
+    nodes = {n for e in shapes for n in e}
+    whole = parts(shapes, nodes)
+    assert {r[0] for r in blocks.articulation_points(tree).collect()} == {n for n in nodes if parts(shapes, nodes - {n}) > whole}
+    rows = tree.collect()
+    assert len({r["node"] for r in rows}) == len(rows) == len(nodes) - whole
+    assert len({r["block"] for r in rows}) == len([e for e in {frozenset(e) for e in shapes} if len(e) == 2]) - 3
