@@ -56,17 +56,52 @@ def instances(corpus: DataFrame, longest: int) -> DataFrame:
     return named(corpus.select("id", F.explode(windows(F.col("tokens"), longest)).alias("tokens")))
 
 
-def postings(corpus: DataFrame, longest: int, seeds: list[str] | None = None, mode: str = "complete") -> DataFrame:
-    """Distinct (id, ngram, n, tokens). Sequences of an id are put together, and their windows made distinct there: no task holds the windows of many."""
+def postings(corpus: DataFrame, longest: int, seeds: list[str] | None = None, mode: str = "complete", together: bool = False) -> DataFrame:
+    """Distinct (id, ngram, n, tokens). Sequences of an id are put together, and their windows made distinct there: no task holds the windows of many.
+
+    together: ids of equal sequences are one, as in ``alike``, with their number in entities, which ``support`` and ``collapse`` count."""
     own = lambda s: windows(s, longest) if seeds is None else seeded_windows(s, seeds, longest, mode)
-    whole = corpus.groupBy("id").agg(F.collect_set("tokens").alias("sequences"))
-    return named(whole.select("id", F.explode(F.array_distinct(F.flatten(F.transform("sequences", own)))).alias("tokens")))
+    whole = alike(corpus) if together else corpus.groupBy("id").agg(F.collect_set("tokens").alias("sequences"))
+    return named(whole.select(*[c for c in whole.columns if c != "sequences"], F.explode(F.array_distinct(F.flatten(F.transform("sequences", own)))).alias("tokens")))
+
+
+def _entities(posted: DataFrame) -> Column:
+    return F.sum("entities") if "entities" in posted.columns else F.count(F.lit(1))
+
+
+def gathered(corpus: DataFrame) -> DataFrame:
+    """(id, sequences): the distinct sequences of each id, in one order."""
+    return corpus.groupBy("id").agg(F.sort_array(F.collect_set("tokens")).alias("sequences"))
+
+
+def alike(corpus: DataFrame) -> DataFrame:
+    """(id, sequences, entities): ids of equal sequences as one, the smallest, with their number. So windows are made once for all of them."""
+    return gathered(corpus).groupBy("sequences").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("entities")).select("id", "sequences", "entities")
+
+
+def names(sequences: Column, longest: int) -> Column:
+    """The distinct n-grams, bar-joined, of the windows of an array of sequences."""
+    return F.array_distinct(F.flatten(F.transform(sequences, lambda s: F.transform(windows(s, longest), lambda w: F.array_join(w, BAR)))))
+
+
+def supported(corpus: DataFrame, longest: int, least: int = 1) -> DataFrame:
+    """``support`` of the ``postings`` of a corpus, without making those: sequences that ids share are looked at once, and n-grams are counted by name.
+
+    Tokens go along only for sequences whose tokens the name does not give back."""
+    odd = F.exists(F.flatten("sequences"), lambda x: x.isNull() | x.contains(BAR))
+    none = F.lit(None).cast("array<string>")
+    plain = F.transform(names(F.col("sequences"), longest), lambda g: F.struct(g.alias("ngram"), none.alias("own")))
+    whole = F.transform(F.array_distinct(F.flatten(F.transform("sequences", lambda s: windows(s, longest)))), lambda w: F.struct(F.array_join(w, BAR).alias("ngram"), w.alias("own")))
+    each = alike(corpus).select("entities", F.explode(F.when(odd, whole).otherwise(plain)).alias("w")).groupBy("w.ngram", "w.own").agg(F.sum("entities").alias("c"))
+    counted = each.groupBy("ngram").agg(F.first("own", True).alias("own"), F.sum("c").alias("support")).withColumn("tokens", F.coalesce("own", F.split("ngram", r"\|", -1)))
+    found = counted.select("ngram", F.size("tokens").cast("long").alias("n"), "tokens", "support")
+    return found if least <= 1 else found.where(F.col("support") >= least)
 
 
 def support(posted: DataFrame, least: int = 1) -> DataFrame:
     """(ngram, n, tokens, support) of n-grams with at least so many entities."""
     # Counted by hash first: a first array is no value for a hash map, and all postings would be sorted for it.
-    each = posted.groupBy("ngram", "n", "tokens").agg(F.count(F.lit(1)).alias("c"))
+    each = posted.groupBy("ngram", "n", "tokens").agg(_entities(posted).alias("c"))
     counted = each.groupBy("ngram").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.sum("c").alias("support"))
     return counted if least <= 1 else counted.where(F.col("support") >= least)
 
@@ -108,9 +143,10 @@ def collapse(posted: DataFrame, longest_kept: int | None = None) -> tuple[DataFr
     supported = support(posted)
     # What an entity has is put together once, and the pairs that it holds are counted before they are shuffled.
     mine = posted.groupBy("id").agg(F.collect_set("ngram").alias("mine"))
-    longer = posted.where("n > 1").select("id", "ngram", F.array_distinct(F.filter(_all(F.col("tokens")), lambda w: F.size(w) < F.col("n"))).alias("subs"))
-    held = longer.join(mine, "id").select("ngram", F.explode(F.array_intersect(F.transform("subs", lambda w: F.array_join(w, BAR)), "mine")).alias("sub"))
-    shared = held.groupBy("sub", "ngram").agg(F.count(F.lit(1)).alias("both"))
+    many = [c for c in posted.columns if c == "entities"]
+    longer = posted.where("n > 1").select("id", "ngram", *many, F.array_distinct(F.filter(_all(F.col("tokens")), lambda w: F.size(w) < F.col("n"))).alias("subs"))
+    held = longer.join(mine, "id").select("ngram", *many, F.explode(F.array_intersect(F.transform("subs", lambda w: F.array_join(w, BAR)), "mine")).alias("sub"))
+    shared = held.groupBy("sub", "ngram").agg(_entities(held).alias("both"))
     sized = shared.join(supported.select(F.col("ngram").alias("sub"), F.col("support").alias("own"), F.col("n").alias("short")), "sub").join(supported.select("ngram", F.col("n").alias("long")), "ngram")
     within = sized.where("both = own")
     gone = within.select(F.col("sub").alias("ngram")) if longest_kept is None else within.select(F.when(F.col("long") <= longest_kept, F.col("sub")).otherwise(F.col("ngram")).alias("ngram"))

@@ -40,7 +40,7 @@ def name_map_first(spark, sf):
 @query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED, "nm AS (SELECT replace(p_brand, 'Brand#', 'B') AS token, min(p_type) AS name FROM part GROUP BY 1)") + "SELECT ngram, string_agg(name, '|' ORDER BY i) AS legible FROM (SELECT ngram, unnest(string_split(ngram, '|')) AS token, unnest(range(n)) AS i FROM c) JOIN nm USING (token) GROUP BY ngram")
 def legible_ngrams(spark, sf):
     names = table(spark, sf, "part").groupBy(F.replace("p_brand", F.lit("Brand#"), F.lit("B")).alias("token")).agg(F.min("p_type").alias("name"))
-    return corpus.legible(ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 10))), names).select("ngram", "legible")
+    return corpus.legible(ngrams.closed(ngrams.supported(ob(spark, sf), 10)), names).select("ngram", "legible")
 
 
 @query(w(sql.OB) + "SELECT id, tokens[1] || ' x ' || CAST(len(tokens) AS VARCHAR) AS label FROM ob WHERE len(tokens) > 1 AND len(list_distinct(tokens)) = 1")
@@ -63,22 +63,22 @@ def ngram_windows(spark, sf):
 
 @query(w(sql.OB, sql.windows("ob", 10)) + "SELECT ngram, n, support FROM s")
 def ngram_support(spark, sf):
-    return ngrams.support(ngrams.postings(ob(spark, sf), 10)).select("ngram", "n", "support")
+    return ngrams.supported(ob(spark, sf), 10).select("ngram", "n", "support")
 
 
 @query(w(sql.OB, sql.windows("ob", 10)) + "SELECT ngram, n, support FROM s WHERE support >= 5")
 def ngram_support_filter(spark, sf):
-    return ngrams.support(ngrams.postings(ob(spark, sf), 10), 5).select("ngram", "n", "support")
+    return ngrams.supported(ob(spark, sf), 10, 5).select("ngram", "n", "support")
 
 
 @query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED) + "SELECT ngram, n, support FROM c")
 def closed_ngrams(spark, sf):
-    return ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 10))).select("ngram", "n", "support")
+    return ngrams.closed(ngrams.supported(ob(spark, sf), 10)).select("ngram", "n", "support")
 
 
 @query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED) + "SELECT ngram, n, support FROM s WHERE ngram NOT IN (SELECT ngram FROM c)")
 def collapsed_ngrams(spark, sf):
-    return ngrams.collapsed(ngrams.support(ngrams.postings(ob(spark, sf), 10))).select("ngram", "n", "support")
+    return ngrams.collapsed(ngrams.supported(ob(spark, sf), 10)).select("ngram", "n", "support")
 
 
 SEEDED = "sd AS (SELECT id, ngram, n FROM p WHERE list_has_any(string_split(ngram, '|'), ['B11', 'B25', 'B43']))"
@@ -101,7 +101,7 @@ def seeded_collapse(spark, sf):
 
 @query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED, sql.EDGES) + "SELECT src, dst, weight FROM e")
 def containment_edges(spark, sf):
-    return ngrams.containment_edges(ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 10))))
+    return ngrams.containment_edges(ngrams.closed(ngrams.supported(ob(spark, sf), 10)))
 
 
 @query(w(*EVG) + 'SELECT ngram AS "row", ngram AS col, support AS value FROM c UNION ALL SELECT src, dst, weight FROM e')
@@ -118,13 +118,13 @@ def adjacency_pivot(spark, sf):
 
 @query(w(sql.OB, sql.windows("ob", 10), sql.CLOSED, "l AS (SELECT n, count(*) AS cnt FROM c GROUP BY n)") + "SELECT min(n) AS n FROM (SELECT n, sum(cnt) OVER (ORDER BY n) / sum(cnt) OVER () AS upto FROM l) WHERE upto > 0.8")
 def ngram_cutoff(spark, sf):
-    kept = ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 10)))
+    kept = ngrams.closed(ngrams.supported(ob(spark, sf), 10))
     return ngrams.length_cutoff(kept.groupBy("n").agg(F.count(F.lit(1)).alias("count")))
 
 
 @query(w(sql.OB, sql.windows("ob", 6), sql.CLOSED, "h AS (SELECT ngram AS of, support, n, array_to_string(t[i:i + k - 1], '|') AS sub FROM (SELECT *, string_split(ngram, '|') AS t FROM c), unnest(range(1, n + 1)) x(i), unnest(range(1, n - i + 2)) y(k))") + "SELECT s.ngram, arg_min(h.of, (h.n, h.of)) AS standing_for, s.support FROM s JOIN h ON h.sub = s.ngram AND h.support = s.support GROUP BY s.ngram, s.support")
 def ngram_entity_count(spark, sf):
-    known = ngrams.support(ngrams.postings(ob(spark, sf), 6))
+    known = graph.cut(ngrams.supported(ob(spark, sf), 6))
     return ngrams.entity_count(ngrams.closed(known), known, known.select("ngram"))
 
 
@@ -140,7 +140,7 @@ def network_summary(spark, sf):
 
 @query(w(sql.OB, sql.windows("ob", 3), "c AS (SELECT * FROM s WHERE n = 3 OR (n = 2 AND support < 3))", sql.EDGES) + "SELECT ngram, n, support FROM c WHERE ngram NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
 def isolates(spark, sf):
-    nodes = ngrams.support(ngrams.postings(ob(spark, sf), 3)).where("n = 3 or (n = 2 and support < 3)")
+    nodes = graph.cut(ngrams.supported(ob(spark, sf), 3).where("n = 3 or (n = 2 and support < 3)"))
     return graph.isolates(nodes, ngrams.containment_edges(nodes)).select("ngram", "n", "support")
 
 
@@ -605,7 +605,7 @@ ROLES = "rl AS (SELECT replace(p_brand, 'Brand#', 'B') AS token, arg_max(p_type,
 def node_roles(spark, sf):
     part = table(spark, sf, "part").groupBy(F.col("p_type").alias("role")).agg(F.collect_set(F.replace("p_brand", F.lit("Brand#"), F.lit("B"))).alias("tokens"))
     roles = labels.role_table(part.withColumn("nth", F.col("role")))
-    return labels.node_roles(ngrams.support(ngrams.postings(ob(spark, sf), 3)), roles)
+    return labels.node_roles(ngrams.supported(ob(spark, sf), 3), roles)
 
 
 @query("SELECT bucket, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) >= 3 THEN '3+' ELSE CAST(count(DISTINCT o_orderpriority) AS VARCHAR) END AS bucket FROM orders GROUP BY 1) GROUP BY bucket")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sentograph import sources
-from sentograph.operators import compare, corpus, diff, labels, ngrams, survival
+from sentograph.operators import compare, corpus, diff, graph, labels, ngrams, survival
 from sentograph.sources import workbook
 
 from . import sql
@@ -236,7 +236,7 @@ def node_sides(spark, sf):
 
 @query(w(sql.OB, sql.windows("ob", 4), sql.CLOSED, "k AS (SELECT ngram, n, support, len(list_distinct(string_split(ngram, '|'))) AS d FROM c)") + "(SELECT 'long' AS list, ngram, support FROM k WHERE n >= 2 AND (d > 2 OR n <= 3) ORDER BY support DESC, ngram LIMIT 10) UNION ALL (SELECT 'short', ngram, support FROM k WHERE n = 1 OR (d >= 2 AND n <= 3) ORDER BY support DESC, ngram LIMIT 10)")
 def mixed_tops(spark, sf):
-    long, short = labels.mixed_tops(ngrams.closed(ngrams.support(ngrams.postings(ob(spark, sf), 4))))
+    long, short = labels.mixed_tops(graph.cut(ngrams.closed(graph.cut(ngrams.supported(ob(spark, sf), 4)))))
     return long.select(F.lit("long").alias("list"), "ngram", "support").union(short.select(F.lit("short"), "ngram", "support"))
 
 

@@ -148,7 +148,7 @@ def component_fate(spark, sf):
 
 @query(w(sql.OB, sql.windows("ob", 5), sql.CLOSED, "sub2 AS (SELECT DISTINCT ngram, array_to_string(t[i:i + k - 1], '|') AS sub FROM (SELECT *, string_split(ngram, '|') AS t FROM c), unnest(range(1, n + 1)) x(i), unnest(range(1, n - i + 2)) y(k) WHERE k < n)") + "SELECT s.ngram, sub2.ngram AS stands_in FROM s JOIN sub2 ON sub2.sub = s.ngram WHERE s.ngram NOT IN (SELECT ngram FROM c)")
 def replaced_by(spark, sf):
-    known = graph.cut(ngrams.support(ngrams.postings(ob(spark, sf), 5)))
+    known = graph.cut(ngrams.supported(ob(spark, sf), 5))
     return compare.replaced_by(ngrams.collapsed(known), ngrams.closed(known))
 
 

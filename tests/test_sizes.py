@@ -100,3 +100,25 @@ def test_leaves_are_no_part_of_the_spanning_forest(spark):
     rows = tree.collect()
     assert len({r["node"] for r in rows}) == len(rows) == len(nodes) - whole
     assert len({r["block"] for r in rows}) == len([e for e in {frozenset(e) for e in shapes} if len(e) == 2]) - 3
+
+
+def _odd_corpus(spark):
+    """Ids of equal sequences, in any order of them, null and repeated ids, tokens with a bar or empty, empty and null sequences."""
+    rows = [(k, ["a", "b", "a"][: 1 + k % 3]) for k in range(30)] + [(3, ["b", "c"]), (6, ["b", "c"]), (6, ["b", "c"]), (None, ["a", "b"]), (None, ["b", "c"]), (40, []), (41, None), (42, ["x|y", "z"]), (43, ["", "b"])]
+    return spark.createDataFrame(rows, "id long, tokens array<string>")
+
+
+def test_support_looks_at_equal_sequences_once(spark):
+    """As the support of the postings; windows are made after the sequences are counted, and the keys that n-grams are counted by hold no tokens."""
+    rows = _odd_corpus(spark)
+    found = ngrams.supported(rows, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("sequences")
+    assert plan[plan.index("Generate") :].count("Aggregate") == 2  # by id, then by sequences
+    assert ngrams.alike(rows).where("size(sequences) = 1").agg(F.max("entities")).first()[0] >= 9
+    as_set = lambda df: sorted((r["ngram"], r["n"], r["tokens"], r["support"]) for r in df.collect())
+    assert str(as_set(found)) == str(as_set(ngrams.support(ngrams.postings(rows, 2))))
+    assert str(as_set(ngrams.supported(rows, 2, 5))) == str(as_set(ngrams.support(ngrams.postings(rows, 2), 5)))
+    plain = rows.where("id < 40")
+    for part, same in zip(ngrams.collapse(ngrams.postings(plain, 3, ["a"], together=True)), ngrams.collapse(ngrams.postings(plain, 3, ["a"]))):
+        assert as_set(part) == as_set(same)
\ No newline at end of file
