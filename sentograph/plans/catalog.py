@@ -485,11 +485,11 @@ FUSED = (sql.OB, sql.windows("ob", 3), "f AS (SELECT a.id, list_concat(a.tokens[
 
 @query(w(*FUSED) + r"SELECT id, ngram, 'new' AS kind FROM mi m WHERE NOT EXISTS (SELECT 1 FROM mi l WHERE l.id = m.id AND l.n = m.n + 1 AND (regexp_replace(l.ngram, '\|[^|]*$', '') = m.ngram OR regexp_replace(l.ngram, '^[^|]*\|', '') = m.ngram))")
 def fusion_new_ngrams(spark, sf):
-    own = ob(spark, sf)
-    known = ngrams.support(ngrams.postings(own, 3))
+    own = graph.cut(ob(spark, sf))
+    known = graph.cut(ngrams.supported(own, 3))
     after = own.select((F.col("id") - 1).alias("id"), F.col("tokens").alias("tail"))
     fused = own.join(after, "id").select("id", F.concat(F.slice("tokens", 1, 2), F.slice("tail", 2, 2**30)).alias("tokens"))
-    return fusion.new_ngrams(fused, known, known, 3).select("id", "ngram", "kind")
+    return fusion.new_ngrams_of_all(fused, known, known, 3).select("id", "ngram", "kind")
 
 
 @query(w("k AS (SELECT p_brand AS ngram, count(*) FILTER (WHERE l_linenumber = 1) AS f, count(*) FILTER (WHERE l_linenumber = 3) AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)", "n AS (SELECT ngram, nullif(f, 0) AS five, nullif(t, 0) AS three FROM k)", "r AS (SELECT *, CASE WHEN five IS NULL THEN count(*) OVER () ELSE rank() OVER (PARTITION BY five IS NULL ORDER BY five DESC) END AS rank_five, CASE WHEN three IS NULL THEN count(*) OVER () ELSE rank() OVER (PARTITION BY three IS NULL ORDER BY three DESC) END AS rank_three FROM n)", "m AS (SELECT *, (rank_five + rank_three) / 2 AS mean_rank, coalesce(five, 0) * coalesce(three, 0) AS score FROM r)") + "SELECT ngram, five, three, rank_five, rank_three, mean_rank, rank() OVER (ORDER BY mean_rank) AS rank_mean, score, rank() OVER (ORDER BY score DESC) AS rank_score FROM m")

@@ -121,4 +121,12 @@ def test_support_looks_at_equal_sequences_once(spark):
     assert str(as_set(ngrams.supported(rows, 2, 5))) == str(as_set(ngrams.support(ngrams.postings(rows, 2), 5)))
     plain = rows.where("id < 40")
     for part, same in zip(ngrams.collapse(ngrams.postings(plain, 3, ["a"], together=True)), ngrams.collapse(ngrams.postings(plain, 3, ["a"]))):
-        assert as_set(part) == as_set(same)
\ No newline at end of file
+        assert as_set(part) == as_set(same)
+
+
+def test_new_ngrams_of_equal_sequences_are_found_once(spark):
+    rows = spark.createDataFrame([(k, [["a", "b", "c"], ["a", "x"], ["a", "b"]][k % 3]) for k in range(12)] + [(1, ["b", "b"])], "id long, tokens array<string>")
+    nodes = ngrams.supported(spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "id long, tokens array<string>"), 3)
+    found = fusion.new_ngrams_of_all(rows, nodes, nodes, 3)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, found.collect())) == sorted(map(str, fusion.new_ngrams(rows, nodes, nodes, 3).collect()))
