@@ -84,6 +84,12 @@ def bipartite(posted: DataFrame, sets: DataFrame) -> DataFrame:
     return posted.join(sets, "id").groupBy("ngram", "set").agg(F.count_distinct("id").alias("shared"))
 
 
+def bipartite_of(corpus: DataFrame, longest: int, sets: DataFrame) -> DataFrame:
+    """``bipartite`` of a corpus' n-grams of up to ``longest`` tokens: entities of equal sequences are counted in each set before windows are made."""
+    alike = ngrams.gathered(corpus).join(sets.select("id", "set").distinct(), "id").groupBy("sequences", "set").agg(F.count(F.lit(1)).alias("c"))
+    return alike.select("set", "c", F.explode(ngrams.names(F.col("sequences"), longest)).alias("ngram")).groupBy("ngram", "set").agg(F.sum("c").alias("shared"))
+
+
 def running_enrichment(ranked: DataFrame, sets: DataFrame, smallest: int = 15, largest: int = 500) -> DataFrame:
     """(set, size, score): the running-sum statistic of pre-ranked genes (gene, stat) for sets (set, gene) of a size in the limits.
 

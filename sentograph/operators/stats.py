@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import order
 from .corpus import BAR
+from .ngrams import gathered, names
 
 
 #: Computed p-values that differ by this share are the same: their last digits depend on the order of additions.
@@ -149,6 +150,15 @@ def enrichment(posted: DataFrame, ngrams: DataFrame, foreground: DataFrame, back
     return hypergeometric_tail(counts.crossJoin(F.broadcast(sizes)), "k", "n", "m", "total")
 
 
+def enrichment_of(corpus: DataFrame, longest: int, foreground: DataFrame) -> DataFrame:
+    """``enrichment`` of a corpus' n-grams of up to ``longest`` tokens against all its ids: those of equal sequences are counted before windows are made."""
+    whole = gathered(corpus.where("id is not null")).join(foreground.select("id").distinct().withColumn("fg", F.lit(1)), "id", "left")
+    alike = whole.groupBy("sequences").agg(F.count("fg").alias("k"), F.count(F.lit(1)).alias("n"))
+    counts = alike.select("k", "n", F.explode(names(F.col("sequences"), longest)).alias("ngram")).groupBy("ngram").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    sizes = alike.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("k"), F.lit(0)).alias("m"))
+    return hypergeometric_tail(counts.crossJoin(F.broadcast(sizes)), "k", "n", "m", "total")
+
+
 def false_positive_rate(actual: DataFrame, null: DataFrame, by: list[str], strict: bool = False) -> DataFrame:
     """(by..., p, fpr): share of the null p-values up to (strict: below) the actual one, among the null rows of the group; 0 without any."""
     other = null.select(*by, F.col("p").alias("null_p"))

@@ -310,10 +310,8 @@ HYPER = "lf AS (SELECT x, sum(CASE WHEN x > 1 THEN ln(x) ELSE 0 END) OVER (ORDER
 
 @query(w(sql.OB, sql.windows("ob", 2), HYPER) + "SELECT ngram, k, n, m, total, CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE round(least(1, p), 6) END AS p FROM cc, tot JOIN tail USING (k, n, m, total)".replace("FROM cc, tot JOIN", "FROM (SELECT * FROM cc, tot) JOIN"))
 def hypergeom_enrichment(spark, sf):
-    own = ob(spark, sf)
-    posted = ngrams.postings(own, 2)
     urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
-    return stats.enrichment(posted, posted.select("ngram").distinct(), urgent, own.select("id")).withColumn("p", F.round("p", 6))
+    return stats.enrichment_of(ob(spark, sf), 2, urgent).withColumn("p", F.round("p", 6))
 
 
 #: Brands and priorities: how many orders of a priority have a brand, of how many of either; and the same for priorities dealt out at random, ten times.
@@ -640,7 +638,7 @@ def contribution_edges(spark, sf):
 @query(w(sql.OB, sql.windows("ob", 2)) + "SELECT ngram, o_orderpriority AS set, count(DISTINCT id) AS shared FROM p JOIN orders ON o_orderkey = id GROUP BY 1, 2")
 def ngram_set_graph(spark, sf):
     sets = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("set"))
-    return compare.bipartite(ngrams.postings(ob(spark, sf), 2), sets)
+    return compare.bipartite_of(ob(spark, sf), 2, sets)
 
 
 @query("WITH g AS (SELECT p_partkey AS gene, p_retailprice - 1000 AS stat, p_brand AS s FROM part), r AS (SELECT *, row_number() OVER (ORDER BY stat DESC, gene) AS r, count(*) OVER () AS n FROM g), h AS (SELECT *, count(*) OVER (PARTITION BY s) AS size, sum(abs(stat)) OVER (PARTITION BY s) AS t, sum(abs(stat)) OVER (PARTITION BY s ORDER BY r) AS u, row_number() OVER (PARTITION BY s ORDER BY r) AS k FROM r), e AS (SELECT s, any_value(size) AS size, max(u / t - (r - k) / (n - size)) AS hi, min((u - abs(stat)) / t - (r - k) / (n - size)) AS lo FROM h WHERE size BETWEEN 2 AND 500 AND t > 0 GROUP BY s) SELECT s AS set, size, round(CASE WHEN hi >= -lo THEN hi ELSE lo END, 6) AS score FROM e")

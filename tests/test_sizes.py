@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sentograph import sources
-from sentograph.operators import blocks, diff, fusion, graph, ngrams
+from sentograph.operators import blocks, compare, diff, fusion, graph, ngrams, stats
 
 
 def test_exploded_gene_tables_are_cut_to_the_genes_that_occur(spark, tmp_path):
@@ -124,6 +124,22 @@ def test_support_looks_at_equal_sequences_once(spark):
         assert as_set(part) == as_set(same)
 
 
+def test_sets_and_foregrounds_are_counted_by_sequence(spark):
+    rows = _odd_corpus(spark).where("id is not null")
+    sets = spark.createDataFrame([(k % 50, f"s{k % 4}") for k in range(80)], "id long, set string")
+    found = compare.bipartite_of(rows, 2, sets)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Aggregate" in plan[plan.index("Generate") :]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, compare.bipartite(ngrams.postings(rows, 2), sets).collect()))
+    posted = ngrams.postings(rows, 2)
+    some = sets.where("set = 's1'").select("id")
+    old = stats.enrichment(posted, posted.select("ngram").distinct(), some, rows.select("id"))
+    new = stats.enrichment_of(rows, 2, some)
+    steps = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in steps[steps.index("Generate") :]
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+
+
 def test_new_ngrams_of_equal_sequences_are_found_once(spark):
     rows = spark.createDataFrame([(k, [["a", "b", "c"], ["a", "x"], ["a", "b"]][k % 3]) for k in range(12)] + [(1, ["b", "b"])], "id long, tokens array<string>")
     nodes = ngrams.supported(spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "id long, tokens array<string>"), 3)
