@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import BAR
-from .ngrams import instances
+from .ngrams import named, windows
 from .order import with_totals
 
 
@@ -27,8 +27,10 @@ def f1(corpus: DataFrame) -> DataFrame:
 
 
 def instance_counts(corpus: DataFrame, longest: int) -> DataFrame:
-    """(ngram, n, count): all occurrences, overlaps included."""
-    return instances(corpus, longest).groupBy("ngram").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("count"))
+    """(ngram, n, count): all occurrences, overlaps included. Windows are made once for all equal sequences."""
+    alike = corpus.groupBy("tokens").agg(F.count(F.lit(1)).alias("rows"))
+    each = named(alike.select("rows", F.explode(windows(F.col("tokens"), longest)).alias("tokens")))
+    return each.groupBy("ngram").agg(F.first("n").alias("n"), F.sum("rows").alias("count"))
 
 
 def frequencies(counts: DataFrame, interest: DataFrame | None = None) -> DataFrame:

@@ -167,7 +167,7 @@ def model_sql(interest: str) -> str:
 
 def seeded_model(spark, sf):
     own = graph.cut(ob(spark, sf))
-    kept, removed = ngrams.collapse(ngrams.postings(own, 3, ["B11", "B25", "B43"]))
+    kept, removed = ngrams.collapse(graph.cut(ngrams.postings(own, 3, ["B11", "B25", "B43"], together=True)))
     return own, kept, removed
 
 

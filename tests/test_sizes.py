@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sentograph import sources
-from sentograph.operators import blocks, compare, diff, fusion, graph, ngrams, stats
+from sentograph.operators import blocks, compare, diff, entropy, fusion, graph, ngrams, stats
 
 
 def test_exploded_gene_tables_are_cut_to_the_genes_that_occur(spark, tmp_path):
@@ -124,6 +124,16 @@ def test_support_looks_at_equal_sequences_once(spark):
         assert as_set(part) == as_set(same)
 
 
+def test_instances_are_counted_by_sequence(spark):
+    """All occurrences, of repeated rows too, with windows made once for equal sequences."""
+    rows = _odd_corpus(spark)
+    found = entropy.instance_counts(rows, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate") :]
+    want = ngrams.instances(rows, 3).groupBy("ngram").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("count"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_sets_and_foregrounds_are_counted_by_sequence(spark):
     rows = _odd_corpus(spark).where("id is not null")
     sets = spark.createDataFrame([(k % 50, f"s{k % 4}") for k in range(80)], "id long, set string")
