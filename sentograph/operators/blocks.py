@@ -4,13 +4,18 @@ A spanning forest comes from contracting the graph over least edges. Its Euler t
 the size of its subtree, so a subtree is a range. What each range reaches over other edges is the least and greatest of a range, from tables of
 doubled widths. Two tree edges are in one block if an edge closes a cycle over both; blocks are the components of that relation. Rounds grow with
 the logarithm of the nodes, whatever the shape; no task holds a component. Nodes that hang on a single other one are taken off before all that.
+
+Of many small graphs, keyed by group, each is searched in a task as its rows pass (``cut_down``, ``count_points``); the caller leaves groups of more than ``SMALL`` rows to the joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from heapq import heapify, heappop, heappush
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +24,11 @@ from .graph import connected_components, cut
 
 Store = Callable[[DataFrame], DataFrame]
 
+#: Rows of a group that a task may hold.
+SMALL = 10_000
+#: Rows of an Arrow batch.
+BATCH = 10_000
+
 
 def _numbered(edges: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """((node, v) with numbers from 0, and the pairs (u, v) with u < v)."""
@@ -201,3 +211,111 @@ def between(ends: DataFrame, places: DataFrame, store: Store = cut) -> tuple[Dat
         front = store(both.where("deepest is null or depth < deepest").select("key", "x", "depth").union(reached).distinct())
         seen = seen.union(reached.select("key", "x"))
     return (store(links) if links is not None else seen.select("key", "x", F.col("x").alias("up")).limit(0)), store(seen.distinct())
+
+
+def small_tree(edges: Iterable[tuple]) -> list[tuple]:
+    """The rows of ``block_tree`` for a graph that a task holds, by depth-first search."""
+    near: dict = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    at, low, out, block = {}, {}, [], 0
+    for root in near:
+        if root in at:
+            continue
+        at[root] = low[root] = len(at)
+        path, walk = [], [(root, None, iter(near[root]))]
+        while walk:
+            node, up, ways = walk[-1]
+            for x in ways:
+                if x not in at:
+                    at[x] = low[x] = len(at)
+                    path.append(x)
+                    walk.append((x, node, iter(near[x])))
+                    break
+                if x != up and at[x] < low[node]:
+                    low[node] = at[x]
+            else:
+                walk.pop()
+                if up is None:
+                    continue
+                low[up] = min(low[up], low[node])
+                if low[node] >= at[up]:  # what the search has found since node is a block with up
+                    while not out or out[-1][:2] != (node, block):
+                        out.append((path.pop(), block, up))
+                    block += 1
+    return out
+
+
+def _counts(tree: list[tuple]) -> dict:
+    """{node: number of its blocks}."""
+    of: dict = {}
+    for node in [node for node, _, _ in tree] + [top for top, _ in {(top, block) for _, block, top in tree}]:
+        of[node] = of.get(node, 0) + 1
+    return of
+
+
+def _by_group(rows: DataFrame, of: Callable[[object, Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """What ``of`` makes of the rows of each value of the first column, one group at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        found = (x for key, own in groupby(every, lambda r: r[0]) for x in of(key, own))
+        while some := list(islice(found, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), to)], schema=to)
+
+    return rows.repartition(F.col(rows.columns[0])).sortWithinPartitions(rows.columns[0]).mapInArrow(run, schema)
+
+
+def cut_down(rows: DataFrame) -> DataFrame:
+    """(id, src, dst, was): for each id the links of the tree of blocks between its ends, with a leaf where more hangs on a node, and in a row without src how many of its points lie there.
+
+    rows: (component, id, a, b) of small components: an edge a, b, or an end a of the id where b is null. Nodes are "node:...", blocks "block:...", leaves "more:..."."""
+
+    def of(component, own):
+        edges, ends = set(), {}
+        for _, id_, a, b in own:
+            if b is None:
+                ends.setdefault(id_, set()).add(a)
+            else:
+                edges.add((a, b))
+        tree = small_tree(edges)
+        number, up, depth = _counts(tree), {}, {}
+        # A search gives the blocks under a node before that one's own.
+        for node, block, top in reversed(tree):
+            up[node], up[(block,)] = (block,), top
+            depth[(block,)] = depth.setdefault(top, 0) + 1
+            depth[node] = depth[(block,)] + 1
+        name = lambda x: f"block:{component}:{x[0]}" if isinstance(x, tuple) else f"node:{x}"
+        for id_, nodes in ends.items():
+            front, kept = {x for x in nodes if x in number}, dict.fromkeys((x for x in nodes if x in number), 0)
+            heap = [(-depth[x], isinstance(x, tuple), x) for x in front]
+            heapify(heap)
+            while len(front) > 1:
+                x = heappop(heap)[2]
+                front.remove(x)
+                above = up[x]
+                yield id_, name(x), name(above), None
+                kept[x], kept[above] = kept.get(x, 0) + 1, kept.get(above, 0) + 1
+                if above not in front:
+                    front.add(above)
+                    heappush(heap, (-depth[above], isinstance(above, tuple), above))
+            on = [(x, n) for x, n in kept.items() if not isinstance(x, tuple)]
+            yield from ((id_, f"node:{x}", f"more:node:{x}", None) for x, n in on if number[x] > n)
+            yield id_, None, None, sum(number[x] > 1 for x, _ in on)
+
+    return _by_group(rows.select("component", "id", "a", "b"), of, f"id {rows.schema['id'].dataType.simpleString()}, src string, dst string, was long")
+
+
+def count_points(rows: DataFrame) -> DataFrame:
+    """(id, now): the articulation points of each id's small graph (id, src, dst), without those that are "block:..."."""
+
+    def of(id_, own):
+        yield id_, sum(n > 1 and not x.startswith("block:") for x, n in _counts(small_tree(r[1:] for r in own)).items())
+
+    return _by_group(rows.select("id", "src", "dst"), of, f"id {rows.schema['id'].dataType.simpleString()}, now long")

@@ -156,3 +156,36 @@ def test_new_ngrams_of_equal_sequences_are_found_once(spark):
     found = fusion.new_ngrams_of_all(rows, nodes, nodes, 3)
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, found.collect())) == sorted(map(str, fusion.new_ngrams(rows, nodes, nodes, 3).collect()))
+
+
+def test_small_graphs_are_searched_where_their_rows_meet(spark, monkeypatch):
+    """Changes in articulation points of many sequences over small components, without a spanning forest; the larger ones by joins. Against removal of each node."""
+    import random
+
+    dice = random.Random(5)
+    old = [(f"{c}:{a}", f"{c}:{b}") for c in range(8) for a, b in {tuple(sorted(dice.sample(range(4 + 2 * c), 2))) for _ in range(5 + 2 * c)}]
+    nodes = sorted({n for e in old for n in e} | {"alone"})
+
+    def parts(edges, own):
+        home = {n: n for n in own}
+        for _ in own:
+            for a, b in edges:
+                if a in home and b in home:
+                    home[a] = home[b] = min(home[a], home[b])
+        return home
+
+    def points(edges):
+        own = {n for e in edges for n in e}
+        whole = len(set(parts(edges, own).values()))
+        return {n for n in own if len(set(parts(edges, own - {n}).values())) > whole}
+
+    linked = sorted({(i, f"t{i}.{dice.randrange(2)}", dice.choice(nodes), False) for i in range(25) for _ in range(dice.randrange(1, 5))} | {(i, f"t{i}.0", f"t{i}.1", True) for i in range(0, 25, 3)})
+    before = len(points(old))
+    want = {i: before - len(points(old + [(t, n) for k, t, n, _ in linked if k == i])) for i in {r[0] for r in linked}}
+    rows = spark.createDataFrame(linked, "id long, top string, node string, own boolean")
+    component = spark.createDataFrame(list(parts(old, nodes).items()), "node string, component string")
+    edges = spark.createDataFrame(old, "src string, dst string")
+    assert {r["id"]: r["d_articulation"] for r in fusion.articulation_change(rows, component, edges, 12).collect()} == want
+    monkeypatch.setattr(blocks, "block_tree", None)
+    assert {r["id"]: r["d_articulation"] for r in fusion.articulation_change(rows, component, edges).collect()} == want
+    assert len(set(want.values())) > 2
