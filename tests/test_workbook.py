@@ -80,3 +80,21 @@ def test_round_trip(spark, tmp_path):
     assert back.dtypes == frame.dtypes and sorted(tuple(r) for r in back.collect() if r["t"]) == sorted(r for r in rows if r[2]) and back.where(F.col("t").isNull()).count() == 9
     with pytest.raises(ValueError):
         workbook.write_workbooks(frame, str(tmp_path / "out"), workbook.MOST_ROWS)
+
+
+def test_rows_are_read_and_written_without_an_object_a_cell(monkeypatch):
+    """A sheet makes no tree of its cells, and equal texts and times are made once; formulas, comments, phonetic runs, gaps and empty values as before."""
+    import pyarrow as pa
+
+    inline = "<c t='inlineStr'><is><r><t>a</t></r><rPh><t>no</t></rPh><r><t> b</t></r></is></c>"
+    rows = HEAD + f"<row>{inline}<c r='C2'><f>1+1</f><v>2<!-- x --></v></c><c t='str'><v/></c></row><row><c t='str'><v><![CDATA[<&>]]></v></c><c t='inlineStr'><is/></c><c><v>-12</v></c><c/></row>"
+    monkeypatch.setattr(workbook.ElementTree, "iterparse", None)
+    found = workbook.Book(book({"s": rows}, STRINGS, STYLES)).rows(None)
+    assert list(found) == [["name", "when", "n", "ok"], ["a b", None, 2, None], ["<&>", "", -12, None]]
+    values = [None, "x&y", "x&y", "z"] * 50
+    stamps = [None, datetime.datetime(2020, 1, 1)] * 100
+    want = [workbook._line(map(workbook._cell, r)) for r in zip(values, stamps)]
+    made, one = [], workbook._cell
+    monkeypatch.setattr(workbook, "_cell", lambda x: made.append(x) or one(x))
+    assert [workbook._line(r) for r in zip(workbook._cells(pa.array(values)), workbook._cells(pa.array(stamps)))] == want
+    assert len(made) == 5
