@@ -49,8 +49,7 @@ class NgramNetwork:
     @cached_property
     def _steps(self) -> dict[str, DataFrame]:
         o = self.options
-        found = ngrams.analysis(self.corpus, o.longest, o.least, list(o.seeds) if o.seeds else None, o.mode, o.concat)
-        return {k: graph.cut(v) for k, v in found.items()}
+        return ngrams.analysis(self.corpus, o.longest, o.least, list(o.seeds) if o.seeds else None, o.mode, o.concat, graph.cut)
 
     def release(self) -> None:
         """Forgets all that was computed; Spark's cleaner removes checkpoints that nothing refers to, if it is set to."""
@@ -134,8 +133,11 @@ class Differential:
 
     def ngrams(self, contrast: str, alpha: float = 0.05, fold: float = 1.0, side: str = "up") -> DataFrame:
         """(ngram, ...) of a side, collapsed on the side's own entities."""
-        own = self.sets(contrast, alpha, fold).where(F.col("set") == side.lower())
-        return diff.set_ngrams(self.network.postings, self.network.nodes, own)
+        return self._ngrams(self.sets(contrast, alpha, fold), side)
+
+    def _ngrams(self, sets: DataFrame, side: str) -> DataFrame:
+        options = self.network.options
+        return diff.set_ngrams(self.network.postings, self.network.nodes, sets.where(F.col("set") == side.lower()), not options.seeds or options.mode == "complete")
 
     def separation(self, contrast: str, alpha: float = 0.05, fold: float = 1.0, penalty: float | None = None) -> DataFrame:
         """(set, separation) of the up and down n-grams; no row if a side is empty."""
@@ -148,12 +150,12 @@ class Differential:
 
     def summary(self, contrast: str, alpha: float = 0.05, fold: float = 1.0, detailed: bool = False) -> DataFrame:
         """(metric, value) as text: the contrast, the thresholds and the sizes of both sides; detailed: also those of their n-grams and of what they share."""
-        sets = self.sets(contrast, alpha, fold)
+        sets = graph.cut(self.sets(contrast, alpha, fold))
         count = lambda df: df.agg(F.count(F.lit(1)).cast("string").alias("value"))
         parts = [(name, sets.sparkSession.createDataFrame([(str(v),)], "value string")) for name, v in (("contrast", contrast), ("alpha", alpha), ("fold", fold))]
         parts += [(s, count(sets.where(F.col("set") == s))) for s in ("up", "down")]
         if detailed:
-            up, down = (self.ngrams(contrast, alpha, fold, s).select("ngram") for s in ("up", "down"))
+            up, down = (graph.cut(self._ngrams(sets, s).select("ngram")) for s in ("up", "down"))
             parts += [("up n-grams", count(up)), ("down n-grams", count(down)), ("common n-grams", count(up.join(down, "ngram", "left_semi")))]
         out = None
         for name, df in parts:

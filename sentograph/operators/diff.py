@@ -24,10 +24,16 @@ def with_entity_ids(contrasts: DataFrame, mapping: DataFrame, second: DataFrame
     return found.unionByName(rest.join(second.select(F.col("name").alias("gene_id"), "id").dropna(), "gene_id"))
 
 
-def set_ngrams(posted: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Nodes that members (id) of a set have, without those that a longer one with the same members of the set contains."""
+def set_ngrams(posted: DataFrame, nodes: DataFrame, members: DataFrame, whole: bool = False) -> DataFrame:
+    """Nodes that members (id) of a set have, without those that a longer one with the same members of the set contains.
+
+    whole: who has an n-gram has all the nodes within it, as in a full extraction. So the same members are as many members, and no pairs are made for each of them."""
     own = posted.join(nodes.select("ngram"), "ngram", "left_semi").join(members.select("id").distinct(), "id", "left_semi")
-    return ngrams.collapse(own)[0]
+    if not whole:
+        return ngrams.collapse(own)[0]
+    counts = graph.cut(ngrams.support(own))
+    gone = ngrams.containment_edges(counts).select(F.col("src").alias("ngram"), F.col("weight").alias("support"))
+    return counts.join(gone, ["ngram", "support"], "left_anti").select(counts.columns)
 
 
 def threshold_sweep(rows: DataFrame, alphas: list[float], fold: float) -> DataFrame:

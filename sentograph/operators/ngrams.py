@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,14 +185,11 @@ def entity_count(kept: DataFrame, supported: DataFrame, ngrams: DataFrame) -> Da
     return found.groupBy("ngram", "support").agg(F.min_by("of", F.struct("m", "of")).alias("standing_for")).select("ngram", "standing_for", "support")
 
 
-def analysis(corpus: DataFrame, longest: int, least: int = 1, seeds: list[str] | None = None, mode: str = "complete", concat: bool = True) -> dict[str, DataFrame]:
-    """All steps: postings, kept and removed n-grams, edges."""
-    posted = postings(corpus, longest, seeds, mode)
-    known = support(posted, least)
+def analysis(corpus: DataFrame, longest: int, least: int = 1, seeds: list[str] | None = None, mode: str = "complete", concat: bool = True, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """All steps: postings, kept and removed n-grams, edges. store: keeps what several steps follow from, so it is made once."""
+    posted = store(postings(corpus, longest, seeds, mode))
+    known = store(support(posted, least))
     if not concat:
-        return {"postings": posted, "kept": known, "removed": known.limit(0), "edges": containment_edges(known)}
-    if seeds is None and least <= 1:
-        kept, removed = closed(known), collapsed(known)
-    else:
-        kept, removed = collapse(posted.join(known.select("ngram"), "ngram", "left_semi"))
-    return {"postings": posted, "kept": kept, "removed": removed, "edges": containment_edges(kept)}
+        return {"postings": posted, "kept": known, "removed": known.limit(0), "edges": store(containment_edges(known))}
+    kept, removed = map(store, (closed(known), collapsed(known)) if seeds is None and least <= 1 else collapse(posted.join(known.select("ngram"), "ngram", "left_semi")))
+    return {"postings": posted, "kept": kept, "removed": removed, "edges": store(containment_edges(kept))}

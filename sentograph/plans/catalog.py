@@ -176,10 +176,14 @@ def component_diameter(spark, sf):
 
 def ev_members(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(postings, nodes, edges, (set, id) of users above and below the mean value)."""
-    posted, nodes, edges = ev_graph(spark, sf)
+    return *ev_graph(spark, sf), ev_sets(spark, sf)
+
+
+def ev_sets(spark, sf) -> DataFrame:
+    """(set, id) of users above and below the mean value."""
     events = table(spark, sf, "events")
     users = events.groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("v")).crossJoin(F.broadcast(events.agg(F.avg("value").alias("m"))))
-    return posted, nodes, edges, users.select(F.when(F.col("v") > F.col("m"), "up").otherwise("down").alias("set"), "id")
+    return users.select(F.when(F.col("v") > F.col("m"), "up").otherwise("down").alias("set"), "id")
 
 
 def ev_sides(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

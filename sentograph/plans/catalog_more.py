@@ -10,7 +10,7 @@ from sentograph.operators import compare, diff, entropy, graph, hubs, kernels, n
 
 from . import sql
 from .base import EVD, EVG, ev, ev_graph, ob, query, table, w
-from .catalog import ev_members, ev_sides, side_p
+from .catalog import ev_members, ev_sets, ev_sides, side_p
 
 # Modules: nations of a region as a star, a ring or a wheel; the regions as a path
 
@@ -268,8 +268,7 @@ def check_rates(spark, sf):
 def deg_summary(spark, sf):
     from sentograph.network import Differential, NgramNetwork, Options
 
-    members = ev_members(spark, sf)[3]
-    contrasts = members.select("id", F.lit("x").alias("contrast"), F.when(F.col("set") == "up", 1.0).otherwise(-1.0).alias("log2fc"), F.lit(0.01).alias("padj"))
+    contrasts = ev_sets(spark, sf).select("id", F.lit("x").alias("contrast"), F.when(F.col("set") == "up", 1.0).otherwise(-1.0).alias("log2fc"), F.lit(0.01).alias("padj"))
     return Differential(NgramNetwork(ev(spark, sf), Options(longest=3)), contrasts).summary("x", 0.5, 0.5, detailed=True)
 
 

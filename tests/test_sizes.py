@@ -189,3 +189,20 @@ def test_small_graphs_are_searched_where_their_rows_meet(spark, monkeypatch):
     monkeypatch.setattr(blocks, "block_tree", None)
     assert {r["id"]: r["d_articulation"] for r in fusion.articulation_change(rows, component, edges).collect()} == want
     assert len(set(want.values())) > 2
+
+
+def test_a_sets_ngrams_hold_no_pairs(spark):
+    """Where all windows of an entity are there, a set's collapsed n-grams are those of the pairs, by counts alone; a network makes its postings once."""
+    rows = _odd_corpus(spark).where("id < 42")
+    posted = graph.cut(ngrams.postings(rows, 3))
+    nodes = graph.cut(ngrams.closed(ngrams.support(posted)))
+    as_set = lambda df: sorted((r["ngram"], r["n"], r["tokens"], r["support"]) for r in df.collect())
+    for k in (2, 3, 5):
+        members = rows.where(F.col("id") % k == 0).select("id")
+        found = diff.set_ngrams(posted, nodes, members, True)
+        assert found.columns == ["ngram", "n", "tokens", "support"] and "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert as_set(found) == as_set(diff.set_ngrams(posted, nodes, members)) != []
+    made = []
+    steps = ngrams.analysis(rows, 3, store=lambda df: made.append(graph.cut(df)) or made[-1])
+    assert len(made) == 5 and not any("collect_set" in df._jdf.queryExecution().optimizedPlan().toString() for df in steps.values())
+    assert as_set(steps["kept"]) == as_set(nodes)
