@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
 from .corpus import BAR
 from .ngrams import named, windows
 from .order import with_totals
@@ -125,14 +126,22 @@ def shared_members(rows: DataFrame, group: str, member: str) -> DataFrame:
     A member is reduced to the groups that it is in first, and equal ones are counted before their pairs are made, so a hot member is one row.
     """
     groups = rows.where(F.col(group).isNotNull() & F.col(member).isNotNull()).groupBy(F.col(member).alias("m")).agg(F.sort_array(F.collect_set(group)).alias("gs"))
-    alike = groups.where(F.size("gs") > 1).groupBy("gs").agg(F.count(F.lit(1)).alias("n"))
+    return _pairs(groups.where(F.size("gs") > 1).groupBy("gs").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _pairs(alike: DataFrame) -> DataFrame:
+    """(a, b, both) from the sorted groups gs of members and the number n of members that are in just these."""
     pairs = alike.select("n", "gs", F.posexplode("gs").alias("i", "a")).select("n", "a", F.explode(F.slice("gs", F.col("i") + 2, F.size("gs"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("both"))
 
 
 def jaccard(sets: DataFrame, group: str, member: str) -> DataFrame:
-    """(a, b, jaccard) of all pairs of groups a < b that have members, from (group, member) rows."""
+    """(a, b, jaccard) of all pairs of groups a < b that have members, from (group, member) rows.
+
+    Members are reduced to the groups that they are in, which gives sizes and what is shared, so the rows are made and shuffled once. A null member counts, but is shared by none."""
     rows = sets.select(F.col(group).alias("a"), F.col(member).alias("m")).distinct()
-    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    groups = rows.groupBy("m").agg(F.sort_array(F.collect_set("a")).alias("gs"))
+    alike = graph.cut(groups.groupBy("gs", F.col("m").isNull().alias("none")).agg(F.count(F.lit(1)).alias("n")))
+    sizes = alike.select(F.explode("gs").alias("a"), "n").groupBy("a").agg(F.sum("n").alias("size"))
     names = sizes.select("a", F.col("size").alias("na")).join(sizes.select(F.col("a").alias("b"), F.col("size").alias("nb")), F.col("a") < F.col("b"))
-    return names.join(shared_members(rows, "a", "m"), ["a", "b"], "left").select("a", "b", (F.coalesce("both", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("both", F.lit(0)))).alias("jaccard"))
+    return names.join(_pairs(alike.where("not none")), ["a", "b"], "left").select("a", "b", (F.coalesce("both", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("both", F.lit(0)))).alias("jaccard"))

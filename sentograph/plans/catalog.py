@@ -280,7 +280,8 @@ def simpson_retro(spark, sf):
 
 @query(w(sql.DOC, "m AS (SELECT DISTINCT lang, unnest(tokens) AS t FROM doc)", "z AS (SELECT lang, count(*) AS n FROM m GROUP BY lang)") + "SELECT x.lang AS a, y.lang AS b, round(coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)), 9) AS jaccard FROM z x JOIN z y ON x.lang < y.lang LEFT JOIN (SELECT p.lang AS a, q.lang AS b, count(*) AS k FROM m p JOIN m q USING (t) WHERE p.lang < q.lang GROUP BY 1, 2) ON a = x.lang AND b = y.lang")
 def jaccard_corpora(spark, sf):
-    members = doc(spark, sf).select("lang", F.explode(F.array_distinct("tokens")).alias("t"))
+    # An inner explode is given a filter on the array's size, which would split every text once more for it.
+    members = doc(spark, sf).select("lang", F.explode_outer(F.array_distinct("tokens")).alias("t")).where("t is not null")
     return entropy.jaccard(members, "lang", "t").withColumn("jaccard", F.round("jaccard", 9))
 
 

@@ -191,6 +191,22 @@ def test_small_graphs_are_searched_where_their_rows_meet(spark, monkeypatch):
     assert len(set(want.values())) > 2
 
 
+def test_jaccard_reads_its_rows_once(spark):
+    """Sizes and what is shared follow from one table of members' groups; null members count but are not shared, null groups don't."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(g, m) for g, ms in {"x": [1, 2, 3, None], "y": [2, 3, 4], "z": [9], "w": [None], None: [1, 2]}.items() for m in ms] * 2
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame(rows, "g string, m long").mapInArrow(passed, "g string, m long")
+    found = {(r["a"], r["b"]): r["jaccard"] for r in entropy.jaccard(frame, "g", "m").collect()}
+    assert seen.value == len(rows)
+    assert found == {("w", "x"): 0.0, ("w", "y"): 0.0, ("w", "z"): 0.0, ("x", "y"): 2 / 5, ("x", "z"): 0.0, ("y", "z"): 0.0}
+
+
 def test_a_sets_ngrams_hold_no_pairs(spark):
     """Where all windows of an entity are there, a set's collapsed n-grams are those of the pairs, by counts alone; a network makes its postings once."""
     rows = _odd_corpus(spark).where("id < 42")
@@ -206,3 +222,22 @@ def test_a_sets_ngrams_hold_no_pairs(spark):
     steps = ngrams.analysis(rows, 3, store=lambda df: made.append(graph.cut(df)) or made[-1])
     assert len(made) == 5 and not any("collect_set" in df._jdf.queryExecution().optimizedPlan().toString() for df in steps.values())
     assert as_set(steps["kept"]) == as_set(nodes)
+
+
+def test_jaccard_corpora_splits_texts_once(spark, sf):
+    """No filter beside the explosion makes the words of a text again."""
+    import os
+
+    import pytest
+
+    from sentograph.plans import catalog
+
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    plans, real = [], entropy.jaccard
+    catalog.entropy.jaccard = lambda rows, a, b: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or real(rows, a, b)
+    try:
+        catalog.QUERIES["jaccard_corpora"](spark, sf)
+    finally:
+        catalog.entropy.jaccard = real
+    assert plans[0].count("split(") == 1
