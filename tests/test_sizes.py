@@ -39,6 +39,22 @@ def test_contained_files_shuffle_no_pairs(spark):
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_contained_files_deal_out_large_sets(spark):
+    """Files of equal ids go on in pieces: no row holds many of them, a pair of large sets is many rows, and pairs of files are made without a lookup for each."""
+    equal = {"a": ([1], 700), "b": ([1, 2], 600), "c": ([3, None], 5), "d": ([3], 2)}
+    member = spark.createDataFrame([(s, f"{s}{k:04}") for s, (_, n) in equal.items() for k in range(n)], "set string, file string")
+    pieces = sources._pieces(member, 64)
+    assert sorted((r["set"], f) for r in pieces.collect() for f in r["files"]) == sorted(map(tuple, member.collect()))
+    assert pieces.agg(F.max(F.size("files"))).first()[0] <= 128 and pieces.where("set = 'a'").count() == 11
+    rows = member.join(spark.createDataFrame([(s, i) for s, (ids, _) in equal.items() for i in ids], "set string, id int"), "set")
+    found = sources.contained_files(rows.select("file", "id"))
+    last = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert last.count("Generate explode") == 2
+    kinds = found.groupBy(F.substring("file", 1, 1).alias("f"), F.substring("within", 1, 1).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file", "within").alias("d"), F.max(F.expr("file <= within")).alias("up")).collect()
+    assert {(r["f"], r["w"]): (r["n"], r["d"]) for r in kinds} == {("a", "b"): (420000, 420000), ("a", "a"): (244650, 244650), ("b", "b"): (179700, 179700), ("d", "c"): (10, 10), ("d", "d"): (1, 1)}
+    assert not any(r["up"] for r in kinds if r["f"] == r["w"])
+
+
 def test_recurrent_genes_count_without_lists(spark):
     """Counts of genes hold no list of a gene's patients; the lists themselves keep repeats, in order, and a null gene is a gene."""
     rows = spark.createDataFrame([("g", "c1", 1, "x", 5), ("g", "c2", 1, "y", 3), ("g", "c2", 2, "y", 3), ("g", "c2", 2, None, None), ("h", "c1", 4, "x", 1), (None, "c1", 1, "x", 2), (None, "c2", 1, "x", 1)], "gene_id string, cancer string, pair long, architecture string, patient long")
