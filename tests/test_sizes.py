@@ -64,6 +64,19 @@ def test_recurrent_genes_count_without_lists(spark):
     assert sorted(map(tuple, fusion.recurrent_genes(rows).collect()), key=str) == [("g", 2, 2, 2, [3, 3, 5]), (None, 2, 1, 1, [1, 2])]
 
 
+def test_recurrent_genes_lists_patients_in_its_query(spark, sf):
+    """The query goes through the operator's lists of patients, whose sizes it returns, not through the counts alone."""
+    from sentograph.plans import catalog
+
+    found = catalog.QUERIES["recurrent_genes"](spark, sf)
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    lines = read("lineitem").join(read("part"), F.expr("p_partkey = l_partkey")).join(read("orders"), F.expr("o_orderkey = l_orderkey")).select("p_brand", "o_orderpriority", "o_orderkey", "p_type", "o_custkey").collect()
+    genes = {g: [r for r in lines if r["p_brand"] == g] for g in {r["p_brand"] for r in lines}}
+    sets = {g: [len({r[c] for r in rows}) for c in ("o_orderpriority", "o_orderkey", "p_type")] for g, rows in genes.items()}
+    assert sorted(map(tuple, found.collect())) == sorted((g, *n, len(genes[g])) for g, n in sets.items() if n[0] > 1)
+
+
 def test_trials_that_are_all_alike_do_not_differ(spark):
     """As in the SQL of separation_fpr, whose trials all separate alike on larger tables: p is 1, and a rate is no null."""
     rows = [(of, kind, t, -1.0 if of == 0 else 0.1 * t, 0.5 * t) for of in (0, 1) for kind in ("random", "subsample") for t in range(6)]
